@@ -1,4 +1,8 @@
-"""Splits text into the words of ``word_bpe_49k.json``: its special strings, normaliser and word pattern."""
+"""Splits text into the words of ``word_bpe_49k.json``: its special strings, normaliser and word pattern.
+
+Letters and numbers are those of this Python's Unicode tables; code points that newer Unicode versions added
+count as neither.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,6 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import regex
-
 #: Strings of the tokenizer file that stand for one token wherever they occur in a raw text.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
@@ -16,14 +18,21 @@ _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
 def _ranges(kind: str) -> str:
     """A character class's inside for the code points whose general category starts with ``kind``."""
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
-    return "".join(f"\\U{ord(m[0][0]):08x}-\\U{ord(m[0][-1]):08x}" for m in regex.finditer(rf"\p{{{kind}}}+", every))
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 @lru_cache(None)
 def _word_pattern() -> re.Pattern:
     letter, number = _ranges("L"), _ranges("N")
-    space = r"\t-\r \x85\xa0  -     　"
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
 
 
