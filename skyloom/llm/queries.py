@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, token_counts
+from skyloom.llm import bpe, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 
@@ -16,6 +16,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs, model, ["doc_id", langid.held_out().alias("held_out")])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -42,5 +48,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_exact_dedup, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op9_token_counts)}
 ORACLES = {"op6_exact_dedup": OP6}
