@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.llm import bpe, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
+from skyloom.llm.jaccard import jaccard_groups
 
 
 def vocabulary() -> str:
@@ -48,5 +49,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op9_token_counts)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op9_token_counts, op10_jaccard_join)}
 ORACLES = {"op6_exact_dedup": OP6}
