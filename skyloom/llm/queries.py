@@ -9,6 +9,7 @@ from skyloom.llm import bpe, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
+from skyloom.llm.mixing import mixture
 
 
 def vocabulary() -> str:
@@ -45,6 +46,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -53,5 +58,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op7_mix_sources, op9_token_counts, op10_jaccard_join)}
 ORACLES = {"op6_exact_dedup": OP6}
