@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, langid, token_counts
+from skyloom.llm import bpe, chat, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
@@ -35,6 +35,44 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    back = chat.read_back(chat.formatted(turns.unionByName(more)))
+    said = F.array_join("losses", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(said).cast("long").alias("loss_chars"),
+        F.sha2(said, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+OP4 = """
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, 11 + length(role) + length(text) + 4 * (length(text) - length(replace(text, '&', '')))
+              + 3 * (length(text) - length(replace(text, '[', ''))) + 4 * (length(role) - length(replace(role, '&', '')))
+              + 3 * (length(role) - length(replace(role, '[', ''))) + 3 * (length(role) - length(replace(role, ']', ''))) AS chars
+    FROM rows
+), ends AS (
+    SELECT *, sum(chars) OVER t AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
+    FROM sized WINDOW t AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' OR last THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM ends GROUP BY conv_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,5 +96,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op6_exact_dedup, op7_mix_sources, op9_token_counts, op10_jaccard_join)}
-ORACLES = {"op6_exact_dedup": OP6}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_chat_format, op6_exact_dedup, op7_mix_sources, op9_token_counts, op10_jaccard_join)}
+ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6}
