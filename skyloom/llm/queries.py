@@ -10,6 +10,7 @@ from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
 from skyloom.llm.mixing import mixture
+from skyloom.llm.secret_scan import RULES, named, secret_spans
 
 
 def vocabulary() -> str:
@@ -88,6 +89,51 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    base = [k for k, r in enumerate(RULES) if r.base]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(RULES[k].kind) for k in base],
+        F.sha2(named(F.filter("spans", lambda s: s["order"].isin(base))), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
+def _op8() -> str:
+    """SQL of all rules: texts between matches and matches give the positions."""
+    either = lambda p: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in p)
+    parts = []
+    for k, r in enumerate(RULES):
+        pattern = r.pattern
+        if "(?i:" in pattern:
+            head, rest = pattern.split("(?i:", 1)
+            inner, rest = rest.split(")", 1)
+            pattern = f"{head}(?:{either(inner)}){rest}"
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""
+SELECT doc_id, {k} AS k, '{r.kind}' AS kind, i, gap, hit, part FROM (
+    SELECT doc_id, unnest(range(len(hits))) AS i, unnest(gaps[:len(hits)]) AS gap, unnest(hits) AS hit, unnest(parts) AS part FROM (
+        SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+               regexp_extract_all(t, '{pattern}', {r.group}) AS parts FROM docs)) WHERE true""")
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(RULES))
+    base = ", ".join(str(k) for k, r in enumerate(RULES) if r.base)
+    counts = ", ".join(f"count(s.k) FILTER (s.k = {k}) AS n_{r.kind}" for k, r in enumerate(RULES) if r.base)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), raw AS ({" UNION ALL ".join(parts)}
+), placed AS (
+    SELECT doc_id, k, kind, part, CAST(sum(length(gap) + length(hit)) OVER w AS BIGINT) AS stop, CAST(sum(length(gap) + length(hit)) OVER w AS BIGINT) - length(hit) AS start
+    FROM raw WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)
+), s AS (
+    SELECT doc_id, k, start, kind || ':' || start || ':' || stop AS name FROM placed WHERE length(part) >= CASE k {least} END
+)
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(s.name, ',' ORDER BY s.start, s.k) FILTER (s.k IN ({base})), '')) AS base_sha256,
+       coalesce(string_agg(s.name, ',' ORDER BY s.start, s.k), '') AS spans
+FROM docs d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -96,5 +142,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_chat_format, op6_exact_dedup, op7_mix_sources, op9_token_counts, op10_jaccard_join)}
-ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_chat_format, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join)}
+ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_secret_scan": _op8()}
