@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, chat, langid, token_counts
+from skyloom.llm import ann, bpe, chat, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
@@ -37,6 +37,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -161,5 +165,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_nearest_vectors, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join)}
 ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_secret_scan": _op8()}
