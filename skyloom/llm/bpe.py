@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ from skyloom.llm.words import SPECIAL, letters, words
 
 END = "</w>"
 #: Solved words that a worker keeps; the table is emptied when it is full.
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 #: Texts that are split before their new words are solved together.
 CHUNK = 128
 
@@ -54,7 +55,10 @@ class Bpe:
         self.keys, self.made = keys[order], self.base + order
         self.merge = {int(k): self.base + i for i, k in enumerate(keys)}
         self.names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            body = t.removesuffix(END)
+            self.reach[body[:2]] = max(self.reach.get(body[:2], 1), len(body))
         # a token holds if both parts hold and nothing merges across them before they merge
         made = np.arange(self.base, size)
         holds = np.ones(size, bool)
@@ -85,9 +89,9 @@ class Bpe:
 
     def greedy(self, text: str) -> list[int]:
         """Longest-match tokens of a word's letters; the last letter carries the end mark."""
-        out, start, n, vocab = [], 0, len(text), self.vocab
+        out, start, n, vocab, reach = [], 0, len(text), self.vocab, self.reach
         while start < n:
-            stop = min(n, start + self.longest)
+            stop = min(n, start + reach.get(text[start : start + 2], 1))
             while (t := vocab.get(text[start:stop] + END if stop == n else text[start:stop])) is None:
                 stop -= 1
             out.append(t)
@@ -98,6 +102,8 @@ class Bpe:
         """The tokens that merging in order of rank, leftmost first, makes."""
         tok = [self.vocab[c] for c in text[:-1]] + [self.vocab[text[-1] + END]]
         n = len(tok)
+        if n <= 40:
+            return self._exact_short(tok)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m, i) for i in range(n - 1) if (m := self.merge.get(tok[i] * self.size + tok[i + 1])) is not None]
         heapq.heapify(heap)
@@ -116,6 +122,20 @@ class Bpe:
                 heapq.heappush(heap, (x, prev[i]))
         return [t for t in tok if t >= 0]
 
+    def _exact_short(self, tok: list[int]) -> list[int]:
+        """The same for few letters, without a heap."""
+        get, size, none = self.merge.get, self.size, self.size
+        made = [get(a * size + b, none) for a, b in zip(tok, tok[1:], strict=False)]
+        while made and (m := min(made)) < none:
+            i = made.index(m)
+            tok[i : i + 2] = [m]
+            del made[i]
+            if i < len(made):
+                made[i] = get(m * size + tok[i + 1], none)
+            if i:
+                made[i - 1] = get(tok[i - 1] * size + m, none)
+        return tok
+
     def solve(self, new: list[str]) -> None:
         """Adds the encodings of new words to the table."""
         texts = [letters(w) for w in new]
@@ -185,7 +205,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         for whole in batches:
             for k in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(k, CHUNK)
-                yield _with(batch, text_col, pa.array(map(bpe.decode, batch.column(ids_col).to_pylist()), pa.string()))
+                ids = batch.column(ids_col)
+                flat, size = ids.flatten().to_numpy(zero_copy_only=False).tolist(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                stop = np.cumsum(size).tolist()
+                yield _with(batch, text_col, pa.array([bpe.decode(flat[i - n : i]) for i, n in zip(stop, size.tolist(), strict=True)], pa.string()))
 
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))
 

@@ -16,11 +16,11 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
 
-def _ranges(kind: str) -> str:
-    """A character class's inside for the code points whose general category starts with ``kind``."""
+def _ranges(kind: str, top: int) -> str:
+    """A character class's inside for the code points up to ``top`` whose general category starts with ``kind``."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+    for c in range(top + 2):
+        inside = c <= top and unicodedata.category(chr(min(c, top)))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -30,10 +30,20 @@ def _ranges(kind: str) -> str:
 
 
 @lru_cache(None)
-def _word_pattern() -> re.Pattern:
-    letter, number = _ranges("L"), _ranges("N")
+def _word_pattern(top: int) -> re.Pattern:
+    """The word pattern for texts without code points above ``top``; smaller classes are faster."""
+    letter, number = _ranges("L", top), _ranges("N", top)
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+    return re.compile(f"[{letter}]+|'(?:[stmd]|re|ve|ll)|[{number}]|[^{space}{letter}{number}]+")
+
+
+def _find(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+        top = 0xFF
+    except UnicodeEncodeError:
+        top = 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
+    return _word_pattern(top).findall(text)
 
 
 def normalise(text: str) -> str:
@@ -47,15 +57,14 @@ def words(text: str | None) -> list[str]:
     """The words of a text in order; special strings come as they are. Null and empty texts have none."""
     if not text:
         return []
-    find = _word_pattern().findall
     if "<|" not in text:
-        return find(normalise(text))
+        return _find(normalise(text))
     out: list[str] = []
     for k, part in enumerate(_SPECIAL.split(text)):
         if k % 2:
             out.append(part)
         elif part:
-            out += find(normalise(part))
+            out += _find(normalise(part))
     return out
 
 
