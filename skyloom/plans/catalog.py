@@ -1,4 +1,12 @@
 """All registered queries and their SQL twins."""
 
+from __future__ import annotations
+
+from skyloom.plans import relational, statistics
+
+_PARTS = (relational, statistics)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _p in _PARTS:
+    QUERIES |= _p.query.queries
+    ORACLES |= _p.query.oracles
