@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyloom.plans import relational, statistics
+from skyloom.plans import relational, sphere, statistics, timeseries
 
-_PARTS = (relational, statistics)
+_PARTS = (relational, statistics, timeseries, sphere)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _p in _PARTS:
