@@ -146,10 +146,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken."""
     m = mix(docs, id_col, **options)
+    # slots come from exploded ranges, whose size Spark takes for that of the ranges: without the hint it would broadcast them
     times = m.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-    taken = m.pieces().join(times, ["s", "block"]).groupBy("s", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = m.pieces().join(times.hint("merge"), ["s", "block"]).groupBy("s", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     rows = m.rows.withColumn("at", F.when(F.col("size") > 0, F.col("offset")))
-    joined = rows.join(taken.withColumnRenamed("offset", "at"), ["s", "at"], "left")
+    joined = rows.join(taken.withColumnRenamed("offset", "at").hint("merge"), ["s", "at"], "left")
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -159,13 +160,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document that a pass takes whole keeps its text; of one taken in part the words are joined by a space.
     """
     m = mix(docs, id_col, text_col=text_col, **options)
-    drawn = m.pieces().join(m.slots.drop("shard"), ["s", "block"]).groupBy("s", "offset", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("got"))
+    drawn = m.pieces().join(m.slots.drop("shard").hint("merge"), ["s", "block"]).groupBy("s", "offset", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("got"))
     same = Window.partitionBy("id", "hash").orderBy("offset")
     keyed = m.rows.where("size > 0").withColumn("copy", F.row_number().over(same)).select("id", "hash", "copy", "s", "offset")
-    drawn = drawn.join(keyed, ["s", "offset"]).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("copy").alias("_copy"), "parts", F.col("got").alias("_got"), F.col("size").alias("_size"))
+    drawn = drawn.join(keyed.hint("merge"), ["s", "offset"]).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("copy").alias("_copy"), "parts", F.col("got").alias("_got"), F.col("size").alias("_size"))
     full = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
     full = full.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))))
-    joined = full.join(drawn, full[id_col].eqNullSafe(drawn["_id"]) & (full["_hash"] == drawn["_hash"]) & (full["_copy"] == drawn["_copy"]))
+    joined = full.join(drawn.hint("merge"), full[id_col].eqNullSafe(drawn["_id"]) & (full["_hash"] == drawn["_hash"]) & (full["_copy"] == drawn["_copy"]))
     every = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
     whole = F.col("_got") == F.col("_size")
