@@ -36,9 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the text that they decode to."""
-    path = vocabulary()
-    ids = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    return ids.select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary()).select(
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -29,7 +29,7 @@ from skyloom.llm.words import SPECIAL, letters, words
 
 END = "</w>"
 #: Solved words that a worker keeps; the table is emptied when it is full.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: Texts that are split before their new words are solved together.
 CHUNK = 128
 
@@ -196,6 +196,22 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with ``text_col`` replaced by its token ids and the text that these decode to, in one pass of one worker."""
+    fields = [f for f in df.schema.fields if f.name not in (text_col, ids_col, decoded_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(path)
+        for whole in batches:
+            for k in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(k, CHUNK)
+                ids = bpe.encode_batch(batch.column(text_col).to_pylist())
+                out = _with(batch, ids_col, pa.array(ids, pa.list_(pa.int32())), text_col)
+                yield _with(out, decoded_col, pa.array(map(bpe.decode, ids), pa.string()))
+
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]))
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col`` added in ``text_col``."""
     fields = [f for f in df.schema.fields if f.name != text_col]
@@ -213,4 +229,4 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(text_col, T.StringType())]))
 
 
-__all__ = ["SPECIAL", "Bpe", "decode", "encode", "model"]
+__all__ = ["SPECIAL", "Bpe", "decode", "encode", "model", "round_trip"]

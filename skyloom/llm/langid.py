@@ -132,22 +132,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return Model(idf, np.concatenate(centroids).astype(np.float32), langs, np.array(radius))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str | Column] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and rejected."""
-    rows = docs.select(*(keep or []), F.col(text_col).alias("_text"))
-    fields = rows.schema.fields[:-1]
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct ``language`` of lang_pred, score and rejected; only the text goes through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(k, CHUNK)
-                found = shared.value.predict(batch.column("_text").to_pylist())
-                new = [pa.array([r[j] for r in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = []
+            for k in range(0, len(texts), CHUNK):
+                found += shared.value.predict(texts.slice(k, CHUNK).to_pylist())
+            columns = [pa.array([r[j] for r in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "rejected"])
 
-    names = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"])
-    return rows.mapInArrow(run, names)
+    return docs.withColumn("language", language(F.col(text_col).cast("string")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -158,4 +156,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their columns."""
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
-    return predict(docs, model, docs.columns, text_col).where("NOT rejected").select(docs.columns)
+    keep = [F.col(c) for c in docs.columns]
+    row = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
+    return predict(row, model).where("NOT language.rejected").select("row.*")

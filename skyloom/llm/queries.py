@@ -23,13 +23,12 @@ def vocabulary() -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.predict(docs, model, ["doc_id", langid.held_out().alias("held_out")])
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return bpe.decode(ids, path).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
