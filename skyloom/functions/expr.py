@@ -135,3 +135,30 @@ def series_value(coefficients: list[tuple[str, str]], phase_: Column) -> Column:
     for n, (a, p) in enumerate(coefficients, 1):
         out = out + F.col(a) * F.cos(TWO_PI * n * phase_ + F.col(p))
     return out
+
+
+def log_amplitude(n_observations: str, flux_over_error: str) -> Column:
+    """log10 of the scatter that a mean flux's error implies; null unless both are positive."""
+    return log10_positive(ratio(F.sqrt(F.col(n_observations)), flux_over_error))
+
+
+def linear_mix(base: str, colour: str, slope: float, zero: float = 0.0) -> Column:
+    """Magnitude in another system: base + slope * colour + zero."""
+    return F.col(base) + slope * F.col(colour) + zero
+
+
+def parallax_residual(parallax: str, distance: str, shift: float) -> Column:
+    """Parallax minus its zero point minus the one that a distance in kpc implies."""
+    return F.col(parallax) - shift - F.try_divide(F.lit(1.0), F.col(distance))
+
+
+def strip_weight(lon: str, inner: float, wide: float, narrow: float) -> Column:
+    """Height of the surveyed strip at a longitude: wide towards the centre, narrow elsewhere."""
+    return F.when(F.abs(signed_longitude(lon)) < inner, wide).otherwise(narrow)
+
+
+def translated_id(c: str, separator: str, prefixes: dict[str, str]) -> Column:
+    """prefix-of-the-head + tail of an id cut at ``separator``; null for unknown heads."""
+    parts = F.split(F.col(c), separator)
+    table = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
+    return F.concat(table[parts[0]], parts[1])

@@ -95,3 +95,13 @@ def detrended(lc: DataFrame, key: str = "sourceid", time: str = "t", value: str
     slope = F.try_divide(F.col("s") * F.col("sty") - F.col("st") * F.col("sy"), F.col("s") * F.col("stt") - F.col("st") * F.col("st"))
     fit = fit.withColumn("slope", slope).withColumn("level", (F.col("sy") - F.col("slope") * F.col("st")) / F.col("s"))
     return lc.join(fit.select(key, "slope", "level"), key).withColumn("residual", y - F.col("level") - F.col("slope") * t)
+
+
+def phase_depth(lc: DataFrame, period: str | Column, low: float = 0.1, high: float = 0.9, key: str = "sourceid", time: str = "t", value: str = "mag") -> DataFrame:
+    """Share of the range that the phases around the faintest point fall below: (p_high - median) / (p_high - p_low) of the values within a quarter turn."""
+    folded = lc.withColumn("_p", phase(time, period))
+    faint = folded.groupBy(key).agg(F.max_by("_p", F.struct(value, "_p")).alias("_zero"))
+    turn = F.abs(F.col("_p") - F.col("_zero"))
+    near = folded.join(faint, key).where(F.least(turn, 1 - turn) < 0.25)
+    g = near.groupBy(key).agg(F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("_q"))
+    return g.select(key, ratio(F.col("_q")[2] - F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0]).alias("percentile_diff"))

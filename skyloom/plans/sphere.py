@@ -159,3 +159,10 @@ def heliocentric(spark, d):
     lc = detections(spark, d).join(sky(spark, d).select("sourceid", "lon", "lat"), "sourceid")
     first = F.min("t").over(Window.partitionBy("sourceid")) + 60310.0
     return lc.select("event_id", "sourceid", (F.col("t") + 2460310.5 + S.light_travel(F.col("lon"), F.col("lat"), first)).alias("hjd"))
+
+
+@query(f"WITH {SKY} SELECT CASE WHEN abs(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) < 10 THEN 10.0::DOUBLE ELSE 4.5::DOUBLE END AS height, count(*) AS n, round(sum(1 / CASE WHEN abs(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) < 10 THEN 10.0::DOUBLE ELSE 4.5::DOUBLE END), 4) + 0.0 AS density FROM sky GROUP BY 1")
+def strip_density(spark, d):
+    """Sources weighted by the height of the surveyed strip at their longitude."""
+    s = sky(spark, d).withColumn("height", expr.strip_weight("lon", 10, 10.0, 4.5))
+    return s.groupBy("height").agg(count().alias("n"), r(F.sum(1 / F.col("height")), 4).alias("density"))

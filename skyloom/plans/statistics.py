@@ -181,3 +181,30 @@ SELECT round(avg(rate), 6) + 0.0 AS mean, round(median(rate), 6) + 0.0 AS median
 def ensemble_metrics(spark, d):
     g = table(spark, d, "orders").groupBy(F.col("o_custkey") % 10).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("rate"), F.count("*").alias("n"))
     return g.agg(r(F.avg("rate")).alias("mean"), r(F.median("rate")).alias("median"), r(F.avg(F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n")))).alias("error"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS n, p_retailprice / 100 AS j, p_retailprice / 130 AS k, p_brand FROM part)
+SELECT p_partkey, round(log10(sqrt(n) / j), 6) + 0.0 AS g_amp, round(j - k - 0.3, 6) + 0.0 AS colour, round(sqrt(power(n / 100, 2) * 2.25 + 0.25 * power(n / 50, 2) + 0.01 * power(j - k, 2)), 6) + 0.0 AS colour_error,
+round(k + 0.01 * (j - k) - 0.2, 6) + 0.0 AS k_other, round(j / 50 + 0.03 - 1 / nullif(n, 0), 6) + 0.0 AS residual, CASE WHEN n < 50 THEN round(log10(1 - n / 50), 6) + 0.0 END AS log_rest,
+CASE split_part(p_brand, '#', 1) WHEN 'Brand' THEN 'B' || split_part(p_brand, '#', 2) END AS short_id FROM p""")
+def scalar_features(spark, d):
+    """Amplitude, colour, errors, transforms and ids as plain expressions."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("n"), (F.col("p_retailprice") / 100).alias("j"), (F.col("p_retailprice") / 130).alias("k"), "p_brand")
+    p = p.withColumns({"jk": F.col("j") - F.col("k"), "ejk": F.lit(0.3), "ea": F.col("n") / 100, "eb": F.col("n") / 50, "plx": F.col("j") / 50})
+    return p.select(
+        "p_partkey", r(expr.log_amplitude("n", "j")).alias("g_amp"), r(expr.dereddened("j", "k", "ejk")).alias("colour"), r(expr.colour_error("ea", "eb", "jk", 0.5, 0.1)).alias("colour_error"),
+        r(expr.linear_mix("k", "jk", 0.01, -0.2)).alias("k_other"), r(expr.parallax_residual("plx", "n", -0.03)).alias("residual"), r(expr.log_complement(F.col("n") / 50)).alias("log_rest"),
+        expr.translated_id("p_brand", "#", {"Brand": "B"}).alias("short_id"),
+    )
+
+
+@query("""SELECT prob_bin, n, round(share, 6) + 0.0 AS share FROM (SELECT CASE WHEN l_discount > 0.065 THEN 'sure' WHEN l_discount > 0.03 THEN 'likely' ELSE 'unsure' END AS prob_bin, count(*) AS n, count(*) / sum(count(*)) OVER () AS share
+FROM lineitem WHERE l_returnflag <> 'A' AND l_tax IS NOT NULL GROUP BY 1)""")
+def threshold_filter(spark, d):
+    """Classes by probability thresholds after exclusions."""
+    from skyloom.operators.quality import _true
+
+    kept = table(spark, d, "lineitem").where(~_true(F.col("l_returnflag") == "A")).dropna(subset=["l_tax"])
+    named = F.when(F.col("l_discount") > 0.065, "sure").when(F.col("l_discount") > 0.03, "likely").otherwise("unsure")
+    g = kept.groupBy(named.alias("prob_bin")).agg(count().alias("n"))
+    return g.select("prob_bin", "n", r(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))

@@ -209,3 +209,18 @@ SELECT sourceid, round(least(0.25::DOUBLE, 2 / power(r / e, 3) / (n / 100.0::DOU
 def optimal_regularisation(spark, d):
     g = detections(spark, d).groupBy("sourceid").agg(F.percentile("mag", F.array(F.lit(0.05), F.lit(0.95))).alias("p"), F.median("emag").alias("e"), F.count("*").alias("n"))
     return g.select("sourceid", r(F.least(F.lit(0.25), 2 / F.pow((F.col("p")[1] - F.col("p")[0]) / F.col("e"), 3) / (F.col("n") / 100)), 8).alias("regularisation"))
+
+
+@query(f"""WITH {DETECTIONS}, {FOLD}, z AS (SELECT sourceid, max_by(p, (mag, p)) AS z FROM f GROUP BY 1),
+n AS (SELECT sourceid, mag FROM f JOIN z USING (sourceid) WHERE least(abs(p - z), 1 - abs(p - z)) < 0.25)
+SELECT sourceid, round((quantile_cont(mag, 0.9) - median(mag)) / nullif(quantile_cont(mag, 0.9) - quantile_cont(mag, 0.1), 0), 5) + 0.0 AS percentile_diff FROM n GROUP BY 1""")
+def percentile_diff(spark, d):
+    return series.phase_depth(detections(spark, d), F.lit(PERIOD)).select("sourceid", r("percentile_diff", 5).alias("percentile_diff"))
+
+
+@query()
+def poly_detrend(spark, d):
+    """Scatter around a cubic of each source."""
+    from skyloom.operators import fourier
+
+    return fourier.without_polynomial(detections(spark, d)).groupBy("sourceid").agg(count("event_id").alias("n"), F.stddev_pop("residual").alias("scatter"))
