@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
+from skyloom.operators.quantiles import exact_percentiles
 
 
 def yeo_johnson(x: Column, lam: float | Column) -> Column:
@@ -48,10 +49,9 @@ def power_transform(df: DataFrame, fitted: dict[str, tuple[float, float, float]]
 
 
 def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
-    """Features minus their median over their interquartile range, by exact percentiles of one aggregate."""
-    p = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in features])
-    out = df.join(F.broadcast(p), F.lit(True))
-    return out.withColumns({c: F.try_divide(F.col(c) - F.col(f"_{c}")[1], F.col(f"_{c}")[2] - F.col(f"_{c}")[0]) for c in features}).drop(*[f"_{c}" for c in features])
+    """Features minus their median over their interquartile range, by exact percentiles."""
+    marks = exact_percentiles(df, features, [0.25, 0.5, 0.75])
+    return df.withColumns({c: F.try_divide(F.col(c) - F.lit(marks[c][1]), F.lit(marks[c][2]) - F.lit(marks[c][0])) for c in features})
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
+from skyloom.operators.quantiles import exact_percentiles
 
 
 def _true(cond):
@@ -27,20 +28,21 @@ def sigma_clip(df: DataFrame, key: str = "sourceid", value: str = "mag", thresho
 
 
 def feature_clip(df: DataFrame, features: list[str], width: float = 10.0, no_upper: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose features lie within ``width`` of 0.25 (p95 - p5) of the median; bounds of all features come from one aggregate."""
-    p = df.agg(*[F.percentile(finite(c), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias(c) for c in features])
-    bounds = p.select(*[F.struct((F.col(c)[1] - width * 0.25 * (F.col(c)[2] - F.col(c)[0])).alias("lo"), (F.col(c)[1] + width * 0.25 * (F.col(c)[2] - F.col(c)[0])).alias("hi")).alias(f"_b_{c}") for c in features])
-    out = df.join(F.broadcast(bounds), F.lit(True))
+    """Rows whose features lie within ``width`` of 0.25 (p95 - p5) of the median; all bounds are found together."""
+    marks = exact_percentiles(df.select(*[finite(c).alias(c) for c in features]), features, [0.05, 0.5, 0.95])
     for c in features:
-        out = out.where(~_true(finite(c) < F.col(f"_b_{c}.lo")))
-        if c not in no_upper:
-            out = out.where(~_true(finite(c) > F.col(f"_b_{c}.hi")))
-    return out.drop(*[f"_b_{c}" for c in features])
+        p5, p50, p95 = marks[c]
+        if p50 is not None:
+            reach = width * 0.25 * (p95 - p5)
+            df = df.where(~_true(finite(c) < p50 - reach))
+            if c not in no_upper:
+                df = df.where(~_true(finite(c) > p50 + reach))
+    return df
 
 
 def percentile_trim(df: DataFrame, features: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Rows strictly inside each feature's percentiles, one feature after another on what the last one left."""
     for c in features:
-        p = df.agg(F.percentile(c, F.array(F.lit(low), F.lit(high))).alias("_p"))
-        df = df.join(F.broadcast(p), F.lit(True)).where((F.col(c) > F.col("_p")[0]) & (F.col(c) < F.col("_p")[1])).drop("_p")
+        a, b = exact_percentiles(df, [c], [low, high])[c]
+        df = df.where((F.col(c) > a) & (F.col(c) < b)) if a is not None else df
     return df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import col, ratio
+from skyloom.operators.quantiles import exact_percentiles
 
 
 def weighted_mean(value: str | Column, error: str | Column) -> Column:
@@ -52,9 +53,9 @@ def histogram_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float, int
 
 def equal_count_edges(df: DataFrame, value: str, bins: int, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """bin, lo, hi: consecutive percentiles; one row per bin."""
-    marks = F.array(*[F.lit(low + (high - low) * k / bins) for k in range(bins + 1)])
-    edges = df.agg(F.percentile(value, marks).alias("e"))
-    return edges.select(F.posexplode(F.slice("e", 1, bins)).alias("bin", "lo"), "e").select("bin", "lo", F.col("e")[F.col("bin") + 1].alias("hi"))
+    marks = exact_percentiles(df, [value], [low + (high - low) * k / bins for k in range(bins + 1)])[value]
+    rows = [F.struct(F.lit(k).alias("bin"), F.lit(marks[k]).cast("double").alias("lo"), F.lit(marks[k + 1]).cast("double").alias("hi")) for k in range(bins)]
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def running_statistic(df: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import expr
 from skyloom.functions import sky as S
+from skyloom.operators.quantiles import exact_percentiles
 from skyloom.operators import fourier, joins, learning, quality, series, stats
 
 
@@ -37,6 +38,16 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(expr.ratio("t", F.lit(0.0))).collect()] == [None] * 3
 
 
+def test_percentiles_of_a_column_in_passes(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.lognormal(0, 3, 3000), np.full(900, 2.0), rng.normal(-5, 0.001, 500)])
+    df = spark.createDataFrame([(float(v), None) for v in x] + [(None, None)], "x double, y double")
+    marks = [0.0, 0.001, 0.25, 0.5, 0.777, 0.999, 1.0]
+    for few in (1, 50, 10_000):
+        got = exact_percentiles(df, ["x", "y"], marks, few)
+        assert got["x"] == pytest.approx(list(np.quantile(x, marks)), rel=1e-12) and got["y"] == [None] * len(marks)
+
+
 def test_histogram_holds_its_last_edge(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (10.0,), (10.1,), (-0.1,), (None,)], "x double")
     h = {r["bin"]: r["n"] for r in stats.histogram(df, "x", 0, 10, 5).collect()}
