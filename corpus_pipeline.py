@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import bpe, exact_dedup, jaccard, langid, mixing
-from skyloom.llm.common import durable
+from skyloom.llm.common import bound_batches, durable
 from skyloom.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; rejected ones go."""
+    bound_batches(spark)
     return langid.accepted(docs)
 
 
@@ -26,6 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id."""
+    bound_batches(spark)
     return jaccard.drop_near_copies(docs)
 
 
@@ -36,6 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the text that they decode to."""
+    bound_batches(spark)
     return bpe.round_trip(docs.select("doc_id", "source", "text"), vocabulary()).select(
         "doc_id",
         "source",

@@ -32,5 +32,13 @@ def small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows at most: texts are long, and a batch is held whole by the executor and by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,11 +8,11 @@ with the same subset of c shingles share c, so whether two of them link follows
 linking each to the smallest set of the subset connects whatever links: no list of pairs, no verification.
 
 *Heavy* sets go to inverted lists. Shingles are ordered from rare to frequent: an exact count over all sets
-(24 bits of the hash besides the bucket, so one shuffle of three bytes per shingle) finds the frequent ones,
+(24 bits of the hash besides the bucket, counted within tasks first, so one shuffle of three bytes per shingle) finds the frequent ones,
 at most MAX_FREQUENT of which are broadcast; the order decides the cost only, never the result. A set enters
-the lists of its first ``n - ceil(t n) + 1`` shingles. In a list each set is compared with one pivot; sets of
-one component need no further comparison, so a large group of copies costs one comparison per set. Pairs of a
-list whose sets are still in different components are then compared all, joined by list and size, if size and
+the lists of its first ``n - ceil(t n) + 1`` shingles. Each list has a pivot, and each set is compared with the
+pivot that most of its lists have; sets of one component need no further comparison, so a large group of
+copies costs one comparison per set. Other pivots and pairs of a list whose sets are still in different components are then compared all, joined by list and size, if size and
 position in the order allow a link. Comparison: parity sketches (n / 2 bits or more) give a safe bound first;
 only pairs that pass it fetch their sets.
 
@@ -44,6 +44,8 @@ MAX_FREQUENT = 1_000_000
 LEAST_FREQUENT = 8
 #: Cost of scanning one list entry, in enumerated subsets.
 SCAN_COST = 8
+#: Lists of shingles of this class (log2 of their count) or more are read in parts of about 2^(SPLIT_CLASS - 1) entries.
+SPLIT_CLASS = 14
 FLUSH = 1 << 20
 SEEN = 50_000
 
@@ -123,11 +125,15 @@ def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int, least: int) ->
         fresh, held, size = _Fresh(), [], 0
 
         def flush():
-            keys = np.sort(np.concatenate(held))
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
             bucket, first = np.unique(keys >> np.uint64(24), return_index=True)
             low = keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            parts = [low[i:j].tobytes() for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(parts, pa.binary())], names=["bucket", "low"])
+            parts, again = [], []
+            for i, j in zip(first, [*first[1:], len(keys)], strict=True):
+                more = np.flatnonzero(n[i:j] > 1)
+                parts.append(low[i:j].tobytes())
+                again.append(np.stack([more, n[i:j][more]], axis=1).astype("<u4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(parts, pa.binary()), pa.array(again, pa.binary())], names=["bucket", "low", "again"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
@@ -141,15 +147,23 @@ def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int, least: int) ->
             yield flush()
 
     def count(t: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, 3)
+        parts = t.column("low").to_pylist()
+        raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3)
         wide = np.zeros((len(raw), 4), np.uint8)
         wide[:, :3] = raw
-        low, n = np.unique(wide.view("<u4").ravel(), return_counts=True)
+        times = np.ones(len(raw))
+        at = 0
+        for part, again in zip(parts, t.column("again").to_pylist(), strict=True):
+            more = np.frombuffer(again, "<u4").reshape(-1, 2)
+            times[at + more[:, 0]] = more[:, 1]
+            at += len(part) // 3
+        low, where = np.unique(wide.view("<u4").ravel(), return_inverse=True)
+        n = np.bincount(where, times)
         on = n >= LEAST_FREQUENT
         key = low[on].astype(np.int64) | t.column("bucket")[0].as_py() << 24
         return pa.table({"key": key, "n": np.log2(n[on]).astype(np.int64)})
 
-    found = durable(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "bucket long, low binary").groupBy("bucket").applyInArrow(count, "key long, n long"))
+    found = durable(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "bucket long, low binary, again binary").groupBy("bucket").applyInArrow(count, "key long, n long"))
     by_class = {r["n"]: r["count"] for r in found.groupBy("n").count().collect()}
     lowest, total = 64, 0
     for c in sorted(by_class, reverse=True):
@@ -163,7 +177,8 @@ def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int, least: int) ->
 
 
 def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: int, keys: np.ndarray, kind: np.ndarray, shift: int) -> DataFrame:
-    """List entries: c (0: inverted list of a shingle; else subset size), token, sid, n, r (shingles from this one on)."""
+    """List entries: c (0: inverted list of a shingle; else subset size), token, part (over 0 in split lists), sid, n, r (shingles from this one on)."""
+    split = SPLIT_CLASS
     shared = docs.sparkSession.sparkContext.broadcast((keys, kind))
     heavy_from = needed(limit, num, den)
 
@@ -176,7 +191,7 @@ def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: i
             for c in range(least, n + 1):
                 gone = [list(x) for x in combinations(range(n), n - c)]
                 sums = every - h[np.array(gone, np.int64).reshape(len(gone), n - c)].sum(axis=1, dtype=np.uint64)
-                out.append((c, mix(sums ^ np.uint64(c)), np.zeros(len(gone), np.int64)))
+                out.append((c, mix(sums ^ np.uint64(c)), np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64)))
         if n >= heavy_from:
             own = s >> np.uint64(shift)
             rank = np.zeros(n, np.int8)
@@ -184,25 +199,27 @@ def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: i
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 rank = np.where(keys[at] == own, kind[at], 0)
             first = np.argsort(rank, kind="stable")[: n - least + 1]
-            out.append((0, s[first], n - np.arange(len(first))))
+            parts = np.where(rank[first] >= split, 1 << np.maximum(rank[first].astype(np.int64) - split + 1, 0), 0)
+            out.append((0, s[first], n - np.arange(len(first)), parts))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh, (keys, kind) = _Fresh(), shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 for s in shingle_sets(batch.column(0).slice(lo, 512), k):
                     if not len(s) or not fresh(sid := _sid(s)):
                         continue
-                    for c, token, r in of(s, keys, kind):
+                    for c, token, r, parts in of(s, keys, kind):
                         m = len(token)
-                        for col, x in zip(cols, (np.full(m, c, np.int32), token.view(np.int64), np.full(m, sid, np.int64), np.full(m, len(s), np.int32), r.astype(np.int32)), strict=True):
+                        part = np.where(parts > 0, 1 + sid % np.maximum(parts, 1), 0).astype(np.int32)
+                        for col, x in zip(cols, (np.full(m, c, np.int32), token.view(np.int64), part, np.full(m, sid, np.int64), np.full(m, len(s), np.int32), r.astype(np.int32)), strict=True):
                             col.append(x)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["c", "token", "sid", "n", "r"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["c", "token", "part", "sid", "n", "r"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "c int, token long, sid long, n int, r int")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "c int, token long, part int, sid long, n int, r int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,24 +288,30 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     limit = boundary(sizes, num, den)
     keys, kind, shift = frequent(docs, k, text_col, sum(sizes.values()), needed(limit, num, den))
     raw = entries(docs, k, text_col, num, den, limit, keys, kind, shift)
-    group = Window.partitionBy("c", "token")
-    lists = durable(raw.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("lo <> hi").drop("lo", "hi").distinct())
+    group = Window.partitionBy("c", "token", "part")
+    lists = raw.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("part > 0 OR lo <> hi")
+    lists = durable(lists.drop("lo", "hi", "part").distinct())
     # the smallest set of a subset, and of a list the set with the fewest rare shingles before it
-    by_subset = F.min(F.struct(F.col("n"), F.col("sid"))).over(group)
-    by_list = F.min(F.struct((F.col("n") - F.col("r")).alias("p"), F.col("sid"), F.col("n"), F.col("r"))).over(group)
-    subset = lists.where("c > 0").withColumn("s", by_subset).where(f"sid <> s.sid AND c * {den} >= {num} * (n + s.n - c)").select(F.col("s.sid").alias("a"), F.col("sid").alias("b"))
+    by_subset = lists.where("c > 0").groupBy("c", "token").agg(F.min(F.struct(F.col("n"), F.col("sid"))).alias("s"))
+    by_list = lists.where("c = 0").groupBy("c", "token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("p"), F.col("sid"), F.col("n"), F.col("r"))).alias("s"))
+    subset = lists.join(by_subset, ["c", "token"]).where(f"sid <> s.sid AND c * {den} >= {num} * (n + s.n - c)").select(F.col("s.sid").alias("a"), F.col("sid").alias("b"))
     may_link = f"least(r, r2) * {num + den} >= {num} * (n + n2)"
     ordered = [F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")]
-    star = lists.where("c = 0").withColumn("s", by_list).select("sid", "n", "r", F.col("s.sid").alias("sid2"), F.col("s.n").alias("n2"), F.col("s.r").alias("r2"))
-    star = durable(star.where(f"sid <> sid2 AND {may_link}").select(*ordered).distinct())
+    star = lists.join(by_list, ["c", "token"]).select("sid", "n", "r", F.col("s.sid").alias("sid2"), F.col("s.n").alias("n2"), F.col("s.r").alias("r2"))
+    star = durable(star.where(f"sid <> sid2 AND {may_link}").groupBy("sid", "sid2").agg(F.count("*").alias("lists")))
+    # each set's most frequent pivot comes first; its other pivots matter only while they are in other components
+    first = durable(star.groupBy("sid").agg(F.max_by("sid2", F.struct("lists", "sid2")).alias("sid2")).select(*ordered).distinct())
     check = lambda pairs: links(docs, described, pairs, k, id_col, text_col, num, den)
-    edges = durable(subset.union(check(star)).distinct())
+    edges = durable(subset.union(check(first)).distinct())
     comp = components(edges)
+    of = lambda x: comp.select(F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}"))
+    apart = star.select(*ordered).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
     # lists that still hold several components: pairs of different ones, by list and size
     open_ = lists.where("c = 0").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    of_list = Window.partitionBy("token")
-    open_ = durable(open_.withColumns({"lo": F.min("comp").over(of_list), "hi": F.max("comp").over(of_list)}).where("lo <> hi").select("token", "sid", "n", "r", "comp"))
+    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    open_ = durable(open_.join(mixed, "token", "left_semi").select("token", "sid", "n", "r", "comp"))
     width = lambda n: F.when(F.col(n) < 256, F.col(n)).otherwise(F.floor(F.log(F.col(n).cast("double")) * 64) - 98).cast("int")
     largest = F.floor((F.col("r") * (num + den)) / F.lit(float(num))) - F.col("n")
     big = (
@@ -297,7 +320,6 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
         .where("most >= least")
         .withColumn("size", F.explode(F.sequence(width("least"), width("most"))))
     )
-    cell = Window.partitionBy("token", "size")
     little = open_.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("comp").alias("comp2")).withColumn("size", width("n2"))
     # the component that most lists of the cell share (the least) needs no pairs of its own
     main = little.groupBy("token", "size").agg(F.min("comp2").alias("main"))
@@ -306,7 +328,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     big = big.join(main, ["token", "size"])
     minor = big.where("comp <> main").drop("main").join(little.drop("main"), ["token", "size"])
     major = big.where("comp = main").drop("main").join(little.where("comp2 <> main").drop("main"), ["token", "size"])
-    rest = minor.where(cond).select(*ordered).union(major.where(cond).select(*ordered)).distinct().join(star, ["a", "b"], "left_anti")
+    rest = minor.where(cond).select(*ordered).union(major.where(cond).select(*ordered)).union(apart).distinct().join(first, ["a", "b"], "left_anti")
     rest = durable(rest)
     if not rest.isEmpty():
         comp = components(edges.union(check(rest)))

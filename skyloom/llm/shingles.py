@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20
+SLICE = 256
 _rng = np.random.Generator(np.random.PCG64(20240117))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -88,7 +89,8 @@ def _per_text(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow column; null counts as empty."""
-    for h in _per_text([t or b"" for t in column.cast(pa.binary()).to_pylist()]):
+    slices = (column.slice(at, SLICE).cast(pa.binary()).to_pylist() for at in range(0, len(column), SLICE))
+    for h in (h for texts in slices for h in _per_text([t or b"" for t in texts])):
         n, width = len(h), min(k, len(h))
         if not n:
             yield np.zeros(0, np.uint64)

@@ -398,6 +398,8 @@ def test_boundary_does_not_change_groups(spark, monkeypatch):
     for limit in (10, 30):
         monkeypatch.setattr(jaccard, "boundary", lambda sizes, num, den, limit=limit: limit)
         assert sorted(map(tuple, jaccard.jaccard_groups(df, 3, 90, 100).collect())) == want
+    monkeypatch.setattr(jaccard, "SPLIT_CLASS", 3)
+    assert sorted(map(tuple, jaccard.jaccard_groups(df, 3, 90, 100).collect())) == want
     monkeypatch.setattr(jaccard, "MAX_FREQUENT", 5)
     assert sorted(map(tuple, jaccard.jaccard_groups(df, 3, 90, 100).collect())) == want
 
