@@ -129,30 +129,32 @@ z AS (SELECT sourceid, f, yy, yc, ys, cc - {k} * c * c AS cc, 1 - cc - {k} * s *
 spec AS (SELECT sourceid, f, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(yy * (cc * ss - cs * cs), 0) AS power FROM z)"""
 
 
-GRID = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: 0.05 + 0.02 * k)
+def grid():
+    """Sixty frequencies of a regular grid."""
+    return F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: 0.05 + 0.02 * k)
 
 
 @query(f"WITH {_ls(False)} SELECT sourceid, round(f, 4) + 0.0 AS f, round(power, 6) + 0.0 AS power FROM spec")
 def ls_power(spark, d):
-    return series.spectrum(detections(spark, d), GRID).select("sourceid", r("f", 4).alias("f"), r("power").alias("power"))
+    return series.spectrum(detections(spark, d), grid()).select("sourceid", r("f", 4).alias("f"), r("power").alias("power"))
 
 
 @query(f"WITH {_ls(True)} SELECT sourceid, round(max(power), 5) + 0.0 AS max_power, round(avg(power), 5) + 0.0 AS mean_power FROM spec GROUP BY 1")
 def window_power(spark, d):
-    s = series.spectrum(detections(spark, d), GRID, window=True)
+    s = series.spectrum(detections(spark, d), grid(), window=True)
     return s.groupBy("sourceid").agg(r(F.max("power"), 5).alias("max_power"), r(F.avg("power"), 5).alias("mean_power"))
 
 
 @query(f"WITH {_ls(False)} SELECT sourceid, round(abs(max(power) - avg(power)) / nullif(stddev_pop(power), 0), 4) + 0.0 AS significance, round(1 / max_by(f, power), 4) + 0.0 AS best_period FROM spec GROUP BY 1")
 def power_stats(spark, d):
-    s = series.spectrum(detections(spark, d), GRID)
+    s = series.spectrum(detections(spark, d), grid())
     return s.groupBy("sourceid").agg(r(expr.ratio(F.abs(F.max("power") - F.avg("power")), F.stddev_pop("power")), 4).alias("significance"), r(1 / F.max_by("f", "power"), 4).alias("best_period"))
 
 
 @query(f"""WITH {_ls(False)}, l AS (SELECT *, lag(power) OVER o AS a, lead(power) OVER o AS b FROM spec WINDOW o AS (PARTITION BY sourceid ORDER BY f))
 SELECT sourceid, round(f, 4) + 0.0 AS f, peak FROM (SELECT sourceid, f, row_number() OVER (PARTITION BY sourceid ORDER BY power DESC, f) AS peak FROM l WHERE power > a AND power > b) WHERE peak <= 5""")
 def ls_peaks_topn(spark, d):
-    p = series.peaks(series.spectrum(detections(spark, d), GRID), 5)
+    p = series.peaks(series.spectrum(detections(spark, d), grid()), 5)
     return p.select("sourceid", r("f", 4).alias("f"), F.col("peak").cast("long").alias("peak"))
 
 

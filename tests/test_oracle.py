@@ -43,3 +43,11 @@ def test_entry_imports():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 50)"], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert said.stdout.strip().endswith("True"), said.stderr
