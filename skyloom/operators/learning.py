@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -61,35 +62,96 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, label)
 
 
-def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5, sample_rows: int = 5000) -> DataFrame:
+#: Numbers that one block of incomplete rows holds, and rows of one comparison.
+BLOCK_CELLS = 1 << 18
+ASKED, HELD = 256, 4096
+
+
+def _distances(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Squared distances over the features that both rows have, scaled to all; infinite without any."""
+    total, n = np.zeros((len(x), len(d))), np.zeros((len(x), len(d)))
+    for a, b in zip(x.T, d.T, strict=True):
+        gap = a[:, None] - b
+        known = ~np.isnan(gap)
+        total += np.where(known, gap * gap, 0)
+        n += known
+    return np.where(n > 0, total * x.shape[1] / np.maximum(n, 1), np.inf)
+
+
+def _least(k: int, row: np.ndarray, *order: np.ndarray) -> list[np.ndarray]:
+    """Row, distance, tie and value of each row's k first entries by distance, tie and value."""
+    at = np.lexsort((*order[::-1], row))
+    row = row[at]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return [row[keep], *(c[at][keep] for c in order)]
+
+
+def _nearest_donors(x: np.ndarray, held: Iterator[pa.RecordBatch], k: int) -> dict[int, list[np.ndarray]]:
+    """By feature: row of ``x`` that misses it, distance, tie and value of its k nearest donors among ``held`` (tie, d)."""
+    missing = {j: np.flatnonzero(np.isnan(x[:, j])) for j in np.flatnonzero(np.isnan(x).any(axis=0)).tolist()}
+    found = {j: [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)] for j in missing}
+    for whole in held:
+        for lo in range(0, whole.num_rows, HELD):
+            batch = whole.slice(lo, HELD)
+            tie = batch.column("tie").to_numpy()
+            d = batch.column("d").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(tie), -1)
+            new = {j: [found[j]] for j in missing}
+            for first in range(0, len(x), ASKED):
+                dist = _distances(x[first : first + ASKED], d)
+                for j, rows in missing.items():
+                    own, able = rows[(rows >= first) & (rows < first + ASKED)], np.flatnonzero(~np.isnan(d[:, j]))
+                    if len(own) and len(able):
+                        part = dist[np.ix_(own - first, able)]
+                        last = np.partition(part, min(k, len(able)) - 1, axis=1)[:, min(k, len(able)) - 1]
+                        q, p = np.nonzero((part <= last[:, None]) & np.isfinite(part))
+                        new[j].append(_least(k, own[q], part[q, p], tie[able[p]], d[able[p], j]))
+            found = {j: _least(k, *map(np.concatenate, zip(*parts, strict=True))) for j, parts in new.items()}
+    return found
+
+
+def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5) -> DataFrame:
     """Nulls of the features filled with the mean of the k nearest rows that have them.
 
-    Distance uses the features that both rows have, scaled to all. Donors are a bounded sample of ``sample_rows`` rows (smallest hashes of id).
+    Distance uses the features that both rows have, scaled to all. Every row is a donor; equal distances go to the smallest hash of id.
+    Distinct rows with nulls visit the driver in blocks of BLOCK_CELLS numbers; each block meets all donors once, where they lie.
     """
     rows = df.select(id_col, *[finite(c).alias(c) for c in features])
-    donors = np.array(rows.orderBy(F.xxhash64(id_col)).limit(sample_rows).drop(id_col).toPandas(), float)
-    shared = df.sparkSession.sparkContext.broadcast(donors)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = shared.value
-        there = ~np.isnan(d)
-        base = np.where(there, d, 0)
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            for row in x:
-                miss = np.isnan(row)
-                if miss.any() and not miss.all() and len(d):
-                    both = there[:, ~miss]
-                    gap = np.where(both, base[:, ~miss] - row[~miss], 0)
-                    n = both.sum(axis=1)
-                    dist = np.where(n > 0, (gap * gap).sum(axis=1) * len(row) / np.maximum(n, 1), np.inf)
-                    for j in np.flatnonzero(miss):
-                        able = np.flatnonzero(there[:, j] & np.isfinite(dist))
-                        if len(able):
-                            row[j] = d[able[np.argsort(dist[able], kind="stable")[:k]], j].mean()
-            yield pdf.assign(**{c: x[:, i] for i, c in enumerate(features)})
-
-    return rows.mapInPandas(fill, rows.schema)
+    known = F.greatest(*[F.col(c).isNotNull() for c in features])
+    open_ = F.greatest(*[F.col(c).isNull() for c in features]) & known
+    vector = F.array(*features)
+    held = rows.where(known).select(F.xxhash64(id_col).alias("tie"), vector.alias("d"))
+    block, blocks = [], []
+    size = max(1, BLOCK_CELLS // len(features))
+    for r in rows.where(open_).select(vector.alias("x")).distinct().toLocalIterator():
+        block.append(r["x"])
+        if len(block) == size:
+            blocks.append(np.array(block, float))
+            block = []
+    if block:
+        blocks.append(np.array(block, float))
+    if not blocks:
+        return rows
+
+    def against(x: np.ndarray) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(x)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = shared.value
+            for j, (row, *near) in _nearest_donors(x, batches, k).items():
+                for lo in range(0, len(row), HELD):
+                    own = row[lo : lo + HELD]
+                    names = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1], pa.array(x[own].ravel(), from_pandas=True))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(own), j, np.int32)), *(pa.array(c[lo : lo + HELD]) for c in near)], names=["x", "j", "dist", "tie", "v"])
+
+        return held.mapInArrow(run, "x array<double>, j int, dist double, tie long, v double")
+
+    near = reduce(DataFrame.unionAll, map(against, blocks))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "tie", "v"))), 1, k)
+    mean = lambda b: F.aggregate(b, F.lit(0.0), lambda a, s: a + s["v"]) / F.size(b)
+    filled = near.groupBy("x", "j").agg(best.alias("b")).groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("j", mean(F.col("b"))))).alias("_f"))
+    out = rows.where(open_).withColumn("_x", vector).join(filled, F.col("_x") == F.col("x"), "left")
+    out = out.select(id_col, *[F.coalesce(c, F.try_element_at("_f", F.lit(j))).alias(c) for j, c in enumerate(features)])
+    return rows.where(~open_).unionAll(out)
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:

@@ -141,6 +141,29 @@ def test_knn_imputer_fills_from_neighbours(spark):
     assert got[20]["b"] == pytest.approx(10.0) and math.isnan(got[21]["b"] if got[21]["b"] is not None else float("nan"))
 
 
+def test_knn_imputer_takes_every_row_as_donor(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n, k = 6500, 3
+    x = rng.normal(0, 1, (n, 3))
+    x[rng.random((n, 3)) < 0.01] = np.nan
+    x[:4] = [[np.nan, 1.0, 2.0]] * 3 + [[np.nan] * 3]
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
+    want = x.copy()
+    for i in np.flatnonzero(np.isnan(x).any(axis=1) & ~np.isnan(x).all(axis=1)):
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        m = both.sum(axis=1)
+        dist = np.where(m > 0, np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) / np.maximum(m, 1), np.inf)
+        for j in np.flatnonzero(np.isnan(x[i])):
+            able = np.flatnonzero(~np.isnan(x[:, j]) & np.isfinite(dist))
+            want[i, j] = x[able[np.argsort(dist[able], kind="stable")[:k]], j].mean()
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(5)
+    for cells in (1 << 18, 200):
+        monkeypatch.setattr(learning, "BLOCK_CELLS", cells)
+        out = {r["id"]: r for r in learning.knn_impute(df, ["a", "b", "c"], "id", k).collect()}
+        got = np.array([[np.nan if out[i][c] is None else out[i][c] for c in "abc"] for i in range(n)])
+        assert len(out) == n and np.allclose(got, want, rtol=1e-12, atol=1e-12, equal_nan=True)
+
+
 def test_forest_learns(spark):
     rng = np.random.default_rng(6)
     rows = [(k, "VAR" if k % 3 else "CONST", float((k % 3 > 0) * 2 + rng.normal()), float(rng.normal())) for k in range(300)]
