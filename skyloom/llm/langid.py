@@ -94,8 +94,9 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, clusters: int = 4, rounds: int = 12, slack: float = 0.3) -> Model:
     """A model from the rows of ``labelled``; per_lang bounds the sample."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    # copies don't count: the share is one of distinct texts with letters
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return Model(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2 * per_lang / n))])

@@ -69,6 +69,17 @@ def test_language_edge_cases(spark, sf_dir):
     assert langid.accepted(df.limit(0)).count() == 0
 
 
+def test_copies_leave_a_language_its_sample(spark):
+    copies = spark.range(20_000).select(F.lit("xx").alias("lang"), F.lit("zzot qirr vex olluk zzot").alias("text"))
+    words = [(lang, f"{a} {b} {a}{b} {c}") for lang, v in (("xx", ("zzot", "qirr", "vex", "olluk")), ("en", ("the", "and", "house", "water"))) for a in v for b in v for c in v]
+    blank = spark.range(20_000).select(F.lit("xx").alias("lang"), F.concat(F.lit("-- "), F.col("id").cast("string")).alias("text"))
+    rows = copies.union(blank).union(spark.createDataFrame(words, "lang string, text string"))
+    model = langid.fit(rows)
+    assert model.langs == ["en"] * 4 + ["xx"] * 4
+    said = langid.predict(spark.createDataFrame(words, "lang string, text string"), model).select("lang", "language.*").collect()
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in said)
+
+
 # --- encoding
 
 
