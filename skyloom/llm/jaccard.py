@@ -283,6 +283,11 @@ def links(docs: DataFrame, described: DataFrame, pairs: DataFrame, k: int, id_co
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id that links reach, its own included)."""
+    return named_groups(docs, k, num, den, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def named_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: id, sid (its set, null without shingles or id), n, component_id."""
     described = durable(describe(docs, k, id_col, text_col))
     sizes = {r["n"]: r["count"] for r in described.where("n > 0").groupBy("n").count().collect()}
     limit = boundary(sizes, num, den)
@@ -334,10 +339,28 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
         comp = components(edges.union(check(rest)))
     named = described.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("component_id"))
-    return named.join(least, "comp", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return named.join(least, "comp", "left").select("id", "sid", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: of each group the one with the least id."""
-    lost = durable(jaccard_groups(docs, k, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
-    return docs.join(small(lost, 16), F.col(id_col) == F.col("_id"), "left_anti")
+    """The rows of ``docs`` that stay, with their columns: of each group one with the least id.
+
+    Rows of an id that occurs once are known by it, others by id and digest of the text.
+    """
+    found = durable(named_groups(docs, k, num, den, id_col, text_col).select("id", "sid", "component_id"))
+    again = durable(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")))
+    lost = durable(found.where("id <> component_id").select(F.col("id").alias("_id")).join(small(again, 16), "_id", "left_anti").distinct())
+    own = lambda names: F.col(id_col) == names["_id"]
+    if again.isEmpty():
+        return docs.join(small(lost, 16), own(lost), "left_anti")
+    once = docs.join(small(again, 16), own(again), "left_anti").join(small(lost, 16), own(lost), "left_anti")
+    digest = F.sha2(F.col(text_col).cast("string"), 256)
+    twice = docs.join(small(again, 16), own(again), "left_semi").withColumn("_digest", digest)
+    keys = describe(twice.withColumn("_key", F.struct(F.col(id_col).alias("id"), "_digest")), k, "_key", text_col).where("sid IS NOT NULL").select("id.*", "sid").distinct()
+    keys = keys.join(found.select("id", "sid", "component_id").distinct(), ["id", "sid"])
+    first = Window.partitionBy("component_id", "id").orderBy("_digest")
+    keys = durable(keys.select(F.col("id").alias("_id"), F.col("_digest").alias("_text"), ((F.col("id") == F.col("component_id")) & (F.row_number().over(first) == 1)).alias("kept")))
+    key = (F.col(id_col) == F.col("_id")) & (F.col("_digest") == F.col("_text"))
+    plain = twice.join(small(keys, 100), key, "left_anti")
+    elected = twice.join(small(keys.where("kept"), 100), key, "left_semi").dropDuplicates([id_col, "_digest"])
+    return once.unionByName(plain.unionByName(elected).drop("_digest"))

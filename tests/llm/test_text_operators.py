@@ -424,6 +424,16 @@ def test_near_copies_go_once(spark):
     assert ordered(jaccard.jaccard_groups(nulls).collect()) == ordered([(None, 1, None), (1, 1, 1), (1, 1, 1), (2, 1, 2)])
 
 
+def test_near_copies_of_repeated_ids_go_by_row(spark):
+    near, other = "a b c d e f g", "other words are here now then"
+    rows = [(3, near), (5, near), (5, other), (1, "p q r s t u"), (1, "P q r s t u"), (1, "P q r s t u"), (2, "p q r s t u"), (6, "x"), (6, "x"), (None, near), (7, None), (7, other.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = jaccard.drop_near_copies(df)
+    assert left.columns == df.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in left.collect())
+    assert got == sorted([(0, near), (1, "p q r s t u"), (3, near), (5, other), (6, "x"), (7, "")])
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     import pyarrow as pa
 
