@@ -33,20 +33,30 @@ class Settings:
     oversampling: int = 5
 
 
+#: The survey's limits; each source's grid follows from its baseline, in steps of 1 / (oversampling * span).
+SURVEY = Settings(f_min=0.00066667, f_max=20.0, terms_max=10, terms_min=4, poly=3)
+
+
+#: Cells of one frequency x detection matrix.
+CELLS = 1 << 20
+
+
 def power(t: np.ndarray, y: np.ndarray, e: np.ndarray, f: np.ndarray, window: bool = False) -> np.ndarray:
-    """Lomb-Scargle power at the frequencies (floating mean), or of the sampling alone."""
+    """Lomb-Scargle power at the frequencies (floating mean), or of the sampling alone; frequencies come in blocks of bounded size."""
     w = e**-2.0
     w = w / w.sum()
     y = np.ones_like(t) if window else y - (w * y).sum()
-    arg = 2 * np.pi * np.outer(f, t)
-    c, s = np.cos(arg), np.sin(arg)
-    keep = 0.0 if window else 1.0
-    C, S, YC, YS = c @ w, s @ w, c @ (w * y), s @ (w * y)
-    cc, cs = (c * c) @ w - keep * C * C, (c * s) @ w - keep * C * S
-    ss = 1 - (c * c) @ w - keep * S * S
-    det = (w * y * y).sum() * (cc * ss - cs * cs)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.nan_to_num((ss * YC**2 + cc * YS**2 - 2 * cs * YC * YS) / det, nan=0.0, posinf=0.0, neginf=0.0)
+    keep, total, size = 0.0 if window else 1.0, (w * y * y).sum(), max(1, CELLS // max(len(t), 1))
+    out = [np.zeros(0)]
+    for lo in range(0, len(f), size):
+        arg = 2 * np.pi * np.outer(f[lo : lo + size], t)
+        c, s = np.cos(arg), np.sin(arg)
+        C, S, YC, YS = c @ w, s @ w, c @ (w * y), s @ (w * y)
+        cc, cs = (c * c) @ w - keep * C * C, (c * s) @ w - keep * C * S
+        ss = 1 - (c * c) @ w - keep * S * S
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.nan_to_num((ss * YC**2 + cc * YS**2 - 2 * cs * YC * YS) / (total * (cc * ss - cs * cs)), nan=0.0, posinf=0.0, neginf=0.0))
+    return np.concatenate(out)
 
 
 def candidates(t: np.ndarray, y: np.ndarray, e: np.ndarray, s: Settings) -> tuple[float, float] | None:
@@ -216,7 +226,7 @@ SCHEMA = T.StructType(
 )
 
 
-def periodic_features(lc: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     """One row per source of ``lc`` (sourceid, t, mag, emag); sources that can't be fitted say so in ``error``."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -126,6 +126,25 @@ def test_period_is_recovered():
     assert fourier.features(np.ones(30), y[:30], np.ones(30), fourier.Settings())["error"] == "no frequency"
 
 
+def test_short_and_long_periods_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows, want = [], {1: (0.21, 30), 2: (90.0, 400)}
+    for k, (period, span) in want.items():
+        t = np.sort(rng.uniform(0, span, 200))
+        y = 3 + 0.5 * np.cos(2 * np.pi * t / period) + rng.normal(0, 0.02, 200)
+        rows += [(k, float(a), float(b), 0.02) for a, b in zip(t, y, strict=True)]
+    out = fourier.periodic_features(spark.createDataFrame(rows, "sourceid long, t double, mag double, emag double")).collect()
+    assert len(out) == 2
+    for row in out:
+        period, span = want[row["sourceid"]]
+        # the grid's step is 1 / (5 span)
+        assert row["error"] is None and abs(1 / row["ls_period"] - 1 / period) < 0.2 / span and 4 <= row["lsq_nterms"] <= 10
+    f, e = np.linspace(0.01, 3, 50), np.full(200, 0.02)
+    whole = fourier.power(t, y, e, f)
+    monkeypatch.setattr(fourier, "CELLS", 1000)
+    assert np.allclose(fourier.power(t, y, e, f), whole, rtol=1e-9)
+
+
 def test_yeo_johnson_finds_the_logarithm(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(np.expm1(v)),) for v in rng.normal(2, 0.5, 400)] + [(None,)], "x double")
