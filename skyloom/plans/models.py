@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from skyloom.operators import fourier, learning
+from skyloom.operators.storage import new_folder
 from skyloom.plans.registry import Registry, count, r
 from skyloom.plans.statistics import clean
 from skyloom.sources import files
@@ -18,14 +16,6 @@ query = Registry()
 FEATURES = [f"e{k}" for k in range(8)]
 
 
-def folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def vectors(spark, d, n: int = 8):
     return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(n)])
 
@@ -98,7 +88,7 @@ def log_metrics(spark, d):
 @query("SELECT l_returnflag, count(*) AS n, round(sum(CAST(l_quantity AS FLOAT)::DOUBLE), 2) + 0.0 AS quantity FROM lineitem GROUP BY 1")
 def csv_round_trip(spark, d):
     """Narrow columns through gzip CSV files and back; the second write finds the first and leaves it."""
-    path = folder(spark)
+    path = new_folder(spark)
     t = files.narrowed(table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"), {"l_quantity": "float"})
     files.write_csv(t, path)
     files.write_csv(t.limit(0), path)
@@ -108,12 +98,12 @@ def csv_round_trip(spark, d):
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def chunked_append(spark, d):
-    path, c = folder(spark), table(spark, d, "customer")
+    path, c = new_folder(spark), table(spark, d, "customer")
     files.append_parts([c.where(F.col("c_custkey") % 3 == k) for k in range(3)], path)
     return spark.read.parquet(path).groupBy("c_mktsegment").agg(count().alias("n"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
-    out = stream.run_once(stream.window_counts(stream.event_stream(spark, d)), folder(spark))
+    out = stream.run_once(stream.window_counts(stream.event_stream(spark, d)), new_folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r("mean").alias("mean"))
