@@ -2,134 +2,121 @@
 
 Every source is one stream of words (documents by hashed bucket, then id), cut into blocks. Output shards draw
 the source of each of their slots, which makes multinomial counts per shard; a source's slots are numbered
-across shards, and slot j reads block ``p(j mod blocks)`` of pass ``j div blocks``, where p permutes the
-source's block numbers pseudorandomly for each pass. So a source is read whole before any block of it repeats.
+across shards, and slot j reads block ``p(j mod blocks)`` of pass ``j div blocks``, where p is a keyed pseudorandom
+permutation of the source's block numbers (swap-or-not rounds, another key for each pass). So a source is read whole before any block of it repeats.
 A source that the draws would take beyond its quota leaves its last slots to those that fell short, so every
 source gets its quota of blocks exactly. Blocks are joined by number.
 
-Offsets come from sums per bucket, so no task holds a source; only the table of sources (MAX_SOURCES rows at
-most, else an error) visits the driver. Everything is hashed or computed, so reruns agree.
+Offsets come from sums per bucket, so no task holds a source; the table of sources stays a table, whose targets
+are found by a few aggregates. Everything is hashed or computed, so reruns agree.
 
-Defined results: a null text has size 0 and is never taken; the null source is a source of its own, last in
-order; equal rows are mixed each; an empty table gives no rows; columns besides id, source and text pass
-through ``mixed_documents`` unchanged.
+Defined results: a null or empty text has size 0 and is never taken; the null source is a source of its own, last in
+order; repeated rows are mixed each; ties in the order of a stream go to the smaller id, then hash; very long texts are
+split into words in one task each, where a pass takes them in part; an empty table gives no rows; columns besides id, source and text pass
+through ``mixed_documents`` unchanged, whatever their names are.
 """
 
 from __future__ import annotations
 
-import math
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import durable
+from skyloom.llm.common import durable, small
+from skyloom.operators.ordering import numbered, running_total
 
-MAX_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 SLOTS_PER_SHARD = 1 << 16
+#: Rounds of the permutation.
+ROUNDS = 24
+#: Runs that an order is cut into, so that ranges meet by equal numbers.
+CELLS = 4096
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple[float, ...], share: float, most: float) -> list[float]:
-    """Words to take of each source: by weight, none above ``most`` times its size, the excess dealt again by weight."""
-    weight = [weights[k % len(weights)] for k in range(len(sizes))]
-    full: set[int] = set()
+def with_targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``sources`` (s, source_size) with target: words by weight, none above ``most`` times its size, the excess dealt again by weight.
+
+    The level, words per weight, rises until no further source is full; each round is one aggregate.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", weight)
+    bound = F.lit(float(most)) * F.col("source_size")
+    level, before = 0.0, -1
     while True:
-        rest = share * sum(sizes) - sum(most * sizes[k] for k in full)
-        total = sum(w for k, w in enumerate(weight) if k not in full)
-        out = [most * n if k in full else rest * weight[k] / total for k, n in enumerate(sizes)]
-        over = {k for k, n in enumerate(sizes) if k not in full and out[k] > most * n}
-        if not over:
-            return [float(x) for x in out]
-        full |= over
+        full = bound < F.col("weight") * level
+        r = rows.agg(F.sum("source_size").alias("size"), F.count_if(full).alias("n"), F.sum(F.when(full, bound)).alias("used"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if r["n"] == before or not r["open"]:
+            break
+        before, level = r["n"], (share * r["size"] - (r["used"] or 0.0)) / r["open"]
+    return rows.withColumn("target", F.least(bound, F.col("weight") * level)).drop("weight")
+
 
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """Where a keyed pseudorandom permutation of 0 .. n - 1 puts x, for any n: each round pairs every number with one other and swaps a random half of the pairs."""
 
-def _table(docs: DataFrame, rows: list[dict], kinds: dict[str, str]) -> DataFrame:
-    """A small literal table."""
-    cells = [F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in kinds.items()]) for r in rows]
-    return docs.sparkSession.range(1).select(F.inline(F.array(*cells) if cells else F.array().cast("array<struct<" + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">>")))
+    def swap(at: Column, i: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(1), i, *key), n) - at, n)
+        return F.when(F.pmod(F.xxhash64(F.lit(2), i, F.greatest(at, other), *key), F.lit(2)) == 1, other).otherwise(at)
 
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swap)
 
-def _search(u: Column, bounds: list[float], lo: int, hi: int) -> Column:
-    """Index of the interval that holds u, by nested comparisons."""
-    if hi - lo == 1:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(u < bounds[mid], _search(u, bounds, lo, mid)).otherwise(_search(u, bounds, mid, hi))
+
+def _cells(lo: str, hi: str, width: int) -> Column:
+    """The runs of ``width`` numbers that a range meets."""
+    return F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width)))
 
 
 class Mix:
-    """The plan of a mixture: ``rows`` (documents with offsets), ``slots`` (blocks of the output), ``pieces`` (document parts of blocks)."""
+    """The plan of a mixture: ``sources``, ``rows`` (documents with offsets), ``slots`` (blocks of the output), ``pieces`` (document parts of blocks)."""
 
     def __init__(self, docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[float, ...], share: float, most: float, block: int, seed: int):
         self.block = block
-        text = F.col(text_col).cast("string")
-        sized = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("hash"), word_count(text).alias("size")))
-        found = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        names = sorted((s for s in found if s is not None), key=lambda s: s.encode()) + [None] * (None in found)
-        sizes = [found[s] for s in names]
-        want = targets(sizes, weights, share, most) if names else []
-        blocks = [-(-n // block) for n in sizes]
-        quota = [round(t * b / n) if n else 0 for t, b, n in zip(want, blocks, sizes, strict=True)]
-        kinds = {"source": "string", "s": "int", "source_size": "long", "target": "double"}
-        table = _table(docs, [{"source": x, "s": k, "source_size": sizes[k], "target": want[k]} for k, x in enumerate(names)], kinds)
+        sized = durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), row_hash(source_col, text_col).alias("hash"), word_count(F.col(text_col).cast("string")).alias("size")))
+        found = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").asc_nulls_last(), name="s")
+        blocks = F.ceil(F.col("source_size") / block)
+        quota = F.coalesce(F.round(F.try_divide(F.col("target") * blocks, F.col("source_size"))), F.lit(0)).cast("long")
+        self.sources = durable(with_targets(found, weights, share, most).withColumns({"blocks": blocks.cast("long"), "quota": quota}))
+        names = self.sources.select(F.col("source").alias("name"), "s", "source_size", "target")
         of = Window.partitionBy("s", "bucket")
         rows = sized.withColumn("bucket", F.pmod(F.xxhash64("id", "hash"), F.lit(BUCKETS)).cast("int"))
-        rows = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.source)).drop("source")
+        rows = rows.join(small(names, 64 + F.coalesce(F.octet_length("name"), F.lit(0))), rows.source.eqNullSafe(names.name)).drop("source", "name")
         base = rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
         base = base.select("s", "bucket", (F.sum("n").over(Window.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("base"))
         before = F.sum("size").over(of.orderBy("id", "hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
         self.rows = durable(rows.withColumn("before", before).join(base, ["s", "bucket"]).withColumn("offset", F.col("base") + F.col("before")).drop("base", "before", "bucket"))
-        self.slots = self._slots(docs, blocks, quota, seed)
+        self.slots = self._slots(docs, seed)
 
-    def _slots(self, docs: DataFrame, blocks: list[int], quota: list[int], seed: int) -> DataFrame:
+    def _slots(self, docs: DataFrame, seed: int) -> DataFrame:
         """s, block, pass, shard of every slot of the output."""
-        spark, total = docs.sparkSession, sum(quota)
-        bounds = [0.0]
-        for q in quota:
-            bounds.append(bounds[-1] + q / max(1, total))
-        u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-        drawn = [k for k, q in enumerate(quota) if q]
-        edges = [bounds[k] for k in drawn] + [1.0]
-        draw = _search(u, edges, 0, len(drawn)) if drawn else F.lit(0)
-        counts = spark.range(total).select((F.col("id") / SLOTS_PER_SHARD).cast("long").alias("shard"), draw.alias("d")).groupBy("shard", "d").agg(F.count("*").alias("n"))
-        counts = counts.select("shard", F.element_at(F.array(*[F.lit(k) for k in drawn or [0]]), F.col("d") + 1).alias("s"), "n")
+        plan = self.sources.select("s", "blocks", "quota")
+        total = plan.agg(F.sum("quota")).first()[0] or 0
+        ends = running_total(plan.where("quota > 0"), "s", "quota", "hi").withColumn("lo", F.col("hi") - F.col("quota"))
+        width = max(1, -(-total // CELLS))
+        ranges = ends.select("s", "lo", "hi", _cells("lo", "hi", width).alias("cell"))
+        draws = docs.sparkSession.range(total).select(F.expr(f"id div {SLOTS_PER_SHARD}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, total))).alias("v"))
+        draws = draws.withColumn("cell", F.floor(F.col("v") / width)).join(small(ranges, 48), "cell").where("v >= lo AND v < hi")
+        counts = draws.groupBy("shard", "s").agg(F.count("*").alias("n"))
         counts = durable(counts.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")))
-        got = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}
         # what overdrawn sources leave goes to those that fell short
-        lack, at = [], 0
-        for k, q in enumerate(quota):
-            if (n := q - got.get(k, 0)) > 0:
-                lack.append({"s": k, "lo": at, "hi": at + n, "have": got.get(k, 0)})
-                at += n
-        plan = _table(docs, [{"s": k, "blocks": blocks[k], "quota": q} for k, q in enumerate(quota)], {"s": "int", "blocks": "long", "quota": "long"})
-        drawn_rows = counts.join(F.broadcast(plan), "s").withColumn("used", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first"))))
-        taken = drawn_rows.where("used > 0").select("shard", "s", "first", F.col("used").alias("n"))
-        vacant = drawn_rows.where("used < n").groupBy("shard").agg(F.sum(F.col("n") - F.col("used")).alias("free"))
-        vacant = vacant.withColumn("v1", F.sum("free").over(Window.orderBy("shard"))).withColumn("v0", F.col("v1") - F.col("free"))
-        short = _table(docs, lack, {"s": "int", "lo": "long", "hi": "long", "have": "long"})
-        filled = vacant.join(F.broadcast(short), F.expr("v0 < hi AND lo < v1")).select(
-            "shard", "s", (F.col("have") + F.greatest("v0", "lo") - F.col("lo")).alias("first"), (F.least("v1", "hi") - F.greatest("v0", "lo")).alias("n")
-        )
-        rng = random.Random(seed)
-        steps = []
-        for k, b in enumerate(blocks):
-            for p in range(-(-quota[k] // b) if b else 0):
-                top = max(1, min(b, (1 << 62) // b))
-                a = next(x for x in iter(lambda: rng.randrange(max(1, top // 3), top + 1), None) if math.gcd(x, b) == 1)
-                steps.append({"s": k, "pass": p, "a": a, "b": rng.randrange(b), "blocks": b})
-        order = _table(docs, steps, {"s": "int", "pass": "long", "a": "long", "b": "long", "blocks": "long"})
+        got = counts.groupBy("s").agg(F.sum("n").alias("got"))
+        short = plan.join(got, "s", "left").withColumn("have", F.coalesce("got", F.lit(0))).withColumn("need", F.col("quota") - F.col("have")).where("need > 0")
+        short = durable(running_total(short.select("s", "have", "need"), "s", "need", "hi").withColumn("lo", F.col("hi") - F.col("need")))
+        drawn = counts.join(small(plan, 32), "s").withColumn("used", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("first"))))
+        taken = drawn.where("used > 0").select("shard", "s", "first", F.col("used").alias("n"))
+        vacant = drawn.where("used < n").groupBy("shard").agg(F.sum(F.col("n") - F.col("used")).alias("free"))
+        vacant = durable(running_total(vacant, "shard", "free", "v1").withColumn("v0", F.col("v1") - F.col("free")))
+        width = max(1, -(-(vacant.agg(F.max("v1")).first()[0] or 0) // CELLS))
+        wanted = short.withColumn("cell", _cells("lo", "hi", width))
+        offered = vacant.withColumn("cell", _cells("v0", "v1", width))
+        met = offered.join(small(wanted, 56), "cell").where(f"v0 < hi AND lo < v1 AND floor(greatest(v0, lo) / {width}) = cell")
+        filled = met.select("shard", "s", (F.col("have") + F.greatest("v0", "lo") - F.col("lo")).alias("first"), (F.least("v1", "hi") - F.greatest("v0", "lo")).alias("n"))
         each = taken.unionByName(filled).select("shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-        each = each.join(F.broadcast(plan), "s").withColumn("pass", F.expr("j div blocks")).drop("quota", "blocks")
-        each = each.join(F.broadcast(order), ["s", "pass"])
-        return each.select("s", ((F.col("a") * (F.col("j") % F.col("blocks")) + F.col("b")) % F.col("blocks")).alias("block"), "pass", "shard")
+        each = each.join(small(plan, 32), "s").withColumn("pass", F.expr("j div blocks"))
+        return each.select("s", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("s"), F.col("pass")).alias("block"), "pass", "shard")
 
     def pieces(self) -> DataFrame:
         """s, offset, size, block, start, words: parts of documents that lie in one block."""
@@ -139,6 +126,11 @@ class Mix:
         return cut.select("s", "offset", "size", "block", (start - F.col("offset")).alias("start"), (F.least(end, (F.col("block") + 1) * self.block) - start).alias("words"))
 
 
+def row_hash(source_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(source_col).cast("string"), F.lit("/"), F.col(text_col).cast("string"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17) -> Mix:
     return Mix(docs, id_col, source_col, text_col, weights, share, most, block, seed)
 
@@ -154,23 +146,35 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", source_col: str = "source", **options) -> DataFrame:
     """The mixture as documents: a row per document and pass with the words that this pass takes, columns as in ``docs``.
 
-    A document that a pass takes whole keeps its text; of one taken in part the words are joined by a space.
+    A document that a pass takes whole keeps its text; of one taken in part the words are joined by a space. Each text
+    travels once to its parts and is split into words once.
     """
-    m = mix(docs, id_col, text_col=text_col, **options)
-    drawn = m.pieces().join(m.slots.drop("shard").hint("merge"), ["s", "block"]).groupBy("s", "offset", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("got"))
-    same = Window.partitionBy("id", "hash").orderBy("offset")
-    keyed = m.rows.where("size > 0").withColumn("copy", F.row_number().over(same)).select("id", "hash", "copy", "s", "offset")
-    drawn = drawn.join(keyed.hint("merge"), ["s", "offset"]).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("copy").alias("_copy"), "parts", F.col("got").alias("_got"), F.col("size").alias("_size"))
-    full = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    full = full.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(F.lit(0))))
-    joined = full.join(drawn.hint("merge"), full[id_col].eqNullSafe(drawn["_id"]) & (full["_hash"] == drawn["_hash"]) & (full["_copy"] == drawn["_copy"]))
-    every = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    whole = F.col("_got") == F.col("_size")
-    joined = joined.withColumn("_words", F.when(~whole, every)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
-    if length_col in docs.columns:
-        joined = joined.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return joined.select(docs.columns)
+    m = mix(docs, id_col, source_col, text_col, **options)
+    part = F.struct("pass", "start", "words")
+    drawn = m.pieces().join(m.slots.drop("shard").hint("merge"), ["s", "block"]).groupBy("s", "offset").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    same = Window.partitionBy("id", "hash")
+    keyed = m.rows.where("size > 0").withColumn("copy", F.row_number().over(same.orderBy("offset"))).select("id", "hash", "copy", "s", "offset", "size")
+    drawn = drawn.join(keyed.hint("merge"), ["s", "offset"]).drop("s", "offset")
+    full = docs.select(F.col(id_col).alias("id"), row_hash(source_col, text_col).alias("hash"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # copies of a row are numbered; of most rows there is one
+    twice = durable(m.rows.groupBy("id", "hash").count().where("count > 1").select(F.col("id").alias("id2"), F.col("hash").alias("hash2")))
+    if twice.isEmpty():
+        full = full.withColumn("copy", F.lit(1))
+    else:
+        met = F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2"))
+        again = full.join(small(twice, 24), met, "left_semi").withColumn("copy", F.row_number().over(same.orderBy(F.lit(0))))
+        full = full.join(small(twice, 24), met, "left_anti").withColumn("copy", F.lit(1)).unionByName(again)
+    drawn = drawn.withColumnsRenamed({"id": "id2", "hash": "hash2", "copy": "copy2"})
+    joined = full.join(drawn.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("hash") == F.col("hash2")) & (F.col("copy") == F.col("copy2")))
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    of_pass = F.transform(F.array_distinct(F.transform("parts", lambda p: p["pass"])), lambda q: F.filter("parts", lambda p: p["pass"] == q))
+    takes = joined.select("row", "text", "size", of_pass.alias("takes"))
+    in_part = F.exists("takes", lambda parts: total(parts) < F.col("size"))
+    each = takes.withColumn("words", F.when(in_part, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).select("row", "text", "size", "words", F.explode("takes").alias("take"))
+    cut = F.array_join(F.flatten(F.transform("take", lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    taken = each.select("row", F.when(total(F.col("take")) == F.col("size"), F.col("text")).otherwise(cut).alias("taken"))
+    value = {text_col: F.col("taken"), length_col: F.length("taken")}
+    return taken.select([value.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -240,10 +240,39 @@ def test_exact_dedup_edge_cases(spark):
 # --- mixing
 
 
-def test_targets_are_filled_by_weight():
-    assert mixing.targets([100, 100, 100], (5, 2, 1), 1.5, 2.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.targets([0, 10], (5, 2, 1), 1.5, 2.0) == [0.0, 15.0]
-    assert sum(mixing.targets([5, 1000, 3, 70], (5, 2, 1), 1.5, 2.0)) == pytest.approx(1.5 * 1078)
+def plain_targets(sizes, weights, share, most):
+    """Words of each source by weight; those that would be more than full are, and the rest is dealt again."""
+    weight = [weights[k % len(weights)] for k in range(len(sizes))]
+    full = set()
+    while True:
+        level = (share * sum(sizes) - sum(most * sizes[k] for k in full)) / max(1, sum(w for k, w in enumerate(weight) if k not in full))
+        over = {k for k, n in enumerate(sizes) if k not in full and level * weight[k] > most * n}
+        if not over:
+            return [most * n if k in full else level * weight[k] for k, n in enumerate(sizes)]
+        full |= over
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [0, 10], [5, 1000, 3, 70], [0, 0], [7]])
+def test_targets_are_filled_by_weight(spark, sizes):
+    df = spark.createDataFrame(list(enumerate(sizes)), "s long, source_size long")
+    got = [r["target"] for r in mixing.with_targets(df, (5, 2, 1), 1.5, 2.0).orderBy("s").collect()]
+    assert got == pytest.approx(plain_targets(sizes, (5, 2, 1), 1.5, 2.0)) and sum(got) == pytest.approx(1.5 * sum(sizes))
+    assert sizes != [100, 100, 100] or got == pytest.approx([200, 500 / 3, 250 / 3])
+
+
+def test_permutations_are_such_and_look_random(spark):
+    n = F.lit(1000).cast("long")
+    rows = spark.range(1000).select([mixing.permuted(F.col("id"), n, F.lit(17), F.lit(p)).alias(f"p{p}") for p in range(2)]).collect()
+    for k in range(2):
+        p = [r[k] for r in rows]
+        assert sorted(p) == list(range(1000))
+        # neighbours lie neither side by side nor at one distance
+        steps = collections.Counter((b - a) % 1000 for a, b in zip(p, p[1:], strict=False))
+        assert max(steps.values()) < 12 and abs(np.corrcoef(range(1000), p)[0, 1]) < 0.15
+    assert sum(a == b for a, b in rows) < 12
+    for size in (1, 2, 3, 7):
+        got = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(3)).alias("p")).collect()
+        assert sorted(r["p"] for r in got) == list(range(size))
 
 
 def test_mixture(spark, sf_dir, db):
@@ -259,7 +288,7 @@ def test_mixture(spark, sf_dir, db):
         taken[s] += r["taken"]
         target[s] = r["target"]
     assert len(rows) == len(size) and all(r["source_size"] == total[source[r["doc_id"]]] for r in rows)
-    want = mixing.targets([total[s] for s in sorted(total)], (5, 2, 1), 1.5, 2.0)
+    want = plain_targets([total[s] for s in sorted(total)], (5, 2, 1), 1.5, 2.0)
     assert [target[s] for s in sorted(total)] == pytest.approx(want)
     assert all(abs(taken[s] - target[s]) <= 2 * 64 for s in total)
 
@@ -277,6 +306,52 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert mixing.mixture(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_the_mix_is_that_of_reading_its_slots(spark, sf_dir):
+    """Word by word: each source's stream, cut into blocks; each slot reads one."""
+    block = 16
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = mixing.mix(docs, block=block)
+    stream, owner = collections.defaultdict(dict), collections.Counter()
+    for r in m.rows.collect():
+        for k in range(r["size"]):
+            assert stream[r["s"]].setdefault(r["offset"] + k, r["id"]) == r["id"]
+    assert all(sorted(v) == list(range(len(v))) for v in stream.values())
+    slots = [tuple(r) for r in m.slots.select("s", "block", "pass").collect()]
+    assert len(set(slots)) == len(slots)
+    plan = {r["s"]: r for r in m.sources.collect()}
+    assert collections.Counter(s for s, _, _ in slots) == {s: r["quota"] for s, r in plan.items() if r["quota"]}
+    for s, b, _ in slots:
+        for at in range(b * block, min((b + 1) * block, len(stream[s]))):
+            owner[stream[s][at]] += 1
+    got = {r["doc_id"]: r["taken"] for r in mixing.mixture(docs, block=block).collect()}
+    assert got == {r["id"]: owner[r["id"]] for r in m.rows.select("id").collect()}
+
+
+def test_shards_draw_their_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 100)
+    monkeypatch.setattr(mixing, "CELLS", 8)
+    df = docs_of(spark, [" ".join(["w"] * n) for n in (5000, 3000, 700, 40, 2500)])
+    m = mixing.mix(df, block=4)
+    counts = collections.defaultdict(collections.Counter)
+    for r in m.slots.collect():
+        counts[r["shard"]][r["s"]] += 1
+    total = sum(sum(c.values()) for c in counts.values())
+    assert all(sum(c.values()) == min(100, total - 100 * k) for k, c in counts.items())
+    largest = max(m.sources.collect(), key=lambda r: r["quota"])["s"]
+    assert len({c[largest] for c in counts.values()}) > 5  # counts vary like draws do
+
+
+def test_mixing_takes_any_column_names_and_repeated_rows(spark):
+    names = ["id", "hash", "copy", "s", "offset", "size", "parts", "row", "words", "take", "_hash", "bucket", "block", "pass"]
+    df = docs_of(spark, ["a b c d e f g h", "a b c d e f g h", None, "", "x " * 5000]).union(docs_of(spark, ["a b c d e f g h"], 1))
+    df = df.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    out = mixing.mixed_documents(df, block=4)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    rows = out.collect()
+    assert rows and all(r[n] == k for r in rows for k, n in enumerate(names))
+    assert ordered(rows) == ordered(mixing.mixed_documents(df, block=4).collect())
+
+
 def test_passes_permute_blocks(spark):
     df = docs_of(spark, [" ".join(["w"] * n) for n in (5000, 3000, 700, 40)])
     m = mixing.mix(df, block=8)
