@@ -2,38 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A broadcast side may hold this many bytes at most; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: later steps don't recompute it when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+from skyloom.operators.storage import BROADCAST_BYTES, Scratch, durable, shared_dir, small
 
-def small(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted size stays below BROADCAST_BYTES, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
+__all__ = ["BROADCAST_BYTES", "Scratch", "bound_batches", "durable", "shared_dir", "small", "table"]
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows at most: texts are long, and a batch is held whole by the executor and by its worker."""
+    """Arrow batches of ``rows`` rows at most in this session from now on: texts are long, and a batch is held whole by the executor and by its worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
