@@ -5,13 +5,14 @@ other characters is one space). Each language's training vectors are clustered b
 gets the language of the centroid with the largest cosine. A text is rejected if its cosine distance to that
 centroid exceeds the language's radius, which comes from the training distances, or if it has no letter.
 
-The classifier is fitted on a bounded sample: about ``per_lang`` distinct labelled texts of each language,
-those with the smallest hashes of their text. Only text and label are used. Prediction covers every row and
-whole texts, in pieces of bounded size.
+The classifier is fitted on a bounded sample: ``per_lang`` distinct labelled texts of each language (all where there are
+fewer; less where ``sample_rows`` texts don't suffice for all languages), those with the smallest hashes of their text.
+Languages beyond ``max_langs``, those with the fewest distinct texts, are not learned. Only text and label are used. Prediction covers every row and
+whole texts, very long ones in pieces whose seams don't show.
 
 Defined results: null texts and texts without a letter get ``und``, score 0, rejected; without any labelled
-text every row does; ties go to the language that sorts first; repeated rows get the same result each; other
-columns are ignored.
+text every row does; ties go to the language that sorts first; repeated rows get the same result each; an empty table
+gives no rows; other columns are ignored, and ``accepted`` keeps them whatever their names are.
 """
 
 from __future__ import annotations
@@ -38,20 +39,20 @@ def _is_letter() -> np.ndarray:
 
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of a text's hashed bigrams and trigrams; None if it has no letter."""
-    total = None
-    for k in range(0, len(text or ""), PIECE):
-        code = np.frombuffer(text[max(0, k - 2) : k + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    total, known, size = np.zeros(DIMS, np.int64), False, len(text or "")
+    held = np.array([32], np.uint32)  # the last letters of the piece before
+    for k in range(0, size, PIECE):
+        code = np.frombuffer(text[k : k + PIECE].replace("Σ", "σ").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _is_letter()[code]
-        if not letter.any():
-            continue
-        c = np.full(len(code) + 2, 32, np.uint32)
-        c[1:-1] = np.where(letter, code, 32)
+        known |= bool(letter.any())
+        c = np.concatenate([held, np.where(letter, code, 32).astype(np.uint32), np.full(int(k + PIECE >= size), 32, np.uint32)])
         c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
         pair = c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)
         triple = pair[:-1] * np.uint32(0xC2B2AE3D) ^ c[2:] * np.uint32(0x27D4EB2F)
-        n = np.bincount(pair >> np.uint32(20), minlength=DIMS) + np.bincount(triple >> np.uint32(20), minlength=DIMS)
-        total = n if total is None else total + n
-    return total
+        # of two held letters the pair is counted already
+        total += np.bincount(pair[len(held) - 1 :] >> np.uint32(20), minlength=DIMS) + np.bincount(triple >> np.uint32(20), minlength=DIMS)
+        held = c[-2:]
+    return total if known else None
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,14 +93,16 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, clusters: int = 4, rounds: int = 12, slack: float = 0.3) -> Model:
-    """A model from the rows of ``labelled``; per_lang bounds the sample."""
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, clusters: int = 4, rounds: int = 12, slack: float = 0.3, max_langs: int = 2000, sample_rows: int = 40_000) -> Model:
+    """A model from the rows of ``labelled``; per_lang, max_langs and sample_rows bound the sample."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     # copies don't count: the share is one of distinct texts with letters
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
         return Model(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 2 * per_lang / n))])
+    per_lang = min(per_lang, max(1, sample_rows // len(sizes)))
+    # of so many texts some are all but sure to be drawn: a language that is learned never lacks a sample
+    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, max(2 * per_lang, 64) / n))])
     h = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
     sample = rows.where(h < share[F.col("lang")]).distinct().select("lang", F.xxhash64("text").alias("h"), "text")
 
@@ -157,6 +160,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their columns."""
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
-    keep = [F.col(c) for c in docs.columns]
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     row = docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"))
     return predict(row, model).where("NOT language.rejected").select("row.*")
