@@ -8,8 +8,10 @@ left (it holds). Only words that fail are merged exactly. Words recur, so each w
 solved words.
 
 Defined results: null and empty texts have no tokens and decode to the empty string; special strings inside a
-text become their special token; ids that the vocabulary lacks are left out when decoding; other columns of
-the input pass or are ignored as the caller selects.
+text become their special token; ids that the vocabulary lacks are left out when decoding; repeated rows are encoded each;
+of equal merges in a word the left one goes first; very long texts are encoded whole, CHUNK rows of a batch at a time; an empty
+table gives no rows. Other columns of the input pass, but one that has the name of an output column (``ids_col``,
+``decoded_col``) is replaced by it.
 """
 
 from __future__ import annotations

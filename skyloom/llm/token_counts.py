@@ -5,7 +5,8 @@ scan leaves it by that link, so a word is counted in one pass over its letters w
 looking back. Every single letter, with or without the end mark, must be in the vocabulary.
 
 Defined results: null and empty texts count 0; special strings count as one word of one token; repeated rows
-are counted each; other columns are ignored.
+are counted each; of pieces that match at a place the longest counts, so nothing ties; very long texts are split whole, 256 rows
+of a batch at a time, and a very long word is one pass; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skyloom.llm.words import SPECIAL, letters, words
+from skyloom.llm.words import SPECIAL, byte_letters, letters, words
 
 END = "</w>"
 MAX_WORDS = 400_000
@@ -29,6 +30,8 @@ CHUNK = 256
 class Automaton:
     def __init__(self, path: str):
         vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        if lacking := [c for c in byte_letters() if c not in vocab or c + END not in vocab]:
+            raise ValueError(f"letters without a piece: {lacking[:5]}")
         step: list[dict[str, int]] = [{}]
         whole = [False]
         for token in vocab:
