@@ -2,22 +2,23 @@
 
 A conversation becomes one text of marked turns, ``[[role]]`` + line feed + text + ``[[/]]`` + line feed. Inside
 roles and texts ``&`` becomes ``&amp;`` and ``[`` becomes ``&lb;`` (in roles also ``]`` becomes ``&rb;``), so no text can
-hold a marker, and all are undone exactly in reverse order. Every assistant turn becomes an example of its own: the text up to that turn's end,
+hold a marker, and all are undone exactly in reverse order. Every assistant turn is exploded into an example of its own: the text up to that turn's end,
 of which only the reply itself is under the loss mask. A conversation that does not end with an assistant
 turn has a last example without loss, so the output keeps every turn.
 
-All examples of a conversation are prefixes of its text. ``formatted`` therefore keeps the text once and each
-example as its end and its mask, which grows with the conversation and not with its square; ``examples``
-gives them one row each, with their text cut out.
+``formatted`` holds a conversation's text once and each example as its end and its mask, which grows with the
+conversation and not with its square, for storage; ``examples`` explodes them, each with its own text. ``read_back``
+reads the examples alone: each reply from its own example's text by its mask, the turns from the conversation's last example.
 
-Defined results: rows of a conversation are ordered by turn (null first), then escaped role, then escaped text; repeated rows are turns
+Defined results: rows of a conversation are ordered by turn (null first), then role, then text; repeated rows are turns
 each; null roles and texts are empty; the null conversation is one like others; an empty table gives no rows; other
-columns are ignored. Positions count code points from 1.
+columns are ignored. Turns are told where they end by a running sum, so a long conversation or text costs in proportion; its
+examples hold every prefix. Positions count code points from 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, STOP = "[[", "]]\n", "[[/]]\n"
@@ -39,39 +40,37 @@ def unescape(text: Column) -> Column:
 def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, text, examples (array of end, loss_start, loss_chars)."""
     clean = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), escape_role(clean(role_col)).alias("role"), escape(clean(text_col)).alias("text")).alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    piece = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(CLOSE), t["text"], F.lit(STOP))
-    sized = F.transform("turns", lambda t: F.struct((t["role"] == TARGET).alias("target"), (F.length(t["role"]) + len(OPEN) + len(CLOSE)).cast("long").alias("head"), F.length(t["text"]).cast("long").alias("body")))
-    convs = convs.select("conv_id", F.array_join(F.transform("turns", piece), "").alias("text"), sized.alias("sized"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<end:bigint,loss_start:bigint,loss_chars:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        stop = acc["at"] + x["head"] + x["body"] + len(STOP)
-        example = F.struct(stop.alias("end"), (acc["at"] + x["head"] + 1).alias("loss_start"), x["body"].alias("loss_chars"))
-        return F.struct(stop.alias("at"), F.when(x["target"], F.array_append(acc["out"], example)).otherwise(acc["out"]).alias("out"))
-
-    folded = convs.withColumn("f", F.aggregate("sized", start, step))
-    tail = F.struct(F.col("f.at").alias("end"), (F.col("f.at") + 1).alias("loss_start"), F.lit(0).cast("long").alias("loss_chars"))
-    ends_open = ~F.element_at("sized", -1)["target"]
-    return folded.select("conv_id", "text", F.when(ends_open, F.array_append("f.out", tail)).otherwise(F.col("f.out")).alias("examples"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), clean(role_col).alias("role"), clean(text_col).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    piece = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(CLOSE), escape(F.col("text")), F.lit(STOP))
+    placed = rows.select("conv_id", (F.col("role") == TARGET).alias("target"), F.length(escape(F.col("text"))).cast("long").alias("body"), piece.alias("piece"), F.sum(F.length(piece)).over(order).alias("stop"))
+    convs = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("stop", "body", "target", "piece"))).alias("turns"))
+    whole = F.array_join(F.transform("turns", lambda t: t["piece"]), "")
+    mask = lambda t, n: F.struct(t["stop"].alias("end"), (t["stop"] - len(STOP) - t["body"] + 1).alias("loss_start"), n.alias("loss_chars"))
+    asked = F.transform(F.filter("turns", lambda t: t["target"]), lambda t: mask(t, t["body"]))
+    last = F.element_at("turns", -1)
+    tail = F.when(last["target"], F.array().cast("array<struct<end:bigint,loss_start:bigint,loss_chars:bigint>>")).otherwise(F.array(mask(last, F.lit(0).cast("long"))))
+    return convs.select("conv_id", whole.alias("text"), F.concat(asked, tail).alias("examples"))
 
 
 def examples(turns: DataFrame, **columns: str) -> DataFrame:
-    """One row per example: conv_id, example (from 0), text, loss_start, loss_chars."""
-    each = formatted(turns, **columns).select("conv_id", "text", F.posexplode("examples").alias("example", "x"))
-    return each.select("conv_id", "example", F.substring("text", F.lit(1), F.col("x.end").cast("int")).alias("text"), "x.loss_start", "x.loss_chars")
-
-
-def read_back(convs: DataFrame) -> DataFrame:
-    """What the formatted conversations say: conv_id, turns (array of role, text, unescaped), losses (array of texts), formatted_chars (of all examples)."""
-    cut = F.split("text", r"\[\[/\]\]\n")
+    """One row per example: conv_id, example (from 0), text, loss_start, loss_chars, last (whether it is the conversation's longest)."""
+    each = formatted(turns, **columns).select("conv_id", "text", F.size("examples").alias("n"), F.posexplode("examples").alias("example", "x"))
+    return each.select("conv_id", "example", F.substring("text", F.lit(1), F.col("x.end").cast("int")).alias("text"), "x.loss_start", "x.loss_chars", (F.col("example") == F.col("n") - 1).alias("last"))
+
+
+def read_back(made: DataFrame) -> DataFrame:
+    """What examples say: conv_id, turns (array of role, text, unescaped), losses (array of texts in order), formatted_chars (of all examples)."""
+    reply = F.when(F.col("loss_chars") > 0, unescape(F.substr("text", F.col("loss_start").cast("int"), F.col("loss_chars").cast("int"))))
+    each = made.select("conv_id", F.when(F.col("last"), F.col("text")).alias("whole"), F.struct("example", reply.alias("reply")).alias("loss"), F.length("text").cast("long").alias("chars"))
+    convs = each.groupBy("conv_id").agg(F.collect_list("whole")[0].alias("whole"), F.sort_array(F.collect_list("loss")).alias("losses"), F.sum("chars").alias("formatted_chars"))
+    cut = F.split("whole", r"\[\[/\]\]\n")
+    head = lambda t: F.substring_index(t, CLOSE, 1)
     parts = F.transform(
         F.slice(cut, F.lit(1), F.size(cut) - 1),
         lambda t: F.struct(
-            unescape(F.replace(F.substr(F.substring_index(t, CLOSE, 1), F.lit(len(OPEN) + 1)), F.lit("&rb;"), F.lit("]"))).alias("role"),
-            unescape(F.substr(t, F.length(F.substring_index(t, CLOSE, 1)) + len(CLOSE) + 1)).alias("text"),
+            unescape(F.replace(F.substr(head(t), F.lit(len(OPEN) + 1)), F.lit("&rb;"), F.lit("]"))).alias("role"),
+            unescape(F.substr(t, F.length(head(t)) + len(CLOSE) + 1)).alias("text"),
         ),
     )
-    losses = F.transform(F.filter("examples", lambda x: x["loss_chars"] > 0), lambda x: unescape(F.substr(F.col("text"), x["loss_start"].cast("int"), x["loss_chars"].cast("int"))))
-    return convs.select("conv_id", parts.alias("turns"), losses.alias("losses"), F.aggregate("examples", F.lit(0).cast("long"), lambda n, x: n + x["end"]).alias("formatted_chars"))
+    return convs.select("conv_id", parts.alias("turns"), F.array_compact(F.transform("losses", lambda x: x["reply"])).alias("losses"), "formatted_chars")

@@ -44,7 +44,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
-    back = chat.read_back(chat.formatted(turns.unionByName(more)))
+    back = chat.read_back(chat.examples(turns.unionByName(more)))
     said = F.array_join("losses", "")
     return back.select(
         "conv_id",
