@@ -1,13 +1,14 @@
 """Exact deduplication by a heavy-hitter split.
 
-A Misra-Gries style frequent-items sketch finds the digests that may be frequent. Their exact counts and
-winners are verified in one pass and broadcast (at most ``heavy_k`` rows), so copies of a frequent text are
+A Misra-Gries style frequent-items sketch of ``tracked`` counters finds the digests that may be frequent. Their exact counts and
+winners are verified in one pass and broadcast (at most ``tracked`` rows, some 100 bytes each), so copies of a frequent text are
 settled where they are read and never meet in one task. All other digests go through an ordinary shuffle; the
-sketch bounds the size of their groups to about ``3.5 / tracked`` of the rows.
+sketch reports every digest of more than about ``7 / tracked`` of the rows, so no other group is larger than that.
 
-Defined results: a null text equals the empty text; texts are equal when identical without any change; of
-equal texts the row with the largest id stays (null ids sort lowest); of repeated rows with the same id and
-text exactly one stays; an empty table gives an empty result; other columns of the input are ignored.
+Defined results: a null text equals the empty text; texts are equal when identical without any change, however long;
+of equal texts the row with the largest id stays (null ids sort lowest); of repeated rows with the same id and
+text exactly one stays; an empty table gives an empty result; other columns of the input are ignored, and ``drop_copies``
+keeps them whatever their names are.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ def digest(text_col: str = "text"):
     return F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
 
 
-def heavy_digests(digests: DataFrame, heavy_k: int, tracked: int) -> DataFrame:
-    """Verified winners of the frequent digests: digest, heavy_keep, heavy_size; heavy_k rows at most."""
-    sketch = digests.agg(F.expr(f"approx_top_k(digest, {heavy_k}, {tracked})").alias("top"))
+def heavy_digests(digests: DataFrame, tracked: int) -> DataFrame:
+    """Verified winners of the frequent digests: digest, heavy_keep, heavy_size; ``tracked`` rows at most."""
+    sketch = digests.agg(F.expr(f"approx_top_k(digest, {tracked}, {tracked})").alias("top"))
     candidates = sketch.select(F.explode("top").alias("t")).select(F.col("t.item").alias("digest"))
     return (
         digests.join(F.broadcast(candidates), "digest")
@@ -34,10 +35,10 @@ def heavy_digests(digests: DataFrame, heavy_k: int, tracked: int) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_k: int = 256, tracked: int = 8192) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 8192) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     rows = durable(docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest")))
-    marked = rows.join(F.broadcast(heavy_digests(rows, heavy_k, tracked)), "digest", "left")
+    marked = rows.join(F.broadcast(heavy_digests(rows, tracked)), "digest", "left")
     settled = F.col("heavy_size").isNotNull() & ~F.col("id").eqNullSafe(F.col("heavy_keep"))
     group = Window.partitionBy("digest")
     rest = marked.where(~settled).select(
@@ -53,15 +54,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    found = durable(exact_dedup(docs, id_col, text_col))
-    lost = found.where(~F.col("kept"))
-    key = [F.col("_id").eqNullSafe(F.col(id_col)), F.col("_digest") == digest(text_col)]
-    as_key = lambda df: df.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
-    others = as_key(lost.where(~F.col(id_col).eqNullSafe(F.col("keep_id"))))
-    repeated = as_key(lost.where(F.col(id_col).eqNullSafe(F.col("keep_id")))).distinct()
-    left = docs.join(small(others, 100), key, "left_anti")
-    if repeated.isEmpty():
-        return left
-    repeated = small(repeated, 100)
-    once = left.join(repeated, key, "left_semi").withColumn("_digest", digest(text_col)).dropDuplicates([id_col, "_digest"]).drop("_digest")
-    return left.join(repeated, key, "left_anti").unionByName(once)
+    lost = durable(exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("again")))
+    rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))
+    left = rows.join(small(lost.where("NOT again"), 100), key, "left_anti")
+    repeated = lost.where("again").distinct()
+    if not repeated.isEmpty():
+        repeated = small(repeated, 100)
+        once = left.join(repeated, key, "left_semi").dropDuplicates(["id", "digest"])
+        left = left.join(repeated, key, "left_anti").unionByName(once)
+    return left.select("row.*")
