@@ -69,6 +69,45 @@ def test_language_edge_cases(spark, sf_dir):
     assert langid.accepted(df.limit(0)).count() == 0
 
 
+def test_the_nearest_centroid_wins(spark, sf_dir):
+    """The query's rule, text by text with dictionaries: counts, weights, cosine, least distance."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 3 > 0"), per_lang=30, clusters=2)
+    for r in langid.predict(docs.select("doc_id", "text"), model).limit(60).collect():
+        low = "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower())
+        c = [32, *map(ord, " ".join(low.split())), 32]
+        grams = collections.Counter()
+        for a, b in zip(c, c[1:], strict=False):
+            grams[((a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF)) >> 20] += 1
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            pair = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF)
+            grams[((pair * 0xC2B2AE3D & 0xFFFFFFFF) ^ (d * 0x27D4EB2F & 0xFFFFFFFF)) >> 20] += 1
+        v = {g: np.log1p(n) * float(model.idf[g]) for g, n in grams.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * float(m[g]) for g, x in v.items()) / size for m in model.centroids] if low.strip() else []
+        got = r["language"]
+        if not cos:
+            assert got["lang_pred"] == "und" and got["score"] == 0
+        else:
+            assert got["score"] == pytest.approx(max(0, max(cos)), abs=1e-5)
+            assert max(x for x, lang in zip(cos, model.langs, strict=True) if lang == got["lang_pred"]) == pytest.approx(max(cos), abs=1e-5)
+
+
+def test_pieces_of_a_text_leave_no_seam(monkeypatch):
+    text = "Der Hund, die Katze -- 12 ... und \n" * 40 + "ΑΣ " * 7
+    whole = langid.gram_counts(text)
+    for piece in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.gram_counts(text) == whole).all()
+    assert langid.gram_counts("1 2 3") is None and langid.gram_counts("") is None and langid.gram_counts(None) is None
+
+
+def test_labels_are_bounded(spark):
+    rows = [(f"l{k:02}", f"{chr(97 + k)}{chr(98 + k)} word{j}") for k in range(20) for j in range(1 + k)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), max_langs=5, sample_rows=10)
+    assert sorted(set(model.langs)) == ["l15", "l16", "l17", "l18", "l19"]
+
+
 def test_copies_leave_a_language_its_sample(spark):
     copies = spark.range(20_000).select(F.lit("xx").alias("lang"), F.lit("zzot qirr vex olluk zzot").alias("text"))
     words = [(lang, f"{a} {b} {a}{b} {c}") for lang, v in (("xx", ("zzot", "qirr", "vex", "olluk")), ("en", ("the", "and", "house", "water"))) for a in v for b in v for c in v]
@@ -105,6 +144,13 @@ def test_encoding_is_the_library_s(library):
     assert model.encode_batch([None]) == [[]] and model.decode(None) == ""
 
 
+def test_letters_of_newer_unicode_are_the_library_s(library):
+    points = [c for first, last in (*words.NEWER_LETTERS, *words.NEWER_NUMBERS) for c in (first - 1, first, last, last + 1)]
+    points += [c for first, last, _ in words.NEWER_CAPITALS for c in (first, last)]
+    texts = [f"b{chr(c)}.{chr(c)}7{chr(c)}" for c in points]
+    assert bpe.Bpe(queries.vocabulary()).encode_batch(texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_speculation_and_exact_merging_agree():
     model = bpe.Bpe(queries.vocabulary())
     found = {w for t in hard_texts() for w in words.words(t) if w not in words.SPECIAL}
@@ -172,12 +218,22 @@ def test_chat_is_read_back(spark):
     by = collections.defaultdict(list)
     for c, t, role, text in rows:
         by[c].append(((t is not None, t or 0, role or "", text or ""), (role or "", text or "")))
-    back = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df)).collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(chat.examples(df)).collect()}
     assert set(back) == set(by)
     for c, turns in by.items():
         want = [x for _, x in sorted(turns)]
         assert [(t["role"], t["text"]) for t in back[c]["turns"]] == want
         assert "".join(back[c]["losses"]) == "".join(t for role, t in want if role == "assistant")
+    # of one turn, rows go by raw role and text: "A" before "[" before "b"
+    tie = spark.createDataFrame([(1, 0, "user", t) for t in ("b", "[", "A", "&")], "conv_id long, turn long, role string, text string")
+    assert [t["text"] for t in chat.read_back(chat.examples(tie)).first()["turns"]] == ["&", "A", "[", "b"]
+    compact = {r["conv_id"]: r for r in chat.formatted(df).collect()}
+    made = collections.defaultdict(list)
+    for e in chat.examples(df).orderBy("example").collect():
+        made[e["conv_id"]].append(e)
+    for c, r in compact.items():
+        assert [(e["text"], e["loss_start"], e["loss_chars"]) for e in made[c]] == [(r["text"][: x["end"]], x["loss_start"], x["loss_chars"]) for x in r["examples"]]
+        assert made[c][-1]["text"] == r["text"] and sum(len(e["text"]) for e in made[c]) == back[c]["formatted_chars"]
     each = chat.examples(df).where("conv_id = 3").orderBy("example").collect()
     assert len(each) == 3 and each[1]["text"].startswith(each[0]["text"]) and each[2]["loss_chars"] == 0
     assert all(e["text"][e["loss_start"] - 1 :][: e["loss_chars"] + 6].endswith("[[/]]\n") for e in each[:2])
@@ -218,7 +274,7 @@ def test_license_templates(spark):
 def test_exact_dedup_edge_cases(spark):
     texts = ["a", "a", None, "", "b", "a ", "A"] + ["hot"] * 50
     df = docs_of(spark, texts).union(docs_of(spark, ["b"], 4)).union(spark.createDataFrame([(None, "hot", None, None, None)], DOCS)).withColumn("kept", F.lit("x"))
-    got = exact_dedup.exact_dedup(df, heavy_k=2, tracked=8).collect()
+    got = exact_dedup.exact_dedup(df, tracked=8).collect()
     assert len(got) == df.count()
     size = collections.Counter(t or "" for t in [*texts, "b", "hot"])
     best = {}
@@ -237,6 +293,13 @@ def test_exact_dedup_edge_cases(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_dedup_takes_any_column_names(spark):
+    names = ["id", "digest", "row", "_id", "_digest", "again", "heavy_keep"]
+    df = docs_of(spark, ["a", "a", None, "", "b"]).union(docs_of(spark, ["b"], 4)).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and ordered(left.select("doc_id", *names).collect()) == ordered((i, *range(len(names))) for i in (1, 3, 4))
+
+
 # --- mixing
 
 
@@ -412,6 +475,9 @@ def test_counts_equal_pieces_that_are_built(spark, sf_dir, texts):
     auto = token_counts.Automaton(queries.vocabulary())
     found = {w for t in [*hard_texts(), *texts.values()] for w in words.words(t) if w not in words.SPECIAL}
     assert all(auto.count(w) == len(model.greedy(words.letters(w))) for w in found)
+    for r in queries.op9_token_counts(spark, sf_dir).collect():
+        n = [1 if w in words.SPECIAL else len(model.greedy(words.letters(w))) for w in words.words(texts[r["doc_id"]])]
+        assert tuple(r)[1:] == (len(n), sum(n), max(n, default=0))
     df = docs_of(spark, [None, "", "Hello hello <|endoftext|>", "Hello hello <|endoftext|>", "ab" * 200_000]).withColumn("n_tokens", F.lit("x"))
     got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.token_counts(df, queries.vocabulary()).collect()}
     assert got[0] == got[1] == (0, 0, 0) and got[2] == got[3] and got[2][0] == 3 and got[4][0] == 1
@@ -499,6 +565,14 @@ def test_near_copies_go_once(spark):
     assert ordered(jaccard.jaccard_groups(nulls).collect()) == ordered([(None, 1, None), (1, 1, 1), (1, 1, 1), (2, 1, 2)])
 
 
+def test_near_copies_take_any_column_names(spark):
+    names = ["id", "sid", "row", "_id", "_digest", "digest", "component_id", "kept"]
+    df = docs_of(spark, ["a b c d e f g"] * 3 + ["other words are here now"]).select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    for rows in (df, df.union(df.where("doc_id = 3"))):
+        left = jaccard.drop_near_copies(rows)
+        assert left.columns == df.columns and ordered(left.select("doc_id", *names).collect()) == ordered((i, *range(len(names))) for i in (0, 3))
+
+
 def test_near_copies_of_repeated_ids_go_by_row(spark):
     near, other = "a b c d e f g", "other words are here now then"
     rows = [(3, near), (5, near), (5, other), (1, "p q r s t u"), (1, "P q r s t u"), (1, "P q r s t u"), (2, "p q r s t u"), (6, "x"), (6, "x"), (None, near), (7, None), (7, other.upper())]
