@@ -14,28 +14,30 @@ the lists of its first ``n - ceil(t n) + 1`` shingles. Each list has a pivot, an
 pivot that most of its lists have; sets of one component need no further comparison, so a large group of
 copies costs one comparison per set. Other pivots and pairs of a list whose sets are still in different components are then compared all, joined by list and size, if size and
 position in the order allow a link. Comparison: parity sketches (n / 2 bits or more) give a safe bound first;
-only pairs that pass it fetch their sets.
+of pairs that pass it, one set travels to the other (the pivot, or the set with the smaller name), once.
 
-The boundary between light and heavy is the size where enumerating costs as much as scanning lists.
+The boundary between light and heavy is the size where enumerating costs as much as scanning lists. Lists of frequent
+shingles are read in parts, light ones as well (a subset is no more frequent than its rarest shingle).
 
 Defined results: null and empty texts and texts without words have 0 shingles and link with nothing; rows with a
 null id link with nothing and have a null component; repeated rows are copies of one another; rows of one id
-with different texts are different nodes, each with its own component; other columns are ignored. Sets are known
-by 64-bit hashes.
+with different texts are different nodes, each with its own component; an empty table gives no rows; very long texts
+are read whole, in pieces (``shingles``); of equal ids or sizes the least set comes first, which never changes a group;
+other columns are ignored, and ``drop_near_copies`` keeps them whatever their names are. Sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import durable, small
+from skyloom.llm.common import Scratch, durable, small
 from skyloom.llm.shingles import mix, shingle_sets
 
 #: Bound of the broadcast table of frequent shingles (9 bytes each).
@@ -48,6 +50,10 @@ SCAN_COST = 8
 SPLIT_CLASS = 14
 FLUSH = 1 << 20
 SEEN = 50_000
+#: Shingles of the partners that one part of a hub compares (or 16 times its own), destinations of one row, and bytes of sets that one batch holds.
+PART_SHINGLES = 1 << 12
+TO_ROW = 1024
+SENT = 4 << 20
 
 
 def needed(n: int, num: int, den: int) -> int:
@@ -116,7 +122,7 @@ class _Fresh:
         return True
 
 
-def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted keys (top bits of the hash) of frequent shingles, their class (log2 of their count), and the shift that makes a key."""
     b = min(28, max(4, (n_docs // 2000).bit_length()))
     shift = np.uint64(64 - b - 24)
@@ -137,7 +143,7 @@ def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int, least: int) ->
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
-                if len(s) >= least and fresh(_sid(s)):
+                if len(s) and fresh(_sid(s)):
                     held.append(s >> shift)
                     size += len(s)
                     if size >= FLUSH:
@@ -185,22 +191,25 @@ def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: i
     def of(s: np.ndarray, keys: np.ndarray, kind: np.ndarray) -> list[tuple]:
         n, out = len(s), []
         least = needed(n, num, den)
+        rank = np.zeros(n, np.int64)
+        if len(keys):
+            own = s >> np.uint64(shift)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            rank = np.where(keys[at] == own, kind[at], 0).astype(np.int64)
+        # a list is as long as its rarest shingle is frequent, at most
+        parts = lambda r: np.where(r >= split, 1 << np.maximum(r - split + 1, 0), 0)
         if n < limit:
             h = mix(s)
             every = h.sum(dtype=np.uint64)
             for c in range(least, n + 1):
-                gone = [list(x) for x in combinations(range(n), n - c)]
-                sums = every - h[np.array(gone, np.int64).reshape(len(gone), n - c)].sum(axis=1, dtype=np.uint64)
-                out.append((c, mix(sums ^ np.uint64(c)), np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64)))
+                gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
+                left = np.ones((len(gone), n), bool)
+                np.put_along_axis(left, gone, False, axis=1)
+                rarest = np.where(left, rank, 64).min(axis=1)
+                out.append((c, mix((every - h[gone].sum(axis=1, dtype=np.uint64)) ^ np.uint64(c)), np.zeros(len(gone), np.int64), parts(rarest)))
         if n >= heavy_from:
-            own = s >> np.uint64(shift)
-            rank = np.zeros(n, np.int8)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                rank = np.where(keys[at] == own, kind[at], 0)
             first = np.argsort(rank, kind="stable")[: n - least + 1]
-            parts = np.where(rank[first] >= split, 1 << np.maximum(rank[first].astype(np.int64) - split + 1, 0), 0)
-            out.append((0, s[first], n - np.arange(len(first)), parts))
+            out.append((0, s[first], n - np.arange(len(first)), parts(rank[first])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,61 +233,80 @@ def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: i
 
 def components(edges: DataFrame) -> DataFrame:
     """sid, comp (least sid that is reachable) for the ends of ``edges`` (a, b): labels spread, then jump, until none changes."""
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    keep = Scratch(edges.sparkSession)
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
-        spread = (
-            both.join(labels, both.b == labels.sid)
-            .groupBy(F.col("a").alias("sid"))
-            .agg(F.min("comp").alias("near"))
-            .join(labels, "sid")
-            .select("sid", F.least("near", "comp").alias("comp"), F.col("comp").alias("old"))
-        )
-        spread = durable(spread)
+        near = both.join(labels, both.b == labels.sid).groupBy(F.col("a").alias("sid")).agg(F.min("comp").alias("near"))
+        spread = keep(near.join(labels, "sid").select("sid", F.least("near", "comp").alias("comp"), F.col("comp").alias("old")))
         up = spread.select(F.col("sid").alias("comp"), F.col("comp").alias("top"))
-        labels = durable(spread.join(up, "comp", "left").select("sid", F.coalesce("top", "comp").alias("comp"), (F.coalesce("top", "comp") != F.col("old")).alias("moved")))
+        jumped = keep(spread.join(up, "comp", "left").select("sid", F.coalesce("top", "comp").alias("comp"), (F.coalesce("top", "comp") != F.col("old")).alias("moved")))
+        labels = jumped
         if labels.where("moved").isEmpty():
-            return labels.select("sid", "comp")
-        labels = labels.select("sid", "comp")
+            out = durable(labels.drop("moved"))
+            keep.free()
+            return out
+
 
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+    """a, b: those of ``pairs`` (hub, sid) that link.
 
-def links(docs: DataFrame, described: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: sids) that link."""
-    classes = described.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    Sketches stop most pairs. Of the others, the set of ``sid`` travels once to its hub. A hub is dealt to parts of about
+    PART_SHINGLES shingles of its partners, or 16 times its own; its own set goes to each part and is the only one that a task holds.
+    """
+    keep = Scratch(docs.sparkSession)
     side = lambda x: classes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = [(m + n - _differ(x, y)) // 2 * (num + den) >= num * (m + n) for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "sketch_a", "n_b", "sketch_b")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
-
-    near = durable(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(close, "a long, b long"))
-    wanted = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
-    ids = durable(classes.join(wanted, "sid").select("sid", "id"))
+            on = [(m + n - _differ(x, y)) // 2 * (num + den) >= num * (m + n) for m, x, n, y in zip(*(batch.column(c).to_pylist() for c in ("n_hub", "sketch_hub", "n_sid", "sketch_sid")), strict=True)]
+            yield batch.select(["hub", "sid", "n_hub", "n_sid"]).filter(pa.array(on, pa.bool_()))
+
+    near = keep(pairs.join(side("hub"), "hub").join(side("sid"), "sid").mapInArrow(close, "hub long, sid long, n_hub long, n_sid long"))
+    parts = keep(near.groupBy("hub").agg((F.sum("n_sid") / F.greatest(16 * F.max("n_hub"), F.lit(PART_SHINGLES)) + 1).cast("int").alias("parts")))
+    routed = keep(near.join(small(parts, 16), "hub").select("hub", "sid", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")))
+    routes = routed.unionByName(routed.select("hub", F.col("hub").alias("sid"), "part").distinct())
+    rows = (routes.groupBy("sid").count().agg(F.max("count")).first()[0] or 0) // TO_ROW + 1
+    sent = routes.groupBy("sid", F.pmod(F.xxhash64("hub", "part"), F.lit(rows)).alias("row")).agg(F.collect_list(F.struct("hub", "part")).alias("to"))
+    sent = keep(sent.join(classes.select("sid", "id"), "sid").select("id", "sid", "to"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(small(ids.select("id").distinct(), 16), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = _Fresh()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                own = [(_sid(s), s.tobytes()) for s in shingle_sets(batch.column(1).slice(lo, 256), k) if len(s)]
-                own = [x for x in own if fresh(x[0])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["sid", "members"])
-
-    members = durable(found.mapInArrow(sets, "sid long, members binary").dropDuplicates(["sid"]))
-    side = lambda x: members.select(F.col("sid").alias(x), F.col("members").alias(f"set_{x}"))
+        names, kinds = ["hub", "part", "sid", "members"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        for whole in batches:
+            held, size = [], 0
+            for sid, to, s in zip(whole.column("sid").to_pylist(), whole.column("to").to_pylist(), shingle_sets(whole.column("text"), k), strict=True):
+                if not len(s) or _sid(s) != sid:  # another text of the same id
+                    continue
+                members = s.tobytes()
+                for x in to:
+                    held.append((x["hub"], x["part"], sid, members))
+                    size += len(members)
+                    if size >= SENT:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            on = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(same * (num + den) >= num * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
-
-    return durable(near.join(side("a"), "a").join(side("b"), "b").mapInArrow(linked, "a long, b long"))
+            a, b = [], []
+            for hub, sid, members in zip(batch.column("hub").to_pylist(), batch.column("sid").to_pylist(), batch.column("members"), strict=True):
+                s = np.frombuffer(members.as_buffer(), np.uint64)
+                if hub == sid:
+                    own = s.copy()
+                elif len(np.intersect1d(own, s, assume_unique=True)) * (num + den) >= num * (len(own) + len(s)):
+                    a.append(hub)
+                    b.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    moved = texts.join(small(sent, 64 + 16 * F.size("to")), "id").mapInArrow(sets, "hub long, part int, sid long, members binary")
+    # the hub's own set comes first in each part
+    dealt = moved.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("sid") != F.col("hub"))
+    found = durable(dealt.mapInArrow(linked, "a long, b long"))
+    keep.free()
+    return found
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,58 +316,64 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
 
 def named_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: id, sid (its set, null without shingles or id), n, component_id."""
+    spark = docs.sparkSession
+    keep, heavy = Scratch(spark), Scratch(spark)
     described = durable(describe(docs, k, id_col, text_col))
     sizes = {r["n"]: r["count"] for r in described.where("n > 0").groupBy("n").count().collect()}
     limit = boundary(sizes, num, den)
-    keys, kind, shift = frequent(docs, k, text_col, sum(sizes.values()), needed(limit, num, den))
+    classes = keep(described.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
+    keys, kind, shift = frequent(docs, k, text_col, sum(sizes.values()))
     raw = entries(docs, k, text_col, num, den, limit, keys, kind, shift)
     group = Window.partitionBy("c", "token", "part")
     lists = raw.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("part > 0 OR lo <> hi")
-    lists = durable(lists.drop("lo", "hi", "part").distinct())
+    lists = heavy(lists.drop("lo", "hi").distinct().drop("part"))
     # the smallest set of a subset, and of a list the set with the fewest rare shingles before it
-    by_subset = lists.where("c > 0").groupBy("c", "token").agg(F.min(F.struct(F.col("n"), F.col("sid"))).alias("s"))
-    by_list = lists.where("c = 0").groupBy("c", "token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("p"), F.col("sid"), F.col("n"), F.col("r"))).alias("s"))
-    subset = lists.join(by_subset, ["c", "token"]).where(f"sid <> s.sid AND c * {den} >= {num} * (n + s.n - c)").select(F.col("s.sid").alias("a"), F.col("sid").alias("b"))
+    by_subset = heavy(lists.where("c > 0").groupBy("c", "token").agg(F.min(F.struct(F.col("n"), F.col("sid"))).alias("s")))
+    by_list = heavy(lists.where("c = 0").groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("p"), F.col("sid"), F.col("n"), F.col("r"))).alias("s")))
+    subset = lists.where("c > 0").join(by_subset, ["c", "token"]).where(f"sid <> s.sid AND c * {den} >= {num} * (n + s.n - c)").select(F.col("s.sid").alias("a"), F.col("sid").alias("b"))
     may_link = f"least(r, r2) * {num + den} >= {num} * (n + n2)"
     ordered = [F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")]
-    star = lists.join(by_list, ["c", "token"]).select("sid", "n", "r", F.col("s.sid").alias("sid2"), F.col("s.n").alias("n2"), F.col("s.r").alias("r2"))
-    star = durable(star.where(f"sid <> sid2 AND {may_link}").groupBy("sid", "sid2").agg(F.count("*").alias("lists")))
+    star = lists.where("c = 0").join(by_list, "token").select("sid", "n", "r", F.col("s.sid").alias("sid2"), F.col("s.n").alias("n2"), F.col("s.r").alias("r2"))
+    star = keep(star.where(f"sid <> sid2 AND {may_link}").groupBy("sid", "sid2").agg(F.count("*").alias("lists")))
     # each set's most frequent pivot comes first; its other pivots matter only while they are in other components
-    first = durable(star.groupBy("sid").agg(F.max_by("sid2", F.struct("lists", "sid2")).alias("sid2")).select(*ordered).distinct())
-    check = lambda pairs: links(docs, described, pairs, k, id_col, text_col, num, den)
-    edges = durable(subset.union(check(first)).distinct())
+    first = keep(star.groupBy("sid").agg(F.max_by("sid2", F.struct("lists", "sid2")).alias("sid2")))
+    check = lambda pairs: links(docs, classes, pairs, k, id_col, text_col, num, den)
+    edges = keep(subset.union(check(first.select(F.col("sid2").alias("hub"), "sid"))).distinct())
     comp = components(edges)
     of = lambda x: comp.select(F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}"))
     apart = star.select(*ordered).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
 
-    # lists that still hold several components: pairs of different ones, by list and size
-    open_ = lists.where("c = 0").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = durable(open_.join(mixed, "token", "left_semi").select("token", "sid", "n", "r", "comp"))
-    width = lambda n: F.when(F.col(n) < 256, F.col(n)).otherwise(F.floor(F.log(F.col(n).cast("double")) * 64) - 98).cast("int")
+    # lists that still hold several components: pairs of different ones, by list and class of size (a partner is in two at most)
+    labelled = lists.where("c = 0").join(small(comp.select("sid", "comp"), 32), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    labelled = heavy(labelled.select("token", "sid", "n", "r", "comp"))
+    mixed = heavy(labelled.groupBy("token").agg(F.min("comp").alias("main"), F.max("comp").alias("hi")).where("main <> hi").drop("hi"))
+    open_ = keep(labelled.join(small(mixed, 32), "token"))
+    heavy.free()
+    width = lambda n: F.floor(F.log(F.col(n).cast("double") + 0.5) / log(den / num)).cast("int")
     largest = F.floor((F.col("r") * (num + den)) / F.lit(float(num))) - F.col("n")
     big = (
         open_.withColumn("most", F.least(F.col("n").cast("long"), largest).cast("int"))
         .withColumn("least", F.ceil(F.col("n") * num / F.lit(float(den))).cast("int"))
         .where("most >= least")
         .withColumn("size", F.explode(F.sequence(width("least"), width("most"))))
+        .drop("most", "least")
     )
-    little = open_.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("comp").alias("comp2")).withColumn("size", width("n2"))
-    # the component that most lists of the cell share (the least) needs no pairs of its own
-    main = little.groupBy("token", "size").agg(F.min("comp2").alias("main"))
-    little = little.join(main, ["token", "size"])
+    little = open_.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("main")).alias("in_main"), width("n").alias("size"))
+    # the main component of a list (the least) needs no pairs of its own
     cond = f"sid <> sid2 AND comp <> comp2 AND (n > n2 OR sid > sid2) AND n2 <= n AND {may_link}"
-    big = big.join(main, ["token", "size"])
-    minor = big.where("comp <> main").drop("main").join(little.drop("main"), ["token", "size"])
-    major = big.where("comp = main").drop("main").join(little.where("comp2 <> main").drop("main"), ["token", "size"])
-    rest = minor.where(cond).select(*ordered).union(major.where(cond).select(*ordered)).union(apart).distinct().join(first, ["a", "b"], "left_anti")
-    rest = durable(rest)
+    minor = big.where("comp <> main").join(little, ["token", "size"])
+    major = big.where("comp = main").join(little.where("NOT in_main"), ["token", "size"])
+    done = first.select(*ordered).distinct()
+    rest = keep(minor.where(cond).select(*ordered).union(major.where(cond).select(*ordered)).union(apart).distinct().join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        comp = components(edges.union(check(rest)))
-    named = described.join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    least = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("component_id"))
-    return named.join(least, "comp", "left").select("id", "sid", "n", F.coalesce("component_id", "id").alias("component_id"))
+        comp = components(edges.union(check(rest.select(F.col("a").alias("hub"), F.col("b").alias("sid")))))
+    # the least id of a component, told to each of its sets, then to the rows of each set; other rows are alone
+    grouped = keep(classes.join(comp.select("sid", "comp"), "sid", "left").where("copies > 1 OR comp IS NOT NULL").select("sid", "id", F.coalesce("comp", "sid").alias("comp")))
+    least = keep(grouped.groupBy("comp").agg(F.min("id").alias("component_id")))
+    told = durable(grouped.join(small(least, 32), "comp").select("sid", "component_id"))
+    keep.free()
+    return described.join(small(told, 32), "sid", "left").select("id", "sid", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,17 +384,18 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
     found = durable(named_groups(docs, k, num, den, id_col, text_col).select("id", "sid", "component_id"))
     again = durable(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")))
     lost = durable(found.where("id <> component_id").select(F.col("id").alias("_id")).join(small(again, 16), "_id", "left_anti").distinct())
-    own = lambda names: F.col(id_col) == names["_id"]
+    # the input's columns travel in one struct, so that none of their names matters
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = lambda names: F.col("id") == names["_id"]
     if again.isEmpty():
-        return docs.join(small(lost, 16), own(lost), "left_anti")
-    once = docs.join(small(again, 16), own(again), "left_anti").join(small(lost, 16), own(lost), "left_anti")
-    digest = F.sha2(F.col(text_col).cast("string"), 256)
-    twice = docs.join(small(again, 16), own(again), "left_semi").withColumn("_digest", digest)
-    keys = describe(twice.withColumn("_key", F.struct(F.col(id_col).alias("id"), "_digest")), k, "_key", text_col).where("sid IS NOT NULL").select("id.*", "sid").distinct()
+        return rows.join(small(lost, 16), own(lost), "left_anti").select("row.*")
+    once = rows.join(small(again, 16), own(again), "left_anti").join(small(lost, 16), own(lost), "left_anti")
+    twice = rows.join(small(again, 16), own(again), "left_semi").withColumn("digest", F.sha2("text", 256))
+    keys = describe(twice.select(F.struct("id", "digest").alias("key"), "text"), k, "key", "text").where("sid IS NOT NULL").select("id.*", "sid").distinct()
     keys = keys.join(found.select("id", "sid", "component_id").distinct(), ["id", "sid"])
-    first = Window.partitionBy("component_id", "id").orderBy("_digest")
-    keys = durable(keys.select(F.col("id").alias("_id"), F.col("_digest").alias("_text"), ((F.col("id") == F.col("component_id")) & (F.row_number().over(first) == 1)).alias("kept")))
-    key = (F.col(id_col) == F.col("_id")) & (F.col("_digest") == F.col("_text"))
+    first = Window.partitionBy("component_id", "id").orderBy("digest")
+    keys = durable(keys.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), ((F.col("id") == F.col("component_id")) & (F.row_number().over(first) == 1)).alias("kept")))
+    key = (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest"))
     plain = twice.join(small(keys, 100), key, "left_anti")
-    elected = twice.join(small(keys.where("kept"), 100), key, "left_semi").dropDuplicates([id_col, "_digest"])
-    return once.unionByName(plain.unionByName(elected).drop("_digest"))
+    elected = twice.join(small(keys.where("kept"), 100), key, "left_semi").dropDuplicates(["id", "digest"])
+    return once.select("row").union(plain.select("row")).union(elected.select("row")).select("row.*")
