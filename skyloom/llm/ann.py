@@ -6,16 +6,19 @@ those with the smallest hashes; every vector is then indexed under its leaf of e
 all trees through one shared priority queue, nearest margin first, until a number of leaves are open. That
 number is what ``recall`` of the true neighbours needs on ``tuning`` queries compared with all vectors.
 Vectors of the open leaves are the candidates; they meet the queries by (tree, run of leaves, block of
-queries) and are reranked by exact distance in double precision.
+the queries that opened it, slice of its vectors) and are reranked by exact distance in double precision. A vector goes to
+the blocks of its own run only, and a run with many vectors is dealt to slices, so neither side of a task grows with the data.
 
 Equal vectors are one point with its ``k + 1`` smallest ids, so copies can't crowd a leaf; a query returns all
 that they hold, so nothing is lost. A query whose leaves hold fewer points than it needs is compared with all
 points, in blocks.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do those
-whose length is not the most frequent one (of equally frequent ones the larger); a query's own row is not its
-candidate, its copies are; ties go to the smaller id; fewer candidates than k are all returned; an empty
-table gives no rows; other columns are ignored. Ids must be distinct.
+whose length is not the most frequent one (of equally frequent ones the larger); of rows with one id the one with the least vector takes part,
+and asks if any of them does; a query's own row is not its
+candidate, its copies are; ties go to the smaller id; fewer candidates than k are all returned; distances of vectors whose squares
+leave the range of doubles are scaled, so they are finite where doubles can hold them; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import durable
+from skyloom.llm.common import durable, small
 
 
 @dataclass
@@ -57,9 +60,10 @@ def grow(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
         name = None
         if len(rows) > leaf:
             a, b = x[rng.choice(rows, 2, replace=False)]
-            way = a - b
-            if (size := np.linalg.norm(way)) > 0:
+            way = a / 2 - b / 2
+            if (size := np.abs(way).max()) > 0:
                 way = way / size
+                way = way / np.linalg.norm(way)
                 p = x[rows] @ way
                 cut = float(np.median(p))
                 up = p > cut
@@ -98,20 +102,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _distance(x: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from one vector; scaled where squares are too large or too small for doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        gap = x - one
+        plain = (gap * gap).sum(axis=1)
+        odd = np.flatnonzero(~np.isfinite(plain) | (plain < 1e-280))
+        out = np.sqrt(plain)
+        half = x[odd] / 2 - one / 2
+        most = np.abs(half).max(axis=1, initial=0)
+        share = half / np.where(most > 0, most, 1)[:, None]
+        out[odd] = most * np.sqrt((share * share).sum(axis=1)) * 2
+    return out
+
+
 def _closest(v: np.ndarray, x: np.ndarray, p: np.ndarray, is_open: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query row of v: rows of x that are its k nearest among the open ones (ties to smaller p), and their exact distances.
 
-    Products of matrices leave a few rows each, with room for their rounding; these are measured exactly.
+    Products of matrices leave a few rows each, with room for their rounding; these are measured exactly, as are rows beyond the range of products.
     """
-    own, other = (v * v).sum(axis=1), (x * x).sum(axis=1)
-    rough = other[None, :] + own[:, None] - 2 * (v @ x.T)
-    if is_open is not None:
-        rough[~is_open] = np.inf
-    room = 1e-9 * (own + (other.max() if len(other) else 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = (v * v).sum(axis=1), (x * x).sum(axis=1)
+        rough = other[None, :] + own[:, None] - 2 * (v @ x.T)
+        rough[~np.isfinite(rough)] = -np.inf
+        if is_open is not None:
+            rough[~is_open] = np.inf
+        room = np.nan_to_num(1e-9 * (own + (other.max() if len(other) else 0)), nan=np.inf) + 1e-280
     for one, d, spare in zip(v, rough, room, strict=True):
         limit = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-        few = np.flatnonzero((d <= limit + spare) & (d < np.inf))
-        exact = np.sqrt(((x[few] - one) ** 2).sum(axis=1))
+        few = np.flatnonzero((d <= (limit + spare if limit > -np.inf else spare)) & (d < np.inf))
+        exact = _distance(x[few], one)
         best = np.lexsort((p[few], exact))[:k]
         yield few[best], exact[best]
 
@@ -134,6 +154,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     rows = rows.where("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0").where(valid)
     lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     rows = durable(rows.where(F.size("x") == (lengths[0]["n"] if lengths else 0)))
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = durable(rows.groupBy("id").agg(F.min("x").alias("x"), F.max("asks").alias("asks")))
 
     # equal vectors are one point: its k + 1 smallest ids, named by the least of them
     firsts = rows.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -164,7 +186,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     # a part is a run of neighbouring leaves of one tree; queries come in blocks of bounded size
     leaves = max(len(t.child) + 1 for t in forest)
     run_of = max(1, round(part_rows * leaves / n))
-    blocks = queries.count() // query_rows + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column("x"))
+            for t, tree in enumerate(shared.value if batch.num_rows else []):
+                part, size = np.unique(tree.leaves(v) // run_of, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t, np.int32)), pa.array(part), pa.array(size)], names=["tree", "part", "n"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,17 +226,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
                         col.append(value)
         return pa.table({c: np.concatenate([np.zeros(0, t), *o]) for c, t, o in zip(("q", "p", "distance"), (np.int64, np.int64, np.float64), out, strict=True)})
 
-    key = ["tree", "part", "block"]
-    indexed = points.select("p", "x").mapInArrow(index, "tree int, part long, leaf long, p long, pv array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    opened = queries.mapInArrow(ask, "tree int, part long, q long, qv array<double>, leaves array<int>").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    near = opened.groupBy(*key).cogroup(indexed.groupBy(*key)).applyInArrow(rerank, "q long, p long, distance double")
+    # a run's queries come in blocks, its vectors in slices
+    opened = durable(queries.mapInArrow(ask, "tree int, part long, q long, qv array<double>, leaves array<int>"))
+    held = points.select("x").mapInArrow(count, "tree int, part long, n long").groupBy("tree", "part").agg((F.sum("n") / (2 * part_rows) + 1).cast("int").alias("slices"))
+    runs = durable(opened.groupBy("tree", "part").agg((F.count("*") / query_rows + 1).cast("int").alias("blocks")).join(held, ["tree", "part"]))
+    dealt = small(runs, 32)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    key = ["tree", "part", "block", "slice"]
+    indexed = points.select("p", "x").mapInArrow(index, "tree int, part long, leaf long, p long, pv array<double>").join(dealt, ["tree", "part"]).withColumn("slice", one("p", "slices")).withColumn("block", each("blocks"))
+    asked = opened.join(dealt, ["tree", "part"]).withColumn("block", one("q", "blocks")).withColumn("slice", each("slices"))
+    near = asked.drop("blocks", "slices").groupBy(*key).cogroup(indexed.drop("blocks", "slices").groupBy(*key)).applyInArrow(rerank, "q long, p long, distance double")
     found = durable(top(near.groupBy("q", "p").agg(F.min("distance").alias("distance"))))
 
     # queries whose leaves hold too few points, unless there are no more: against all points, in blocks
     enough = found.groupBy("q").count().where(F.col("count") >= min(k + 1, n)).select("q")
     short = durable(queries.join(enough, "q", "left_anti"))
     if not short.isEmpty():
-        found = durable(found.join(enough, "q", "left_semi").unionByName(top(_against_all(short, points, k))))
+        found = durable(found.join(enough, "q", "left_semi").unionByName(top(_in_blocks(short, points, k, query_rows, 2 * part_rows))))
 
     ids = points.select("p", "ids")
     spread = found.join(ids, "p").select("q", "distance", F.explode("ids").alias("id"))
@@ -218,26 +253,38 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     return out.select("query_id", F.posexplode("near").alias("rank", "s")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("s.id").alias(id_col), F.col("s.distance").alias("score"))
 
 
-def _against_all(queries: DataFrame, points: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """q, p, distance of each query's k + 1 nearest points of every batch of points; queries come in blocks."""
-    blocks = queries.count() // block + 1
-    parts = []
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow()
-        if not own.num_rows:
-            continue
-        q, v = own.column("q").to_numpy(), _matrix(own.column("qv").combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch], q=q, v=v) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(lo, 4096)
-                    p, x = batch.column("p").to_numpy(), _matrix(batch.column("x"))
-                    for name, (rows, d) in zip(q, _closest(v, x, p, None, k + 1), strict=True):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(p[rows]), pa.array(d)], names=["q", "p", "distance"])
-
-        parts.append(points.select("p", "x").mapInArrow(run, "q long, p long, distance double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _against_all(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """q, p, distance of the k + 1 nearest points of every batch of points, for a bounded number of queries."""
+    own = queries.toArrow()
+    q, v = own.column("q").to_numpy(), _matrix(own.column("qv").combine_chunks())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                p, x = batch.column("p").to_numpy(), _matrix(batch.column("x"))
+                for name, (rows, d) in zip(q, _closest(v, x, p, None, k + 1), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(p[rows]), pa.array(d)], names=["q", "p", "distance"])
+
+    return points.select("p", "x").mapInArrow(run, "q long, p long, distance double")
+
+
+def _in_blocks(queries: DataFrame, points: DataFrame, k: int, query_rows: int, point_rows: int) -> DataFrame:
+    """The same for any number of queries: blocks of queries meet slices of points."""
+    blocks, slices = queries.count() // query_rows + 1, points.count() // point_rows + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked, held, out = asked.combine_chunks(), held.combine_chunks(), []
+        if asked.num_rows and held.num_rows:
+            p, x = held.column("p").to_numpy(), _matrix(held.column("x").combine_chunks())
+            q, v = asked.column("q").to_numpy(), _matrix(asked.column("qv").combine_chunks())
+            for lo in range(0, len(q), 256):
+                out += [(np.full(len(rows), name), p[rows], d) for name, (rows, d) in zip(q[lo : lo + 256], _closest(v[lo : lo + 256], x, p, None, k + 1), strict=True)]
+        cols = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({c: np.concatenate([np.zeros(0, t), *o]) for c, t, o in zip(("q", "p", "distance"), (np.int64, np.int64, np.float64), cols, strict=True)})
+
+    a = queries.withColumn("block", one("q", blocks)).withColumn("slice", every(slices))
+    b = points.select("p", "x").withColumn("slice", one("p", slices)).withColumn("block", every(blocks))
+    return a.groupBy("block", "slice").cogroup(b.groupBy("block", "slice")).applyInArrow(run, "q long, p long, distance double")
