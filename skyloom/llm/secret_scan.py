@@ -1,15 +1,17 @@
 """Secret scan by a trigram inverted index.
 
 Each rule is a regular expression. Its Boolean trigram query is an OR of clauses, each an AND of trigrams
-(lower case) that every match must contain. One pass writes the postings of the trigrams that some query
-names; they are intersected per document, and only documents that satisfy a query are verified with its
+(lower case) that every match must contain; small character classes are expanded. The index holds, for each block of
+documents and each trigram that some query names, its posting list: the documents of the block whose text has it.
+Posting lists are intersected by clause and united by rule, and only documents so found are verified with its
 expression. Rules with a clause that has no mandatory trigram scan every text. The queries only ever let
 too many documents through, so the spans are those of the plain expressions.
 
-Spans are leftmost and do not overlap within a kind; positions count code points from 0, end exclusive.
+Spans are leftmost and do not overlap within a kind; positions count code points from 0, end exclusive. Spans that start at
+one place come in the order of their rules.
 
-Defined results: null texts are empty and hold nothing; rows of the same id are verified each on its own text;
-an empty table gives no rows; other columns are ignored.
+Defined results: null texts are empty and hold nothing; repeated rows and rows of the same id are verified each on its own text; very
+long texts are scanned whole, and the cost of their spans grows with their number; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,14 +49,36 @@ RULES = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+#: A class of so many letters at most is expanded, while a query has no more clauses than MAX_CLAUSES.
+FEW, MAX_CLAUSES = 8, 64
+#: Documents whose posting lists one row of the index holds, about.
+BLOCK = 4096
+#: Spans that are appended to one array before it is put aside.
+RUN = 256
+
 Clauses = list[list[str]]
 
 
+def _few(members) -> list[str]:
+    """The lower-case letters of a small character class, or none."""
+    out: list[str] = []
+    for op, value in members:
+        if op is sre.LITERAL:
+            out.append(chr(value).lower())
+        elif op is sre.RANGE and value[1] - value[0] < FEW:
+            out += [chr(c).lower() for c in range(value[0], value[1] + 1)]
+        else:
+            return []
+    return sorted(set(out)) if len(out) <= FEW else []
+
+
 def _walk(items, clauses: Clauses) -> Clauses:
     """Extends each clause's literal runs by a parsed sequence; an open run is the last string of its clause."""
     for op, value in items:
         if op is sre.LITERAL:
             clauses = [[*c[:-1], c[-1] + chr(value).lower()] for c in clauses]
+        elif op is sre.IN and (few := _few(value)) and len(clauses) * len(few) <= MAX_CLAUSES:
+            clauses = [[*c[:-1], c[-1] + letter] for c in clauses for letter in few]
         elif op is sre.SUBPATTERN:
             clauses = _walk(value[3], clauses)
         elif op is sre.BRANCH:
@@ -72,18 +96,27 @@ def _walk(items, clauses: Clauses) -> Clauses:
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """The clauses of a pattern's query; an empty clause means that the rule must scan every text."""
-    return [frozenset(run[i : i + 3] for run in clause for i in range(len(run) - 2) if run.isascii()) for clause in _walk(_parser.parse(pattern), [[""]])]
+    clauses = [frozenset(run[i : i + 3] for run in clause for i in range(len(run) - 2) if run.isascii()) for clause in _walk(_parser.parse(pattern), [[""]])]
+    return list(dict.fromkeys(clauses))
+
+
+def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """block, lists: for each block of documents a map from trigram to the keys of those whose text has it. ``rows`` has key and text."""
+    blocks = rows.count() // BLOCK + 1
+    own = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))[0]
+    each = rows.select("key", F.explode(own).alias("trigram")).withColumn("block", F.pmod("key", F.lit(blocks)))
+    lists = each.groupBy("block", "trigram").agg(F.collect_set("key").alias("keys"))
+    return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
 
 
 def candidates(rows: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """key, kinds: the indexed rules whose query the document satisfies. ``rows`` has key and text."""
-    wanted = sorted({t for clauses in queries.values() for c in clauses for t in c})
-    present = F.transform(F.array(F.lower("text")), lambda low: F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(low, t)))[0]
-    postings = rows.select("key", F.explode(present).alias("trigram"))
-    found = postings.groupBy("key").agg(F.collect_set("trigram").alias("has"))
-    holds = lambda clause: reduce(Column.__and__, [F.array_contains("has", t) for t in sorted(clause)])
-    kinds = [F.when(reduce(Column.__or__, map(holds, clauses)), kind) for kind, clauses in queries.items()]
-    return found.select("key", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    index = postings(rows, sorted({t for clauses in queries.values() for c in clauses for t in c}))
+    listed = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), F.array().cast("array<bigint>"))
+    found = lambda clause: reduce(F.array_intersect, map(listed, sorted(clause)))
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.flatten(F.array(*map(found, clauses)))).alias("keys")) for kind, clauses in queries.items()]
+    hits = index.select(F.inline(F.array(*kinds))).select("kind", F.explode("keys").alias("key"))
+    return hits.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, order: int) -> Column:
@@ -97,9 +130,12 @@ def _spans(rule: Rule, order: int) -> Column:
         start = acc["at"] + F.length(x["gap"])
         stop = start + F.length(x["match"])
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
-        return F.struct(stop.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        full = F.size(acc["run"]) >= RUN
+        run, runs = F.when(full, empty).otherwise(acc["run"]), F.when(full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"])
+        return F.struct(stop.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.array_append(run, span)).otherwise(run).alias("run"), runs.alias("runs"))
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    none = F.struct(F.lit(0).alias("at"), empty.alias("run"), F.array().cast("array<array<struct<start:int,order:int,stop:int,kind:string>>>").alias("runs"))
+    folded = F.aggregate(zipped, none, step, lambda acc: F.concat(F.flatten(acc["runs"]), acc["run"]))
     return F.when(F.col("text").rlike(rule.pattern), folded).otherwise(empty)
 
 
