@@ -7,7 +7,8 @@ exactly, only marked regions may differ. The longest acceptance from a start cou
 templates without marks.
 
 Words are runs of ASCII digits and letters and of anything beyond ASCII, after lowering A-Z. Long texts are read in
-pieces that overlap by the longest match.
+pieces that overlap by the longest match. A template may start with a marked region; a match starts at its first mandatory or
+optional word then, since free words before it say nothing.
 
 Defined results: null and empty texts have no words and no places; equal places of several templates are all
 reported; repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
@@ -30,17 +31,63 @@ PHRASES = {
     "mit license": "mit",
 }
 
+# Public license texts and notices, with marks.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software <<optional>>and associated documentation files the software<</optional>>
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+<<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose
+and noninfringement in no event shall the <<any 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from
+out of or in connection with the software or the use or other dealings in the software"""
+_BSD_HEAD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+<<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+<<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+in the documentation and or other materials provided with the distribution"""
+_BSD_NAMES = "<<optional>>3<</optional>> neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_TAIL = """this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability
+and fitness for a particular purpose are disclaimed in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages
+including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability
+whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_ISC = """permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+and this permission notice appear in all copies the software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied warranties
+of merchantability and fitness in no event shall <<any 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+_APACHE = """licensed under the apache license version 2 0 the license you may not use <<optional>>this file<</optional>> <<optional>>these files<</optional>> except in compliance with the license
+you may obtain a copy of the license at <<any 8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"""
+_GPL_VERSION = "either version {} of the license or <<optional>>at your option<</optional>> any later version"
+_GPL = """<<any 6>> is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation
+{} {} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+see the gnu {} public license for more details"""
+
+
+def _gpl(name: str, version: str) -> str:
+    return _GPL.format(name, _GPL_VERSION.format(version), "<<any 6>>", name)
+
+
 #: Templates and their labels.
 TEMPLATES = {
     "licensed under <<optional>>the<</optional>> apache license <<optional>>version<</optional>> 2 0": "apache-2.0",
     "licensed under the <<optional>>terms of the<</optional>> gnu general public license <<optional>>v3<</optional>> <<optional>>version 3<</optional>>": "gpl-notice",
     "gnu general public license <<any 12>> either version 3 of the license or <<optional>>at your option<</optional>> any later version": "gpl-3.0-or-later",
+    "gnu general public license <<any 12>> either version 2 of the license or <<optional>>at your option<</optional>> any later version": "gpl-2.0-or-later",
     "released under the <<optional>>terms of the<</optional>> mit license": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software <<optional>>and associated documentation files the software<</optional>> to deal in the software without restriction": "mit-text",
     "licensed under <<optional>>a creative commons attribution<</optional>> <<optional>>cc by<</optional>> nc <<optional>>sa<</optional>> <<any 1>> 0": "cc-by-nc",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-text",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-text",
     "copyright <<any 8>> all rights reserved": "all-rights-reserved",
+    "<<optional>>this source code form is<</optional>> subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    _MIT: "mit-full",
+    f"{_BSD_HEAD} {_BSD_TAIL}": "bsd-2-clause",
+    f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}": "bsd-3-clause",
+    _ISC: "isc-full",
+    _APACHE: "apache-2.0-notice",
+    _gpl("general", "2"): "gpl-2.0-notice",
+    _gpl("general", "3"): "gpl-3.0-notice",
+    _gpl("lesser general", "3"): "lgpl-3.0-notice",
+    _gpl("affero general", "3"): "agpl-3.0-notice",
 }
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -79,6 +126,8 @@ def compile_template(text: str, label: str, base: bool = False) -> Automaton:
     state = must = longest = depth = 0
     opened: list[int] = []
     for mark in _MARK.findall(text):
+        if mark.startswith("<<any") and not state:
+            continue
         if mark == "<<optional>>":
             opened.append(state)
             depth += 1

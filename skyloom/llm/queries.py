@@ -83,7 +83,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("places", lambda p: p["base"])
     starts = F.transform(base, lambda p: p["start"])
     labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
-    closest = F.array_max(F.transform("places", lambda p: p["must"] / (p["stop"] - p["start"])))
+    # the longer the mandatory wording, and the less of the place is free, the surer
+    closest = F.array_max(F.transform("places", lambda p: p["must"] / (p["must"] + 4) * p["must"] / (p["stop"] - p["start"])))
     return found.select(
         "doc_id",
         "n_words",
