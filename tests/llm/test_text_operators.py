@@ -207,6 +207,45 @@ def test_nearest_vectors_edge_cases(spark):
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_vectors_beyond_the_range_of_squares(spark):
+    for size in (1e160, 1e-200, 1.7e308):
+        rows = [(k, [size * (1 - k / 64), size / 2]) for k in range(20)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [1, 2, 3]
+        assert [r["score"] for r in got] == pytest.approx([size * (k / 64) for k in (1, 2, 3)])
+
+
+def test_nearest_vectors_of_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 9.0]), (2, [1.0, 4.0]), (3, [1.0, 6.0]), (4, [1.0, 8.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 3.0), (0, 3, 3, 5.0)]
+
+
+def test_nearest_vectors_in_blocks_and_slices(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 3 == 0, k=5, leaf=4, recall=1.0, part_rows=20, query_rows=16, tuning=300).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q, near in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len({v for _, v in near} & set(np.argsort(d)[:5]))
+    assert len(got) == 300 and hits >= 0.95 * 1500
+    points = df.select(F.col("vec_id").alias("p"), F.col("embedding").alias("x"))
+    asks = df.where("vec_id < 40").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    best = collections.defaultdict(list)
+    for r in ann._in_blocks(asks, points, 3, 8, 50).collect():
+        best[r["q"]].append((r["distance"], r["p"]))
+    for q, near in best.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert [p for _, p in sorted(near)[:4]] == np.argsort(d, kind="stable")[:4].tolist()
+    assert len(best) == 40
+
+
 # --- chat
 
 
@@ -268,6 +307,19 @@ def test_license_templates(spark):
     assert license_scan.license_places(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_full_licenses_are_told(spark):
+    strip = lambda t: re.sub(r"<<any \d+>>", "x", re.sub(r"<</?optional>>", "", t))
+    made = [(label, strip(t)) for t, label in license_scan.TEMPLATES.items()]
+    rows = license_scan.license_places(docs_of(spark, [f"Some words. {t}. More words" for _, t in made])).collect()
+    assert all(label in {p["label"] for p in r["places"]} for (label, _), r in zip(made, sorted(rows), strict=True))
+    full = dict((label, t) for t, label in license_scan.TEMPLATES.items())
+    left_out = re.sub(r"<<optional>>.*?<</optional>>", "", full["mit-full"]).replace("<<any 12>>", "")
+    wrong = left_out.replace("merchantability", "merchantableness")
+    auto = license_scan.compiled({}, {full["mit-full"]: "mit-full"})
+    assert [[p[0] for p in license_scan.scan(t, auto)[1]] for t in (left_out, wrong, left_out + " x", left_out[:-9])] == [["mit-full"], [], ["mit-full"], []]
+    assert license_scan.scan("Any tool at all is free software " + "x", license_scan.compiled({}, {"<<any 3>> is free software": "free"}))[1] == [("free", False, 4, 7, 3)]
+
+
 # --- exact copies
 
 
@@ -465,6 +517,21 @@ def test_trigram_queries_are_necessary():
             if re.search(rule.pattern, text, re.A):
                 assert any(all(t in text.lower() for t in c) for c in clauses)
     assert secret_scan.trigram_query(r"[0-9a-f]{24,}") == [frozenset()]
+    assert secret_scan.trigram_query("x[ab]yz") == [frozenset({"xay", "ayz"}), frozenset({"xby", "byz"})]
+    assert [r.kind for r in secret_scan.RULES if not all(secret_scan.trigram_query(r.pattern))] == ["hex"]
+
+
+def test_posting_lists_are_intersected(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 3)
+    texts = ["Password", "pass word", "secret token", "AKIA", "aki kia", "", None, "sec cre ecr ret", "xpassx asswx sswox swor word"] * 3
+    rows = docs_of(spark, texts).select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    queries_ = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES if r.kind in ("assign", "access")}
+    got = {r["key"]: set(r["kinds"]) for r in secret_scan.candidates(rows, queries_).collect()}
+    want = {k: {kind for kind, clauses in queries_.items() if any(all(t in (text or "").lower() for t in c) for c in clauses)} for k, text in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v} and got[0] == {"assign"} and got[4] == {"access"}
+    wanted = {t for c in queries_.values() for x in c for t in x}
+    index = secret_scan.postings(rows, sorted(wanted)).collect()
+    assert len(index) > 3 and {(t, k) for r in index for t, keys in r["lists"].items() for k in keys} == {(t, k) for k, text in enumerate(texts) for t in wanted if t in (text or "").lower()}
 
 
 # --- counts
