@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import col, ratio
-from skyloom.operators.quantiles import exact_percentiles
+from skyloom.operators.quantiles import exact_percentiles, grouped_percentiles
+from skyloom.operators.storage import small
 
 
 def weighted_mean(value: str | Column, error: str | Column) -> Column:
@@ -59,14 +60,14 @@ def equal_count_edges(df: DataFrame, value: str, bins: int, low: float = 0.005,
 
 
 def running_statistic(df: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:
-    """Per bin: centre, count and percentiles of y over rows strictly inside the edges. ``edges`` is small."""
-    inside = (F.col(x) > F.col("lo")) & (F.col(x) < F.col("hi"))
-    return (
-        df.join(F.broadcast(edges), inside)
-        .groupBy("bin", "lo", "hi")
-        .agg(F.count("*").alias("n"), F.percentile(y, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("p"))
-        .select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("centre"), "n", F.col("p")[0].alias("p16"), F.col("p")[1].alias("median"), F.col("p")[2].alias("p84"))
-    )
+    """Per bin that holds rows: centre, count and percentiles of y over rows strictly inside the edges. ``edges`` has a row for each of a few bins."""
+    binned = df.join(small(edges, 32), (F.col(x) > F.col("lo")) & (F.col(x) < F.col("hi"))).select("bin", F.col(y).alias("_y"))
+    found = grouped_percentiles(binned, "bin", "_y", [0.16, 0.5, 0.84])
+    kinds = "array<struct<bin:bigint,p16:double,median:double,p84:double>>"
+    rows = [F.struct(F.lit(k).alias("bin"), *[F.lit(v).alias(c) for c, v in zip(("p16", "median", "p84"), p, strict=True)]) for k, p in found.items()]
+    marks = df.sparkSession.range(1).select(F.inline(F.array(*rows).cast(kinds)))
+    n = binned.groupBy("bin").agg(F.count("*").alias("n"))
+    return edges.join(n, "bin").join(F.broadcast(marks), "bin", "left").select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("centre"), "n", "p16", "median", "p84")
 
 
 def interpolate(df: DataFrame, x: str, knots: DataFrame, knot_x: str, knot_y: str, out: str) -> DataFrame:
@@ -77,7 +78,7 @@ def interpolate(df: DataFrame, x: str, knots: DataFrame, knot_x: str, knot_y: st
     inside = ((F.col("_k") == 1) | (at >= F.col("_x0"))) & (F.col("_x1").isNull() | (at < F.col("_x1")))
     line = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (at - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
     value = F.when(F.col("_x1").isNull() | (at <= F.col("_x0")), F.col("_y0")).otherwise(line)
-    return df.join(F.broadcast(k), inside, "left").withColumn(out, value).drop("_x0", "_y0", "_x1", "_y1", "_k")
+    return df.join(small(k, 48), inside, "left").withColumn(out, value).drop("_x0", "_y0", "_x1", "_y1", "_k")
 
 
 def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:

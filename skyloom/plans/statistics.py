@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import expr
 from skyloom.operators import quality, stats
+from skyloom.operators.quantiles import exact_percentiles
 from skyloom.plans.registry import Registry, count, r
 from skyloom.sources.views import DETECTIONS, detections, table
 
@@ -166,8 +167,12 @@ def class_profiles(spark, d):
 @query("""SELECT round((median(l_extendedprice) FILTER (l_returnflag = 'R') - median(l_extendedprice) FILTER (l_returnflag = 'N')) / stddev_pop(l_extendedprice), 6) + 0.0 AS price,
 round((median(l_quantity) FILTER (l_returnflag = 'R') - median(l_quantity) FILTER (l_returnflag = 'N')) / stddev_pop(l_quantity), 6) + 0.0 AS quantity FROM lineitem""")
 def median_shift(spark, d):
-    gap = lambda c: (F.median(F.when(F.col("l_returnflag") == "R", F.col(c))) - F.median(F.when(F.col("l_returnflag") == "N", F.col(c)))) / F.stddev_pop(c)
-    return table(spark, d, "lineitem").agg(r(gap("l_extendedprice")).alias("price"), r(gap("l_quantity")).alias("quantity"))
+    """Difference of two classes' medians in deviations; the medians of all rows of a class are found in bounded memory."""
+    lines, names = table(spark, d, "lineitem"), ("l_extendedprice", "l_quantity")
+    split = lines.select([F.when(F.col("l_returnflag") == k, F.col(c)).alias(f"{c}_{k}") for c in names for k in "RN"])
+    m = exact_percentiles(split, split.columns, [0.5])
+    gap = lambda c: F.lit(m[f"{c}_R"][0]).cast("double") - F.lit(m[f"{c}_N"][0]).cast("double")
+    return lines.agg(*[r(gap(c) / F.stddev_pop(c)).alias(n) for c, n in zip(names, ("price", "quantity"), strict=True)])
 
 
 @query("""SELECT event_type, round(1 - sqrt(power(avg(cos(2 * pi() * hour(ts) / 24)), 2) + power(avg(sin(2 * pi() * hour(ts) / 24)), 2)), 6) + 0.0 AS circular_variance FROM events GROUP BY 1""")
