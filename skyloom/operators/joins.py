@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.sky import separation
+from skyloom.functions.sky import moved, separation
+from skyloom.operators.ordering import numbered
+from skyloom.operators.storage import durable
 
 
 def cross_match(left: DataFrame, right: DataFrame, radius: float, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
     """left_id, right_id, sep of each left row's nearest right row within ``radius`` degrees; ties go to the smaller right id.
 
     Both sides have id, lon, lat. The sphere is cut into bands of latitude at least ``radius`` high and cells of longitude that
-    hold it at the band's edge nearest a pole; right rows are copied to neighbouring bands and cells (nine at most).
+    hold it at the band's edge nearest a pole; right rows are copied to neighbouring bands and cells (nine at most). The height
+    follows the radius, so a cell of a crowded field holds what lies within a few radii.
     """
-    height = max(radius, 180 / 4096)
-    bands = int(180 / height)
+    bands = int(180 / max(radius, 1e-6))
     height = 180 / bands
 
     def cells(band):
@@ -39,7 +41,7 @@ def cross_match(left: DataFrame, right: DataFrame, radius: float, left_id: str =
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, within: float, columns: list[str]) -> DataFrame:
     """Each left row with the right row of its key that is nearest in time, if within ``within``; of equal ones the earlier.
 
-    One sort per key: the last right row at or before and the first one at or after each left row are the only candidates.
+    Two sorts per key: the last right row at or before and the first one at or after each left row are the only candidates.
     """
     carry = F.struct(F.col(time).alias("t2"), *[F.col(c) for c in columns])
     a = left.withColumns({"_right": F.lit(None).cast(right.select(carry.alias("s")).schema["s"].dataType), "_left": F.lit(True)})
@@ -47,7 +49,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, with
     both = a.unionByName(b, allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy(time)
     back = F.last("_right", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("_right", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # the first one ahead is the last one met when time runs backwards: both frames only ever grow
+    turned = Window.partitionBy(key).orderBy(F.col(time).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.last("_right", ignorenulls=True).over(turned)
     out = both.withColumns({"_back": back, "_ahead": ahead}).where("_left")
     gap = lambda s: F.abs(F.col(time) - F.col(f"{s}.t2"))
     best = F.when(F.col("_ahead").isNull() | (gap("_back") <= gap("_ahead")), F.col("_back")).otherwise(F.col("_ahead"))
@@ -56,9 +60,46 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, with
 
 
 def predecessor(points: DataFrame, index: DataFrame, value: str, start: str) -> DataFrame:
-    """Each point with the index row whose start is the last one at or below its value. ``index`` is a dimension (broadcast if small)."""
-    ranges = index.withColumn("_end", F.lead(start).over(Window.orderBy(start)))
-    return points.join(ranges, (F.col(value) >= F.col(start)) & (F.col("_end").isNull() | (F.col(value) < F.col("_end")))).drop("_end")
+    """Each point with the index row whose start is the last one at or below its value. Starts are distinct.
+
+    Index rows are listed under every slot of values that they reach, about two slots a row, and meet the points of the slot by an equality.
+    """
+    low, high, n = index.agg(F.min(start), F.max(start), F.count("*")).first()
+    if not n:
+        return points.join(index, F.lit(False))
+    width = max((float(high) - float(low)) / n, 1e-300)
+    slot = lambda v: F.least(F.floor((v - F.lit(float(low))) / width), F.lit(n)).cast("long")
+    ends = numbered(index, start, name="_row")
+    after = ends.select((F.col("_row") - 1).alias("_row"), F.col(start).alias("_end"))
+    ranges = ends.join(after, "_row", "left").drop("_row").withColumn("_slot", F.explode(F.sequence(slot(F.col(start)), F.coalesce(slot(F.col("_end")), F.lit(n)))))
+    met = points.withColumn("_slot", slot(F.col(value))).join(ranges, "_slot")
+    return met.where((F.col(value) >= F.col(start)) & (F.col("_end").isNull() | (F.col(value) < F.col("_end")))).drop("_slot", "_end")
+
+
+def nearest_of_all(left: DataFrame, right: DataFrame, left_id: str = "left_id", right_id: str = "right_id", start: float = 0.5) -> DataFrame:
+    """left_id, right_id, sep of each left row's nearest right row at any distance: rows without one yet look four times as far."""
+    out, rest, radius = None, left, start
+    while True:
+        found = durable(cross_match(rest, right, radius, left_id, right_id))
+        out = found if out is None else out.unionByName(found)
+        rest = durable(rest.join(found, F.col("id") == F.col(left_id), "left_anti"))
+        if radius > 180 or rest.isEmpty():
+            return out
+        radius *= 4
+
+
+def both_ways(left: DataFrame, right: DataFrame, start: float = 0.5) -> DataFrame:
+    """left_id, right_id, sep, forward: the nearest right row of each left row, and the nearest left row of each right row."""
+    back = nearest_of_all(right, left, "right_id", "left_id", start).select("left_id", "right_id", "sep", F.lit(False).alias("forward"))
+    return nearest_of_all(left, right, start=start).withColumn("forward", F.lit(True)).unionByName(back)
+
+
+def match_catalogues(left: DataFrame, right: DataFrame, radius: float, years: float = 0.0, use_pm: bool = False) -> DataFrame:
+    """``cross_match`` of two catalogues; with ``use_pm`` the right one's positions are moved by its proper motions (pm_lon, pm_lat, mas a year) over ``years`` first."""
+    if use_pm:
+        lon, lat = moved("lon", "lat", "pm_lon", "pm_lat", years)
+        right = right.withColumns({"_lon": F.pmod(lon, F.lit(360.0)), "_lat": lat}).select("id", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+    return cross_match(left, right, radius)
 
 
 def grid_cell(points: DataFrame, lon: str, lat: str, lon0: float, lat0: float, size_lon: float, size_lat: float, n_lon: int, n_lat: int) -> DataFrame:

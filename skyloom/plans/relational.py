@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.operators import stats
+from skyloom.operators.ordering import numbered
 from skyloom.plans.registry import Registry, count, r
 from skyloom.sources.views import table
 
@@ -147,9 +148,7 @@ def union_by_name(spark, d):
 SELECT xid, c_custkey, c_name FROM up JOIN customer ON user_id = c_custkey""")
 def upload_join(spark, d):
     """Rows of an outside list keep their position through a join."""
-    from pyspark.sql import Window
-
-    up = table(spark, d, "events").where("event_type = 'purchase'").select((F.row_number().over(Window.orderBy("event_id")) - 1).cast("long").alias("xid"), F.col("user_id").alias("c_custkey"))
+    up = numbered(table(spark, d, "events").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("c_custkey")), "event_id", name="xid")
     return up.join(table(spark, d, "customer"), "c_custkey").select("xid", "c_custkey", "c_name")
 
 
@@ -190,9 +189,12 @@ def tail_slice(spark, d):
 
 @query("SELECT chunk, count(*) AS n, min(s_suppkey) AS lo, max(s_suppkey) AS hi FROM (SELECT s_suppkey, ntile(8) OVER (ORDER BY (s_suppkey * 31) % 1009, s_suppkey) AS chunk FROM supplier) GROUP BY chunk")
 def shuffled_chunks(spark, d):
-    from pyspark.sql import Window
-
-    c = table(spark, d, "supplier").select("s_suppkey", F.ntile(8).over(Window.orderBy((F.col("s_suppkey") * 31) % 1009, "s_suppkey")).cast("long").alias("chunk"))
+    """Eight chunks of nearly equal size in a shuffled order; the first ones take what is over."""
+    s = table(spark, d, "supplier").select("s_suppkey")
+    size, over = divmod(s.count(), 8)
+    at = numbered(s.withColumn("key", (F.col("s_suppkey") * 31) % 1009), "key", "s_suppkey", name="at")
+    late = F.when(F.lit(size > 0), F.floor((F.col("at") - over * (size + 1)) / max(1, size)) + over)
+    c = at.select("s_suppkey", (F.when(F.col("at") < over * (size + 1), F.floor(F.col("at") / (size + 1))).otherwise(late) + 1).cast("long").alias("chunk"))
     return c.groupBy("chunk").agg(count().alias("n"), F.min("s_suppkey").alias("lo"), F.max("s_suppkey").alias("hi"))
 
 

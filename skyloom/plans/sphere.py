@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,11 +27,15 @@ def wrap_longitude(spark, d):
     return sky(spark, d).select("sourceid", r(expr.signed_longitude("lon")).alias("lon"), r("lat").alias("lat"))
 
 
-@query("""SELECT (i * 18 + j)::BIGINT AS cell, (5 + 10 * i)::DOUBLE AS l, (-85 + 10 * j)::DOUBLE AS b FROM range(36) x(i), range(18) y(j)""")
+@query(f"""WITH {SKY}, n AS (SELECT floor(lon / 10)::BIGINT * 18 + floor((least(greatest(lat, -89.999999), 89.999999) + 90) / 10)::BIGINT AS cell, count(*) AS n FROM sky GROUP BY 1)
+SELECT (i * 18 + j)::BIGINT AS cell, (5 + 10 * i)::DOUBLE AS l, (-85 + 10 * j)::DOUBLE AS b, coalesce(n, 0)::BIGINT AS n FROM range(36) x(i), range(18) y(j) LEFT JOIN n ON n.cell = i * 18 + j""")
 def make_grid(spark, d):
-    """Centres of regular boxes; numbers follow longitude, then latitude."""
+    """Centres of regular boxes with the number of sources in each, empty ones too; numbers follow longitude, then latitude."""
     g = spark.range(36).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(17))))
-    return g.select((F.col("i") * 18 + F.col("j")).cast("long").alias("cell"), r(5 + 10 * F.col("i"), 4).alias("l"), r(-85 + 10 * F.col("j"), 4).alias("b"))
+    g = g.select((F.col("i") * 18 + F.col("j")).cast("long").alias("cell"), r(5 + 10 * F.col("i"), 4).alias("l"), r(-85 + 10 * F.col("j"), 4).alias("b"))
+    s = sky(spark, d).withColumn("lat", expr.clamp("lat", -90, 90, 1e-6))
+    n = joins.grid_cell(s, "lon", "lat", 0, -90, 10, 10, 36, 18).groupBy("cell").agg(count().alias("n"))
+    return g.join(n, "cell", "left").select("cell", "l", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {SKY} SELECT floor(lon / 10)::BIGINT * 18 + floor((least(greatest(lat, -89.999999), 89.999999) + 90) / 10)::BIGINT AS cell, count(*) AS n, round(avg(mag), 6) + 0.0 AS mag FROM sky GROUP BY 1")
@@ -95,15 +101,26 @@ def galactic_coords(spark, d):
     return s.select("sourceid", r(lon, 5).alias("l"), r(lat, 5).alias("b"))
 
 
-@query("""WITH i AS (SELECT k AS idx, k * 37 + (k * k) % 11 AS start FROM range(40) t(k)), p AS (SELECT l_orderkey, l_linenumber, l_partkey % 1600 AS pix FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, pix, idx FROM p ASOF JOIN i ON pix >= start""")
+@query("""WITH i AS (SELECT k AS idx, k * 37 + (k * k) % 11 AS start, (k % 7) / 10.0::DOUBLE AS ext, (k % 3) / 100.0::DOUBLE AS spread, 5 + k % 4 AS level FROM range(40) t(k)), p AS (SELECT l_orderkey, l_linenumber, l_partkey % 1600 AS pix FROM lineitem)
+SELECT l_orderkey, l_linenumber, pix, idx, round(ext, 4) + 0.0 AS ext, round(spread, 4) + 0.0 AS spread, round(sqrt(4 * pi() / 12) / power(2, level), 8) + 0.0 AS resolution FROM p ASOF JOIN i ON pix >= start""")
 def moc_lookup(spark, d):
-    """Pixel to the last index row that starts at or before it."""
+    """Pixel to the last index row that starts at or before it: its value, spread and resolution (the side of a pixel of its level)."""
     from skyloom.sources.views import table
 
-    index = spark.range(40).select(F.col("id").alias("idx"), (F.col("id") * 37 + (F.col("id") * F.col("id")) % 11).alias("start"))
-    p = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", (F.col("l_partkey") % 1600).alias("pix"))
-    return joins.predecessor(p, index, "pix", "start").select("l_orderkey", "pix", "idx")
+    k = F.col("id")
+    index = spark.range(40).select(k.alias("idx"), (k * 37 + (k * k) % 11).alias("start"), ((k % 7) / 10).alias("ext"), ((k % 3) / 100).alias("spread"), (5 + k % 4).alias("level"))
+    p = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1600).alias("pix"))
+    m = joins.predecessor(p, index, "pix", "start")
+    side = (4 * math.pi / 12) ** 0.5 / F.pow(F.lit(2.0), F.col("level"))
+    return m.select("l_orderkey", "l_linenumber", "pix", "idx", r("ext", 4).alias("ext"), r("spread", 4).alias("spread"), r(side, 8).alias("resolution"))
+
+
+@query(f"""WITH {SKY}, m AS (SELECT a.sourceid AS left_id, b.sourceid AS right_id, {sep('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS sep FROM sky a, sky b WHERE a.sourceid % 2 = 0 AND b.sourceid % 2 = 1)
+SELECT left_id, right_id, round(sep, 6) + 0.0 AS sep, true AS forward FROM m QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY sep, right_id) = 1
+UNION ALL SELECT left_id, right_id, round(sep, 6) + 0.0, false FROM m QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY sep, left_id) = 1""")
+def xmatch_both_ways(spark, d):
+    """Nearest neighbours at any distance, in both directions."""
+    return joins.both_ways(*halves(spark, d), start=2.0).select("left_id", "right_id", r("sep").alias("sep"), "forward")
 
 
 @query()
