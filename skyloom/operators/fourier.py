@@ -235,17 +235,3 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
         return pd.DataFrame([{"sourceid": key[0]} | row]).astype({"n_epochs": "Int32", "lsq_nterms": "Int32", "significant_second_minimum": "boolean"})[SCHEMA.names]
 
     return lc.select("sourceid", "t", "mag", "emag").groupBy("sourceid").applyInPandas(one, SCHEMA)
-
-
-def without_polynomial(lc: DataFrame, degree: int = 3) -> DataFrame:
-    """``sourceid, event_id, t, residual``: values minus their weighted polynomial in time since the median epoch."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna()
-        t = (pdf["t"] - pdf["t"].median()).to_numpy()
-        terms = min(degree, max(len(t) - 1, 0))
-        x = np.vander(t / (np.abs(t).max() or 1.0), terms + 1) / pdf["emag"].to_numpy()[:, None]
-        fit = np.linalg.lstsq(x, pdf["mag"].to_numpy() / pdf["emag"].to_numpy(), rcond=None)[0]
-        return pdf.assign(residual=pdf["mag"] - (x @ fit) * pdf["emag"])[["sourceid", "event_id", "t", "residual"]]
-
-    return lc.select("sourceid", "event_id", "t", "mag", "emag").groupBy("sourceid").applyInPandas(one, "sourceid long, event_id long, t double, residual double")

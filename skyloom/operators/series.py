@@ -50,14 +50,14 @@ def nearest_in_phase(lc: DataFrame, period: str | Column, k: int, key: str = "so
     return out.select(key, id_col, F.col("_p").alias("phase"), F.col(value), "local_mean")
 
 
-def spectrum(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", window: bool = False) -> DataFrame:
+def spectrum(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", window: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Lomb-Scargle power (floating mean, standard norm) of every source at every frequency, or the window's with ``window``.
 
-    ``frequencies`` is an array expression. One shuffle by source; sums are combined before the second by (source, frequency).
+    ``frequencies`` is an array expression, which may use ``extra`` columns; ``window_power`` is that of the sampling. One shuffle by source.
     """
     w = F.col("w")
     total = Window.partitionBy(key)
-    rows = lc.select(key, F.col(time).alias("t"), F.col(value).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w")).where("y IS NOT NULL AND w IS NOT NULL")
+    rows = lc.select(key, F.col(time).alias("t"), F.col(value).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w"), *extra).where("y IS NOT NULL AND w IS NOT NULL")
     rows = rows.withColumn("w", w / F.sum("w").over(total))
     rows = rows.withColumn("y", F.lit(1.0) if window else F.col("y") - F.sum(w * F.col("y")).over(total))
     each = rows.withColumn("f", F.explode(frequencies))
@@ -70,7 +70,64 @@ def spectrum(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: st
     shift = 0.0 if window else 1.0
     cc, ss, cs = F.col("CC") - shift * F.col("C") * F.col("C"), 1 - F.col("CC") - shift * F.col("S") * F.col("S"), F.col("CS") - shift * F.col("C") * F.col("S")
     top = ss * F.col("YC") * F.col("YC") + cc * F.col("YS") * F.col("YS") - 2 * cs * F.col("YC") * F.col("YS")
-    return sums.select(key, "f", F.try_divide(top, F.col("YY") * (cc * ss - cs * cs)).alias("power"))
+    seen = (1 - F.col("CC")) * F.col("C") * F.col("C") + F.col("CC") * F.col("S") * F.col("S") - 2 * F.col("CS") * F.col("C") * F.col("S")
+    seen = F.try_divide(seen, F.col("CC") * (1 - F.col("CC")) - F.col("CS") * F.col("CS"))
+    return sums.select(key, "f", F.try_divide(top, F.col("YY") * (cc * ss - cs * cs)).alias("power"), seen.alias("window_power"))
+
+
+def own_grid(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t") -> tuple[DataFrame, Column]:
+    """``lc`` with the baseline of each source (_span), and its frequencies: from f_min to f_max in steps of 1 / (oversampling * baseline)."""
+    w = Window.partitionBy(key)
+    lc = lc.withColumn("_span", F.max(time).over(w) - F.min(time).over(w)).where("_span > 0")
+    return lc, F.transform(F.sequence(F.lit(0).cast("long"), F.round((f_max - f_min) * oversampling * F.col("_span")).cast("long")), lambda k: f_min + k / (oversampling * F.col("_span")))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x of 8 or more (Stirling's series)."""
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+
+def log10_false_alarm(power: Column, n: Column, deviation: Column, f_max: float) -> Column:
+    """Upper bound of the false-alarm probability of a standard power among n epochs whose times deviate so much; for 20 epochs or more."""
+    d = (n - 3).cast("double")
+    gamma = F.sqrt(2 / d) * F.exp(log_gamma(d / 2) - log_gamma((d - 1) / 2))
+    rest = 1 - F.least(F.greatest(power, F.lit(0.0)), F.lit(1 - 1e-15))
+    single = F.pow(rest, d / 2)
+    tau = gamma * f_max * math.sqrt(4 * math.pi) * deviation * F.pow(rest, (d - 1) / 2) * F.sqrt(d / 2 * (1 - rest))
+    return F.log10(single - (1 - single) * F.expm1(-tau))
+
+
+def candidate_frequency(lc: DataFrame, f_min: float, f_max: float, least_points: int = 21, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
+    """Per source: the strongest local maximum that the sampling's own power does not reach, its power, its place among all maxima and the false-alarm bound."""
+    rows = lc.where(F.col(value).isNotNull() & F.col(error).isNotNull())
+    about = rows.groupBy(key).agg(F.count("*").alias("n"), F.stddev_pop(time).alias("_dev")).where(F.col("n") >= least_points)
+    grid, frequencies = own_grid(rows, f_min, f_max, key=key, time=time)
+    spec = spectrum(grid.join(about.select(key), key, "left_semi"), frequencies, key, time, value, error, extra=("_span",))
+    order = Window.partitionBy(key).orderBy("f")
+    tops = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
+    tops = tops.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f"))).where("window_power <= power")
+    best = tops.groupBy(key).agg(F.min_by(F.struct("f", "power", "place"), "place").alias("s")).select(key, "s.*")
+    return best.join(about, key).select(key, "n", "f", "power", "place", log10_false_alarm(F.col("power"), F.col("n"), F.col("_dev"), f_max).alias("log10_fap"))
+
+
+def without_cubic(lc: DataFrame, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
+    """``lc`` with ``residual``: values minus their weighted cubic in time, by polynomials that are orthogonal over each source's own epochs.
+
+    One shuffle by source, a sum over the source for each coefficient; a source of k points gets a polynomial of degree k - 1 at most.
+    """
+    all_ = Window.partitionBy(key)
+    w, t = 1 / (F.col(error) * F.col(error)), F.col("_t")
+    total = lambda c: F.sum(w * c).over(all_)
+    known = F.col(value).isNotNull() & F.col(error).isNotNull()
+    rows = lc.where(known).withColumn("_n", F.count("*").over(all_)).withColumn("_t", F.col(time) - F.avg(time).over(all_)).withColumns({"_p0": F.lit(1.0), "residual": F.col(value)})
+    for k in range(4):
+        p = F.col(f"_p{k}")
+        rows = rows.withColumn(f"_s{k}", total(p * p))
+        rows = rows.withColumn("residual", F.col("residual") - F.when(F.col("_n") > k, F.coalesce(F.try_divide(total(F.col("residual") * p), F.col(f"_s{k}")), F.lit(0.0))).otherwise(0.0) * p)
+        if k < 3:
+            before = F.coalesce(F.try_divide(F.col(f"_s{k}"), F.col(f"_s{k - 1}")), F.lit(0.0)) * F.col(f"_p{k - 1}") if k else F.lit(0.0)
+            rows = rows.withColumn(f"_p{k + 1}", (t - F.coalesce(F.try_divide(total(t * p * p), F.col(f"_s{k}")), F.lit(0.0))) * p - before)
+    return rows.drop("_n", "_t", *[f"_{c}{k}" for k in range(4) for c in "ps"])
 
 
 def peaks(spec: DataFrame, top: int, key: str = "sourceid") -> DataFrame:

@@ -220,9 +220,43 @@ def percentile_diff(spark, d):
     return series.phase_depth(detections(spark, d), F.lit(PERIOD)).select("sourceid", r("percentile_diff", 5).alias("percentile_diff"))
 
 
-@query()
+def _cubic() -> str:
+    """Polynomials that are orthogonal over each source's epochs, one after another."""
+    over = lambda x: f"sum(w * {x}) OVER p"
+    part = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    steps = ["r0 AS (SELECT sourceid, event_id, mag AS y, t - avg(t) OVER p AS t, count(*) OVER p AS n, 1 / (emag * emag) AS w, 1.0::DOUBLE AS p0 FROM lc WINDOW p AS (PARTITION BY sourceid))"]
+    for k in range(4):
+        steps.append(f"s{k} AS (SELECT *, {over(f'p{k} * p{k}')} AS q{k} FROM r{k} WINDOW p AS (PARTITION BY sourceid))")
+        back = f" - {part(f'q{k}', f'q{k - 1}')} * p{k - 1}" if k else ""
+        after = f", (t - {part(over(f't * p{k} * p{k}'), f'q{k}')}) * p{k}{back} AS p{k + 1}" if k < 3 else ""
+        steps.append(f"r{k + 1} AS (SELECT * EXCLUDE (y), y - CASE WHEN n > {k} THEN {part(over(f'y * p{k}'), f'q{k}')} ELSE 0 END * p{k} AS y{after} FROM s{k} WINDOW p AS (PARTITION BY sourceid))")
+    return ", ".join(steps)
+
+
+@query(f"WITH {DETECTIONS}, {_cubic()} SELECT sourceid, count(*) AS n, round(stddev_pop(y), 5) + 0.0 AS scatter FROM r4 GROUP BY 1")
 def poly_detrend(spark, d):
     """Scatter around a cubic of each source."""
-    from skyloom.operators import fourier
+    return series.without_cubic(detections(spark, d)).groupBy("sourceid").agg(count("event_id").alias("n"), r(F.stddev_pop("residual"), 5).alias("scatter"))
+
+
+_GAMMA = "(({x} - 0.5) * ln({x}) - {x} + 0.5 * ln(2 * pi()) + 1 / (12 * {x}) - 1 / (360 * {x} * {x} * {x}))"
+F_MIN, F_MAX = 0.00066667, 20.0
+
+
+@query(f"""WITH {DETECTIONS}, a AS (SELECT sourceid, count(*) AS n, stddev_pop(t) AS dev, max(t) - min(t) AS span FROM lc GROUP BY 1 HAVING count(*) >= 21),
+v AS (SELECT sourceid, t, (1 / (emag * emag)) / sum(1 / (emag * emag)) OVER p AS w, mag - sum(mag / (emag * emag)) OVER p / sum(1 / (emag * emag)) OVER p AS y FROM lc WHERE sourceid IN (SELECT sourceid FROM a) WINDOW p AS (PARTITION BY sourceid)),
+fr AS (SELECT sourceid, {F_MIN}::DOUBLE + unnest(range(0, 1 + round(({F_MAX}::DOUBLE - {F_MIN}::DOUBLE) * 5 * span)::BIGINT)) / (5 * span) AS f FROM a WHERE span > 0),
+q AS (SELECT sourceid, f, sum(w * cos(2 * pi() * f * t)) AS c, sum(w * sin(2 * pi() * f * t)) AS s, sum(w * y * y) AS yy, sum(w * y * cos(2 * pi() * f * t)) AS yc, sum(w * y * sin(2 * pi() * f * t)) AS ys,
+  sum(w * cos(2 * pi() * f * t) * cos(2 * pi() * f * t)) AS cc, sum(w * cos(2 * pi() * f * t) * sin(2 * pi() * f * t)) AS cs FROM v JOIN fr USING (sourceid) GROUP BY ALL),
+spec AS (SELECT sourceid, f, ((1 - cc - s * s) * yc * yc + (cc - c * c) * ys * ys - 2 * (cs - c * s) * yc * ys) / nullif(yy * ((cc - c * c) * (1 - cc - s * s) - (cs - c * s) * (cs - c * s)), 0) AS power,
+  ((1 - cc) * c * c + cc * s * s - 2 * cs * c * s) / nullif(cc * (1 - cc) - cs * cs, 0) AS seen FROM q),
+l AS (SELECT *, lag(power) OVER o AS pa, lead(power) OVER o AS pb FROM spec WINDOW o AS (PARTITION BY sourceid ORDER BY f)),
+k AS (SELECT *, row_number() OVER (PARTITION BY sourceid ORDER BY power DESC, f) AS place FROM l WHERE power > pa AND power > pb),
+b AS (SELECT k.*, n, (n - 3)::DOUBLE AS dg, dev, 1 - least(greatest(power, 0), 1 - 1e-15) AS rest FROM k JOIN a USING (sourceid) WHERE seen <= power QUALIFY row_number() OVER (PARTITION BY sourceid ORDER BY place) = 1),
+e AS (SELECT *, power(rest, dg / 2) AS single, sqrt(2 / dg) * exp({_GAMMA.format(x='(dg / 2)')} - {_GAMMA.format(x='((dg - 1) / 2)')}) * {F_MAX} * sqrt(4 * pi()) * dev * power(rest, (dg - 1) / 2) * sqrt(dg / 2 * (1 - rest)) AS tau FROM b)
+SELECT sourceid, n, round(f, 4) + 0.0 AS f, round(power, 5) + 0.0 AS power, place, CASE WHEN single + tau > 0 THEN round(log10(single - (1 - single) * (exp(-tau) - 1)), 4) + 0.0 END AS log10_fap FROM e""")
+def ls_candidates(spark, d):
+    """The frequency that each source's spectrum proposes, on its own grid with the survey's limits, and how likely noise would."""
+    c = series.candidate_frequency(detections(spark, d), F_MIN, F_MAX)
+    return c.select("sourceid", "n", r("f", 4).alias("f"), r("power", 5).alias("power"), F.col("place").cast("long").alias("place"), r("log10_fap", 4).alias("log10_fap"))
 
-    return fourier.without_polynomial(detections(spark, d)).groupBy("sourceid").agg(count("event_id").alias("n"), F.stddev_pop("residual").alias("scatter"))
