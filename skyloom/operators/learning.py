@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
@@ -180,6 +181,23 @@ class Forest:
             out = out.withColumn("prob_var", 1 - F.col("_p")[self.classes.index(self.constant)])
         return out.drop("_features", "_r", "_p", "_c")
 
+    def save(self, path: str) -> None:
+        """Writes the fitted model and what predictions need besides it; ``load`` reads both."""
+        self.model.write().overwrite().save(f"{path}/model")
+        about = [(json.dumps({"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes}),)]
+        self.model_session().createDataFrame(about, "about string").write.mode("overwrite").json(f"{path}/about")
+
+    @staticmethod
+    def model_session() -> SparkSession:
+        return SparkSession.getActiveSession()
+
+    @classmethod
+    def load(cls, path: str) -> Forest:
+        about = json.loads(cls.model_session().read.schema("about string").json(f"{path}/about").first()["about"])
+        out = cls(about["features"], about["label"], about["constant"])
+        out.classes, out.model = about["classes"], RandomForestClassificationModel.load(f"{path}/model")
+        return out
+
     def importance(self) -> dict[str, float]:
         return dict(zip(self.features, self.model.featureImportances.toArray().tolist(), strict=True))
 
@@ -198,7 +216,18 @@ def cross_validated(df: DataFrame, make, id_col: str, folds: int) -> DataFrame:
     return out
 
 
-def cascade(df: DataFrame, first: Forest, second: Forest, threshold: float = 0.65, wanted: str = "VAR") -> DataFrame:
-    """Rows that the first model calls ``wanted`` with enough probability, classified by the second; the first's stays as prob_1st_stage."""
+def cascade(df: DataFrame, first: Forest, second: Forest, threshold: float = 0.65, wanted: str = "VAR", second_nofap: Forest | None = None) -> DataFrame:
+    """Rows that the first model calls ``wanted`` with enough probability, classified by the second; the first's stays as prob_1st_stage.
+
+    ``second_nofap``, a model without the false-alarm features, gives class_nofap and prob_nofap besides.
+    """
     kept = first.predict(df).where((F.col("class") == wanted) & (F.col("prob") > threshold)).withColumnRenamed("prob", "prob_1st_stage").drop("class", "prob_var")
+    if second_nofap:
+        kept = second_nofap.predict(kept).withColumnsRenamed({"class": "class_nofap", "prob": "prob_nofap"}).drop("prob_var")
     return second.predict(kept)
+
+
+def by_cell(df: DataFrame, cell: str, models: dict[int, Forest]) -> DataFrame:
+    """Predictions of each row by the model of its cell; rows of cells without one are left out."""
+    parts = [m.predict(df.where(F.col(cell) == k)) for k, m in models.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -25,9 +25,9 @@ def periodic_features(spark, d):
     return fourier.periodic_features(clean(spark, d))
 
 
-@query("WITH x AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1 FROM embeddings), p AS (SELECT " + ", ".join(f"quantile_cont(e{k}, 0.25) AS a{k}, quantile_cont(e{k}, 0.5) AS b{k}, quantile_cont(e{k}, 0.75) AS c{k}" for k in (0, 1)) + " FROM x) SELECT vec_id, " + ", ".join(f"round((e{k} - b{k}) / (c{k} - a{k}), 6) + 0.0 AS e{k}" for k in (0, 1)) + " FROM x, p")
+@query("WITH x AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(8)) + " FROM embeddings), p AS (SELECT " + ", ".join(f"quantile_cont(e{k}, 0.25) AS a{k}, quantile_cont(e{k}, 0.5) AS b{k}, quantile_cont(e{k}, 0.75) AS c{k}" for k in range(8)) + " FROM x) SELECT vec_id, " + ", ".join(f"round((e{k} - b{k}) / (c{k} - a{k}), 6) + 0.0 AS e{k}" for k in range(8)) + " FROM x, p")
 def robust_scale(spark, d):
-    return learning.robust_scale(vectors(spark, d, 2), ["e0", "e1"]).select("vec_id", r("e0").alias("e0"), r("e1").alias("e1"))
+    return learning.robust_scale(vectors(spark, d), FEATURES).select("vec_id", *[r(c).alias(c) for c in FEATURES])
 
 
 @query("WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT vec_id, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) + 0.0 AS weight FROM embeddings JOIN c USING (label)")
@@ -51,7 +51,7 @@ def knn_impute(spark, d):
 def cv_predictions(spark, d):
     v = vectors(spark, d, 64)
     names = [f"e{k}" for k in range(64)]
-    return learning.cross_validated(v, lambda: learning.Forest(names, "label", trees=30), "vec_id", 3).select("vec_id", "label", "class", "prob", "fold")
+    return learning.cross_validated(v, lambda: learning.Forest(names, "label"), "vec_id", 10).select("vec_id", "label", "class", "prob", "fold")
 
 
 @query()
@@ -59,9 +59,10 @@ def classify_cascade(spark, d):
     """Variable or constant first; classes of those called variable next."""
     v = vectors(spark, d, 64).withColumn("kind", F.when(F.col("label") < 5, "CONST").otherwise("VAR"))
     names = [f"e{k}" for k in range(64)]
-    first = learning.Forest(names, "kind", "CONST", trees=30).fit(v)
-    second = learning.Forest(names, "label", trees=30).fit(v.where("kind = 'VAR'"))
-    return learning.cascade(v, first, second).select("vec_id", "label", "class", "prob", "prob_1st_stage")
+    first = learning.Forest(names, "kind", "CONST").fit(v)
+    variable = v.where("kind = 'VAR'")
+    second, nofap = (learning.Forest(own, "label").fit(variable) for own in (names, names[:-1]))
+    return learning.cascade(v, first, second, second_nofap=nofap).select("vec_id", "label", "class", "prob", "prob_1st_stage", "class_nofap", "prob_nofap")
 
 
 @query("SELECT user_id AS sourceid, CASE WHEN event_type IN ('error', 'signup') THEN 'LPV' WHEN event_type = 'click' THEN 'RRcd' ELSE event_type END AS var_class, count(*)::INTEGER AS n_epochs, CAST(round(avg(value), 3) AS FLOAT) AS mean_mag FROM events GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Streams of events: windowed counts with a watermark and running weighted statistics."""
+"""Streams of events: windowed counts with a watermark."""
 
 from __future__ import annotations
 
@@ -14,14 +14,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Count and mean value of each type per window; rows later than the watermark are left out."""
+    """Count and mean value of each type per window. In append and update mode rows later than the watermark are left out; complete mode keeps every window."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "mean")
 
 
 def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the stream, exactly once: each batch replaces the result; ``folder`` holds progress and output."""
-    out = f"{folder}/out"
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    """All that is there now, through the stream, exactly once; ``folder`` holds progress and output and may be used again when more has come.
+
+    Each batch writes a part of its own number, so a batch that is run again replaces itself. In complete mode the last part
+    is the result, in append mode all are.
+    """
+    out, done = f"{folder}/out", []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        done.append(batch)
+
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").foreachBatch(write).start().awaitTermination()
+    parts = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).option("basePath", out).parquet(out)
+    if mode == "complete":
+        parts = parts.where(F.col("batch") == (done[-1] if done else parts.agg(F.max("batch")).first()[0]))
+    return parts.drop("batch")
