@@ -1,24 +1,33 @@
 """Periodic features of light curves: candidate frequencies, regularised Fourier series and the shape of the fitted curve.
 
-One shuffle by source; each source is fitted in one call on its own detections, in Arrow batches. Everything that is
-a plain aggregate stays relational (``series``, ``stats``); only the linear solves and their decisions are here.
+Everything that reads detections is a grouped sum: the spectrum (``series``) and, for each frequency that is tried, the
+trigonometric moments of a source up to twice the highest harmonic. A fit needs these moments alone (100 rows of sums at
+most), so a source's detections are never gathered, however many there are. Python solves one small system per source,
+frequency and number of harmonics; choices among fits are aggregates again.
+
+Defined results: detections with a null, NaN or infinite time, value or error, or an error that isn't positive, don't count;
+a source with fewer than ``min_points`` others, or without a frequency, gets one row with nulls and the reason in ``error``;
+repeated detections count each; ties go to more harmonics, then the lower frequency; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from skyloom.functions.expr import TWO_PI, finite
+from skyloom.operators import series
+from skyloom.operators.storage import Scratch, durable
 
 HARMONICS = 4
-_NUMBERS = [
-    "ls_period", "ls_power", "log10_fap_ls", "lsq_period", "lsq_period_error", "lsq_power", "log10_fap_lsq", "delta_loglik", "model_amplitude", "peak_ratio_model", "second_minimum_phase",
-    *[f"amp_{k}" for k in range(HARMONICS)], *[f"phi_{k}" for k in range(HARMONICS)], *[f"amp_double_{k}" for k in range(HARMONICS)], *[f"phi_double_{k}" for k in range(HARMONICS)],
-]
+#: Points of the phase grid on which a curve's shape is read.
+GRID = 500
 
 
 @dataclass(frozen=True)
@@ -26,212 +35,198 @@ class Settings:
     min_points: int = 21
     f_min: float = 0.02
     f_max: float = 2.0
-    candidates: int = 30
     terms_max: int = 6
     terms_min: int = 2
     poly: int = 2
-    oversampling: int = 5
 
 
-#: The survey's limits; each source's grid follows from its baseline, in steps of 1 / (oversampling * span).
+#: The survey's limits; each source's grid follows from its baseline, in steps of 1 / (5 * span).
 SURVEY = Settings(f_min=0.00066667, f_max=20.0, terms_max=10, terms_min=4, poly=3)
 
 
-#: Cells of one frequency x detection matrix.
-CELLS = 1 << 20
-
-
-def power(t: np.ndarray, y: np.ndarray, e: np.ndarray, f: np.ndarray, window: bool = False) -> np.ndarray:
-    """Lomb-Scargle power at the frequencies (floating mean), or of the sampling alone; frequencies come in blocks of bounded size."""
-    w = e**-2.0
-    w = w / w.sum()
-    y = np.ones_like(t) if window else y - (w * y).sum()
-    keep, total, size = 0.0 if window else 1.0, (w * y * y).sum(), max(1, CELLS // max(len(t), 1))
-    out = [np.zeros(0)]
-    for lo in range(0, len(f), size):
-        arg = 2 * np.pi * np.outer(f[lo : lo + size], t)
-        c, s = np.cos(arg), np.sin(arg)
-        C, S, YC, YS = c @ w, s @ w, c @ (w * y), s @ (w * y)
-        cc, cs = (c * c) @ w - keep * C * C, (c * s) @ w - keep * C * S
-        ss = 1 - (c * c) @ w - keep * S * S
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append(np.nan_to_num((ss * YC**2 + cc * YS**2 - 2 * cs * YC * YS) / (total * (cc * ss - cs * cs)), nan=0.0, posinf=0.0, neginf=0.0))
-    return np.concatenate(out)
-
-
-def candidates(t: np.ndarray, y: np.ndarray, e: np.ndarray, s: Settings) -> tuple[float, float] | None:
-    """The strongest local maximum that the sampling does not explain, and its power; more maxima are tried until one survives."""
-    span = np.ptp(t)
-    if span <= 0:
-        return None
-    step = 1 / (s.oversampling * span)
-    f = s.f_min + step * np.arange(1 + round((s.f_max - s.f_min) / step))
-    p = power(t, y, e, f)
-    top = np.flatnonzero((p[1:-1] > p[:-2]) & (p[1:-1] > p[2:])) + 1
-    top = top[np.argsort(-p[top], kind="stable")]
-    for lo in range(0, min(len(top), 1000), s.candidates):
-        own = top[lo : lo + s.candidates]
-        good = own[power(t, y, e, f[own], True) <= p[own]]
-        if len(good):
-            return float(f[good[0]]), float(p[good[0]])
-    return None
-
-
-@dataclass
-class Fit:
-    f: float
-    terms: int
-    x: np.ndarray
-    cov: np.ndarray
-    chi2: float
-    zero: float
-    mean: float
-
-    @property
-    def amplitudes(self) -> np.ndarray:
-        return np.hypot(self.x[1 : 2 * self.terms : 2], self.x[2 : 2 * self.terms + 1 : 2])
-
-    @property
-    def phases(self) -> np.ndarray:
-        return np.arctan2(-self.x[1 : 2 * self.terms : 2], self.x[2 : 2 * self.terms + 1 : 2])
-
-    def curve(self, phase: np.ndarray) -> np.ndarray:
-        k = np.arange(1, self.terms + 1)
-        return np.cos(2 * np.pi * np.outer(phase, k) + self.phases) @ self.amplitudes
-
-    def curve_error(self, phase: np.ndarray) -> np.ndarray:
-        rows = _design(phase, 1.0, self.terms, 1, 0.0)
-        cov = self.cov[: rows.shape[1], : rows.shape[1]]
-        return np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", rows, cov, rows)))
-
-
-def _design(t: np.ndarray, f: float, terms: int, poly: int, zero: float) -> np.ndarray:
-    arg = 2 * np.pi * f * np.outer(t, np.arange(1, terms + 1))
-    waves = np.stack([np.sin(arg), np.cos(arg)], axis=2).reshape(len(t), -1)
-    return np.column_stack([np.ones(len(t)), waves, *[(t - zero) ** q for q in range(1, poly)]])
-
-
-def fit_at(t: np.ndarray, y: np.ndarray, e: np.ndarray, f: float, terms: int, poly: int, ridge: float) -> Fit:
-    """Weighted series with ``terms`` harmonics and a polynomial; harmonics are damped with the square of their order."""
-    w = e**-2.0
-    mean, zero = float((w * y).sum() / w.sum()), float(np.median(t))
-    x = _design(t, f, terms, poly, zero)
-    a = (x * w[:, None]).T @ x
-    k = np.repeat(np.arange(1, terms + 1), 2)
-    at = np.arange(1, 2 * terms + 1)
-    a[at, at] += ridge * w.sum() * k**2
-    a += np.eye(len(a)) * np.abs(a).min() * 1e-4
-    inverse = np.linalg.pinv(a)
-    coef = inverse @ (x.T @ (w * (y - mean)))
-    chi2 = float((w * (y - mean - x @ coef) ** 2).sum())
-    return Fit(f, terms, coef, inverse, chi2, zero, mean)
-
-
-def choose(t: np.ndarray, y: np.ndarray, e: np.ndarray, freqs: list[float], s: Settings, ridge: float) -> Fit:
-    """Best number of harmonics by AIC, from many to few; fits with harmonics far beyond the data's range lose to any other."""
-    p5, p95 = np.percentile(y, [5, 95])
-    best, score = None, math.inf
-    for terms in range(s.terms_max, s.terms_min - 1, -1):
-        fit = min((fit_at(t, y, e, f, terms, s.poly, ridge) for f in freqs), key=lambda x: x.chi2)
-        aic = fit.chi2 + 4 * terms
-        if aic < score and (best is None or not (fit.amplitudes > 2 * (p95 - p5)).any()):
-            best, score = fit, aic
-    return best
-
-
-def undo_multiple(t: np.ndarray, y: np.ndarray, e: np.ndarray, fit: Fit, s: Settings, ridge: float) -> Fit:
-    """If a higher harmonic leads, its divisors are tried as the fundamental."""
-    k = 1 + int(fit.amplitudes.argmax())
-    step = 0.2 / np.ptp(t)
-    for part in [p for p in range(1, k) if k % p == 0]:
-        for shift in (-step, 0.0, step):
-            if (f := fit.f * k / part + shift) > s.f_min:
-                other = fit_at(t, y, e, f, fit.terms, s.poly, ridge)
-                fit = other if other.chi2 < fit.chi2 else fit
-    return fit
-
-
-def period_error(t: np.ndarray, y: np.ndarray, e: np.ndarray, fit: Fit, s: Settings, ridge: float) -> float:
-    """From the curvature of chi-square over frequency; 0 where it isn't positive."""
-    step = 0.05 / np.ptp(t)
-    near = [fit_at(t, y, e, fit.f + d, fit.terms, s.poly, ridge).chi2 for d in (-step, step)]
-    bend = (near[0] + near[1] - 2 * fit.chi2) / step**2
-    return 0.0 if bend <= 0 else math.sqrt(2 / bend) / fit.f**2
-
-
-def log10_false_alarm(z: float, n: int, span: float, deviation: float, f_max: float) -> float:
-    """Upper bound of the false-alarm probability of a standard power z (Baluev's form), at least 10^-323."""
-    z = min(max(z, 0.0), 1 - 1e-15)
-    degrees = n - 3
-    if degrees <= 0:
-        return 0.0
-    gamma = math.sqrt(2 / degrees) * math.exp(math.lgamma(degrees / 2) - math.lgamma((degrees - 1) / 2))
-    single = (1 - z) ** (0.5 * degrees)
-    tau = gamma * f_max * math.sqrt(4 * math.pi) * deviation * (1 - z) ** (0.5 * (degrees - 1)) * math.sqrt(0.5 * degrees * z)
-    fap = single + (1 - single) * -math.expm1(-tau)
-    return math.log10(fap) if fap > 0 else -323.0
-
-
-def second_minimum(fit: Fit) -> tuple[float | None, float | None, float]:
-    """Phase of a significant second dip after the main one, the ratio of the depths, and the curve's amplitude."""
-    grid = np.arange(500) / 500
-    m = fit.curve(grid)
-    main = grid[m.argmax()]
-    m = fit.curve((grid + main) % 1)
-    amplitude = float(m.max() - m.min())
-    dip = np.flatnonzero((m > np.roll(m, 1)) & (m >= np.roll(m, -1)))
-    rise = np.flatnonzero((m < np.roll(m, 1)) & (m <= np.roll(m, -1)))
-    best = None
-    for i in dip:
-        if 0.35 < grid[i] < 0.65 and len(rise):
-            around = [rise[(off := (rise - i) % 500).argmin()], rise[((i - rise) % 500).argmin()]]
-            depth = m[i] - m[around].max()
-            if off.size and depth > 7 * fit.curve_error(np.array([(grid[i] + main) % 1]))[0] and (best is None or m[i] - m[around].mean() > best[1]):
-                best = (float(grid[i]), float(m[i] - m[around].mean()), float((m[i] - m.min()) / amplitude))
-    return (best[0], best[2], amplitude) if best else (None, None, amplitude)
-
-
-def features(t: np.ndarray, y: np.ndarray, e: np.ndarray, s: Settings) -> dict:
-    """All features of one source; ``error`` says why there are none."""
-    out: dict = dict.fromkeys(_NUMBERS) | {"n_epochs": len(t), "lsq_nterms": None, "significant_second_minimum": None, "error": None}
-    if len(t) < s.min_points:
-        return out | {"error": "too few points"}
-    found = candidates(t, y, e, s)
-    if found is None:
-        return out | {"error": "no frequency"}
-    f, p = found
-    p5, p95 = np.percentile(y, [5, 95])
-    ridge = min(0.25, 2 / max((p95 - p5) / np.median(e), 1e-9) ** 3 / (len(t) / 100))
-    fit = choose(t, y, e, [x for x in (f / 2, f) if x > s.f_min] or [f], s, ridge)
-    fit = undo_multiple(t, y, e, fit, s, ridge)
-    w = e**-2.0
-    flat = float((w * (y - fit.mean) ** 2).sum())
-    z = 1 - fit.chi2 / flat if flat > 0 else 0.0
-    at, depth, amplitude = second_minimum(fit)
-    double = fit if at is not None else fit_at(t, y, e, fit.f / 2, fit.terms, s.poly, ridge)
-    span, dev = float(np.ptp(t)), float(np.std(t))
-    out |= {"ls_period": 1 / f, "ls_power": p, "lsq_period": 1 / fit.f, "lsq_period_error": period_error(t, y, e, fit, s, ridge), "lsq_power": z, "lsq_nterms": fit.terms}
-    out |= {"log10_fap_ls": log10_false_alarm(p, len(t), span, dev, s.f_max), "log10_fap_lsq": log10_false_alarm(z, len(t), span, dev, s.f_max), "delta_loglik": 0.5 * (flat - fit.chi2)}
-    out |= {"model_amplitude": amplitude, "peak_ratio_model": 1.0 if depth is None else depth, "second_minimum_phase": at, "significant_second_minimum": at is not None}
-    for k in range(min(HARMONICS, fit.terms)):
-        out |= {f"amp_{k}": float(fit.amplitudes[k]), f"phi_{k}": float(np.mod(fit.phases[k] - (k + 1) * fit.phases[0], 2 * np.pi)) if k else float(fit.phases[0])}
-        out |= {f"amp_double_{k}": float(double.amplitudes[k]), f"phi_double_{k}": float(double.phases[k])}
-    return out
-
-
-SCHEMA = T.StructType(
-    [T.StructField("sourceid", T.LongType()), T.StructField("n_epochs", T.IntegerType()), T.StructField("lsq_nterms", T.IntegerType())]
-    + [T.StructField(c, T.DoubleType()) for c in _NUMBERS]
-    + [T.StructField("significant_second_minimum", T.BooleanType()), T.StructField("error", T.StringType())]
-)
+def moments(rows: DataFrame, freqs: DataFrame, poly: int) -> DataFrame:
+    """Sums that fits at ``freqs`` (sourceid, f, high) need: sourceid, f and ``sums``, which has a run of numbers for each multiple 0 .. 2 high of f.
+
+    ``rows`` has sourceid, t, u (time from -1 to 1), y (about the mean) and w. A run holds the sums of w times u^p cos (p below ``poly``),
+    u^p sin, y cos, y sin, u^p (p from ``poly`` to 2 poly - 2), y u^p (p from 1) and y squared.
+    """
+    wanted = freqs.groupBy("sourceid").agg(F.collect_set("f").alias("fs"), F.max("high").alias("high"))
+    each = rows.join(wanted, "sourceid").select("sourceid", "t", "u", "y", "w", "high", F.explode("fs").alias("f"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), 2 * F.col("high"))).alias("k"))
+    angle = TWO_PI * F.col("f") * F.col("k") * F.col("t")
+    each = each.select("sourceid", "f", "k", "u", "y", "w", (F.col("w") * F.cos(angle)).alias("c"), (F.col("w") * F.sin(angle)).alias("s"))
+    c, s, u, y, w = (F.col(x) for x in "csuyw")
+    power = lambda p: math.prod([u] * p, start=F.lit(1.0))
+    terms = [c * power(p) for p in range(poly)] + [s * power(p) for p in range(poly)] + [y * c, y * s]
+    terms += [w * power(p) for p in range(poly, 2 * poly - 1)] + [w * y * power(p) for p in range(1, poly)] + [w * y * y]
+    sums = each.groupBy("sourceid", "f", "k").agg(*[F.sum(x).alias(f"m{i}") for i, x in enumerate(terms)])
+    run = F.struct("k", F.array(*[f"m{i}" for i in range(len(terms))]).alias("m"))
+    return sums.groupBy("sourceid", "f").agg(F.flatten(F.transform(F.sort_array(F.collect_list(run)), lambda x: x["m"])).alias("sums"))
+
+
+def system(sums: np.ndarray, poly: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Normal matrix, right side and squared sum of the values, ordered as powers of u, sines, cosines."""
+    m = sums.reshape(-1, 4 * poly + 1)
+    cos, sin, (yc, ys) = m[:, :poly], m[:, poly : 2 * poly], m[:, 2 * poly : 2 * poly + 2].T
+    high, rest = (len(m) - 1) // 2, m[0, 2 * poly + 2 :]
+    plain, values = np.concatenate([cos[0], rest[: poly - 1]]), rest[poly - 1 : -1]
+    k, p = np.arange(1, high + 1), np.arange(poly)
+    apart, both, sign = np.abs(k[:, None] - k), k[:, None] + k, np.sign(k[:, None] - k)
+    c, s = cos[:, 0], sin[:, 0]
+    mixed = (s[both] + sign * s[apart]) / 2
+    a = np.block([
+        [plain[p[:, None] + p], sin[1 : high + 1].T, cos[1 : high + 1].T],
+        [sin[1 : high + 1], (c[apart] - c[both]) / 2, mixed],
+        [cos[1 : high + 1], mixed.T, (c[apart] + c[both]) / 2],
+    ])
+    return a, np.concatenate([yc[:1], values, ys[1 : high + 1], yc[1 : high + 1]]), float(rest[-1])
+
+
+def solve(a: np.ndarray, b: np.ndarray, flat: float, terms: int, high: int, poly: int, ridge: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, their covariance and chi-square of a series with ``terms`` harmonics, each damped with the square of its order."""
+    k = np.arange(1, terms + 1)
+    own = np.concatenate([np.arange(poly), poly - 1 + k, poly + high - 1 + k])
+    plain, b = a[np.ix_(own, own)], b[own]
+    damp = np.concatenate([np.zeros(poly), ridge * plain[0, 0] * k**2, ridge * plain[0, 0] * k**2])
+    inverse = np.linalg.pinv(plain + np.diag(damp + np.abs(plain).min() * 1e-4), hermitian=True)
+    x = inverse @ b
+    return x, inverse, max(0.0, float(flat - 2 * b @ x + x @ plain @ x))
+
+
+def second_minimum(x: np.ndarray, cov: np.ndarray, terms: int, poly: int) -> tuple[float | None, float, float]:
+    """Phase of a significant second dip after the main one, the ratio of the depths (1 without), and the curve's amplitude."""
+    angle = TWO_PI * np.outer(np.arange(GRID) / GRID, np.arange(1, terms + 1))
+    waves = np.hstack([np.sin(angle), np.cos(angle)])
+    m = waves @ x[poly:]
+    wide = np.hstack([np.ones((GRID, 1)), waves])
+    own = np.r_[0, poly : poly + 2 * terms]
+    error = np.sqrt(np.maximum(0, ((wide @ cov[np.ix_(own, own)]) * wide).sum(axis=1)))
+    m, error = np.roll(m, -m.argmax()), np.roll(error, -m.argmax())
+    dip, rise = ((m > np.roll(m, 1)) & (m >= np.roll(m, -1))), np.flatnonzero((m < np.roll(m, 1)) & (m <= np.roll(m, -1)))
+    amplitude, best = float(np.ptp(m)), None
+    for i in np.flatnonzero(dip):
+        if 0.35 < i / GRID < 0.65 and len(rise):
+            sides = m[[rise[((rise - i) % GRID).argmin()], rise[((i - rise) % GRID).argmin()]]]
+            if m[i] - sides.max() > 7 * error[i] and (best is None or m[i] - sides.mean() > best[0]):
+                best = (m[i] - sides.mean(), i / GRID, (m[i] - m.min()) / amplitude)
+    return (float(best[1]), float(best[2]), amplitude) if best else (None, 1.0, amplitude)
+
+
+def fits(rows: DataFrame, freqs: DataFrame, about: DataFrame, poly: int, shape: bool = False) -> DataFrame:
+    """Series at ``freqs`` (sourceid, f, low, high) with ``low`` to ``high`` harmonics each: sourceid, f, terms, chi2, flat (chi-square of the mean), sines, cosines and, with ``shape``, the second minimum."""
+    freqs = freqs.dropDuplicates(["sourceid", "f"])
+    found = moments(rows, freqs, poly).join(freqs, ["sourceid", "f"]).join(about.select("sourceid", "ridge"), "sourceid")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for one in batch.itertuples(index=False):
+                a, b, flat = system(np.asarray(one.sums, float), poly)
+                high = (len(a) - poly) // 2
+                for terms in range(one.low, one.high + 1):
+                    x, cov, chi2 = solve(a, b, flat, terms, high, poly, one.ridge)
+                    dip = second_minimum(x, cov, terms, poly) if shape else (None, None, None)
+                    out.append((one.sourceid, one.f, terms, chi2, flat, x[poly : poly + terms], x[poly + terms :], *dip))
+            yield pd.DataFrame(out, columns="sourceid f terms chi2 flat sines cosines dip_phase depth_ratio amplitude".split())
+
+    kind = dict(freqs.dtypes)["sourceid"]
+    made = "f double, terms int, chi2 double, flat double, sines array<double>, cosines array<double>, dip_phase double, depth_ratio double, amplitude double"
+    return found.select("sourceid", "f", "low", "high", "ridge", "sums").mapInPandas(run, f"sourceid {kind}, {made}")
+
+
+def amplitudes() -> Column:
+    return F.zip_with("sines", "cosines", lambda a, b: F.sqrt(a * a + b * b))
+
+
+def _phase(at: str, k: int) -> Column:
+    return F.atan2(-F.get(F.col(at)["sines"], F.lit(k)), F.get(F.col(at)["cosines"], F.lit(k)))
+
+
+def _amplitude(at: str, k: int) -> Column:
+    a, b = F.get(F.col(at)["sines"], F.lit(k)), F.get(F.col(at)["cosines"], F.lit(k))
+    return F.sqrt(a * a + b * b)
+
+
+def chosen(tried: DataFrame, about: DataFrame, settings: Settings) -> DataFrame:
+    """One fit per source by AIC; series with a harmonic far beyond the data's range lose, but for that with the most harmonics."""
+    best = tried.groupBy("sourceid", "terms").agg(F.min_by(F.struct("f", "chi2", "flat", "sines", "cosines"), F.struct("chi2", "f")).alias("a")).select("sourceid", "terms", "a.*")
+    sane = (F.col("terms") == settings.terms_max) | (F.array_max(amplitudes()) <= 2 * F.col("spread"))
+    rated = best.join(about.select("sourceid", "spread"), "sourceid").where(sane)
+    return rated.groupBy("sourceid").agg(F.min_by(F.struct("f", "terms", "chi2", "sines", "cosines"), F.struct(F.col("chi2") + 4 * F.col("terms"), -F.col("terms"))).alias("a")).select("sourceid", "a.*")
+
+
+def divisors(best: DataFrame, about: DataFrame, f_min: float) -> DataFrame:
+    """Where a higher harmonic leads: its divisors as the fundamental, each with two neighbours."""
+    lead = F.array_position(amplitudes(), F.array_max(amplitudes())).cast("int")
+    parts = best.withColumn("lead", lead).where("lead > 1").select("sourceid", "f", "terms", "lead", F.explode(F.sequence(F.lit(1), F.col("lead") - 1)).alias("part")).where("lead % part = 0")
+    near = parts.join(about.select("sourceid", "span"), "sourceid").withColumn("step", F.explode(F.array(F.lit(-0.2), F.lit(0.0), F.lit(0.2))))
+    return near.select("sourceid", (F.col("f") * F.col("lead") / F.col("part") + F.col("step") / F.col("span")).alias("f"), F.col("terms").alias("low"), F.col("terms").alias("high")).where(F.col("f") > f_min)
 
 
 def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     """One row per source of ``lc`` (sourceid, t, mag, emag); sources that can't be fitted say so in ``error``."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("t")
-        row = features(*(pdf[c].to_numpy(float) for c in ("t", "mag", "emag")), settings)
-        return pd.DataFrame([{"sourceid": key[0]} | row]).astype({"n_epochs": "Int32", "lsq_nterms": "Int32", "significant_second_minimum": "boolean"})[SCHEMA.names]
-
-    return lc.select("sourceid", "t", "mag", "emag").groupBy("sourceid").applyInPandas(one, SCHEMA)
+    s, hold = settings, Scratch(lc.sparkSession)
+    known = lc.select("sourceid", finite("t").alias("t"), finite("mag").alias("mag"), finite("emag").alias("emag")).where("sourceid IS NOT NULL AND t IS NOT NULL AND mag IS NOT NULL AND emag > 0")
+    known = hold(known)
+    w = 1 / (F.col("emag") * F.col("emag"))
+    about = known.groupBy("sourceid").agg(
+        F.count("*").alias("n"), F.stddev_pop("t").alias("dev"), (F.max("t") - F.min("t")).alias("span"), ((F.max("t") + F.min("t")) / 2).alias("mid"),
+        (F.sum(w * F.col("mag")) / F.sum(w)).alias("mean"), F.percentile("mag", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.median("emag").alias("noise"),
+    )
+    spread = F.col("q")[1] - F.col("q")[0]
+    ridge = F.least(F.lit(0.25), 2 / F.pow(F.greatest(spread / F.col("noise"), F.lit(1e-9)), 3) / (F.col("n") / 100))
+    about = hold(about.select("*", spread.alias("spread"), ridge.alias("ridge")))
+    whole = known.join(about.where((F.col("n") >= s.min_points) & (F.col("span") > 0)).select("sourceid"), "sourceid", "left_semi")
+    found = hold(series.candidate_frequency(whole, s.f_min, s.f_max, s.min_points).withColumnRenamed("f", "ls_f"))
+    rows = known.join(about.join(found, "sourceid", "left_semi").select("sourceid", "mid", "span", "mean"), "sourceid")
+    rows = series.dealt(rows, "sourceid", "t")
+    rows = hold(rows.select("sourceid", "t", (2 * (F.col("t") - F.col("mid")) / F.col("span")).alias("u"), (F.col("mag") - F.col("mean")).alias("y"), w.alias("w")))
+
+    f = F.col("ls_f")
+    both = F.when(f / 2 > s.f_min, F.array(f / 2, f)).otherwise(F.array(f))
+    first = found.select("sourceid", F.explode(both).alias("f"), F.lit(s.terms_min).alias("low"), F.lit(s.terms_max).alias("high"))
+    best = hold(chosen(fits(rows, first, about, s.poly), about, s))
+    others = fits(rows, divisors(best, about, s.f_min), about, s.poly).select("sourceid", "f", "terms", "chi2")
+    better = best.select("sourceid", "f", "terms", "chi2").unionByName(others)
+    best = hold(better.groupBy("sourceid").agg(F.min_by(F.struct("f", "terms"), F.struct("chi2", "f")).alias("a")).select("sourceid", "a.*").join(about.select("sourceid", "span"), "sourceid"))
+    # the fit itself, two neighbours for the curvature, and twice the period
+    at, step = F.col("f"), 0.05 / F.col("span")
+    roles = best.select("sourceid", F.col("terms").alias("low"), F.col("terms").alias("high"), F.explode(F.create_map(F.lit("fit"), at, F.lit("below"), at - step, F.lit("above"), at + step, F.lit("double"), at / 2)).alias("role", "f"))
+    roles = hold(roles)
+    last = fits(rows, roles.drop("role"), about, s.poly, shape=True).join(roles.select("sourceid", "role", "f"), ["sourceid", "f"])
+    last = last.groupBy("sourceid").pivot("role", ["fit", "below", "above", "double"]).agg(F.first(F.struct("f", "terms", "chi2", "flat", "sines", "cosines", "dip_phase", "depth_ratio", "amplitude")))
+
+    n, dev, chi2, flat, fit = F.col("n"), F.col("dev"), F.col("fit.chi2"), F.col("fit.flat"), F.col("fit.f")
+    bend = (F.col("below.chi2") + F.col("above.chi2") - 2 * chi2) / F.pow(F.when(F.col("span") > 0, 0.05 / F.col("span")), 2)
+    z = F.coalesce(1 - F.try_divide(chi2, flat), F.lit(0.0))
+    bound = lambda p: F.coalesce(series.log10_false_alarm(p, n, dev, s.f_max), F.lit(-323.0))
+    fitted = F.col("fit").isNotNull()
+    dip = F.col("fit.dip_phase").isNotNull()
+    every = lc.select("sourceid").where("sourceid IS NOT NULL").distinct().join(about, "sourceid", "left").join(found.drop("n", "log10_fap", "place"), "sourceid", "left").join(last, "sourceid", "left")
+    every = every.withColumns({"z": z, "double": F.when(dip, F.col("fit")).otherwise(F.col("double"))})
+    out = every.select(
+        "sourceid",
+        F.coalesce(n, F.lit(0)).cast("int").alias("n_epochs"),
+        F.col("fit.terms").alias("lsq_nterms"),
+        (1 / f).alias("ls_period"),
+        F.col("power").alias("ls_power"),
+        F.when(fitted, bound(F.col("power"))).alias("log10_fap_ls"),
+        (1 / fit).alias("lsq_period"),
+        F.when(bend <= 0, 0.0).otherwise(F.sqrt(2 / bend) / (fit * fit)).alias("lsq_period_error"),
+        F.when(fitted, F.col("z")).alias("lsq_power"),
+        F.when(fitted, bound(F.col("z"))).alias("log10_fap_lsq"),
+        (0.5 * (flat - chi2)).alias("delta_loglik"),
+        F.col("fit.amplitude").alias("model_amplitude"),
+        F.col("fit.depth_ratio").alias("peak_ratio_model"),
+        F.col("fit.dip_phase").alias("second_minimum_phase"),
+        *[_amplitude("fit", k).alias(f"amp_{k}") for k in range(HARMONICS)],
+        _phase("fit", 0).alias("phi_0"),
+        *[F.pmod(_phase("fit", k) - (k + 1) * _phase("fit", 0), F.lit(TWO_PI)).alias(f"phi_{k}") for k in range(1, HARMONICS)],
+        *[_amplitude("double", k).alias(f"amp_double_{k}") for k in range(HARMONICS)],
+        *[_phase("double", k).alias(f"phi_double_{k}") for k in range(HARMONICS)],
+        F.when(fitted, dip).alias("significant_second_minimum"),
+        F.when(F.coalesce(n, F.lit(0)) < s.min_points, "too few points").when(~fitted, "no frequency").alias("error"),
+    )
+    out = durable(out)
+    hold.free()
+    return out

@@ -50,17 +50,22 @@ def nearest_in_phase(lc: DataFrame, period: str | Column, k: int, key: str = "so
     return out.select(key, id_col, F.col("_p").alias("phase"), F.col(value), "local_mean")
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` over all shuffle partitions, few as they are: each becomes many in the next step. The number is given, so that adaptive execution keeps it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def spectrum(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", window: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Lomb-Scargle power (floating mean, standard norm) of every source at every frequency, or the window's with ``window``.
 
     ``frequencies`` is an array expression, which may use ``extra`` columns; ``window_power`` is that of the sampling. One shuffle by source.
     """
     w = F.col("w")
-    total = Window.partitionBy(key)
     rows = lc.select(key, F.col(time).alias("t"), F.col(value).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w"), *extra).where("y IS NOT NULL AND w IS NOT NULL")
-    rows = rows.withColumn("w", w / F.sum("w").over(total))
-    rows = rows.withColumn("y", F.lit(1.0) if window else F.col("y") - F.sum(w * F.col("y")).over(total))
-    each = rows.withColumn("f", F.explode(frequencies))
+    # sums by source are joined: a window would gather all detections of a source in one task
+    rows = rows.join(rows.groupBy(key).agg(F.sum("w").alias("_w"), (F.sum(w * F.col("y")) / F.sum("w")).alias("_mean")), key)
+    rows = rows.withColumns({"w": w / F.col("_w"), "y": F.lit(1.0) if window else F.col("y") - F.col("_mean")})
+    each = dealt(rows, key, "t").withColumn("f", F.explode(frequencies))
     angle = 2 * math.pi * F.col("f") * F.col("t")
     each = each.withColumns({"c": F.cos(angle), "s": F.sin(angle)})
     c, s, y = F.col("c"), F.col("s"), F.col("y")
@@ -77,8 +82,8 @@ def spectrum(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: st
 
 def own_grid(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t") -> tuple[DataFrame, Column]:
     """``lc`` with the baseline of each source (_span), and its frequencies: from f_min to f_max in steps of 1 / (oversampling * baseline)."""
-    w = Window.partitionBy(key)
-    lc = lc.withColumn("_span", F.max(time).over(w) - F.min(time).over(w)).where("_span > 0")
+    spans = lc.groupBy(key).agg((F.max(time) - F.min(time)).alias("_span")).where("_span > 0")
+    lc = lc.join(spans, key)
     return lc, F.transform(F.sequence(F.lit(0).cast("long"), F.round((f_max - f_min) * oversampling * F.col("_span")).cast("long")), lambda k: f_min + k / (oversampling * F.col("_span")))
 
 

@@ -111,22 +111,74 @@ def test_spectrum_equals_least_squares(spark):
         fit = design @ np.linalg.lstsq(design, np.sqrt(w) * y, rcond=None)[0]
         flat = (w * (y - (w * y).sum()) ** 2).sum()
         assert got[x] == pytest.approx(1 - ((np.sqrt(w) * y - fit) ** 2).sum() / flat, abs=1e-9)
-    assert np.allclose(fourier.power(t, y, e, np.array(f)), [got[x] for x in f])
 
 
-def test_period_is_recovered():
+def curves(spark, *parts):
+    """Detections of several sources: (sourceid, times, values, error)."""
+    rows = [(k, float(a), float(b), e) for k, t, y, e in parts for a, b in zip(t, y, strict=True)]
+    return spark.createDataFrame(rows, "sourceid long, t double, mag double, emag double")
+
+
+def dense_fit(t, y, e, f, terms, poly, ridge):
+    """The same series by a design matrix."""
+    w = e**-2.0
+    y = y - (w * y).sum() / w.sum()
+    u = 2 * (t - (t.max() + t.min()) / 2) / np.ptp(t)
+    arg = 2 * np.pi * f * np.outer(t, np.arange(1, terms + 1))
+    x = np.hstack([u[:, None] ** np.arange(poly), np.sin(arg), np.cos(arg)])
+    a = (x * w[:, None]).T @ x
+    damp = np.concatenate([np.zeros(poly), np.tile(ridge * w.sum() * np.arange(1, terms + 1) ** 2, 2)])
+    coef = np.linalg.solve(a + np.diag(damp + np.abs(a).min() * 1e-4), x.T @ (w * y))
+    return coef, (w * (y - x @ coef) ** 2).sum(), (w * y * y).sum()
+
+
+def test_fits_from_sums_equal_design_matrices(spark):
     rng = np.random.default_rng(4)
     t = np.sort(rng.uniform(0, 40, 150))
     y = 3 + 0.5 * np.cos(2 * np.pi * t / 1.7) + 0.2 * np.cos(4 * np.pi * t / 1.7 + 1) + rng.normal(0, 0.02, 150)
-    out = fourier.features(t, y, np.full(150, 0.02), fourier.Settings())
+    e = np.full(150, 0.02)
+    rows = spark.createDataFrame([(1, *map(float, r)) for r in zip(t, 2 * (t - (t[0] + t[-1]) / 2) / np.ptp(t), y - y.mean(), e**-2.0, strict=True)], "sourceid long, t double, u double, y double, w double")
+    about = spark.createDataFrame([(1, 0.01)], "sourceid long, ridge double")
+    freqs = spark.createDataFrame([(1, 1 / 1.7, 2, 5), (1, 0.5 / 1.7, 2, 5)], "sourceid long, f double, low int, high int")
+    for poly in (1, 3):
+        got = fourier.fits(rows, freqs, about, poly).collect()
+        assert {(r["f"], r["terms"]) for r in got} == {(f, k) for f in (1 / 1.7, 0.5 / 1.7) for k in (2, 3, 4, 5)}
+        for r in got:
+            coef, chi2, flat = dense_fit(t, y, e, r["f"], r["terms"], poly, 0.01)
+            assert np.allclose(r["sines"] + r["cosines"], coef[poly:], atol=1e-7)
+            assert r["chi2"] == pytest.approx(chi2, rel=1e-6) and r["flat"] == pytest.approx(flat, rel=1e-9)
+
+
+def test_second_minimum_is_told():
+    # two dips a turn, the second half as deep
+    x = np.array([0.0, 0.0, 0.0, 0.2, 1.0])
+    at, ratio, amplitude = fourier.second_minimum(x, np.eye(5) * 1e-8, 2, 1)
+    m = 0.2 * np.cos(2 * np.pi * np.arange(500) / 500) + np.cos(4 * np.pi * np.arange(500) / 500)
+    assert at == pytest.approx(0.5, abs=0.002) and ratio == pytest.approx((m[250] - m.min()) / np.ptp(m)) and amplitude == pytest.approx(np.ptp(m))
+    assert fourier.second_minimum(x, np.eye(5), 2, 1)[:2] == (None, 1.0)
+    assert fourier.second_minimum(np.zeros(5), np.eye(5), 2, 1) == (None, 1.0, 0.0)
+
+
+def test_period_is_recovered(spark):
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.uniform(0, 40, 150))
+    y = 3 + 0.5 * np.cos(2 * np.pi * t / 1.7) + 0.2 * np.cos(4 * np.pi * t / 1.7 + 1) + rng.normal(0, 0.02, 150)
+    lc = curves(spark, (1, t, y, 0.02), (2, t[:5], y[:5], 0.02), (3, np.ones(30), y[:30], 0.02), (4, [1.0, 2.0], [math.nan, math.inf], 0.02))
+    out = {r["sourceid"]: r for r in fourier.periodic_features(lc.withColumn("amp_0", F.lit(1)), fourier.Settings()).collect()}
+    one = out[1]
     # the grid of frequencies has steps of 0.005
-    assert out["error"] is None and out["lsq_period"] == pytest.approx(1.7, rel=0.0025 * 1.7) and 0.9 < out["lsq_power"] <= 1
-    assert out["amp_0"] == pytest.approx(0.5, abs=0.05) and out["log10_fap_ls"] < -10
-    assert fourier.features(t[:5], y[:5], y[:5], fourier.Settings())["error"] == "too few points"
-    assert fourier.features(np.ones(30), y[:30], np.ones(30), fourier.Settings())["error"] == "no frequency"
-
-
-def test_short_and_long_periods_are_found(spark, monkeypatch):
+    assert one["error"] is None and one["lsq_period"] == pytest.approx(1.7, rel=0.0025 * 1.7) and 0.9 < one["lsq_power"] <= 1
+    assert one["amp_0"] == pytest.approx(0.5, abs=0.05) and one["log10_fap_ls"] < -10 and one["n_epochs"] == 150
+    ridge = min(0.25, 2 / (np.ptp(np.percentile(y, [5, 95])) / 0.02) ** 3 / 1.5)
+    coef, chi2, flat = dense_fit(t, y, np.full(150, 0.02), 1 / one["lsq_period"], one["lsq_nterms"], 2, ridge)
+    assert one["lsq_power"] == pytest.approx(1 - chi2 / flat, abs=1e-8) and one["delta_loglik"] == pytest.approx((flat - chi2) / 2, rel=1e-8)
+    near = [dense_fit(t, y, np.full(150, 0.02), 1 / one["lsq_period"] + d * 0.05 / np.ptp(t), one["lsq_nterms"], 2, ridge)[1] for d in (-1, 1)]
+    assert one["lsq_period_error"] == pytest.approx(math.sqrt(2 / (sum(near) - 2 * chi2)) * 0.05 / np.ptp(t) * one["lsq_period"] ** 2, rel=1e-5)
+    assert [out[k]["error"] for k in (2, 3, 4)] == ["too few points", "no frequency", "too few points"] and out[4]["n_epochs"] == 0
+    assert fourier.periodic_features(lc.where("sourceid > 9")).count() == 0
+
+
+def test_short_and_long_periods_are_found(spark):
     rng = np.random.default_rng(9)
     rows, want = [], {1: (0.21, 30), 2: (90.0, 400)}
     for k, (period, span) in want.items():
@@ -139,10 +191,6 @@ def test_short_and_long_periods_are_found(spark, monkeypatch):
         period, span = want[row["sourceid"]]
         # the grid's step is 1 / (5 span)
         assert row["error"] is None and abs(1 / row["ls_period"] - 1 / period) < 0.2 / span and 4 <= row["lsq_nterms"] <= 10
-    f, e = np.linspace(0.01, 3, 50), np.full(200, 0.02)
-    whole = fourier.power(t, y, e, f)
-    monkeypatch.setattr(fourier, "CELLS", 1000)
-    assert np.allclose(fourier.power(t, y, e, f), whole, rtol=1e-9)
 
 
 def test_yeo_johnson_finds_the_logarithm(spark):
