@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TWO_PI = 2 * math.pi
@@ -162,3 +163,32 @@ def translated_id(c: str, separator: str, prefixes: dict[str, str]) -> Column:
     parts = F.split(F.col(c), separator)
     table = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
     return F.concat(table[parts[0]], parts[1])
+
+
+def beyond_tolerance(a: str | Column, b: str | Column, tolerance: float) -> Column:
+    """Whether a differs from b by more than a share of b; null where either is null or b is 0."""
+    return F.abs(ratio(a, b) - 1) > tolerance
+
+
+def first_present(columns: list[str], names: tuple[str, ...] = ("HJD", "JD", "MJD", "mjd", "mjdobs")) -> str:
+    """The first of ``names`` among the columns; an error names both if there is none."""
+    for name in names:
+        if name in columns:
+            return name
+    raise ValueError(f"none of {names} in {columns}")
+
+
+def inserted(df: DataFrame, name: str, value: Column, at: int) -> DataFrame:
+    """``df`` with a new column at a position."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*columns[:at], value.alias(name), *columns[at:])
+
+
+def tidied(df: DataFrame, without: str = "", pattern: str = "", to: str = "", suffix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lower-case names, columns whose name contains ``without`` dropped, a pattern replaced in names, a suffix on all but ``keep``."""
+    names = {}
+    for c in df.columns:
+        if not (without and without in c):
+            new = re.sub(pattern, to, c.lower()) if pattern else c.lower()
+            names[c] = new if new in keep else new + suffix
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import col
@@ -28,7 +25,9 @@ def separation(lon1: str | Column, lat1: str | Column, lon2: str | Column, lat2:
 
 
 def in_cone(lon: str, lat: str, lon0: float, lat0: float, radius: float) -> Column:
-    return separation(lon, lat, F.lit(lon0), F.lit(lat0)) < radius
+    """Cone test; the plain range of latitudes before it is what a scan can push down."""
+    slack = 1e-9
+    return F.col(lat).between(lat0 - radius - slack, lat0 + radius + slack) & (separation(lon, lat, F.lit(lon0), F.lit(lat0)) < radius)
 
 
 def in_box(lon: str, lat: str, lon_min: float, lon_max: float, lat_min: float, lat_max: float) -> Column:
@@ -51,6 +50,15 @@ def galactic(ra: str, dec: str) -> tuple[Column, Column]:
     return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))))
 
 
+def galactic_motion(ra: str, dec: str, pm_ra: str, pm_dec: str) -> tuple[Column, Column]:
+    """Proper motion along galactic longitude (times the cosine of latitude) and latitude, in the units given."""
+    a, d, p, q = F.radians(ra), F.radians(dec), F.col(pm_ra), F.col(pm_dec)
+    v = (-p * F.sin(a) - q * F.sin(d) * F.cos(a), p * F.cos(a) - q * F.sin(d) * F.sin(a), q * F.cos(d))
+    x, y, z = (sum((F.lit(m) * c for m, c in zip(row, v, strict=True)), F.lit(0.0)) for row in TO_GALACTIC)
+    lon, lat = (F.radians(c) for c in galactic(ra, dec))
+    return F.cos(lon) * y - F.sin(lon) * x, F.cos(lat) * z - F.sin(lat) * (F.cos(lon) * x + F.sin(lon) * y)
+
+
 def light_travel(ra: Column, dec: Column, mjd: Column) -> Column:
     """Days that light needs from the observer to the Sun's centre plane: low-precision solar position, good to seconds."""
     n = mjd - 51544.5
@@ -63,48 +71,39 @@ def light_travel(ra: Column, dec: Column, mjd: Column) -> Column:
     return -far * along * 499.004782 / 86400
 
 
-def _spread(v: np.ndarray) -> np.ndarray:
-    """Bits of v at even places."""
-    v = v.astype(np.uint64)
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = (v | (v << np.uint64(shift))) & np.uint64(mask)
-    return v
-
+def with_pixel(df: DataFrame, name: str, lon: str, lat: str, level: int, nested: bool = True) -> DataFrame:
+    """``df`` with the equal-area pixel of 12 * 4^level, in nested or ring order, by the published projection of the sphere on twelve diamonds.
 
-def pixel_nested(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
-    """Nested equal-area pixel of 12 * 4^level, by the published projection of the sphere on twelve diamonds."""
+    In the belt a pixel is known by its ascending and descending edge lines, in the caps by its place in a quarter.
+    """
     side = 1 << level
-    z = np.sin(np.radians(lat))
-    turn = np.mod(np.radians(lon), 2 * np.pi) / (np.pi / 2)
-    belt = np.abs(z) <= 2 / 3
-    # equatorial belt: ascending and descending edge lines
-    up, down = side * (0.5 + turn - 0.75 * z), side * (0.5 + turn + 0.75 * z)
-    jp, jm = np.floor(up).astype(np.int64), np.floor(down).astype(np.int64)
-    ip, im = jp // side, jm // side
-    face = np.where(ip == im, (ip & 3) | 4, np.where(ip < im, ip & 3, (im & 3) + 8))
-    x, y = jm % side, side - 1 - jp % side
-    # caps
-    quarter = np.minimum(3, turn.astype(np.int64))
-    part = turn - quarter
-    scale = side * np.sqrt(np.maximum(0, 3 * (1 - np.abs(z))))
-    cp = np.minimum(side - 1, (part * scale).astype(np.int64))
-    cm = np.minimum(side - 1, ((1 - part) * scale).astype(np.int64))
-    north = z >= 0
-    face = np.where(belt, face, np.where(north, quarter, quarter + 8))
-    x = np.where(belt, x, np.where(north, side - 1 - cm, cp))
-    y = np.where(belt, y, np.where(north, side - 1 - cp, cm))
-    return face.astype(np.int64) * side * side + (_spread(x) | _spread(y) << np.uint64(1)).astype(np.int64)
-
-
-def nested_pixel(lon: str, lat: str, level: int) -> Column:
-    """Column form of ``pixel_nested``, in Arrow batches."""
-
-    @F.pandas_udf("long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series(pixel_nested(a.to_numpy(), b.to_numpy(), level))
-
-    return run(F.col(lon), F.col(lat))
+    z, turn, up, down, quarter = (F.col(c) for c in ("_z", "_turn", "_up", "_down", "_quarter"))
+    belt, north = F.abs(z) <= 2 / 3, z >= 0
+    whole = lambda c: F.floor(c).cast("long")
+    out = df.withColumns({"_z": F.sin(F.radians(lat)), "_turn": F.pmod(col(lon), F.lit(360.0)) / 90})
+    out = out.withColumn("_quarter", F.least(F.lit(3), F.floor(turn)).cast("long"))
+    reach, part = side * F.sqrt(F.greatest(F.lit(0.0), 3 * (1 - F.abs(z)))), turn - quarter
+    edge = lambda c: F.least(F.lit(side - 1), F.floor(c * reach)).cast("long")
+    lines = {"_up": (0.5 + turn - 0.75 * z, part), "_down": (0.5 + turn + 0.75 * z, 1 - part)}
+    out = out.withColumns({c: F.when(belt, whole(side * inside)).otherwise(edge(beyond)) for c, (inside, beyond) in lines.items()})
+    if nested:
+        ip, im = F.shiftright(up, level), F.shiftright(down, level)
+        low = lambda c, m: c.bitwiseAND(F.lit(m))
+        face = F.when(ip == im, low(ip, 3).bitwiseOR(F.lit(4))).when(ip < im, low(ip, 3)).otherwise(low(im, 3) + 8)
+        face = F.when(belt, face).otherwise(F.when(north, quarter).otherwise(quarter + 8))
+        x = F.when(belt, low(down, side - 1)).otherwise(F.when(north, side - 1 - down).otherwise(up))
+        y = F.when(belt, side - 1 - low(up, side - 1)).otherwise(F.when(north, side - 1 - up).otherwise(down))
+        out = out.withColumns({"_x": x, "_y": y})
+        bits = [F.shiftleft(low(F.shiftright(c, k), 1), 2 * k + odd) for k in range(level) for odd, c in enumerate((F.col("_x"), F.col("_y")))]
+        pixel = face * side * side + sum(bits, F.lit(0).cast("long"))
+    else:
+        ring = F.when(belt, side + 1 + up - down).otherwise(up + down + 1)
+        out = out.withColumn("_x", ring).withColumn("_y", F.lit(0))
+        ring = F.col("_x")
+        along = F.pmod(F.shiftright(up + down - side + 2 - ring.bitwiseAND(F.lit(1)), 1), F.lit(4 * side))
+        cap = F.least(whole(turn * ring), 4 * ring - 1)
+        pixel = F.when(belt, 2 * side * (side - 1) + (ring - 1) * 4 * side + along).when(north, 2 * ring * (ring - 1) + cap).otherwise(12 * side * side - 2 * ring * (ring + 1) + cap)
+    return out.withColumn(name, pixel.cast("long")).drop("_z", "_turn", "_up", "_down", "_quarter", "_x", "_y")
 
 
 def at_level(pixel: str | Column, level: int, target: int) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import col, ratio
+from skyloom.operators.ordering import numbered
 from skyloom.operators.quantiles import exact_percentiles, grouped_percentiles
 from skyloom.operators.storage import small
 
@@ -115,3 +118,49 @@ def patched(base: DataFrame, patch: DataFrame, key: list[str], columns: list[str
     for c in columns:
         out = out.withColumn(c, F.coalesce(c, f"_{c}"))
     return out.drop(*[f"_{c}" for c in columns])
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, covariance, correlation of every pair of columns (a before b, or the same), in one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("covariance"), F.corr(a, b).alias("correlation")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
+    return sums.select(F.inline(F.array(*[f"p{k}" for k in range(len(pairs))])))
+
+
+def circular_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, covariance of angles in radians: the circular variance of each, and of each pair the circular correlation times the root of both variances."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    ends = df.agg(*[f(g(c)) for c in columns for f, g in ((F.avg, F.sin), (F.avg, F.cos))]).first()
+    mean = {c: (ends[2 * k], ends[2 * k + 1]) for k, c in enumerate(columns)}
+    known = [c for c in columns if None not in mean[c]]
+    pairs = [(a, b) for a, b in pairs if a in known and b in known]
+    off = {c: F.sin(F.col(c) - math.atan2(*mean[c])) for c in known}
+    rows = df.select(*columns)
+    var = {c: F.lit(1 - math.hypot(*mean[c])) if c in known else F.lit(None).cast("double") for c in columns}
+    corr = {(a, b): ratio(F.sum(off[a] * off[b]), F.sqrt(F.sum(off[a] * off[a]) * F.sum(off[b] * off[b]))) for a, b in pairs}
+    cells = [(c, c, var[c]) for c in columns] + [(a, b, corr[a, b] * F.sqrt(var[a] * var[b])) for a, b in pairs]
+    sums = rows.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("covariance")).alias(f"p{k}") for k, (a, b, v) in enumerate(cells)])
+    return sums.select(F.inline(F.array(*[f"p{k}" for k in range(len(cells))])))
+
+
+def confusion_shares(df: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """truth, predicted, n and its share of the true class, for any number of classes."""
+    n = df.groupBy(truth, predicted).agg(F.count("*").alias("n"))
+    return n.withColumn("share", ratio("n", F.sum("n").over(Window.partitionBy(truth))))
+
+
+def drawn(df: DataFrame, n: int, key: str, salt: str) -> DataFrame:
+    """``n`` rows drawn with replacement: ``df`` and ``draw``, from 0. Position and draw meet by a hash, so reruns agree."""
+    rows = numbered(df, F.col(key), name="_position")
+    size = max(1, df.count())
+    digest = F.md5(F.concat(F.lit(salt), F.col("id").cast("string")))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % size).alias("_position"))
+    return draws.join(rows, "_position").drop("_position")
+
+
+def density_weight(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """``df`` with ``weight``: the inverse of its own histogram, interpolated between bin centres, of one row at least."""
+    width = (high - low) / bins
+    n = df.select(equal_width(value, low, high, bins).alias("bin")).dropna().groupBy("bin").agg(F.count("*").alias("n"))
+    knots = df.sparkSession.range(bins).select(F.col("id").alias("bin")).join(n, "bin", "left").select((low + width * (F.col("bin") + 0.5)).alias("centre"), F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    return interpolate(df, value, knots, "centre", "n", "_density").withColumn("weight", 1 / F.greatest(F.lit(1.0), F.col("_density"))).drop("_density")

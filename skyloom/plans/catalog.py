@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyloom.plans import models, relational, sphere, statistics, timeseries
+from skyloom.plans import features, models, relational, sphere, statistics, timeseries
 
-_PARTS = (relational, statistics, timeseries, sphere, models)
+_PARTS = (relational, statistics, timeseries, sphere, features, models)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _p in _PARTS:

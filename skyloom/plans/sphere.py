@@ -11,7 +11,7 @@ from skyloom.functions import expr
 from skyloom.functions import sky as S
 from skyloom.operators import joins
 from skyloom.plans.registry import Registry, count, r
-from skyloom.sources.views import SKY, sky
+from skyloom.sources.views import DETECTIONS, SKY, sky
 
 query = Registry()
 
@@ -123,13 +123,58 @@ def xmatch_both_ways(spark, d):
     return joins.both_ways(*halves(spark, d), start=2.0).select("left_id", "right_id", r("sep").alias("sep"), "forward")
 
 
-@query()
+def _pixel(level: int) -> str:
+    """Nested and ring pixels of a level in SQL: tables pixels(sourceid, nested, ring)."""
+    side = 1 << level
+    bits = " + ".join(f"(((({c} >> {k}) & 1)) << {2 * k + odd})" for k in range(level) for odd, c in enumerate("xy"))
+    return f"""z AS (SELECT sourceid, sin(radians(lat)) AS z, lon / 90 AS turn, least(3, floor(lon / 90))::BIGINT AS q FROM sky),
+l AS (SELECT *, abs(z) <= 2 / 3::DOUBLE AS belt,
+  CASE WHEN abs(z) <= 2 / 3::DOUBLE THEN floor({side} * (0.5 + turn - 0.75 * z))::BIGINT ELSE least({side - 1}, floor((turn - q) * {side} * sqrt(3 * (1 - abs(z)))))::BIGINT END AS up,
+  CASE WHEN abs(z) <= 2 / 3::DOUBLE THEN floor({side} * (0.5 + turn + 0.75 * z))::BIGINT ELSE least({side - 1}, floor((1 - turn + q) * {side} * sqrt(3 * (1 - abs(z)))))::BIGINT END AS down FROM z),
+xy AS (SELECT *, CASE WHEN NOT belt THEN q + CASE WHEN z >= 0 THEN 0 ELSE 8 END WHEN up // {side} = down // {side} THEN (up // {side}) % 4 + 4 WHEN up // {side} < down // {side} THEN (up // {side}) % 4 ELSE (down // {side}) % 4 + 8 END AS face,
+  CASE WHEN belt THEN down % {side} WHEN z >= 0 THEN {side - 1} - down ELSE up END AS x, CASE WHEN belt THEN {side - 1} - up % {side} WHEN z >= 0 THEN {side - 1} - up ELSE down END AS y,
+  CASE WHEN belt THEN {side + 1} + up - down ELSE up + down + 1 END AS row_ FROM l),
+pixels AS (SELECT sourceid, (face * {side * side} + {bits})::BIGINT AS nested, (CASE WHEN belt THEN {2 * side * (side - 1)} + (row_ - 1) * {4 * side} + ((up + down - {side} + 2 - row_ % 2) // 2 + {4 * side}) % {4 * side}
+  WHEN z >= 0 THEN 2 * row_ * (row_ - 1) + floor(turn * row_)::BIGINT ELSE {12 * side * side} - 2 * row_ * (row_ + 1) + floor(turn * row_)::BIGINT END)::BIGINT AS ring FROM xy)"""
+
+
+@query(f"WITH {SKY}, {_pixel(3)} SELECT nested AS pixel, nested // 16 AS parent, count(*) AS n FROM pixels GROUP BY ALL")
 def pixel_counts(spark, d):
     """Sources per nested equal-area pixel of level 3, and the pixel of level 1 that holds it."""
-    p = sky(spark, d).withColumn("pixel", S.nested_pixel("lon", "lat", 3))
+    p = S.with_pixel(sky(spark, d), "pixel", "lon", "lat", 3)
     return p.groupBy("pixel", S.at_level("pixel", 3, 1).alias("parent")).agg(count().alias("n"))
 
 
+@query(f"WITH {SKY}, {_pixel(4)} SELECT sourceid, ring FROM pixels WHERE ring BETWEEN 480 AND 1500")
+def ring_pixels(spark, d):
+    """Sources of a run of ring pixels, that is, of a belt of the sky."""
+    return S.with_pixel(sky(spark, d), "ring", "lon", "lat", 4, nested=False).where("ring BETWEEN 480 AND 1500").select("sourceid", "ring")
+
+
+_A, _D = "radians(lon)", "radians(lat)"
+MOTION = f"""pm AS (SELECT sourceid, lon, lat, (sourceid % 101 - 50) / 10.0::DOUBLE AS pa, (sourceid % 71 - 35) / 10.0::DOUBLE AS pd FROM sky),
+v AS (SELECT sourceid, cos({_D}) * cos({_A}) AS x, cos({_D}) * sin({_A}) AS y, sin({_D}) AS z, -pa * sin({_A}) - pd * sin({_D}) * cos({_A}) AS vx, pa * cos({_A}) - pd * sin({_D}) * sin({_A}) AS vy, pd * cos({_D}) AS vz FROM pm),
+g AS (SELECT sourceid, {', '.join(' + '.join(f'({m}::DOUBLE) * {c}' for m, c in zip(row, cols, strict=True)) + ' AS ' + n for cols, names in (('xyz', ('gx', 'gy', 'gz')), (('vx', 'vy', 'vz'), ('hx', 'hy', 'hz'))) for row, n in zip(ROT, names, strict=True))} FROM v),
+motion AS (SELECT sourceid, cos(atan2(gy, gx)) * hy - sin(atan2(gy, gx)) * hx AS pm_l, cos(asin(gz)) * hz - sin(asin(gz)) * (cos(atan2(gy, gx)) * hx + sin(atan2(gy, gx)) * hy) AS pm_b FROM g)"""
+
+
+def motions(spark, d):
+    s = sky(spark, d).withColumns({"pa": (F.col("sourceid") % 101 - 50) / F.lit(10.0), "pd": (F.col("sourceid") % 71 - 35) / F.lit(10.0)})
+    along, across = S.galactic_motion("lon", "lat", "pa", "pd")
+    return s.select("sourceid", along.alias("pm_l"), across.alias("pm_b"))
+
+
+@query(f"WITH {SKY}, {MOTION} SELECT sourceid, round(pm_l, 6) + 0.0 AS pm_l, round(pm_b, 6) + 0.0 AS pm_b FROM motion")
+def galactic_motion(spark, d):
+    return motions(spark, d).select("sourceid", r("pm_l").alias("pm_l"), r("pm_b").alias("pm_b"))
+
+
+@query(f"WITH {SKY}, {MOTION} SELECT sourceid FROM motion WHERE pm_l > -2 AND pm_l < 3 AND pm_b > -1.5 AND pm_b < 1")
+def pm_box(spark, d):
+    """Sources whose proper motion lies in a box."""
+    return motions(spark, d).where("pm_l > -2 AND pm_l < 3 AND pm_b > -1.5 AND pm_b < 1").select("sourceid")
+
+
 @query(f"""WITH {SKY}, p AS (SELECT sourceid, lon, lat, 12 + 3 * abs(mag) AS k, 0.3 + abs(mag) AS jk, 0.2 + 0.01 * (sourceid % 90) AS period, label FROM sky),
 q AS (SELECT *, power(10.0::DOUBLE, 0.2 * (k - 0.5 * jk + 2.5 * log10(period) + 1.1) - 2) AS d FROM p)
 SELECT sourceid, round(d, 6) + 0.0 AS distance, round(d * cos(radians(lon)) * cos(radians(lat)), 6) + 0.0 AS x, round(d * sin(radians(lon)) * cos(radians(lat)), 6) + 0.0 AS y FROM q""")
@@ -168,14 +213,17 @@ def decimal_year(spark, d):
     return table(spark, d, "events").select("event_id", r(expr.decimal_year("ts"), 8).alias("year"))
 
 
-@query()
+@query(f"""WITH {DETECTIONS}, {SKY}, m AS (SELECT event_id, sourceid, t, lon, lat, min(t) OVER (PARTITION BY sourceid) + 60310 - 51544.5 AS n FROM lc JOIN sky USING (sourceid)),
+g AS (SELECT *, radians(357.528 + 0.9856003 * n) AS g, radians(280.460 + 0.9856474 * n + 1.915 * sin(radians(357.528 + 0.9856003 * n)) + 0.020 * sin(2 * radians(357.528 + 0.9856003 * n))) AS sun FROM m)
+SELECT event_id, sourceid, round(t + 2460310.5 - (1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g)) * (cos(radians(lat)) * cos(radians(lon)) * cos(sun)
+  + (cos(radians(lat)) * sin(radians(lon)) * cos(radians(23.439)) + sin(radians(lat)) * sin(radians(23.439))) * sin(sun)) * 499.004782 / 86400, 6) + 0.0 AS hjd FROM g""")
 def heliocentric(spark, d):
     """Times at the Sun: each source's first epoch gives one shift for all its detections."""
     from skyloom.sources.views import detections
 
     lc = detections(spark, d).join(sky(spark, d).select("sourceid", "lon", "lat"), "sourceid")
     first = F.min("t").over(Window.partitionBy("sourceid")) + 60310.0
-    return lc.select("event_id", "sourceid", (F.col("t") + 2460310.5 + S.light_travel(F.col("lon"), F.col("lat"), first)).alias("hjd"))
+    return lc.select("event_id", "sourceid", r(F.col("t") + 2460310.5 + S.light_travel(F.col("lon"), F.col("lat"), first)).alias("hjd"))
 
 
 @query(f"WITH {SKY} SELECT CASE WHEN abs(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) < 10 THEN 10.0::DOUBLE ELSE 4.5::DOUBLE END AS height, count(*) AS n, round(sum(1 / CASE WHEN abs(CASE WHEN lon > 180 THEN lon - 360 ELSE lon END) < 10 THEN 10.0::DOUBLE ELSE 4.5::DOUBLE END), 4) + 0.0 AS density FROM sky GROUP BY 1")

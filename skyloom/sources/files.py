@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +12,23 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, s
     return spark.read.csv(path, schema=schema, header=header, sep=sep, mode="DROPMALFORMED").withColumn("file", F.input_file_name())
 
 
+def write_routed(df: DataFrame, path: str, route: Column, name: str = "bucket") -> None:
+    """One folder for each value of ``route``."""
+    df.withColumn(name, route).repartition(name).write.partitionBy(name).mode("overwrite").parquet(path)
+
+
+def read_routed(spark: SparkSession, path: str, schema: str, wanted: DataFrame, key: str, route: Column, name: str = "bucket") -> DataFrame:
+    """Rows of the wanted keys, read from those folders alone that the keys lead to; a folder or table that is missing has no rows."""
+    try:
+        rows = spark.read.schema(f"{schema}, {name} long").option("ignoreMissingFiles", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    keys = wanted.select(key).distinct().withColumn(name, route.cast("long"))
+    return rows.join(keys, [name, key], "left_semi").drop(name)
+
+
 def narrowed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
 

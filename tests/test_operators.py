@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from skyloom.functions import expr
 from skyloom.functions import sky as S
 from skyloom.operators.quantiles import exact_percentiles
 from skyloom.operators import fourier, joins, learning, quality, series, stats
+from skyloom.sources import files
 
 
 def values(df, *cols):
@@ -88,14 +90,46 @@ def test_nearest_in_time_prefers_the_earlier(spark):
     assert values(joins.nearest_in_time(a, b, "k", "t", 2.0, ["v"]), "n", "nearest_t", "nearest_v") == [("a", 4.0, 40.0), ("b", 9.0, 90.0)]
 
 
-def test_pixels_are_equal_in_area_and_nested():
+def test_pixels_are_equal_in_area_and_nested(spark):
     rng = np.random.default_rng(2)
-    lon, lat = rng.uniform(0, 360, 200_000), np.degrees(np.arcsin(rng.uniform(-1, 1, 200_000)))
-    fine, coarse = S.pixel_nested(lon, lat, 3), S.pixel_nested(lon, lat, 1)
-    assert (fine >> 4 == coarse).all()
-    n = np.bincount(S.pixel_nested(lon, lat, 2), minlength=192)
-    assert len(n) == 192 and abs(n - n.mean()).max() < 6 * math.sqrt(n.mean())
-    assert set(S.pixel_nested(np.array([0.0, 90, 180, 270]), np.array([90.0, 90, 90, 90]), 0)) == {0, 1, 2, 3}
+    lon, lat = rng.uniform(0, 360, 60_000), np.degrees(np.arcsin(rng.uniform(-1, 1, 60_000)))
+    df = spark.createDataFrame(pd.DataFrame({"lon": lon, "lat": lat}))
+    for name, level, nested in (("fine", 3, True), ("coarse", 1, True), ("mid", 2, True), ("ring", 2, False)):
+        df = S.with_pixel(df, name, "lon", "lat", level, nested)
+    p = df.toPandas()
+    assert (p.fine // 16 == p.coarse).all() and (p.fine // 4 == p.mid).all()
+    for name in ("mid", "ring"):
+        n = np.bincount(p[name], minlength=192)
+        assert len(n) == 192 and abs(n - n.mean()).max() < 6 * math.sqrt(n.mean())
+    # both orders number the same pixels, and ring numbers fall from north to south
+    assert len(p[["mid", "ring"]].drop_duplicates()) == 192
+    assert (p.groupby("ring").lat.mean().diff().dropna() < 3).all()
+    poles = spark.createDataFrame([(x, y) for y in (90.0, -90.0) for x in (0.0, 90.0, 180.0, 270.0)], "lon double, lat double")
+    for nested in (True, False):
+        assert [r["p"] for r in S.with_pixel(poles, "p", "lon", "lat", 0, nested).collect()] == [0, 1, 2, 3, 8, 9, 10, 11]
+
+
+def test_routed_files_read_what_is_there(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(k)) for k in range(20)], "k long, v double")
+    wanted = spark.createDataFrame([(3,), (3,), (7,), (99,)], "k long")
+    files.write_routed(rows, f"{tmp_path}/t", F.col("k") % 4)
+    got = files.read_routed(spark, f"{tmp_path}/t", "k long, v double", wanted, "k", F.col("k") % 4)
+    assert sorted(map(tuple, got.collect())) == [(3, 3.0), (7, 7.0)]
+    none = files.read_routed(spark, f"{tmp_path}/missing", "k long, v double", wanted, "k", F.col("k") % 4)
+    assert none.columns == ["k", "v"] and none.count() == 0
+
+
+def test_time_column_is_found():
+    assert expr.first_present(["id", "mjd", "MJD"]) == "MJD"
+    with pytest.raises(ValueError):
+        expr.first_present(["id"])
+
+
+def test_samples_with_replacement_repeat_rows(spark):
+    df = spark.createDataFrame([(k,) for k in range(10)], "k long")
+    got = values(stats.drawn(df, 500, "k", "s"), "draw", "k")
+    assert [g[0] for g in got] == list(range(500)) and {g[1] for g in got} == set(range(10))
+    assert stats.drawn(df.where("k > 99"), 5, "k", "s").count() == 0
 
 
 def test_spectrum_equals_least_squares(spark):
