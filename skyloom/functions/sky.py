@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +52,20 @@ def galactic(ra: str, dec: str) -> tuple[Column, Column]:
 
 
 def galactic_motion(ra: str, dec: str, pm_ra: str, pm_dec: str) -> tuple[Column, Column]:
-    """Proper motion along galactic longitude (times the cosine of latitude) and latitude, in the units given."""
+    """Proper motion along galactic longitude (times the cosine of latitude) and latitude, in the units given; null at the poles."""
     a, d, p, q = F.radians(ra), F.radians(dec), F.col(pm_ra), F.col(pm_dec)
-    v = (-p * F.sin(a) - q * F.sin(d) * F.cos(a), p * F.cos(a) - q * F.sin(d) * F.sin(a), q * F.cos(d))
-    x, y, z = (sum((F.lit(m) * c for m, c in zip(row, v, strict=True)), F.lit(0.0)) for row in TO_GALACTIC)
-    lon, lat = (F.radians(c) for c in galactic(ra, dec))
-    return F.cos(lon) * y - F.sin(lon) * x, F.cos(lat) * z - F.sin(lat) * (F.cos(lon) * x + F.sin(lon) * y)
+    at = F.array(F.cos(d) * F.cos(a), F.cos(d) * F.sin(a), F.sin(d))
+    by = F.array(-p * F.sin(a) - q * F.sin(d) * F.cos(a), p * F.cos(a) - q * F.sin(d) * F.sin(a), q * F.cos(d))
+    turned = lambda v: F.array(*[m * v[0] + n * v[1] + o * v[2] for m, n, o in TO_GALACTIC])
+
+    def along(v: Column) -> Column:
+        x, y, z = (v["at"][k] for k in range(3))
+        u, v, w = (v["by"][k] for k in range(3))
+        rho = F.sqrt(x * x + y * y)
+        return F.array(F.try_divide(x * v - y * u, rho), rho * w - z * F.try_divide(x * u + y * v, rho))
+
+    motion = _let(F.struct(_let(at, turned).alias("at"), _let(by, turned).alias("by")), along)
+    return motion[0], motion[1]
 
 
 def light_travel(ra: Column, dec: Column, mjd: Column) -> Column:
@@ -71,39 +80,52 @@ def light_travel(ra: Column, dec: Column, mjd: Column) -> Column:
     return -far * along * 499.004782 / 86400
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used there (Catalyst would write it out each time)."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def with_pixel(df: DataFrame, name: str, lon: str, lat: str, level: int, nested: bool = True) -> DataFrame:
     """``df`` with the equal-area pixel of 12 * 4^level, in nested or ring order, by the published projection of the sphere on twelve diamonds.
 
     In the belt a pixel is known by its ascending and descending edge lines, in the caps by its place in a quarter.
     """
     side = 1 << level
-    z, turn, up, down, quarter = (F.col(c) for c in ("_z", "_turn", "_up", "_down", "_quarter"))
-    belt, north = F.abs(z) <= 2 / 3, z >= 0
     whole = lambda c: F.floor(c).cast("long")
-    out = df.withColumns({"_z": F.sin(F.radians(lat)), "_turn": F.pmod(col(lon), F.lit(360.0)) / 90})
-    out = out.withColumn("_quarter", F.least(F.lit(3), F.floor(turn)).cast("long"))
-    reach, part = side * F.sqrt(F.greatest(F.lit(0.0), 3 * (1 - F.abs(z)))), turn - quarter
-    edge = lambda c: F.least(F.lit(side - 1), F.floor(c * reach)).cast("long")
-    lines = {"_up": (0.5 + turn - 0.75 * z, part), "_down": (0.5 + turn + 0.75 * z, 1 - part)}
-    out = out.withColumns({c: F.when(belt, whole(side * inside)).otherwise(edge(beyond)) for c, (inside, beyond) in lines.items()})
-    if nested:
-        ip, im = F.shiftright(up, level), F.shiftright(down, level)
-        low = lambda c, m: c.bitwiseAND(F.lit(m))
+    low = lambda c, m: c.bitwiseAND(F.lit(m))
+
+    def lines(p: Column) -> Column:
+        z, turn, quarter = p["z"], p["turn"], F.least(F.lit(3), F.floor(p["turn"])).cast("long")
+        belt, part, reach = F.abs(z) <= 2 / 3, turn - quarter, side * F.sqrt(F.greatest(F.lit(0.0), 3 * (1 - F.abs(z))))
+        edge = lambda inside, beyond: F.when(belt, whole(side * inside)).otherwise(F.least(F.lit(side - 1), F.floor(beyond * reach)).cast("long"))
+        up, down = edge(0.5 + turn - 0.75 * z, part), edge(0.5 + turn + 0.75 * z, 1 - part)
+        return F.struct(belt.alias("belt"), (z >= 0).alias("north"), turn.alias("turn"), quarter.alias("quarter"), up.alias("up"), down.alias("down"))
+
+    def place(p: Column) -> Column:
+        up, down, ip, im = p["up"], p["down"], F.shiftright(p["up"], level), F.shiftright(p["down"], level)
         face = F.when(ip == im, low(ip, 3).bitwiseOR(F.lit(4))).when(ip < im, low(ip, 3)).otherwise(low(im, 3) + 8)
-        face = F.when(belt, face).otherwise(F.when(north, quarter).otherwise(quarter + 8))
-        x = F.when(belt, low(down, side - 1)).otherwise(F.when(north, side - 1 - down).otherwise(up))
-        y = F.when(belt, side - 1 - low(up, side - 1)).otherwise(F.when(north, side - 1 - up).otherwise(down))
-        out = out.withColumns({"_x": x, "_y": y})
-        bits = [F.shiftleft(low(F.shiftright(c, k), 1), 2 * k + odd) for k in range(level) for odd, c in enumerate((F.col("_x"), F.col("_y")))]
-        pixel = face * side * side + sum(bits, F.lit(0).cast("long"))
-    else:
-        ring = F.when(belt, side + 1 + up - down).otherwise(up + down + 1)
-        out = out.withColumn("_x", ring).withColumn("_y", F.lit(0))
-        ring = F.col("_x")
-        along = F.pmod(F.shiftright(up + down - side + 2 - ring.bitwiseAND(F.lit(1)), 1), F.lit(4 * side))
-        cap = F.least(whole(turn * ring), 4 * ring - 1)
-        pixel = F.when(belt, 2 * side * (side - 1) + (ring - 1) * 4 * side + along).when(north, 2 * ring * (ring - 1) + cap).otherwise(12 * side * side - 2 * ring * (ring + 1) + cap)
-    return out.withColumn(name, pixel.cast("long")).drop("_z", "_turn", "_up", "_down", "_quarter", "_x", "_y")
+        face = F.when(p["belt"], face).when(p["north"], p["quarter"]).otherwise(p["quarter"] + 8)
+        x = F.when(p["belt"], low(down, side - 1)).when(p["north"], side - 1 - down).otherwise(up)
+        y = F.when(p["belt"], side - 1 - low(up, side - 1)).when(p["north"], side - 1 - up).otherwise(down)
+        return F.struct(face.alias("face"), x.alias("x"), y.alias("y"))
+
+    def interleaved(p: Column) -> Column:
+        bits = [F.shiftleft(low(F.shiftright(p[c], k), 1), 2 * k + odd) for k in range(level) for odd, c in enumerate("xy")]
+        return p["face"] * side * side + sum(bits, F.lit(0).cast("long"))
+
+    def ringed(p: Column) -> Column:
+        ring = F.when(p["belt"], side + 1 + p["up"] - p["down"]).otherwise(p["up"] + p["down"] + 1)
+
+        def numbered(k: Column) -> Column:
+            along = F.pmod(F.shiftright(p["up"] + p["down"] - side + 2 - low(k, 1), 1), F.lit(4 * side))
+            cap = F.least(whole(p["turn"] * k), 4 * k - 1)
+            return F.when(p["belt"], 2 * side * (side - 1) + (k - 1) * 4 * side + along).when(p["north"], 2 * k * (k - 1) + cap).otherwise(12 * side * side - 2 * k * (k + 1) + cap)
+
+        return _let(ring, numbered)
+
+    start = F.struct(F.sin(F.radians(lat)).alias("z"), (F.pmod(col(lon), F.lit(360.0)) / 90).alias("turn"))
+    pixel = _let(_let(start, lines), (lambda p: _let(place(p), interleaved)) if nested else ringed)
+    return df.withColumn(name, F.when(col(lon).isNotNull() & col(lat).isNotNull(), pixel).cast("long"))
 
 
 def at_level(pixel: str | Column, level: int, target: int) -> Column:
