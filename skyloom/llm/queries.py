@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, bpe, chat, langid, token_counts
+from skyloom.llm import ann, bpe, chat, fim, langid, token_counts
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
@@ -165,5 +165,39 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_nearest_vectors, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join)}
-ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_secret_scan": _op8()}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12 = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), h AS (
+    SELECT doc_id, t, n, CAST('0x' || d[1:8] AS UBIGINT) AS h1, CAST('0x' || d[9:16] AS UBIGINT) AS h2,
+           CAST('0x' || d[17:24] AS UBIGINT) AS h3, CAST('0x' || d[25:32] AS UBIGINT) AS h4
+    FROM drawn
+), cut AS (
+    SELECT doc_id, t, n, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM h
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+              ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_nearest_vectors, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join, op12_fill_in_middle)}
+ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_secret_scan": _op8(), "op12_fill_in_middle": OP12}
