@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from skyloom.llm import fim
+from skyloom.llm import fim, queries, simhash
 
 DOCS = "doc_id long, text string"
 
@@ -63,3 +65,146 @@ def test_rates_and_words(spark):
     assert {r["form"] for r in fim.fill_in_middle(df, rate=100, spm=100).collect()} == {"spm"}
     words = fim.fill_in_middle(df, rate=100, unit="word").collect()
     assert {r["n"] for r in words} == {4} and {r["prefix_chars"] for r in words} == {0, 4, 8, 14, 18}
+
+
+# --- fingerprints
+
+
+def plain_fingerprint(text, k=3):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ")
+    words = [w for w in words if w]
+    width = min(k, len(words))
+    h = [xxhash.xxh64_intdigest(" ".join(words[j : j + width]).encode(), seed=42) for j in range(len(words) - width + 1)] if words else []
+    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+
+def plain_components(fps, distance):
+    """Least index of each one's component, all pairs compared."""
+    top = list(range(len(fps)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    a = np.array(fps, np.uint64)
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= distance).tolist():
+            x, y = sorted((find(i), find(j)))
+            top[y] = x
+    return [find(x) for x in range(len(fps))]
+
+
+def test_simhash_query_is_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in queries.op13_simhash(spark, sf_dir).collect()}
+    ids = sorted(docs)
+    fps = [plain_fingerprint(docs[i]) for i in ids]
+    assert [rows[i]["fingerprint"] for i in ids] == [f"{f:016x}" for f in fps]
+    assert [rows[i]["component_id"] for i in ids] == [ids[c] for c in plain_components(fps, 3)]
+    # JVM and library hash alike
+    assert spark.sql("SELECT xxhash64('a b c') AS h").first()["h"] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", seed=42)
+
+
+def groups_of(spark, fps, distance, monkeypatch=None):
+    """Components of given fingerprints, by the operator's own search."""
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in dict.fromkeys(signed)], "fp long")
+    groups = simhash.grouped_bits(simhash.agreement(df))
+    v = simhash.values(np.array(fps, np.uint64), groups)
+    histogram = np.stack([np.bincount(x, minlength=1 << simhash.WIDTH) for x in v])
+    edges = simhash.links(simhash.entries(df, groups, histogram, distance), distance).collect()
+    at = {f: k for k, f in enumerate(signed)}
+    top = list(range(len(fps)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in edges:
+        x, y = sorted((find(at[r["a"]]), find(at[r["b"]])))
+        top[y] = x
+    return [find(x) for x in range(len(fps))], len(edges)
+
+
+@pytest.mark.parametrize(("distance", "block", "held"), [(0, 1 << 15, 1 << 17), (1, 8, 64), (2, 64, 1 << 17), (3, 1 << 15, 1 << 17), (3, 32, 128), (5, 1 << 15, 1 << 17)])
+def test_every_link_is_found(spark, monkeypatch, distance, block, held):
+    """Clusters around centres that share two parts, so that some parts are frequent; small blocks and held rows as well."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "STEP", 50 if held < 1000 else 1 << 16)
+    rng = random.Random(distance * 7 + block)
+    fps = [0]
+    for c in range(12):
+        centre = rng.getrandbits(32) if c % 2 else rng.getrandbits(64)
+        for _ in range(60):
+            x = centre
+            for _ in range(rng.randrange(0, 9)):
+                x ^= 1 << rng.randrange(64)
+            fps.append(x)
+    fps = list(dict.fromkeys(fps))
+    got, edges = groups_of(spark, fps, distance)
+    assert got == plain_components(fps, distance)
+
+
+def test_a_dense_group_makes_few_edges(spark):
+    """1,500 fingerprints around one: all parts are frequent, and edges stay in proportion to the members."""
+    rng = random.Random(5)
+    fps = {0xDEADBEEF12345678}
+    while len(fps) < 1500:
+        x = 0xDEADBEEF12345678
+        for _ in range(rng.randrange(1, 5)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    fps = sorted(fps)
+    got, edges = groups_of(spark, fps, 3)
+    assert got == plain_components(fps, 3)
+    assert edges < 40 * len(fps)
+
+
+def test_thresholds_are_the_cheapest():
+    rng = np.random.default_rng(3)
+    histogram = rng.integers(0, 40, (4, 1 << simhash.WIDTH))
+    histogram[0, :300] = 100_000
+    near = np.stack([simhash.within(h, 3) for h in histogram])
+    v = rng.integers(0, 400, (4, 50))
+    t = simhash.thresholds(v, near, 0)
+    balls = [1, 17, 137, 697]
+    cost = lambda p, r, x: 0 if r < 0 else simhash.PROBE_COST * balls[r] + near[p, r, x]
+    ways = [(a, b, c, -a - b - c) for a in range(-1, 4) for b in range(-1, 4) for c in range(-1, 4) if -1 <= -a - b - c <= 3]
+    for k in range(50):
+        best = min(sum(cost(p, r, v[p, k]) for p, r in enumerate(w)) for w in ways)
+        assert sum(t[:, k]) == 0 and np.isclose(sum(cost(p, int(t[p, k]), v[p, k]) for p in range(4)), best)
+    # exact counts of neighbours
+    x = 1234
+    assert near[1, 2, x] == sum(histogram[1, y] for y in range(1 << 16) if (x ^ y).bit_count() <= 2)
+
+
+def test_fingerprint_edge_cases(spark, monkeypatch):
+    long = "The Quick\tbrown fox " * 50_000
+    texts = [None, "", " \n", "one", "ONE", "one two", "a b c d e f", "a b c d e f", long, long.lower(), "é漢 Ω x y z É", "x" * 3_000_000, "x" * 3_000_000 + " y", "p q r " + "Y" * 2_500_000 + " s t u"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "one"), (3, "zwei"), (7, None)], DOCS).withColumns({"fp": F.lit(1), "id": F.lit(4), "fingerprint": F.lit(5), "component_id": F.lit(0), "least": F.lit(3)})
+    rows = simhash.simhash_groups(df, k=3).collect()
+    assert len(rows) == len(texts) + 3
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for k, t in enumerate(texts):
+        assert f"{plain_fingerprint(t):016x}" in {r["fingerprint"] for r in by_id[k]}
+    for k in (0, 1, 2):
+        assert (by_id[k][0]["fingerprint"], by_id[k][0]["component_id"]) == ("0" * 16, 0)
+    assert by_id[4][0]["component_id"] == 3 and by_id[9][0]["component_id"] == 8
+    assert by_id[None][0]["component_id"] is None and by_id[None][0]["fingerprint"] == by_id[4][0]["fingerprint"]
+    assert {(r["fingerprint"], r["component_id"]) for r in by_id[7]} == {(by_id[6][0]["fingerprint"], 6), ("0" * 16, 0)}
+    assert simhash.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_long_texts_in_steps(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["a", "B", " ", "é", "\n", "xyz", "  "]) for _ in range(3000)) + " " + "Q" * 400 + " end " + "z" * 300
+    want = plain_fingerprint(text)
+    assert simhash.fingerprint(text.encode(), 3) == want
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert simhash.fingerprint(text.encode(), 3) == want
