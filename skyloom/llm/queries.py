@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import ann, bpe, chat, fim, langid, simhash, token_counts
+from skyloom.llm import ann, bpe, chat, fim, langid, simhash, token_counts, whitening
 from skyloom.llm.common import table
 from skyloom.llm.exact_dedup import exact_dedup
 from skyloom.llm.jaccard import jaccard_groups
@@ -165,6 +165,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     return made.select(
@@ -203,5 +207,5 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), k=3, distance=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_nearest_vectors, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join, op12_fill_in_middle, op13_simhash)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_nearest_vectors, op4_chat_format, op5_license_scan, op6_exact_dedup, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_jaccard_join, op11_whitening, op12_fill_in_middle, op13_simhash)}
 ORACLES = {"op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_secret_scan": _op8(), "op12_fill_in_middle": OP12}

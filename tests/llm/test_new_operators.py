@@ -1,6 +1,7 @@
 """Fill-in-the-middle, fingerprints and whitening against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyloom.llm import fim, queries, simhash
+from skyloom.llm import fim, queries, simhash, whitening
 
 DOCS = "doc_id long, text string"
 
@@ -208,3 +209,90 @@ def test_long_texts_in_steps(monkeypatch):
     for piece in (7, 64, 1000):
         monkeypatch.setattr(simhash, "PIECE", piece)
         assert simhash.fingerprint(text.encode(), 3) == want
+
+
+# --- whitening
+
+
+def plain_whitening(rows, components=16):
+    """x of valid rows, and per row and component |whitened|; all in dense numpy, exact sums in Python."""
+    x = {k: [math.floor(64 * float(c)) + 1_000_000 for c in v] for k, v in rows if v and all(c is not None and math.isfinite(c) for c in v)}
+    fit = sorted({tuple(v) for v in x.values()})
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    y = np.array([[float(n * a - s) / n for a, s in zip(v, sums, strict=True)] for v in fit])
+    e, axes = np.linalg.eigh(y.T @ y / n)
+    e, axes = e[::-1][:components], axes[:, ::-1][:, :components]
+    own = np.array([[float(n * a - s) / n for a, s in zip(v, sums, strict=True)] for v in x.values()])
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(v, sums, strict=True)) for v in x.values()]
+    return dict(zip(x, deviation, strict=True)), n, dict(zip(x, own @ axes / np.sqrt(e), strict=True)), e / (y * y).sum() * n
+
+
+def compare(got, rows, components=16):
+    deviation, n, white, explained = plain_whitening(rows, components)
+    count = min(components, len(next(iter(white.values()))))
+    at = {(r["vec_id"], r["component"]): r for r in got}
+    assert len(got) == len(at) == len(white) * count
+    table = np.array([[at[k, c]["whitened"] for c in range(1, count + 1)] for k in white])
+    want = np.array(list(white.values()))
+    sign = np.sign((table * want).sum(axis=0))
+    assert np.abs(table - want * sign).max() < 1e-8
+    for (k, c), r in at.items():
+        assert (r["n"], r["deviation"]) == (n, deviation[k]) and abs(r["explained"] / explained[c - 1] - 1) < 1e-9 and r["identity_error"] < 1e-9
+
+
+def test_whitening_query_is_dense_algebra(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    compare(queries.op11_whitening(spark, sf_dir).collect(), rows)
+
+
+def test_whitening_of_many_parts_and_odd_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.normal(size=5) * [9, 4, 3, 1, 0.5] + 7).tolist()) for k in range(900)]
+    rows += [(1000 + k, rows[k % 3][1]) for k in range(400)]
+    odd = [(2000, None), (2001, []), (2002, [1.0, None, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 5), (2004, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (2005, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(40).withColumns({"x": F.lit(1), "id": F.lit(2), "n": F.lit(3), "component": F.lit(4)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        got = whitening.whiten(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    compare(got, rows)
+    assert {r["component"] for r in whitening.whiten(df, components=2).collect()} == {1, 2}
+
+
+def test_whitening_without_spread(spark):
+    rows = [(1, [0.5, 0.25]), (2, [0.5, 0.25]), (None, [0.5, 0.25])]
+    one = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(one) == 6 and {(r["n"], r["deviation"], r["whitened"], r["explained"], r["identity_error"]) for r in one} == {(1, 0, None, None, None)}
+    # all on a line: one component
+    line = spark.createDataFrame([(k, [k / 64, 2 * k / 64, 3.0]) for k in range(50)], "vec_id long, embedding array<double>")
+    for r in whitening.whiten(line).collect():
+        assert (r["whitened"] is None) == (r["component"] > 1) and abs(r["explained"] - (r["component"] == 1)) < 1e-12
+        assert r["component"] > 1 or abs(abs(r["whitened"]) - abs(r["vec_id"] - 24.5) / np.std(range(50))) < 1e-9
+    far = spark.createDataFrame([(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert all(r["deviation"] is None for r in whitening.whiten(far).collect() if r["vec_id"] < 3)
+    assert whitening.whiten(far.limit(0)).count() == 0
+
+
+def test_secular_equations_against_dense_algebra():
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 5, 40):
+        for trial in range(60):
+            d = np.sort(rng.random(k) * 10.0 ** rng.integers(-3, 6))
+            if trial % 4 == 1:
+                d[: k // 2] = d[0]
+            if trial % 4 == 2:
+                d = np.sort(np.round(d * 3))
+            z = rng.normal(size=k) * 10.0 ** rng.integers(-6, 4)
+            if trial % 3 == 0:
+                z[rng.random(k) < 0.3] = 0
+            if trial % 5 == 0:
+                z *= 10.0 ** rng.integers(-12, 1, k)
+            values, vectors = whitening.secular(d, z)
+            dense, size = np.diag(d) + np.outer(z, z), max(np.abs(d).max(), z @ z, 1e-300)
+            assert np.abs(vectors.T @ vectors - np.eye(k)).max() < 1e-13
+            assert np.abs(dense @ vectors - vectors * values).max() < 1e-13 * size
