@@ -23,7 +23,8 @@ Defined results: null and empty texts and texts without words have 0 shingles an
 null id link with nothing and have a null component; repeated rows are copies of one another; rows of one id
 with different texts are different nodes, each with its own component; an empty table gives no rows; very long texts
 are read whole, in pieces (``shingles``); of equal ids or sizes the least set comes first, which never changes a group;
-other columns are ignored, and ``drop_near_copies`` keeps them whatever their names are. Sets are known by 64-bit hashes.
+other columns are ignored, and ``drop_near_copies`` keeps them whatever their names are. Sets are known by 64-bit hashes; sets of one hash
+whose second hash differs (128 bits in all) get names of their own.
 """
 
 from __future__ import annotations
@@ -78,6 +79,18 @@ def _sid(s: np.ndarray) -> int:
         return int((mix(s).sum(dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D) ^ np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))).view(np.int64)) if len(s) else 0
 
 
+def _twin(s: np.ndarray) -> int:
+    """A second 64-bit hash of a set, which tells apart sets of one name."""
+    with np.errstate(over="ignore"):
+        return int((mix(s ^ np.uint64(0x2127599BF4325C37)).sum(dtype=np.uint64) * np.uint64(0x880355F21E6D1965) ^ np.bitwise_xor.reduce(mix(s + np.uint64(0x9FB21C651E98DF25)))).view(np.int64)) if len(s) else 0
+
+
+def _named(s: np.ndarray, names: dict[tuple[int, int], int]) -> int:
+    """A set's name: its hash, unless others have it too."""
+    sid = _sid(s)
+    return names.get((sid, _twin(s)), sid) if names else sid
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """Parity of the set's shingles in a power of two of bits, at least half their number."""
     bits = 1 << max(6, int(len(s) // 2).bit_length())
@@ -92,19 +105,21 @@ def _differ(a: bytes, b: bytes) -> int:
 
 
 def describe(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, sid (null without shingles or id), n, sketch of every row."""
+    """id, sid and twin (null without shingles or id), n, sketch of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, n, sketch = [], [], []
+            sid, twin, n, sketch = [], [], [], []
             for i, s in zip(batch.column(0).is_valid(), shingle_sets(batch.column(1), k), strict=True):
-                sid.append(_sid(s) if len(s) and i.as_py() else None)
+                on = len(s) and i.as_py()
+                sid.append(_sid(s) if on else None)
+                twin.append(_twin(s) if on else None)
                 n.append(len(s))
                 sketch.append(_sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "sid", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(twin, pa.int64()), pa.array(n, pa.int64()), pa.array(sketch, pa.binary())], names=["id", "sid", "twin", "n", "sketch"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sid long, n long, sketch binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, sid long, twin long, n long, sketch binary")
 
 
 class _Fresh:
@@ -122,9 +137,10 @@ class _Fresh:
         return True
 
 
-def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int) -> tuple[np.ndarray, np.ndarray, int]:
+def frequent(docs: DataFrame, k: int, text_col: str, shingles: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sorted keys (top bits of the hash) of frequent shingles, their class (log2 of their count), and the shift that makes a key."""
-    b = min(28, max(4, (n_docs // 2000).bit_length()))
+    # a bucket holds about a million shingles
+    b = min(28, max(4, (shingles >> 20).bit_length()))
     shift = np.uint64(64 - b - 24)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +198,7 @@ def frequent(docs: DataFrame, k: int, text_col: str, n_docs: int) -> tuple[np.nd
     return keys[order], kind[order], int(shift)
 
 
-def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: int, keys: np.ndarray, kind: np.ndarray, shift: int) -> DataFrame:
+def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: int, keys: np.ndarray, kind: np.ndarray, shift: int, names: dict[tuple[int, int], int]) -> DataFrame:
     """List entries: c (0: inverted list of a shingle; else subset size), token, part (over 0 in split lists), sid, n, r (shingles from this one on)."""
     split = SPLIT_CLASS
     shared = docs.sparkSession.sparkContext.broadcast((keys, kind))
@@ -218,7 +234,7 @@ def entries(docs: DataFrame, k: int, text_col: str, num: int, den: int, limit: i
             for lo in range(0, batch.num_rows, 512):
                 cols: list[list] = [[], [], [], [], [], []]
                 for s in shingle_sets(batch.column(0).slice(lo, 512), k):
-                    if not len(s) or not fresh(sid := _sid(s)):
+                    if not len(s) or not fresh(sid := _named(s, names)):
                         continue
                     for c, token, r, parts in of(s, keys, kind):
                         m = len(token)
@@ -248,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int, names: dict[tuple[int, int], int]) -> DataFrame:
     """a, b: those of ``pairs`` (hub, sid) that link.
 
     Sketches stop most pairs. Of the others, the set of ``sid`` travels once to its hub. A hub is dealt to parts of about
@@ -272,21 +288,21 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, id_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["hub", "part", "sid", "members"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        cols, kinds = ["hub", "part", "sid", "members"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for whole in batches:
             held, size = [], 0
             for sid, to, s in zip(whole.column("sid").to_pylist(), whole.column("to").to_pylist(), shingle_sets(whole.column("text"), k), strict=True):
-                if not len(s) or _sid(s) != sid:  # another text of the same id
+                if not len(s) or _named(s, names) != sid:  # another text of the same id
                     continue
                 members = s.tobytes()
                 for x in to:
                     held.append((x["hub"], x["part"], sid, members))
                     size += len(members)
                     if size >= SENT:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=cols)
                         held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=cols)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, np.uint64)
@@ -315,15 +331,24 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
 
 
 def named_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of ``docs``: id, sid (its set, null without shingles or id), n, component_id."""
+    """One row per row of ``docs``: id, sid (its set, null without shingles or id), twin (the set's second hash), n, component_id."""
     spark = docs.sparkSession
     keep, heavy = Scratch(spark), Scratch(spark)
     described = durable(describe(docs, k, id_col, text_col))
     sizes = {r["n"]: r["count"] for r in described.where("n > 0").groupBy("n").count().collect()}
     limit = boundary(sizes, num, den)
-    classes = keep(described.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")))
-    keys, kind, shift = frequent(docs, k, text_col, sum(sizes.values()))
-    raw = entries(docs, k, text_col, num, den, limit, keys, kind, shift)
+    classed = lambda rows: rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("twin").alias("lo"), F.max("twin").alias("hi"))
+    classes, names = keep(classed(described)), {}
+    clash = classes.where("lo <> hi").select("sid")
+    if not clash.isEmpty():
+        # of N sets about N^2 / 2^65 pairs share a hash
+        shared = described.join(small(clash, 8), "sid").select("sid", "twin").distinct().collect()
+        names = {(r["sid"], r["twin"]): int(mix(np.array([r["sid"], r["twin"]], np.int64).view(np.uint64))[:1].view(np.int64)[0] ^ r["twin"]) for r in shared}
+        own = spark.createDataFrame([(*key, name) for key, name in names.items()], "sid long, twin long, name long")
+        described = durable(described.join(F.broadcast(own), ["sid", "twin"], "left").withColumn("sid", F.coalesce("name", "sid")).drop("name"))
+        classes = keep(classed(described))
+    keys, kind, shift = frequent(docs, k, text_col, sum(n * count for n, count in sizes.items()))
+    raw = entries(docs, k, text_col, num, den, limit, keys, kind, shift, names)
     group = Window.partitionBy("c", "token", "part")
     lists = raw.withColumns({"lo": F.min("sid").over(group), "hi": F.max("sid").over(group)}).where("part > 0 OR lo <> hi")
     lists = heavy(lists.drop("lo", "hi").distinct().drop("part"))
@@ -337,7 +362,7 @@ def named_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
     star = keep(star.where(f"sid <> sid2 AND {may_link}").groupBy("sid", "sid2").agg(F.count("*").alias("lists")))
     # each set's most frequent pivot comes first; its other pivots matter only while they are in other components
     first = keep(star.groupBy("sid").agg(F.max_by("sid2", F.struct("lists", "sid2")).alias("sid2")))
-    check = lambda pairs: links(docs, classes, pairs, k, id_col, text_col, num, den)
+    check = lambda pairs: links(docs, classes, pairs, k, id_col, text_col, num, den, names)
     edges = keep(subset.union(check(first.select(F.col("sid2").alias("hub"), "sid"))).distinct())
     comp = components(edges)
     of = lambda x: comp.select(F.col("sid").alias(x), F.col("comp").alias(f"comp_{x}"))
@@ -373,7 +398,7 @@ def named_groups(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_
     least = keep(grouped.groupBy("comp").agg(F.min("id").alias("component_id")))
     told = durable(grouped.join(small(least, 32), "comp").select("sid", "component_id"))
     keep.free()
-    return described.join(small(told, 32), "sid", "left").select("id", "sid", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return described.join(small(told, 32), "sid", "left").select("id", "sid", "twin", "n", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,7 +406,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
 
     Rows of an id that occurs once are known by it, others by id and digest of the text.
     """
-    found = durable(named_groups(docs, k, num, den, id_col, text_col).select("id", "sid", "component_id"))
+    found = durable(named_groups(docs, k, num, den, id_col, text_col).select("id", "twin", "component_id"))
     again = durable(found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")))
     lost = durable(found.where("id <> component_id").select(F.col("id").alias("_id")).join(small(again, 16), "_id", "left_anti").distinct())
     # the input's columns travel in one struct, so that none of their names matters
@@ -391,8 +416,8 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id
         return rows.join(small(lost, 16), own(lost), "left_anti").select("row.*")
     once = rows.join(small(again, 16), own(again), "left_anti").join(small(lost, 16), own(lost), "left_anti")
     twice = rows.join(small(again, 16), own(again), "left_semi").withColumn("digest", F.sha2("text", 256))
-    keys = describe(twice.select(F.struct("id", "digest").alias("key"), "text"), k, "key", "text").where("sid IS NOT NULL").select("id.*", "sid").distinct()
-    keys = keys.join(found.select("id", "sid", "component_id").distinct(), ["id", "sid"])
+    keys = describe(twice.select(F.struct("id", "digest").alias("key"), "text"), k, "key", "text").where("sid IS NOT NULL").select("id.*", "twin").distinct()
+    keys = keys.join(found.distinct(), ["id", "twin"])
     first = Window.partitionBy("component_id", "id").orderBy("digest")
     keys = durable(keys.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), ((F.col("id") == F.col("component_id")) & (F.row_number().over(first) == 1)).alias("kept")))
     key = (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest"))

@@ -2,7 +2,7 @@
 
 Words are runs of bytes other than the six ASCII white-space bytes, after lowering A-Z; a shingle is a run of
 ``k`` words, hashed to 64 bits. A text with fewer words has one shingle, its whole sequence; a text without
-words has none. Long texts are read in pieces cut at white space.
+words has none. Long texts are read in pieces of PIECE bytes; a word that goes on carries its sum to the next piece.
 """
 
 from __future__ import annotations
@@ -37,60 +37,66 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of a piece."""
-    b = np.frombuffer(raw, np.uint8)
+def _runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum of bytes by powers, start and stop of every word of a piece."""
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = ~_SPACE[b]
     edge = np.diff(inside)
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(b) + 1)
+    up, down = _power(PIECE + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    return mix((total[stop] - total[start]) * down[start]), start
-
-
-def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
-    """(lengths, bytes) of whole texts joined by a space, PIECE bytes at most; longer texts come alone, as length -1, in parts."""
-    held: list[bytes] = []
+    return (total[stop] - total[start]) * down[start], start, stop
+
+
+def _steps(raw: pa.Buffer | bytes) -> Iterator[np.ndarray]:
+    """Word hashes of a text of any length, by pieces; of a word that goes on, its sum and length are kept."""
+    sum_, length = 0, 0
+    for at in range(0, len(raw), PIECE):
+        b = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
+        sums, start, stop = _runs(b)
+        goes_on = length > 0 and not _SPACE[b[0]]
+        if goes_on:
+            first = sum_ + pow(int(_BASE), length, 1 << 64) * int(sums[0])
+            sums[0] = first & ((1 << 64) - 1)
+        elif length:
+            sums = np.concatenate([np.array([sum_], np.uint64), sums])
+        if len(stop) and stop[-1] == len(b):
+            length = int(stop[-1] - start[-1]) + (length if goes_on and len(stop) == 1 else 0)
+            sum_, sums = int(sums[-1]), sums[:-1]
+        else:
+            sum_, length = 0, 0
+        yield mix(sums)
+    if length:
+        yield mix(np.array([sum_], np.uint64))
+
+
+def _per_text(texts: list[pa.Buffer | bytes]) -> Iterator[np.ndarray]:
+    """Word hashes of each text; texts of PIECE bytes at most go together."""
+
+    def together(held: list) -> Iterator[np.ndarray]:
+        sums, start, _ = _runs(np.frombuffer(b" ".join(held), np.uint8))
+        yield from np.split(mix(sums), np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))[:-1])
+
+    held: list = []
     size = 0
     for t in texts:
-        if size + len(t) > PIECE and held:
-            yield [len(x) for x in held], b" ".join(held)
+        if held and size + len(t) >= PIECE:
+            yield from together(held)
             held, size = [], 0
-        if len(t) <= PIECE:
+        if len(t) < PIECE:
             held.append(t)
             size += len(t) + 1
-            continue
-        at = 0
-        while at < len(t):
-            end = at + PIECE
-            while end < len(t) and t[end] not in b" \t\n\v\f\r":
-                end += 1
-            yield [-1 if end < len(t) else -2], t[at:end]
-            at = end
+        else:
+            yield np.concatenate(list(_steps(t)))
     if held:
-        yield [len(x) for x in held], b" ".join(held)
-
-
-def _per_text(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Word hashes of each text."""
-    parts: list[np.ndarray] = []
-    for lengths, raw in _pieces(texts):
-        h, start = _word_hashes(raw)
-        if lengths[0] < 0:
-            parts.append(h)
-            if lengths[0] == -2:
-                yield np.concatenate(parts)
-                parts = []
-            continue
-        yield from np.split(h, np.searchsorted(start, np.cumsum(np.array(lengths) + 1))[:-1])
+        yield from together(held)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow column; null counts as empty."""
-    slices = (column.slice(at, SLICE).cast(pa.binary()).to_pylist() for at in range(0, len(column), SLICE))
-    for h in (h for texts in slices for h in _per_text([t or b"" for t in texts])):
+    slices = (column.slice(at, SLICE).cast(pa.binary()) for at in range(0, len(column), SLICE))
+    for h in (h for texts in slices for h in _per_text([t.as_buffer() if t.is_valid else b"" for t in texts])):
         n, width = len(h), min(k, len(h))
         if not n:
             yield np.zeros(0, np.uint64)

@@ -623,6 +623,32 @@ def test_boundary_does_not_change_groups(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.jaccard_groups(df, 3, 90, 100).collect())) == want
 
 
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """First hashes of 4 bits: nearly every name is shared by several sets."""
+    texts = near_copies()
+    df, want = docs_of(spark, texts), brute_groups(list(enumerate(texts)), 3, 90, 100)
+    twin = jaccard._twin
+
+    def weak(s):
+        return int(s[0] % np.uint64(16)) if len(s) else 0
+
+    def named(s, names):
+        return names.get((weak(s), twin(s)), weak(s)) if names else weak(s)
+
+    monkeypatch.setattr(jaccard, "_sid", weak)
+    monkeypatch.setattr(jaccard, "_named", named)
+    assert sorted(map(tuple, jaccard.jaccard_groups(df, 3, 90, 100).collect())) == want
+    again = df.union(df.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("other words before "), "text")))
+    left = jaccard.drop_near_copies(again)
+    monkeypatch.undo()
+    assert ordered(left.collect()) == ordered(jaccard.drop_near_copies(again).collect())
+
+
+def test_jaccard_query_is_brute_force(spark, sf_dir, texts):
+    got = sorted(map(tuple, queries.op10_jaccard_join(spark, sf_dir).collect()))
+    assert got == brute_groups(sorted(texts.items()), 3, 90, 100)
+
+
 def test_near_copies_go_once(spark):
     df = docs_of(spark, ["a b c d e f g"] * 3 + ["other words are here now", None, None])
     left = jaccard.drop_near_copies(df)
@@ -650,6 +676,39 @@ def test_near_copies_of_repeated_ids_go_by_row(spark):
     assert got == sorted([(0, near), (1, "p q r s t u"), (3, near), (5, other), (6, "x"), (7, "")])
 
 
+def test_words_of_any_length_are_read_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    many = ["".join(rng.choice(["a", "B", " ", "é", "\n", "xyz", "  "]) for _ in range(rng.randrange(0, 400))) for _ in range(200)]
+    many += [None, "", " ", "x" * 500, "x" * 64 + " ", "a " * 200, "p " + "é" * 300 + " q"]
+    want = list(shingles.shingle_sets(pa.array(many), 3))
+    for piece in (16, 64, 100, 1000):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        shingles._powers.clear()
+        assert all(np.array_equal(a, b) for a, b in zip(want, shingles.shingle_sets(pa.array(many), 3), strict=True))
+    shingles._powers.clear()
+
+
+def test_a_text_without_white_space_needs_little_memory():
+    """256 MB as one word: the process stays below 200 MB beyond the text that it is given and the copy that makes it."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import pyarrow as pa
+from skyloom.llm import shingles
+text = pa.array(["z" * (256 << 20)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(s,) = shingles.shingle_sets(text, 3)
+print(len(s), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    n, more = map(int, said.stdout.split())
+    assert n == 1 and more < 200 << 10
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     import pyarrow as pa
 
