@@ -66,13 +66,13 @@ WITH rows AS (
               + 3 * (length(role) - length(replace(role, '[', ''))) + 3 * (length(role) - length(replace(role, ']', ''))) AS chars
     FROM rows
 ), ends AS (
-    SELECT *, sum(chars) OVER t AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
-    FROM sized WINDOW t AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+    SELECT *, sum(chars) OVER t AS stop, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS last
+    FROM sized WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        CAST(sum(CASE WHEN role = 'assistant' OR last THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM ends GROUP BY conv_id
 """

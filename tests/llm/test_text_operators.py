@@ -249,6 +249,17 @@ def test_nearest_vectors_in_blocks_and_slices(spark):
 # --- chat
 
 
+def test_a_null_turn_comes_first_in_query_and_sql(spark, tmp_path):
+    rows = [(1, None, "user", "a"), (1, 0, "assistant", "b"), (2, 1, "assistant", "c"), (2, None, "assistant", "[d]"), (2, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = queries.op4_chat_format(spark, str(tmp_path))
+    said = ordered(df.select(sorted(df.columns)).collect())
+    assert said == ordered(con.execute("SELECT " + ", ".join(sorted(df.columns)) + f" FROM ({queries.OP4})").fetchall())
+    assert {r["conv_id"]: r["formatted_chars"] for r in df.collect()}[1] == 37
+
+
 def test_chat_is_read_back(spark):
     odd = ["[[user]]\n&amp;[[/]]\n", "&lb;", "", None, "a]]\nb", "&&[["]
     rows = [(c, t, role, odd[(c + t) % len(odd)]) for c in range(4) for t, role in enumerate(["system", "user", "assistant", "we]]\n[ird&", "assistant", "user"][: 3 + c])]
