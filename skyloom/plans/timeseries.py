@@ -118,43 +118,47 @@ def line_detrend(spark, d):
     return m.groupBy("sourceid").agg(r(F.first("slope"), 5).alias("slope"), r(F.stddev_pop("residual"), 5).alias("scatter"))
 
 
-def _ls(window: bool) -> str:
+#: Frequencies of the spectrum queries, a day: each source's grid follows its baseline, in steps of 1 / (5 * span).
+LOW, HIGH, TOP = 0.05, 5.0, 20.0
+
+
+def _ls(window: bool, high: float) -> str:
     y = "1.0::DOUBLE" if window else "mag - sum(mag / (emag * emag)) OVER p / sum(1 / (emag * emag)) OVER p"
     k = 0 if window else 1
     return f"""{DETECTIONS}, v AS (SELECT sourceid, t, (1 / (emag * emag)) / sum(1 / (emag * emag)) OVER p AS w, {y} AS y FROM lc WINDOW p AS (PARTITION BY sourceid)),
-fr AS (SELECT 0.05::DOUBLE + 0.02::DOUBLE * range AS f FROM range(60)),
+a AS (SELECT sourceid, max(t) - min(t) AS span FROM lc GROUP BY 1),
+fr AS (SELECT sourceid, {LOW}::DOUBLE + unnest(range(0, 1 + round(({high}::DOUBLE - {LOW}::DOUBLE) * 5 * span)::BIGINT)) / (5 * span) AS f FROM a WHERE span > 0),
 q AS (SELECT sourceid, f, sum(w * cos(2 * pi() * f * t)) AS c, sum(w * sin(2 * pi() * f * t)) AS s, sum(w * y * y) AS yy, sum(w * y * cos(2 * pi() * f * t)) AS yc, sum(w * y * sin(2 * pi() * f * t)) AS ys,
-  sum(w * cos(2 * pi() * f * t) * cos(2 * pi() * f * t)) AS cc, sum(w * cos(2 * pi() * f * t) * sin(2 * pi() * f * t)) AS cs FROM v, fr GROUP BY ALL),
+  sum(w * cos(2 * pi() * f * t) * cos(2 * pi() * f * t)) AS cc, sum(w * cos(2 * pi() * f * t) * sin(2 * pi() * f * t)) AS cs FROM v JOIN fr USING (sourceid) GROUP BY ALL),
 z AS (SELECT sourceid, f, yy, yc, ys, cc - {k} * c * c AS cc, 1 - cc - {k} * s * s AS ss, cs - {k} * c * s AS cs FROM q),
 spec AS (SELECT sourceid, f, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(yy * (cc * ss - cs * cs), 0) AS power FROM z)"""
 
 
-def grid():
-    """Sixty frequencies of a regular grid."""
-    return F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: 0.05 + 0.02 * k)
+def own_spectrum(spark, d, high: float = TOP):
+    return series.fast_spectrum(detections(spark, d), LOW, high)
 
 
-@query(f"WITH {_ls(False)} SELECT sourceid, round(f, 4) + 0.0 AS f, round(power, 6) + 0.0 AS power FROM spec")
+@query(f"WITH {_ls(False, HIGH)} SELECT sourceid, round(f, 6) + 0.0 AS f, round(power, 6) + 0.0 AS power FROM spec")
 def ls_power(spark, d):
-    return series.spectrum(detections(spark, d), grid()).select("sourceid", r("f", 4).alias("f"), r("power").alias("power"))
+    return own_spectrum(spark, d, HIGH).select("sourceid", r("f").alias("f"), r("power").alias("power"))
 
 
-@query(f"WITH {_ls(True)} SELECT sourceid, round(max(power), 5) + 0.0 AS max_power, round(avg(power), 5) + 0.0 AS mean_power FROM spec GROUP BY 1")
+@query(f"WITH {_ls(True, TOP)} SELECT sourceid, round(max(power), 5) + 0.0 AS max_power, round(avg(power), 5) + 0.0 AS mean_power FROM spec GROUP BY 1")
 def window_power(spark, d):
-    s = series.spectrum(detections(spark, d), grid(), window=True)
-    return s.groupBy("sourceid").agg(r(F.max("power"), 5).alias("max_power"), r(F.avg("power"), 5).alias("mean_power"))
+    s = own_spectrum(spark, d)
+    return s.groupBy("sourceid").agg(r(F.max("window_power"), 5).alias("max_power"), r(F.avg("window_power"), 5).alias("mean_power"))
 
 
-@query(f"WITH {_ls(False)} SELECT sourceid, round(abs(max(power) - avg(power)) / nullif(stddev_pop(power), 0), 4) + 0.0 AS significance, round(1 / max_by(f, power), 4) + 0.0 AS best_period FROM spec GROUP BY 1")
+@query(f"WITH {_ls(False, TOP)} SELECT sourceid, round(abs(max(power) - avg(power)) / nullif(stddev_pop(power), 0), 4) + 0.0 AS significance, round(1 / max_by(f, power), 4) + 0.0 AS best_period FROM spec GROUP BY 1")
 def power_stats(spark, d):
-    s = series.spectrum(detections(spark, d), grid())
+    s = own_spectrum(spark, d)
     return s.groupBy("sourceid").agg(r(expr.ratio(F.abs(F.max("power") - F.avg("power")), F.stddev_pop("power")), 4).alias("significance"), r(1 / F.max_by("f", "power"), 4).alias("best_period"))
 
 
-@query(f"""WITH {_ls(False)}, l AS (SELECT *, lag(power) OVER o AS a, lead(power) OVER o AS b FROM spec WINDOW o AS (PARTITION BY sourceid ORDER BY f))
+@query(f"""WITH {_ls(False, TOP)}, l AS (SELECT *, lag(power) OVER o AS a, lead(power) OVER o AS b FROM spec WINDOW o AS (PARTITION BY sourceid ORDER BY f))
 SELECT sourceid, round(f, 4) + 0.0 AS f, peak FROM (SELECT sourceid, f, row_number() OVER (PARTITION BY sourceid ORDER BY power DESC, f) AS peak FROM l WHERE power > a AND power > b) WHERE peak <= 5""")
 def ls_peaks_topn(spark, d):
-    p = series.peaks(series.spectrum(detections(spark, d), grid()), 5)
+    p = series.peaks(own_spectrum(spark, d), 5)
     return p.select("sourceid", r("f", 4).alias("f"), F.col("peak").cast("long").alias("peak"))
 
 
