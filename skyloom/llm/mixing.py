@@ -29,6 +29,8 @@ BUCKETS = 4096
 SLOTS_PER_SHARD = 1 << 16
 #: Rounds of the permutation.
 ROUNDS = 24
+#: Slots that one task lays out.
+SLOTS_PER_TASK = 1 << 18
 #: Runs that an order is cut into, so that ranges meet by equal numbers.
 CELLS = 4096
 
@@ -114,7 +116,12 @@ class Mix:
         offered = vacant.withColumn("cell", _cells("v0", "v1", width))
         met = offered.join(small(wanted, 56), "cell").where(f"v0 < hi AND lo < v1 AND floor(greatest(v0, lo) / {width}) = cell")
         filled = met.select("shard", "s", (F.col("have") + F.greatest("v0", "lo") - F.col("lo")).alias("first"), (F.least("v1", "hi") - F.greatest("v0", "lo")).alias("n"))
-        each = taken.unionByName(filled).select("shard", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+        # few rows make many slots: runs of them are dealt to a stated number of tasks, which adaptive execution leaves alone
+        run = SLOTS_PER_SHARD // 4
+        runs = taken.unionByName(filled).select("shard", "s", F.col("first"), (F.col("first") + F.col("n")).alias("stop"))
+        runs = runs.select("shard", "s", "stop", F.explode(F.expr(f"sequence(first, stop - 1, bigint({run}))")).alias("first"))
+        runs = runs.repartition(max(1, -(-total // SLOTS_PER_TASK)), F.xxhash64("s", "first"))
+        each = runs.select("shard", "s", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + run, "stop") - 1)).alias("j"))
         each = each.join(small(plan, 32), "s").withColumn("pass", F.expr("j div blocks"))
         return each.select("s", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("s"), F.col("pass")).alias("block"), "pass", "shard")
 
