@@ -9,13 +9,13 @@ LC = "sourceid long, t double, mag double, emag double"
 
 
 def light_curve(rng, source, n, span, period=0.37):
-    t = np.sort(rng.random(n)) * span + 2_450_000
+    t = np.sort(rng.random(n)) * span + 50
     y = 15 + 0.4 * np.sin(2 * np.pi * t / period) + rng.normal(0, 0.05, n)
     return [(source, float(a), float(b), float(c)) for a, b, c in zip(t, y, rng.uniform(0.01, 0.1, n), strict=True)]
 
 
 def both(df, f_min, f_max):
-    spans, frequencies = series.own_grid(df, f_min, f_max)
+    spans, frequencies = series.own_grid(df.dropna(), f_min, f_max)
     plain = series.spectrum(spans, frequencies, extra=("_span",)).orderBy("sourceid", "f").toPandas()
     fast = series.fast_spectrum(df, f_min, f_max).orderBy("sourceid", "f").toPandas()
     return plain, fast
