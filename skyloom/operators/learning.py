@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
 from skyloom.operators.quantiles import exact_percentiles
+from skyloom.operators.storage import new_folder
 
 
 def yeo_johnson(x: Column, lam: float | Column) -> Column:
@@ -63,145 +65,171 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, label)
 
 
-#: Numbers that one block of incomplete rows holds, and rows of one comparison.
-BLOCK_CELLS = 1 << 18
-ASKED, HELD = 256, 4096
-
-
-def _distances(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Squared distances over the features that both rows have, scaled to all; infinite without any."""
-    total, n = np.zeros((len(x), len(d))), np.zeros((len(x), len(d)))
-    for a, b in zip(x.T, d.T, strict=True):
-        gap = a[:, None] - b
-        known = ~np.isnan(gap)
-        total += np.where(known, gap * gap, 0)
-        n += known
-    return np.where(n > 0, total * x.shape[1] / np.maximum(n, 1), np.inf)
-
-
-def _least(k: int, row: np.ndarray, *order: np.ndarray) -> list[np.ndarray]:
-    """Row, distance, tie and value of each row's k first entries by distance, tie and value."""
-    at = np.lexsort((*order[::-1], row))
-    row = row[at]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return [row[keep], *(c[at][keep] for c in order)]
-
-
-def _nearest_donors(x: np.ndarray, held: Iterator[pa.RecordBatch], k: int) -> dict[int, list[np.ndarray]]:
-    """By feature: row of ``x`` that misses it, distance, tie and value of its k nearest donors among ``held`` (tie, d)."""
-    missing = {j: np.flatnonzero(np.isnan(x[:, j])) for j in np.flatnonzero(np.isnan(x).any(axis=0)).tolist()}
-    found = {j: [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)] for j in missing}
-    for whole in held:
-        for lo in range(0, whole.num_rows, HELD):
-            batch = whole.slice(lo, HELD)
-            tie = batch.column("tie").to_numpy()
-            d = batch.column("d").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(tie), -1)
-            new = {j: [found[j]] for j in missing}
-            for first in range(0, len(x), ASKED):
-                dist = _distances(x[first : first + ASKED], d)
-                for j, rows in missing.items():
-                    own, able = rows[(rows >= first) & (rows < first + ASKED)], np.flatnonzero(~np.isnan(d[:, j]))
-                    if len(own) and len(able):
-                        part = dist[np.ix_(own - first, able)]
-                        last = np.partition(part, min(k, len(able)) - 1, axis=1)[:, min(k, len(able)) - 1]
-                        q, p = np.nonzero((part <= last[:, None]) & np.isfinite(part))
-                        new[j].append(_least(k, own[q], part[q, p], tie[able[p]], d[able[p], j]))
-            found = {j: _least(k, *map(np.concatenate, zip(*parts, strict=True))) for j, parts in new.items()}
-    return found
-
-
-def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5) -> DataFrame:
-    """Nulls of the features filled with the mean of the k nearest rows that have them.
-
-    Distance uses the features that both rows have, scaled to all. Every row is a donor; equal distances go to the smallest hash of id.
-    Distinct rows with nulls visit the driver in blocks of BLOCK_CELLS numbers; each block meets all donors once, where they lie.
-    """
-    rows = df.select(id_col, *[finite(c).alias(c) for c in features])
-    known = F.greatest(*[F.col(c).isNotNull() for c in features])
-    open_ = F.greatest(*[F.col(c).isNull() for c in features]) & known
-    vector = F.array(*features)
-    held = rows.where(known).select(F.xxhash64(id_col).alias("tie"), vector.alias("d"))
-    block, blocks = [], []
-    size = max(1, BLOCK_CELLS // len(features))
-    for r in rows.where(open_).select(vector.alias("x")).distinct().toLocalIterator():
-        block.append(r["x"])
-        if len(block) == size:
-            blocks.append(np.array(block, float))
-            block = []
-    if block:
-        blocks.append(np.array(block, float))
-    if not blocks:
-        return rows
-
-    def against(x: np.ndarray) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast(x)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = shared.value
-            for j, (row, *near) in _nearest_donors(x, batches, k).items():
-                for lo in range(0, len(row), HELD):
-                    own = row[lo : lo + HELD]
-                    names = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1], pa.array(x[own].ravel(), from_pandas=True))
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(own), j, np.int32)), *(pa.array(c[lo : lo + HELD]) for c in near)], names=["x", "j", "dist", "tie", "v"])
-
-        return held.mapInArrow(run, "x array<double>, j int, dist double, tie long, v double")
-
-    near = reduce(DataFrame.unionAll, map(against, blocks))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "tie", "v"))), 1, k)
-    mean = lambda b: F.aggregate(b, F.lit(0.0), lambda a, s: a + s["v"]) / F.size(b)
-    filled = near.groupBy("x", "j").agg(best.alias("b")).groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("j", mean(F.col("b"))))).alias("_f"))
-    out = rows.where(open_).withColumn("_x", vector).join(filled, F.col("_x") == F.col("x"), "left")
-    out = out.select(id_col, *[F.coalesce(c, F.try_element_at("_f", F.lit(j))).alias(c) for j, c in enumerate(features)])
-    return rows.where(~open_).unionAll(out)
-
-
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(df)
 
 
-class Forest:
-    """Balanced random forest that gives class, prob (of the class) and prob_var (1 - P(constant class))."""
+class _Classifier:
+    """What the classifiers share: names of classes, class, prob (of the class) and prob_var (1 - P(constant class)), saving and loading."""
 
-    def __init__(self, features: list[str], label: str, constant: str | None = None, trees: int = 100, depth: int = 8, seed: int = 42):
+    reader: type
+
+    def __init__(self, features: list[str], label: str, constant: str | None = None):
         self.features, self.label, self.constant = features, label, constant
-        self.forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
 
-    def fit(self, df: DataFrame) -> Forest:
+    def _indexed(self, df: DataFrame) -> DataFrame:
         df = df.withColumn("_text", F.col(self.label).cast("string"))
         indexer = StringIndexer(inputCol="_text", outputCol="_label", stringOrderType="alphabetAsc").fit(df)
         self.classes = list(indexer.labels)
-        self.model = self.forest.fit(_assembled(balanced_weights(indexer.transform(df), "_label"), self.features))
-        return self
+        return _assembled(balanced_weights(indexer.transform(df), "_label"), self.features)
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(_assembled(df, self.features)).withColumn("_p", vector_to_array("_p"))
-        names = F.array(*map(F.lit, self.classes))
-        out = out.withColumns({"class": F.element_at(names, (F.col("_c") + 1).cast("int")), "prob": F.array_max("_p")})
+    def _told(self, out: DataFrame) -> DataFrame:
+        """``out`` has ``_p``, an array of probabilities by class; of equal ones the first class counts."""
+        out = out.withColumns({"prob": F.array_max("_p"), "class": F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("_p", F.array_max("_p")).cast("int"))})
         if self.constant in self.classes:
             out = out.withColumn("prob_var", 1 - F.col("_p")[self.classes.index(self.constant)])
         return out.drop("_features", "_r", "_p", "_c")
 
+    def _more(self) -> dict:
+        return {}
+
     def save(self, path: str) -> None:
         """Writes the fitted model and what predictions need besides it; ``load`` reads both."""
         self.model.write().overwrite().save(f"{path}/model")
-        about = [(json.dumps({"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes}),)]
-        self.model_session().createDataFrame(about, "about string").write.mode("overwrite").json(f"{path}/about")
-
-    @staticmethod
-    def model_session() -> SparkSession:
-        return SparkSession.getActiveSession()
+        about = {"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes} | self._more()
+        _session().createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
-    def load(cls, path: str) -> Forest:
-        about = json.loads(cls.model_session().read.schema("about string").json(f"{path}/about").first()["about"])
-        out = cls(about["features"], about["label"], about["constant"])
-        out.classes, out.model = about["classes"], RandomForestClassificationModel.load(f"{path}/model")
+    def load(cls, path: str):
+        about = json.loads(_session().read.schema("about string").json(f"{path}/about").first()["about"])
+        out = cls(about.pop("features"), about.pop("label"), about.pop("constant"))
+        out.model = cls.reader.load(f"{path}/model")
+        for name, value in about.items():
+            setattr(out, name, value)
         return out
 
+
+def _session() -> SparkSession:
+    # other threads than the first have no active session
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+class Forest(_Classifier):
+    """Balanced random forest."""
+
+    reader = RandomForestClassificationModel
+
+    def __init__(self, features: list[str], label: str, constant: str | None = None, trees: int = 100, depth: int = 8, seed: int = 42):
+        super().__init__(features, label, constant)
+        self.forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r", numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
+
+    def fit(self, df: DataFrame) -> Forest:
+        self.model = self.forest.fit(self._indexed(df))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(_assembled(df, self.features))
+        return self._told(out.withColumn("_p", vector_to_array("_p")))
+
     def importance(self) -> dict[str, float]:
         return dict(zip(self.features, self.model.featureImportances.toArray().tolist(), strict=True))
 
 
+class Boosted(_Classifier):
+    """Gradient boosting of several classes: one boosted model for each class against the others, with balanced weights.
+
+    A fold of the rows by hash of ``id_col``, which the trees don't see, calibrates the margins: a weighted logistic curve for each class, all
+    of them fitted together by Newton's steps from grouped sums. Probabilities are these curves' values over their sum. A class that
+    the held-out fold lacks keeps the curve that boosting itself takes (twice the margin).
+    """
+
+    reader = OneVsRestModel
+    #: Spark's own name of the margins' column, which saved models go back to.
+    MARGINS = "rawPrediction"
+
+    def __init__(self, features: list[str], label: str, constant: str | None = None, id_col: str = "sourceid", trees: int = 100, depth: int = 8, rate: float = 0.15, held: int = 5, parallel: int = 4, seed: int = 42):
+        super().__init__(features, label, constant)
+        self.id_col, self.held = id_col, held
+        gbt = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
+        self.boosting = OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label", weightCol="weight", parallelism=parallel)
+
+    def fit(self, df: DataFrame) -> Boosted:
+        rows = self._indexed(df)
+        mine = fold(self.id_col, self.held) == 0
+        self.model = self.boosting.fit(rows.where(~mine))
+        self.curves = self._calibrated(self.model.transform(rows.where(mine)))
+        return self
+
+    def _calibrated(self, out: DataFrame) -> list[list[float]]:
+        """slope and offset of each class's logistic curve, drawn slightly to the uncalibrated one so that separated classes stay finite."""
+        long = out.select("weight", "_label", F.posexplode(vector_to_array(self.MARGINS)).alias("k", "m")).select("k", "m", "weight", (F.col("_label") == F.col("k")).cast("double").alias("y"))
+        long = long.groupBy("k", "m", "y").agg(F.sum("weight").alias("w")).persist()
+        a, b = [2.0] * len(self.classes), [0.0] * len(self.classes)
+        pull = 1e-3
+        for _ in range(25):
+            at = lambda v: F.element_at(F.array(*map(F.lit, v)), F.col("k") + 1)  # noqa: E731, B023
+            p = 1 / (1 + F.exp(-(at(a) * F.col("m") + at(b))))
+            g, h = F.col("w") * (F.col("y") - p), F.col("w") * p * (1 - p)
+            sums = long.groupBy("k").agg(*[F.sum(x).alias(n) for n, x in (("ga", g * F.col("m")), ("gb", g), ("haa", h * F.col("m") * F.col("m")), ("hab", h * F.col("m")), ("hbb", h), ("n", F.col("w")), ("some", F.col("w") * F.col("y")))]).collect()
+            moved = 0.0
+            for r in sums:
+                if not r["some"] or r["some"] == r["n"]:
+                    continue
+                k, ridge = r["k"], pull * r["n"]
+                ga, gb = r["ga"] - ridge * (a[k] - 2.0), r["gb"] - ridge * b[k]
+                haa, hbb = r["haa"] + ridge, r["hbb"] + ridge
+                det = haa * hbb - r["hab"] ** 2
+                da, db = (hbb * ga - r["hab"] * gb) / det, (haa * gb - r["hab"] * ga) / det
+                step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
+                a[k], b[k], moved = a[k] + step * da, b[k] + step * db, max(moved, abs(da), abs(db))
+            if moved < 1e-6:
+                break
+        long.unpersist()
+        return [[x, y] for x, y in zip(a, b, strict=True)]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(_assembled(df, self.features)).withColumn("_m", vector_to_array(self.MARGINS)).drop(self.MARGINS, "prediction")
+        one = F.array(*[1 / (1 + F.exp(-(a * F.col("_m")[k] + b))) for k, (a, b) in enumerate(self.curves)])
+        out = out.withColumn("_q", one)
+        total = F.aggregate("_q", F.lit(0.0), lambda x, y: x + y)
+        return self._told(out.withColumn("_p", F.transform("_q", lambda q: q / total)).drop("_m", "_q"))
+
+    def _more(self) -> dict:
+        return {"curves": self.curves}
+
+
+class Prepared:
+    """A classifier with the preparation of its features; both are saved. Prediction prepares rows but never clips them."""
+
+    def __init__(self, classifier: _Classifier, **preparation):
+        self.classifier, self.options = classifier, preparation
+
+    def fit(self, df: DataFrame) -> Prepared:
+        from skyloom.operators.preparation import prepare
+
+        self.preparation, rows = prepare(df, self.classifier.features, **self.options)
+        self.classifier.fit(rows)
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with class, prob and prob_var; its features stay as they were."""
+        own = [c for c in df.columns]
+        kept = df.select("*", F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"))
+        out = self.classifier.predict(self.preparation.transform(kept))
+        added = [c for c in ("class", "prob", "prob_var") if c in out.columns]
+        return out.select("_row.*", *added)
+
+    def save(self, path: str) -> None:
+        self.preparation.write().overwrite().save(f"{path}/preparation")
+        self.classifier.save(f"{path}/classifier")
+
+    @classmethod
+    def load(cls, path: str, kind: type[_Classifier]) -> Prepared:
+        out = cls(kind.load(f"{path}/classifier"))
+        out.preparation = PipelineModel.load(f"{path}/preparation")
+        return out
+
+
 def fold(id_col: str, folds: int) -> Column:
     return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("long") % folds
 
@@ -216,18 +244,90 @@ def cross_validated(df: DataFrame, make, id_col: str, folds: int) -> DataFrame:
     return out
 
 
-def cascade(df: DataFrame, first: Forest, second: Forest, threshold: float = 0.65, wanted: str = "VAR", second_nofap: Forest | None = None) -> DataFrame:
+def with_significance(df: DataFrame, label: str, cut: float, constant: str = "CONST", fap: str = "log10_fap") -> DataFrame:
+    """Training rows of the second stage: the constant class, and others whose false-alarm probability is below the cut."""
+    return df.where((F.col(label) == constant) | (F.col(fap) < cut))
+
+
+def cascade(df: DataFrame, first, second, threshold: float = 0.65, wanted: str = "VAR", second_nofap=None, constant: str | None = None) -> DataFrame:
     """Rows that the first model calls ``wanted`` with enough probability, classified by the second; the first's stays as prob_1st_stage.
 
-    ``second_nofap``, a model without the false-alarm features, gives class_nofap and prob_nofap besides.
+    ``second_nofap``, a model trained without a significance cut (``with_significance``), gives class_nofap, prob_nofap and
+    prob_var_nofap besides; rows that it calls ``constant`` are left out.
     """
     kept = first.predict(df).where((F.col("class") == wanted) & (F.col("prob") > threshold)).withColumnRenamed("prob", "prob_1st_stage").drop("class", "prob_var")
     if second_nofap:
-        kept = second_nofap.predict(kept).withColumnsRenamed({"class": "class_nofap", "prob": "prob_nofap"}).drop("prob_var")
+        kept = second_nofap.predict(kept).withColumnsRenamed({"class": "class_nofap", "prob": "prob_nofap", "prob_var": "prob_var_nofap"})
+        if constant is not None:
+            kept = kept.where(F.col("class_nofap") != constant)
     return second.predict(kept)
 
 
-def by_cell(df: DataFrame, cell: str, models: dict[int, Forest]) -> DataFrame:
-    """Predictions of each row by the model of its cell; rows of cells without one are left out."""
-    parts = [m.predict(df.where(F.col(cell) == k)) for k, m in models.items()]
-    return reduce(DataFrame.unionByName, parts)
+def _done(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("cell string").json(f"{path}/done").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def _in_threads(spark: SparkSession, work: Callable, cells: Iterable, parallel: int) -> list:
+    """``work(cell)`` in ``parallel`` driver threads, which only submit jobs: each in a scheduler pool of its own, so that they share executors."""
+
+    def one(numbered_cell):
+        number, cell = numbered_cell
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"cells-{number % parallel}")
+        try:
+            return work(cell)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(one), enumerate(cells)))
+
+
+def _by_folder(df: DataFrame, cell: str, folder: str) -> list:
+    """Writes ``df`` once, a folder for each cell; the cells that there are."""
+    df.withColumn("_cell", F.col(cell)).where("_cell IS NOT NULL").repartition("_cell", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(16))).write.partitionBy("_cell").parquet(folder)
+    return sorted(r[0] for r in _read(df, cell, folder).select("_cell").distinct().collect())
+
+
+def _read(df: DataFrame, cell: str, folder: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema.add("_cell", df.schema[cell].dataType)).parquet(folder)
+
+
+def train_cells(df: DataFrame, cell: str, make: Callable[[], Prepared | _Classifier], folder: str, parallel: int = 4) -> dict:
+    """A model for each cell, saved to ``folder/cell=<cell>``; cells that are finished there are left alone, so a run can be started again.
+
+    Training rows are written once by cell, and each fit reads its own folder. Returns the folder of each cell's model.
+    """
+    spark, rows = df.sparkSession, new_folder(df.sparkSession)
+    cells = _by_folder(df, cell, rows)
+    paths = {k: f"{folder}/cell={k}" for k in cells}
+
+    def train(k) -> None:
+        if not _done(spark, paths[k]):
+            make().fit(_read(df, cell, rows).where(F.col("_cell") == k).drop("_cell")).save(paths[k])
+            spark.createDataFrame([(str(k),)], "cell string").write.mode("overwrite").json(f"{paths[k]}/done")
+
+    _in_threads(spark, train, cells, parallel)
+    return paths
+
+
+def by_cell(df: DataFrame, cell: str, models: dict, parallel: int = 4) -> DataFrame:
+    """Predictions of each row by the model of its cell; rows of cells without one are left out, and without models there are no rows.
+
+    Rows are written once by cell and each model reads its own folder, so scans don't grow with the cells. The first model's
+    columns are those of the result.
+    """
+    spark = df.sparkSession
+    rows, out = new_folder(spark), new_folder(spark)
+    there = set(_by_folder(df, cell, rows)) if models else set()
+    able = [k for k in models if k in there]
+    if not able:
+        return df.withColumns({"class": F.lit(None).cast("string"), "prob": F.lit(None).cast("double")}).limit(0)
+    one = lambda k: models[k].predict(_read(df, cell, rows).where(F.col("_cell") == k).drop("_cell"))
+    schema = one(able[0]).schema
+    _in_threads(spark, lambda k: one(k).select(*schema.names).write.parquet(f"{out}/part={able.index(k)}"), able, parallel)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import fourier, learning
+from skyloom.operators import fourier, imputing, learning
 from skyloom.operators.storage import new_folder
 from skyloom.plans.registry import Registry, count, r
 from skyloom.plans.statistics import clean
@@ -41,28 +41,56 @@ def power_transform(spark, d):
     return learning.power_transform(lines, learning.fit_power(lines, ["price", "quantity"]))
 
 
+ALL = [f"e{k}" for k in range(64)]
+
+
 @query()
 def knn_impute(spark, d):
-    v = vectors(spark, d).withColumn("e3", F.when(F.col("vec_id") % 5 != 0, F.col("e3")))
-    return learning.knn_impute(v, FEATURES, "vec_id")
+    """All 64 components; two of each vector's are taken away first."""
+    v = vectors(spark, d, 64)
+    gone = lambda k: (F.pmod(F.xxhash64("vec_id"), F.lit(64)) == k) | (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64)) == k)
+    return imputing.knn_impute(v.select("vec_id", *[F.when(~gone(k), F.col(c)).alias(c) for k, c in enumerate(ALL)]), ALL, "vec_id")
 
 
 @query()
 def cv_predictions(spark, d):
     v = vectors(spark, d, 64)
-    names = [f"e{k}" for k in range(64)]
-    return learning.cross_validated(v, lambda: learning.Forest(names, "label"), "vec_id", 10).select("vec_id", "label", "class", "prob", "fold")
+    return learning.cross_validated(v, lambda: learning.Forest(ALL, "label"), "vec_id", 10).select("vec_id", "label", "class", "prob", "fold")
+
+
+@query()
+def boosted_predictions(spark, d):
+    """Each vector's class by boosted models that have not seen it: two halves by hash of the id."""
+    v = vectors(spark, d, 64)
+    return learning.cross_validated(v, lambda: learning.Boosted(ALL, "label", id_col="vec_id", trees=4, depth=3), "vec_id", 2).select("vec_id", "label", "class", "prob", "fold")
+
+
+def labelled(spark, d):
+    """Vectors as sources: half of the labels are constant, the first component less three stands for the false-alarm probability."""
+    v = vectors(spark, d, 16).withColumn("log10_fap", -10 + 20 * F.col("e0"))
+    return v.withColumns({"kind": F.when(F.col("label") < 5, "CONST").otherwise("VAR"), "type": F.when(F.col("label") < 5, "CONST").otherwise(F.col("label").cast("string"))})
 
 
 @query()
 def classify_cascade(spark, d):
-    """Variable or constant first; classes of those called variable next."""
-    v = vectors(spark, d, 64).withColumn("kind", F.when(F.col("label") < 5, "CONST").otherwise("VAR"))
-    names = [f"e{k}" for k in range(64)]
-    first = learning.Forest(names, "kind", "CONST").fit(v)
-    variable = v.where("kind = 'VAR'")
-    second, nofap = (learning.Forest(own, "label").fit(variable) for own in (names, names[:-1]))
-    return learning.cascade(v, first, second, second_nofap=nofap).select("vec_id", "label", "class", "prob", "prob_1st_stage", "class_nofap", "prob_nofap")
+    """Prepared models of two stages, trained on one half of the rows and applied to the other: variable or constant, then the class, with and without a significance cut."""
+    v = labelled(spark, d)
+    half = learning.fold("vec_id", 2)
+    train, rest = v.where(half == 0), v.where(half == 1)
+    made = lambda label: learning.Prepared(learning.Forest([*ALL[:16], "log10_fap"], label, "CONST", trees=20), id_col="vec_id", powered=["log10_fap"])
+    first = made("kind").fit(train)
+    cut, every = (made("type").fit(learning.with_significance(train, "type", c)) for c in (-10.0, float("inf")))
+    out = learning.cascade(rest, first, cut, 0.5, second_nofap=every, constant="CONST")
+    return out.select("vec_id", "label", "class", "prob", "prob_var", "prob_1st_stage", "class_nofap", "prob_nofap", "prob_var_nofap")
+
+
+@query()
+def models_by_cell(spark, d):
+    """A forest for each of four cells, trained side by side and saved; each row is classified by its cell's."""
+    v = vectors(spark, d, 16).withColumn("cell", F.when(F.col("e0") > 0, 2).otherwise(0) + F.when(F.col("e1") > 0, 1).otherwise(0))
+    paths = learning.train_cells(v, "cell", lambda: learning.Forest([f"e{k}" for k in range(16)], "label", trees=10), new_folder(spark))
+    models = {k: learning.Forest.load(path) for k, path in paths.items()}
+    return learning.by_cell(v, "cell", models).select("vec_id", "cell", "label", "class", "prob")
 
 
 @query("SELECT user_id AS sourceid, CASE WHEN event_type IN ('error', 'signup') THEN 'LPV' WHEN event_type = 'click' THEN 'RRcd' ELSE event_type END AS var_class, count(*)::INTEGER AS n_epochs, CAST(round(avg(value), 3) AS FLOAT) AS mean_mag FROM events GROUP BY ALL")

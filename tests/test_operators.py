@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import expr
 from skyloom.functions import sky as S
 from skyloom.operators.quantiles import exact_percentiles
-from skyloom.operators import fourier, joins, learning, quality, series, stats
+from skyloom.operators import fourier, imputing, joins, learning, quality, series, stats
 from skyloom.sources import files
 
 
@@ -238,7 +238,7 @@ def test_yeo_johnson_finds_the_logarithm(spark):
 
 def test_knn_imputer_fills_from_neighbours(spark):
     rows = [(k, float(k), float(k)) for k in range(20)] + [(20, 10.2, None), (21, None, None)]
-    got = {r[0]: r for r in learning.knn_impute(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], "id", k=3).collect()}
+    got = {r[0]: r for r in imputing.knn_impute(spark.createDataFrame(rows, "id long, a double, b double"), ["a", "b"], "id", k=3).collect()}
     assert got[20]["b"] == pytest.approx(10.0) and math.isnan(got[21]["b"] if got[21]["b"] is not None else float("nan"))
 
 
@@ -259,8 +259,10 @@ def test_knn_imputer_takes_every_row_as_donor(spark, monkeypatch):
             want[i, j] = x[able[np.argsort(dist[able], kind="stable")[:k]], j].mean()
     df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(5)
     for cells in (1 << 18, 200):
-        monkeypatch.setattr(learning, "BLOCK_CELLS", cells)
-        out = {r["id"]: r for r in learning.knn_impute(df, ["a", "b", "c"], "id", k).collect()}
+        monkeypatch.setattr(imputing, "BLOCK_CELLS", cells * 3)
+        monkeypatch.setattr(imputing, "SLICE_CELLS", 10 * cells)
+        monkeypatch.setattr(imputing, "MET", 2)
+        out = {r["id"]: r for r in imputing.knn_impute(df, ["a", "b", "c"], "id", k).collect()}
         got = np.array([[np.nan if out[i][c] is None else out[i][c] for c in "abc"] for i in range(n)])
         assert len(out) == n and np.allclose(got, want, rtol=1e-12, atol=1e-12, equal_nan=True)
 
