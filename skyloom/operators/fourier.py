@@ -38,6 +38,8 @@ class Settings:
     terms_max: int = 6
     terms_min: int = 2
     poly: int = 2
+    #: Maxima of the spectrum among which the candidate is looked for.
+    candidates: int = 30
 
 
 #: The survey's limits; each source's grid follows from its baseline, in steps of 1 / (5 * span).
@@ -177,7 +179,7 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     ridge = F.least(F.lit(0.25), 2 / F.pow(F.greatest(spread / F.col("noise"), F.lit(1e-9)), 3) / (F.col("n") / 100))
     about = hold(about.select("*", spread.alias("spread"), ridge.alias("ridge")))
     whole = known.join(about.where((F.col("n") >= s.min_points) & (F.col("span") > 0)).select("sourceid"), "sourceid", "left_semi")
-    found = hold(series.candidate_frequency(whole, s.f_min, s.f_max, s.min_points).withColumnRenamed("f", "ls_f"))
+    found = hold(series.candidate_frequency(whole, s.f_min, s.f_max, s.min_points, top=s.candidates).withColumnRenamed("f", "ls_f"))
     rows = known.join(about.join(found, "sourceid", "left_semi").select("sourceid", "mid", "span", "mean"), "sourceid")
     rows = series.dealt(rows, "sourceid", "t")
     rows = hold(rows.select("sourceid", "t", (2 * (F.col("t") - F.col("mid")) / F.col("span")).alias("u"), (F.col("mag") - F.col("mean")).alias("y"), w.alias("w")))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.sky import moved, separation
-from skyloom.operators.ordering import numbered
 from skyloom.operators.storage import durable
 
 
@@ -62,36 +61,73 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, time: str, with
 def predecessor(points: DataFrame, index: DataFrame, value: str, start: str) -> DataFrame:
     """Each point with the index row whose start is the last one at or below its value. Starts are distinct.
 
-    Index rows are listed under every slot of values that they reach, about two slots a row, and meet the points of the slot by an equality.
+    The points' distinct values and the index are dealt to ranges together, however they cluster; within a range the last start is carried
+    along the order, and each range gets the last start before it. Points whose value is null or below all starts have no row.
     """
-    low, high, n = index.agg(F.min(start), F.max(start), F.count("*")).first()
-    if not n:
-        return points.join(index, F.lit(False))
-    width = max((float(high) - float(low)) / n, 1e-300)
-    slot = lambda v: F.least(F.floor((v - F.lit(float(low))) / width), F.lit(n)).cast("long")
-    ends = numbered(index, start, name="_row")
-    after = ends.select((F.col("_row") - 1).alias("_row"), F.col(start).alias("_end"))
-    ranges = ends.join(after, "_row", "left").drop("_row").withColumn("_slot", F.explode(F.sequence(slot(F.col(start)), F.coalesce(slot(F.col("_end")), F.lit(n)))))
-    met = points.withColumn("_slot", slot(F.col(value))).join(ranges, "_slot")
-    return met.where((F.col(value) >= F.col(start)) & (F.col("_end").isNull() | (F.col(value) < F.col("_end")))).drop("_slot", "_end")
-
-
-def nearest_of_all(left: DataFrame, right: DataFrame, left_id: str = "left_id", right_id: str = "right_id", start: float = 0.5) -> DataFrame:
-    """left_id, right_id, sep of each left row's nearest right row at any distance: rows without one yet look four times as far."""
-    out, rest, radius = None, left, start
-    while True:
-        found = durable(cross_match(rest, right, radius, left_id, right_id))
-        out = found if out is None else out.unionByName(found)
-        rest = durable(rest.join(found, F.col("id") == F.col(left_id), "left_anti"))
-        if radius > 180 or rest.isEmpty():
-            return out
-        radius *= 4
-
-
-def both_ways(left: DataFrame, right: DataFrame, start: float = 0.5) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in index.columns])
+    both = points.select(F.col(value).alias("_v"), F.lit(True).alias("_asks")).where("_v IS NOT NULL").distinct()
+    both = both.unionByName(index.select(F.col(start).alias("_v"), F.lit(False).alias("_asks"), row.alias("_ix")).where("_v IS NOT NULL"), allowMissingColumns=True)
+    ranges = durable(both.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()))
+    own = F.last("_ix", ignorenulls=True).over(Window.partitionBy("_range").orderBy("_v", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # one row a range
+    lasts = ranges.groupBy("_range").agg(F.max_by("_ix", F.when(~F.col("_asks"), F.col("_v"))).alias("_l"))
+    before = lasts.select(F.col("_range"), F.last("_l", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = ranges.withColumn("_own", own).where("_asks").join(F.broadcast(before), "_range").select("_v", F.coalesce("_own", "_before").alias("_ix")).where("_ix IS NOT NULL")
+    return points.join(found, F.col(value) == F.col("_v")).select(*[F.col(f"`{c}`") for c in points.columns], "_ix.*")
+
+
+#: Levels of the cubes that a search goes through, at most, and right rows that a cube of the last level holds about.
+LEVELS, CUBE_ROWS = 20, 8
+
+
+def nearest_of_all(left: DataFrame, right: DataFrame, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
+    """left_id, right_id, sep of each left row's nearest right row at any distance, the whole sphere included; ties go to the smaller right id.
+
+    The right rows' unit vectors lie in cubes, whose sides halve from level to level. A left row keeps the cubes that may hold its nearest: those
+    no farther than the farthest point of the best one. Their parts of the next level are joined by number, until cubes hold a few rows.
+    A side without rows gives none.
+    """
+    n = right.count()
+    bottom = min(LEVELS, max(1, (n // CUBE_ROWS).bit_length() // 2 + 1))
+    side = lambda level: 2.0 / (1 << level)
+
+    def vector(df: DataFrame, name: str) -> DataFrame:
+        lon, lat = F.radians("lon"), F.radians("lat")
+        return df.select(F.col("id").alias(name), "lon", "lat", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")).where("lon IS NOT NULL AND lat IS NOT NULL")
+
+    def place(level: int) -> list[Column]:
+        return [F.least(F.floor((F.col(c) + 1) / side(level)), F.lit((1 << level) - 1)).cast("int").alias(f"c{c}") for c in "xyz"]
+
+    a, b = durable(vector(left, left_id)), vector(right, right_id)
+    b = durable(b.select(right_id, F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), *place(bottom)))
+    up = lambda level: [F.shiftright(f"c{c}", bottom - level).alias(f"c{c}") for c in "xyz"]
+    cubes = lambda level: b.select(*up(level)).distinct()
+    near = None
+    for level in range(min(2, bottom), bottom + 1):
+        if near is None:
+            # 64 cubes at most
+            first = [F.struct(*[F.lit(r[f"c{c}"]).alias(f"c{c}") for c in "xyz"]) for r in cubes(level).collect()]
+            if not first:
+                return a.select(left_id, F.lit(None).cast(right.schema["id"].dataType).alias(right_id), F.lit(None).cast("double").alias("sep")).limit(0)
+            near = a.select("*", F.inline(F.array(*first)))
+        else:
+            parts = cubes(level).select("*", *[F.shiftright(f"c{c}", 1).alias(f"p{c}") for c in "xyz"])
+            near = near.drop("far").withColumnsRenamed({f"c{c}": f"p{c}" for c in "xyz"}).join(parts, [f"p{c}" for c in "xyz"]).drop("px", "py", "pz")
+        low = {c: F.col(f"c{c}") * side(level) - 1 for c in "xyz"}
+        gap = lambda c: F.greatest(F.lit(0.0), low[c] - F.col(c), F.col(c) - low[c] - side(level))  # noqa: E731, B023
+        reach = lambda c: F.greatest(F.abs(F.col(c) - low[c]), F.abs(F.col(c) - low[c] - side(level)))  # noqa: E731, B023
+        size = lambda f: F.sqrt(sum((f(c) * f(c) for c in "yz"), start=f("x") * f("x")))
+        near = near.withColumns({"close": size(gap), "far": size(reach)})
+        near = near.withColumn("far", F.min("far").over(Window.partitionBy(left_id, "lon", "lat"))).where(F.col("close") <= F.col("far") + 1e-12).drop("close")
+        near = durable(near)
+    met = near.join(b, ["cx", "cy", "cz"]).withColumn("sep", separation("lon", "lat", "lon2", "lat2"))
+    return met.groupBy(left_id).agg(F.min(F.struct("sep", right_id)).alias("m")).select(left_id, f"m.{right_id}", "m.sep")
+
+
+def both_ways(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id, sep, forward: the nearest right row of each left row, and the nearest left row of each right row."""
-    back = nearest_of_all(right, left, "right_id", "left_id", start).select("left_id", "right_id", "sep", F.lit(False).alias("forward"))
-    return nearest_of_all(left, right, start=start).withColumn("forward", F.lit(True)).unionByName(back)
+    back = nearest_of_all(right, left, "right_id", "left_id").select("left_id", "right_id", "sep", F.lit(False).alias("forward"))
+    return nearest_of_all(left, right).withColumn("forward", F.lit(True)).unionByName(back)
 
 
 def match_catalogues(left: DataFrame, right: DataFrame, radius: float, years: float = 0.0, use_pm: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
@@ -21,10 +21,10 @@ def quality_cut(lc: DataFrame, chi_cut: float = 5.0, bright: float = 13.2, ast_c
 
 def sigma_clip(df: DataFrame, key: str = "sourceid", value: str = "mag", threshold: float = 4.0) -> DataFrame:
     """Rows within ``threshold`` robust deviations, 0.5 (p84 - p16), of their group's median; groups without spread stay."""
-    spread = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("_p"))
+    rows = df.withColumn("_p", F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).over(Window.partitionBy(key)))
     scale = 0.5 * (F.col("_p")[2] - F.col("_p")[0])
     near = F.abs(F.col(value) - F.col("_p")[1]) / scale < threshold
-    return df.join(spread, key).where(F.when(scale > 0, near).otherwise(True)).drop("_p")
+    return rows.where(F.when(scale > 0, near).otherwise(True)).drop("_p")
 
 
 def feature_clip(df: DataFrame, features: list[str], width: float = 10.0, no_upper: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import phase, ratio
+from skyloom.operators.storage import durable
 
 
 def phase_gaps(lc: DataFrame, period: str | Column, key: str = "sourceid", time: str = "t") -> DataFrame:
@@ -91,33 +92,36 @@ def _power(sums: DataFrame, key: str, window: bool = False) -> DataFrame:
 TERMS = 17
 
 
-def _bin_sums(at: np.ndarray, sums: np.ndarray, width: float, f0: float, step: float, n: int, cells: int) -> np.ndarray:
-    """Sums of e^(2 pi i f t) times a weight for f = f0 + k step (k < n), from Taylor moments of bins ``at`` (rows of ``sums``) of ``width``.
+def _bin_sums(at: np.ndarray, sums: np.ndarray, width: float, f0: float, step: float, n: int, cells: int) -> list[np.ndarray]:
+    """Sums of e^(2 pi i f t) times each weight for f = f0 + k step (k < n), from Taylor moments of bins ``at`` (rows of ``sums``, TERMS columns a weight) of ``width``.
 
     With ``step * width = j / cells`` for a whole j. Few bins are summed as they are, many by one transform of ``cells`` cells for each moment.
     """
     f = f0 + step * np.arange(n)
-    turn, term = 1j * math.pi * f * width, np.ones(n, np.complex128)
-    total = np.zeros(n, np.complex128)
-    middle = (at + 0.5) * width
+    middle, columns = (at + 0.5) * width, sums.shape[1]
     if 24 * len(at) * n < TERMS * cells * math.log2(cells):
-        parts = np.zeros((TERMS, n), np.complex128)
+        parts = np.zeros((columns, n), np.complex128)
         for lo in range(0, len(at), rows := max(1, (1 << 20) // n)):
-            parts += sums[lo : lo + rows].T @ np.exp(2j * math.pi * np.outer(middle[lo : lo + rows], f))
-        moment = lambda p: parts[p]
+            angle = 2 * math.pi * np.outer(middle[lo : lo + rows], f)
+            parts.real += sums[lo : lo + rows].T @ np.cos(angle)
+            parts.imag += sums[lo : lo + rows].T @ np.sin(angle)
+        moment = lambda c: parts[c]
     else:
         stride = round(step * width * cells)
         start, half = np.exp(2j * math.pi * f0 * middle), np.exp(1j * math.pi * stride / cells * np.arange(n))
 
-        def moment(p: int) -> np.ndarray:
+        def moment(c: int) -> np.ndarray:
             held = np.zeros(cells, np.complex128)
-            held[at] = sums[:, p] * start
+            held[at] = sums[:, c] * start
             return np.fft.ifft(held, norm="forward")[: stride * n : stride] * half
 
+    turn, term = 1j * math.pi * f * width, np.ones(n, np.complex128)
+    out = [np.zeros(n, np.complex128) for _ in range(columns // TERMS)]
     for p in range(TERMS):
-        total += term * moment(p)
+        for j, total in enumerate(out):
+            total += term * moment(j * TERMS + p)
         term = term * turn / (p + 1)
-    return total
+    return out
 
 
 def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
@@ -149,8 +153,8 @@ def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int =
         span, n, cells, width = (t.column(c)[0].as_py() for c in ("span", "n", "cells", "width"))
         matrix = lambda c: t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, TERMS)
         at, ws, ys, step = t.column("bin").to_numpy(), matrix("ws"), matrix("ys"), 1 / (oversampling * span)
-        sums = lambda m, f0, d: _bin_sums(at, m, width, f0, d, n, cells)
-        one, values, twice = sums(ws, f_min, step), sums(ys, f_min, step), sums(ws, 2 * f_min, 2 * step)
+        one, values = _bin_sums(at, np.hstack([ws, ys]), width, f_min, step, n, cells)
+        (twice,) = _bin_sums(at, ws, width, 2 * f_min, 2 * step, n, cells)
         yy = np.full(n, t.column("yy").to_numpy().sum())
         cols = [f_min + step * np.arange(n), one.real, one.imag, yy, values.real, values.imag, (1 + twice.real) / 2, twice.imag / 2]
         return pa.table([pa.repeat(t.column(key)[0], n), *cols], names=[key, "f", "C", "S", "YY", "YC", "YS", "CC", "CS"])
@@ -182,14 +186,43 @@ def log10_false_alarm(power: Column, n: Column, deviation: Column, f_max: float)
     return F.log10(single - (1 - single) * F.expm1(-tau))
 
 
-def candidate_frequency(lc: DataFrame, f_min: float, f_max: float, least_points: int = 21, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
+def pruned_peaks(lc: DataFrame, spec: DataFrame, top: int = 30, short: float = 0.005, alias: float = 0.0, aliases: tuple[float, ...] = (), key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
+    """key, f, power, window_power, place (among all maxima), peak (from 1): the ``top`` strongest maxima of each spectrum that are not the sampling's.
+
+    A maximum goes where the sampling's own power there is above it, and, unless it is below ``short``, where it is above it at f + g or
+    f - g for any surviving g below ``short`` (a slow trend seen through the sampling). With ``alias`` also those within it of a period of
+    ``aliases``. Whether one goes depends on the short ones that the first test leaves, which the second never takes, so the order of tests
+    doesn't matter.
+    """
+    order = Window.partitionBy(key).orderBy("f")
+    local = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
+    strongest = Window.partitionBy(key).orderBy(F.desc("power"), "f")
+    own = local.withColumn("place", F.row_number().over(strongest)).where(F.col("place") <= top).where(~(F.coalesce("window_power", F.lit(0.0)) > F.col("power"))).drop("_a", "_b")
+    own = durable(own)
+    slow = own.where(F.col("f") < short).select(key, F.col("f").alias("_g"))
+    # few sources have slow ones, and only their detections meet the shifted frequencies
+    shifted = own.where(F.col("f") >= short).join(slow, key).select(key, F.col("f").alias("_f"), "power", F.explode(F.array(F.col("f") + F.col("_g"), F.col("f") - F.col("_g"))).alias("f"))
+    asked = shifted.groupBy(key).agg(F.array_sort(F.collect_set("f")).alias("_fs"))
+    seen = spectrum(lc.join(asked, key), F.col("_fs"), key, time, value, error, extra=("_fs",)).select(key, "f", "window_power")
+    gone = shifted.join(seen, [key, "f"]).where(F.col("window_power") > F.col("power")).select(key, F.col("_f").alias("f")).distinct()
+    left = own.join(gone, [key, "f"], "left_anti")
+    if alias > 0:
+        left = left.where(~F.exists(F.array(*[F.lit(float(a)) for a in aliases]), lambda a: F.abs(1 / F.col("f") - a) < alias))
+    return left.withColumn("peak", F.row_number().over(strongest))
+
+
+def candidate_frequency(lc: DataFrame, f_min: float, f_max: float, least_points: int = 21, top: int = 0, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
     """Per source: the strongest local maximum that the sampling's own power does not reach, its power, its place among all maxima and the false-alarm bound."""
     rows = lc.where(F.col(value).isNotNull() & F.col(error).isNotNull())
     about = rows.groupBy(key).agg(F.count("*").alias("n"), F.stddev_pop(time).alias("_dev")).where(F.col("n") >= least_points)
     spec = fast_spectrum(rows.join(about.select(key), key, "left_semi"), f_min, f_max, key=key, time=time, value=value, error=error)
-    order = Window.partitionBy(key).orderBy("f")
-    tops = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
-    tops = tops.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f"))).where("window_power <= power")
+    # with ``top`` the survey's candidates, pruned by the slow ones as well; else the first maximum of any place
+    if top:
+        tops = pruned_peaks(rows, durable(spec), top, key=key, time=time, value=value, error=error)
+    else:
+        order = Window.partitionBy(key).orderBy("f")
+        tops = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
+        tops = tops.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f"))).where("window_power <= power")
     best = tops.groupBy(key).agg(F.min_by(F.struct("f", "power", "place"), "place").alias("s")).select(key, "s.*")
     return best.join(about, key).select(key, "n", "f", "power", "place", log10_false_alarm(F.col("power"), F.col("n"), F.col("_dev"), f_max).alias("log10_fap"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.functions.expr import col, ratio
 from skyloom.operators.ordering import numbered
 from skyloom.operators.quantiles import exact_percentiles, grouped_percentiles
-from skyloom.operators.storage import small
+from skyloom.operators.storage import durable, small
 
 
 def weighted_mean(value: str | Column, error: str | Column) -> Column:
@@ -22,15 +22,15 @@ def weighted_mean(value: str | Column, error: str | Column) -> Column:
 def moments(df: DataFrame, key: str = "sourceid", value: str = "mag", error: str = "emag") -> DataFrame:
     """Per group: n, extremes, mean, sample variance, population skewness and excess kurtosis, half range, weighted mean, share outside one deviation, median of the deviations from the median."""
     v = F.col(value)
-    first = df.groupBy(key).agg(
+    group = Window.partitionBy(key)
+    # one exchange: the second look at each group is a window over the rows that the sums then go through
+    rows = df.withColumns({"_mean": F.avg(v).over(group), "_sd": F.stddev_pop(v).over(group), "_median": F.median(v).over(group)})
+    inside = (v > F.col("_mean") - F.col("_sd")) & (v < F.col("_mean") + F.col("_sd"))
+    return rows.groupBy(key).agg(
         F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"),
         F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"), ((F.max(v) - F.min(v)) / 2).alias("amplitude"), weighted_mean(value, error).alias("ivw_mean"),
-        F.stddev_pop(v).alias("_sd"), F.median(v).alias("median"),
+        F.first("_median").alias("median"), F.avg((~inside).cast("double")).alias("beyondfrac"), F.median(v - F.col("_median")).alias("med_magdev"),
     )
-    second = df.join(first.select(key, "mean", "_sd", "median"), key).groupBy(key).agg(
-        F.avg((~((v > F.col("mean") - F.col("_sd")) & (v < F.col("mean") + F.col("_sd")))).cast("double")).alias("beyondfrac"), F.median(v - F.col("median")).alias("med_magdev")
-    )
-    return first.drop("_sd").join(second, key)
 
 
 def equal_width(c: str | Column, low: float, high: float, bins: int) -> Column:
@@ -65,6 +65,8 @@ def equal_count_edges(df: DataFrame, value: str, bins: int, low: float = 0.005,
 def running_statistic(df: DataFrame, x: str, y: str, edges: DataFrame) -> DataFrame:
     """Per bin that holds rows: centre, count and percentiles of y over rows strictly inside the edges. ``edges`` has a row for each of a few bins."""
     binned = df.join(small(edges, 32), (F.col(x) > F.col("lo")) & (F.col(x) < F.col("hi"))).select("bin", F.col(y).alias("_y"))
+    # read by every narrowing pass
+    binned = durable(binned)
     found = grouped_percentiles(binned, "bin", "_y", [0.16, 0.5, 0.84])
     kinds = "array<struct<bin:bigint,p16:double,median:double,p84:double>>"
     rows = [F.struct(F.lit(k).alias("bin"), *[F.lit(v).alias(c) for c, v in zip(("p16", "median", "p84"), p, strict=True)]) for k, p in found.items()]

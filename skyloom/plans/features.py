@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from skyloom.functions import expr
@@ -95,6 +97,24 @@ def tidy_columns(spark, d):
     return expr.tidied(c, without="_err", pattern="^c_", suffix="_cat", keep=("sourceid",))
 
 
+@query(f"""WITH {DETECTIONS}, m AS (SELECT *, avg(mag) OVER w AS a, stddev_pop(mag) OVER w AS s FROM lc WINDOW w AS (PARTITION BY sourceid))
+SELECT sourceid, count(*) AS n, round(avg(mag), 6) + 0.0 AS mean, round(median(mag), 6) + 0.0 AS median, round(avg(CASE WHEN mag > a - s AND mag < a + s THEN 0 ELSE 1 END), 6) + 0.0 AS beyondfrac FROM m GROUP BY 1""")
+def bucketed_moments(spark, d):
+    """Light curves as a catalogue table in buckets by source, and moments over it without an exchange. The table's name follows the folder."""
+    name = f"lc_{zlib.crc32(d.encode()):08x}"
+    m = stats.moments(files.save_bucketed(detections(spark, d).select("sourceid", "mag", "emag"), name, "sourceid", 16))
+    return m.select("sourceid", "n", r("mean").alias("mean"), r("median").alias("median"), r("beyondfrac").alias("beyondfrac"))
+
+
+@query("SELECT o_custkey AS sourceid, count(*) AS n, round(sum(o_totalprice), 2) + 0.0 AS total FROM orders GROUP BY 1")
+def ctas_counts(spark, d):
+    """A table created from SQL text over a view of the orders, in buckets by customer."""
+    view = f"orders_{zlib.crc32(d.encode()):08x}"
+    table(spark, d, "orders").createOrReplaceTempView(view)
+    made = files.create_table(spark, f"{view}_t", f"SELECT o_custkey AS sourceid, o_totalprice FROM {view}", "sourceid", 8)
+    return made.groupBy("sourceid").agg(count().alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query(f"WITH {DETECTIONS} SELECT sourceid, count(*) AS n, round(sum(mag), 4) + 0.0 AS mag FROM lc WHERE sourceid IN (SELECT c_custkey FROM customer WHERE c_nationkey % 3 = 0) GROUP BY 1")
 def routed_files(spark, d):
     """Light curves kept in a folder by the remainder of their number; those wanted are read from their folders."""

@@ -120,7 +120,7 @@ SELECT left_id, right_id, round(sep, 6) + 0.0 AS sep, true AS forward FROM m QUA
 UNION ALL SELECT left_id, right_id, round(sep, 6) + 0.0, false FROM m QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY sep, left_id) = 1""")
 def xmatch_both_ways(spark, d):
     """Nearest neighbours at any distance, in both directions."""
-    return joins.both_ways(*halves(spark, d), start=2.0).select("left_id", "right_id", r("sep").alias("sep"), "forward")
+    return joins.both_ways(*halves(spark, d)).select("left_id", "right_id", r("sep").alias("sep"), "forward")
 
 
 def _pixel(level: int) -> str:

@@ -29,23 +29,46 @@ def read_routed(spark: SparkSession, path: str, schema: str, wanted: DataFrame,
     return rows.join(keys, [name, key], "left_semi").drop(name)
 
 
-def narrowed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int = 64) -> DataFrame:
+    """``df`` as a catalogue table in ``buckets`` buckets by ``key``, sorted within; groups and joins by ``key`` over it need no exchange. An earlier table of the name is replaced."""
+    df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def create_table(spark: SparkSession, name: str, query: str, key: str, buckets: int = 64) -> DataFrame:
+    """The same from SQL text: CREATE TABLE ... AS SELECT, bucketed and sorted by ``key``."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS AS {query}")
+    return spark.table(name)
+
+
+def narrowed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> bool:
-    """Gzip CSV; False if the output exists and is not to be overwritten, so a batch can be started again."""
-    if not overwrite and _there(df.sparkSession, f"{path}/_SUCCESS"):
+    """Gzip CSV; False if the output is finished and is not to be overwritten, so a batch can be started again.
+
+    ``<path>.done`` has a row once the output is whole; it is emptied before anything is written.
+    """
+    spark, mark = df.sparkSession, f"{path}.done"
+    if not overwrite and _finished(spark, mark):
         return False
+    spark.range(0, 0, 1, 1).write.mode("overwrite").json(mark)
     df.write.mode("overwrite").csv(path, header=True, compression="gzip")
+    spark.range(0, 1, 1, 1).write.mode("overwrite").json(mark)
     return True
 
 
+def _finished(spark: SparkSession, mark: str) -> bool:
+    try:
+        return not spark.read.schema("id long").json(mark).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def append_parts(parts: list[DataFrame], path: str) -> None:
     """The first part makes the table, the others are appended."""
     for k, part in enumerate(parts):

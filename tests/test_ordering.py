@@ -49,7 +49,7 @@ def test_predecessors_and_nearest_neighbours(spark):
     sky = "id long, lon double, lat double"
     a = spark.createDataFrame([(1, 10.0, 0.0), (2, 359.999, 0.0), (3, 200.0, -89.0)], sky)
     b = spark.createDataFrame([(11, 10.0002, 0.0), (12, 0.001, 0.0), (13, 90.0, 60.0)], sky)
-    near = {(r["left_id"], r["right_id"]) for r in joins.nearest_of_all(a, b, start=0.01).collect()}
+    near = {(r["left_id"], r["right_id"]) for r in joins.nearest_of_all(a, b).collect()}
     assert near == {(1, 11), (2, 12), (3, 12)}
     moving = b.select("*", F.lit(-720.0).alias("pm_lon"), F.lit(0.0).alias("pm_lat"))
     assert joins.match_catalogues(a, moving, 1e-5, years=1.0, use_pm=True).select("left_id", "right_id").collect() == [(1, 11)]

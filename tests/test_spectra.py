@@ -46,7 +46,7 @@ def test_sums_of_bins_are_exact_to_rounding(n):
     moments = np.stack([np.bincount(where, w * u**p) for p in range(series.TERMS)], axis=1)
     for f0, d in ((0.3, step), (0.6, 2 * step)):
         want = np.exp(2j * np.pi * np.outer(f0 + d * np.arange(count), t)) @ w
-        got = series._bin_sums(bins, moments, width, f0, d, count, cells)
+        (got,) = series._bin_sums(bins, moments, width, f0, d, count, cells)
         assert np.abs(got - want).max() < 1e-12
 
 
@@ -56,3 +56,46 @@ def test_ten_years_at_twenty_cycles_a_day(spark):
     df = spark.createDataFrame(light_curve(rng, 1, 3000, 3650.0, period=1 / 7.3), LC)
     best = series.fast_spectrum(df, 0.00066667, 20.0).orderBy("power", ascending=False).first()
     assert abs(best["f"] - 7.3) < 1e-4 and best["power"] > 0.9
+
+
+def test_candidates_are_pruned_by_slow_ones(spark):
+    """Against a loop that shrinks a list, test by test, in both orders of the slow frequencies."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for source in range(4):
+        # nightly sampling over three years, a slow trend seen through it, and a fast period in two of the four
+        t = np.sort(rng.integers(0, 1100, 220) + rng.normal(0.3, 0.02, 220))
+        y = 14 + 0.5 * np.sin(2 * np.pi * t / (700 + 50 * source)) + (0.3 * np.sin(2 * np.pi * t / 0.73) if source % 2 else 0) + rng.normal(0, 0.05, len(t))
+        rows += [(source, float(a), float(b), 0.05) for a, b in zip(t, y, strict=True)]
+    lc = spark.createDataFrame(rows, LC)
+    spec = series.fast_spectrum(lc, 0.00066667, 4.0).persist()
+    got = {}
+    for r in series.pruned_peaks(lc, spec).orderBy("sourceid", "peak").collect():
+        got.setdefault(r["sourceid"], []).append(r["f"])
+    cut = 0
+    for source in range(4):
+        s = spec.where(f"sourceid = {source}").orderBy("f").toPandas()
+        p = s["power"].to_numpy()
+        top = [i for i in range(1, len(p) - 1) if p[i] > p[i - 1] and p[i] > p[i + 1]]
+        top = sorted(top, key=lambda i: -p[i])[:30]
+        peaks = [(s["f"][i], p[i]) for i in top if not s["window_power"][i] > p[i]]
+        t = np.array([r[1] for r in rows if r[0] == source])
+        w = np.full(len(t), 1 / len(t))
+
+        def window(f, t=t, w=w):
+            a = 2 * np.pi * f * t
+            c, q = np.cos(a), np.sin(a)
+            m = np.array([[w @ (c * c), w @ (c * q)], [w @ (c * q), w @ (q * q)]])
+            v = np.array([w @ c, w @ q])
+            return v @ np.linalg.solve(m, v)
+
+        for slow in (sorted(f for f, _ in peaks if f < 0.005), sorted((f for f, _ in peaks if f < 0.005), reverse=True)):
+            left = list(peaks)
+            for g in slow:
+                for sign in (1, -1):
+                    left = [(f, a) for f, a in left if f < 0.005 or not window(f + sign * g) > a]
+            assert np.allclose(got[source], [f for f, _ in left])
+        cut += len(peaks) - len(left)
+    assert cut > 0
+    aliases = series.pruned_peaks(lc, spec, alias=0.05, aliases=(0.73,)).where("abs(1 / f - 0.73) < 0.05")
+    assert aliases.isEmpty()
