@@ -160,7 +160,9 @@ def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int =
         return pa.table([pa.repeat(t.column(key)[0], n), *cols], names=[key, "f", "C", "S", "YY", "YC", "YS", "CC", "CS"])
 
     kind = lc.schema[key].dataType.simpleString()
-    sums = flat.groupBy(key).applyInArrow(run, f"{key} {kind}, f double, C double, S double, YY double, YC double, YS double, CC double, CS double")
+    # a few bins become a whole spectrum; a number of parts of its own, else the exchange counts as done by the sums below, which adaptive execution joins
+    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    sums = flat.repartition(parts, key).groupBy(key).applyInArrow(run, f"{key} {kind}, f double, C double, S double, YY double, YC double, YS double, CC double, CS double")
     return _power(sums, key)
 
 
