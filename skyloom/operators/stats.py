@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.expr import col, ratio
+from skyloom.functions.expr import col, percentile_gaps, ratio
 from skyloom.operators.ordering import numbered
 from skyloom.operators.quantiles import exact_percentiles, grouped_percentiles
 from skyloom.operators.storage import durable, small
@@ -33,6 +33,19 @@ def moments(df: DataFrame, key: str = "sourceid", value: str = "mag", error: str
     )
 
 
+def with_error_ratios(df: DataFrame, band: str = "ks") -> DataFrame:
+    """``df`` with the mean error, the standard error of the weighted mean times the root of its points, and the ratios to it of deviation, median deviation and five percentile gaps."""
+    error = F.col(f"{band}_b_ivw_err_mag") * F.sqrt(f"{band}_n_b_phot")
+    spreads = [f"{band}_stdev", f"{band}_mad", *[f"{band}_{gap}" for gap in ("p75_p25", "p84_p16", "p95_p5", "p99_p1", "p100_p0")]]
+    return df.withColumn(f"{band}_mean_error", error).withColumns({f"{c}_over_error": ratio(c, f"{band}_mean_error") for c in spreads})
+
+
+def preprocessed(df: DataFrame, band: str = "ks") -> DataFrame:
+    """Catalogue statistics as classifiers take them: percentile gaps, then ratios to the mean error, then Stetson's J over the epochs less one."""
+    gaps = df.select("*", *percentile_gaps(band))
+    return with_error_ratios(gaps, band).withColumn(f"{band}_stetson_j", ratio(f"{band}_stetson_j", F.col(f"{band}_n_epochs") - 1))
+
+
 def equal_width(c: str | Column, low: float, high: float, bins: int) -> Column:
     """Bin number from 0; the last bin holds its upper edge; null outside."""
     c = col(c)

@@ -132,6 +132,24 @@ def chunked_append(spark, d):
     return spark.read.parquet(path).groupBy("c_mktsegment").agg(count().alias("n"))
 
 
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    """Sessions of each user over the stream of files."""
+    out = stream.run_once(stream.sessions(stream.event_stream(spark, d)), new_folder(spark))
+    named = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", named("start"), named("stop"), "n")
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value / power(0.05 + 0.001 * value, 2)) / sum(1 / power(0.05 + 0.001 * value, 2)), 6) + 0.0 AS mean FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_moments(spark, d):
+    """Weighted mean of each user so far, from sums that the stream keeps."""
+    events = stream.event_stream(spark, d).where("value IS NOT NULL").withColumn("error", 0.05 + 0.001 * F.col("value"))
+    out = stream.run_once(stream.running_moments(events), new_folder(spark))
+    return out.select("user_id", "n", r("mean").alias("mean"))
+
+
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY ALL")
 def stream_window_counts(spark, d):
     out = stream.run_once(stream.window_counts(stream.event_stream(spark, d)), new_folder(spark))

@@ -54,6 +54,29 @@ def pct_ranges(spark, d):
     return wide.select("sourceid", *[r(c).alias(c) for c in wide.columns[1:]])
 
 
+RATIOS = ["stdev", "mad", "p75_p25", "p84_p16", "p95_p5", "p99_p1", "p100_p0"]
+_MARKS = (0, 1, 5, 16, 25, 75, 84, 95, 99, 100)
+
+
+@query(f"""WITH {DETECTIONS}, m AS (SELECT *, median(mag) OVER (PARTITION BY sourceid) AS med FROM lc),
+g AS (SELECT sourceid, stddev_samp(mag) AS stdev, median(abs(mag - med)) AS mad, sqrt(1 / sum(1 / (emag * emag))) * sqrt(count(*)) AS me, sum((mag - med) / emag) AS j, count(*) AS n,
+    """ + ", ".join(f"quantile_cont(mag, {p / 100}) AS p{p}" for p in _MARKS) + """ FROM m GROUP BY 1),
+w AS (SELECT *, """ + ", ".join(f"p{a} - p{b} AS p{a}_p{b}" for a, b in ((75, 25), (84, 16), (95, 5), (99, 1), (100, 0))) + """ FROM g)
+SELECT sourceid, round(me, 6) + 0.0 AS ks_mean_error, round(j / nullif(n - 1, 0), 4) + 0.0 AS ks_stetson_j, """ + ", ".join(f"round({c} / nullif(me, 0), 4) + 0.0 AS ks_{c}_over_error" for c in RATIOS) + " FROM w")
+def catalogue_statistics(spark, d):
+    """A catalogue's statistics of each source through the whole preprocessing: gaps, all seven ratios, scaled index."""
+    from pyspark.sql import Window
+
+    m = detections(spark, d).withColumn("med", F.median("mag").over(Window.partitionBy("sourceid")))
+    g = m.groupBy("sourceid").agg(
+        F.stddev_samp("mag").alias("ks_stdev"), F.median(F.abs(F.col("mag") - F.col("med"))).alias("ks_mad"), F.sqrt(1 / F.sum(1 / (F.col("emag") * F.col("emag")))).alias("ks_b_ivw_err_mag"),
+        F.count("*").alias("ks_n_b_phot"), F.sum((F.col("mag") - F.col("med")) / F.col("emag")).alias("ks_stetson_j"), F.count("*").alias("ks_n_epochs"), F.percentile("mag", F.array(*[F.lit(p / 100) for p in _MARKS])).alias("p"),
+    )
+    named = g.select("*", *[F.col("p")[k].alias(f"ks_p{p}") for k, p in enumerate(_MARKS)])
+    out = stats.preprocessed(named)
+    return out.select("sourceid", r("ks_mean_error").alias("ks_mean_error"), r("ks_stetson_j", 4).alias("ks_stetson_j"), *[r(f"ks_{c}_over_error", 4).alias(f"ks_{c}_over_error") for c in RATIOS])
+
+
 @query(f"""WITH {DETECTIONS}, g AS (SELECT sourceid, sqrt(1 / sum(1 / (emag * emag))) * sqrt(count(*)) AS me, stddev_samp(mag) AS sd, quantile_cont(mag, .75) - quantile_cont(mag, .25) AS iqr,
     sum(mag / emag) AS j, count(*) AS n FROM lc GROUP BY 1)
 SELECT sourceid, round(me, 6) + 0.0 AS mean_error, round(sd / nullif(me, 0), 5) + 0.0 AS sd_ratio, round(iqr / nullif(me, 0), 5) + 0.0 AS iqr_ratio, round(j / nullif(n - 1, 0), 4) + 0.0 AS stetson FROM g""")
