@@ -162,10 +162,10 @@ def ls_peaks_topn(spark, d):
     return p.select("sourceid", r("f", 4).alias("f"), F.col("peak").cast("long").alias("peak"))
 
 
-CURVE = "c AS (SELECT vec_id, k, " + " + ".join(f"abs(CAST(embedding[{n + 4}] AS DOUBLE)) * cos(2 * pi() * {n} * k / 200 + 2 * pi() * CAST(embedding[{n + 8}] AS DOUBLE))" for n in range(1, 5)) + " AS m FROM embeddings, range(200) t(k))"
+CURVE = "c AS (SELECT vec_id, k, " + " + ".join(f"abs(CAST(embedding[{n + 4}] AS DOUBLE)) * cos(2 * pi() * {n} * k / 1000 + 2 * pi() * CAST(embedding[{n + 8}] AS DOUBLE))" for n in range(1, 5)) + " AS m FROM embeddings, range(1000) t(k))"
 
 
-def model_curve(spark, d, points: int = 200):
+def model_curve(spark, d, points: int = 1000):
     """Four-harmonic model of each vector on a phase grid."""
     from skyloom.sources.views import table
 
