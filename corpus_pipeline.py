@@ -2,6 +2,12 @@
 
 Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last
 returns their tokens' digests. Every stage's rows are written as Parquet and read again.
+
+Defined results, stage by stage: a null or empty text, or one without letters, has no language and goes at the first; of equal texts, repeated
+rows among them, the row with the largest id stays, of equal ids one; of near copies one with the least id (rows with a null id have no
+near copies); texts without words are never taken by the mixture, which may take a document once, in part or twice, a row for
+each pass; very long texts are read whole, in pieces; an empty table stays empty. Columns besides those of ``documents`` come
+through all stages but the last, whatever their names are.
 """
 
 from __future__ import annotations
