@@ -59,3 +59,31 @@ def test_empty_corpus(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0 and re.match("doc_id", docs.columns[0])
+
+
+def test_odd_rows_through_all_stages(spark, sf_dir):
+    """Extra columns with names that the operators use, repeated rows and ids, nulls, and a very long text."""
+    from skyloom.llm.common import durable
+
+    start = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    one = start.first()
+    long = " ".join(f"{one['text'].split()[k % 40]} the and of" for k in range(60_000))
+    odd = [(9_000_000, long, "en", "s", len(long)), (9_000_001, None, None, None, None), (9_000_002, "", "en", "s", 0), (None, one["text"], "en", "s", 1), (9_000_003, " the and of \n", None, None, 5)]
+    docs = start.union(start.limit(5)).union(spark.createDataFrame(odd, start.schema))
+    clash = {"id": 1, "row": "r", "lang_pred": "x", "sid": 2, "keep_id": 3, "digest": "d", "block": 4, "language": 5}
+    docs = docs.withColumns({k: F.lit(v) for k, v in clash.items()})
+    names = docs.columns
+    after = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+        after.append(docs)
+    known, once, alone, mixed, tokens = after
+    assert all(d.columns == names for d in after[:4])
+    ids = {r["doc_id"] for r in known.collect()}
+    assert 9_000_001 not in ids and 9_000_002 not in ids and 9_000_000 in ids
+    texts = [r["text"] for r in once.collect()]
+    assert len(texts) == len(set(texts))
+    kept = {r["doc_id"]: r["text"] for r in alone.collect()}
+    assert kept[9_000_000] == long and set(kept.values()) <= set(texts)
+    assert {(r["id"], r["row"], r["block"]) for r in mixed.collect()} == {(1, "r", 4)}
+    assert tokens.count() == mixed.count() > 0
