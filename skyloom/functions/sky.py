@@ -43,6 +43,13 @@ def moved(lon: str, lat: str, pm_lon: str, pm_lat: str, years: float) -> tuple[C
     return F.col(lon) + F.col(pm_lon) * mas / F.cos(F.radians(lat)), F.col(lat) + F.col(pm_lat) * mas
 
 
+def wrapped(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Positions that motions took beyond a pole or a full turn, as longitude (0..360) and latitude; the point stays the same."""
+    turn = F.pmod(lat + 90, F.lit(360.0))
+    over = turn > 180
+    return F.pmod(F.when(over, lon + 180).otherwise(lon), F.lit(360.0)), F.when(over, 270 - turn).otherwise(turn - 90)
+
+
 def galactic(ra: str, dec: str) -> tuple[Column, Column]:
     """Galactic longitude (0..360) and latitude in degrees."""
     a, d = F.radians(ra), F.radians(dec)

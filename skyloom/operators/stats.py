@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.expr import col, percentile_gaps, ratio
+from skyloom.functions.expr import col, finite, percentile_gaps, ratio
 from skyloom.operators.ordering import numbered
 from skyloom.operators.quantiles import exact_percentiles, grouped_percentiles
 from skyloom.operators.storage import durable, small
@@ -135,27 +138,84 @@ def patched(base: DataFrame, patch: DataFrame, key: list[str], columns: list[str
     return out.drop(*[f"_{c}" for c in columns])
 
 
+def products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """i, j, n, x, y, xx, yy, xy: over the rows that have both columns, their number and the sums of both, of their squares and of their product (i up to j).
+
+    Each task multiplies its batches as matrices and passes on one row a pair, so wide tables need neither an aggregate a pair nor a row a pair and row.
+    NaN and infinities count as null. The caller centres the columns where sums of squares would cancel.
+    """
+    size = len(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            seen = np.isfinite(x)
+            x, m = np.where(seen, x, 0.0), seen.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(size)
+        if total[0].any():
+            yield pd.DataFrame({"i": i, "j": j, **dict(zip(("n", "x", "y", "xx", "yy", "xy"), total[:, i, j], strict=True))})
+
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    parts = wide.mapInPandas(run, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
+def _named(columns: list[str]) -> list[Column]:
+    names = F.array(*[F.lit(c) for c in columns])
+    return [names[F.col("i")].alias("a"), names[F.col("j")].alias("b")]
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, covariance, correlation of every pair of columns (a before b, or the same), in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    sums = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("covariance"), F.corr(a, b).alias("correlation")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
-    return sums.select(F.inline(F.array(*[f"p{k}" for k in range(len(pairs))])))
+    """a, b, covariance, correlation of every pair of columns (a before b, or the same), each over the rows that have both.
+
+    Two passes: the means, then products about them. Fewer than two rows give no covariance, a constant column no correlation;
+    pairs never seen together, and all pairs of an empty table, give no row.
+    """
+    about = df.agg(*[F.avg(finite(c)).alias(f"m{k}") for k, c in enumerate(columns)]).first()
+    off = df.select(*[(F.col(c).cast("double") - F.lit(about[k])).alias(c) for k, c in enumerate(columns)])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    own = lambda s, a, b: F.col(s) - a * b / n
+    spread = F.sqrt(own("xx", x, x) * own("yy", y, y))
+    return products(off, columns).where("n > 0").select(*_named(columns), ratio(own("xy", x, y), n - 1).alias("covariance"), ratio(own("xy", x, y), spread).alias("correlation"))
 
 
 def circular_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, covariance of angles in radians: the circular variance of each, and of each pair the circular correlation times the root of both variances."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    ends = df.agg(*[f(g(c)) for c in columns for f, g in ((F.avg, F.sin), (F.avg, F.cos))]).first()
-    mean = {c: (ends[2 * k], ends[2 * k + 1]) for k, c in enumerate(columns)}
-    known = [c for c in columns if None not in mean[c]]
-    pairs = [(a, b) for a, b in pairs if a in known and b in known]
-    off = {c: F.sin(F.col(c) - math.atan2(*mean[c])) for c in known}
-    rows = df.select(*columns)
-    var = {c: F.lit(1 - math.hypot(*mean[c])) if c in known else F.lit(None).cast("double") for c in columns}
-    corr = {(a, b): ratio(F.sum(off[a] * off[b]), F.sqrt(F.sum(off[a] * off[a]) * F.sum(off[b] * off[b]))) for a, b in pairs}
-    cells = [(c, c, var[c]) for c in columns] + [(a, b, corr[a, b] * F.sqrt(var[a] * var[b])) for a, b in pairs]
-    sums = rows.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("covariance")).alias(f"p{k}") for k, (a, b, v) in enumerate(cells)])
-    return sums.select(F.inline(F.array(*[f"p{k}" for k in range(len(cells))])))
+    """a, b, covariance of angles in radians: the circular variance of each, and of each pair the circular correlation times the root of both variances.
+
+    Angles without any value have a variance of null and no pairs.
+    """
+    ends = df.agg(*[f(g(finite(c))).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f, g in (("s", F.avg, F.sin), ("c", F.avg, F.cos))]).first()
+    mean = [(ends[2 * k], ends[2 * k + 1]) for k in range(len(columns))]
+    known = [k for k, m in enumerate(mean) if None not in m]
+    off = df.select(*[F.sin(F.col(c).cast("double") - (math.atan2(*mean[k]) if k in known else 0.0)).alias(c) for k, c in enumerate(columns)])
+    sums = products(off, columns).select("i", "j", "xy")
+    var = F.array(*[F.lit(1 - math.hypot(*m)) if k in known else F.lit(None).cast("double") for k, m in enumerate(mean)])
+    own = F.broadcast(sums.where("i = j").select("i", F.col("xy").alias("square")))
+    pairs = sums.where("i < j").join(own.withColumnRenamed("square", "si"), "i").join(own.select(F.col("i").alias("j"), F.col("square").alias("sj")), "j")
+    corr = ratio("xy", F.sqrt(F.col("si") * F.col("sj")))
+    cross = pairs.select(*_named(columns), (corr * F.sqrt(var[F.col("i")] * var[F.col("j")])).alias("covariance"))
+    alone = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"))
+    return alone.select(*_named(columns), var[F.col("i")].alias("covariance")).unionByName(cross)
+
+
+def class_profiles(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """label, feature, score, importance, weighted: the mean standard score of each feature by class, the share of its variance that classes explain, and their product.
+
+    Both are linear in the classes' means, so one aggregate by class is all that reads rows. A constant feature has neither.
+    """
+    g = df.groupBy(label).agg(F.count("*").alias("_n"), *[f(F.col(c)).alias(f"_{n}{k}") for k, c in enumerate(features) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_n{k}").alias("n"), F.col(f"_m{k}").alias("m"), F.col(f"_v{k}").alias("v")) for k, c in enumerate(features)])
+    cells = g.select(label, F.inline(cells)).where("n > 0")
+    n, m, v = F.col("n"), F.col("m"), F.col("v")
+    mean = cells.groupBy("feature").agg((F.sum(n * m) / F.sum(n)).alias("mean"), F.sum(n).alias("all"))
+    about = cells.join(mean, "feature")
+    off = m - F.col("mean")
+    parts = about.groupBy("feature").agg((F.sum(n * off * off) / F.first("all")).alias("between"), (F.sum(n * v) / F.first("all")).alias("within"))
+    every = F.col("between") + F.col("within")
+    out = about.join(parts, "feature").select(label, "feature", ratio(off, F.sqrt(every)).alias("score"), ratio("between", every).alias("importance"))
+    return out.withColumn("weighted", F.col("score") * F.col("importance"))
 
 
 def confusion_shares(df: DataFrame, truth: str, predicted: str) -> DataFrame:

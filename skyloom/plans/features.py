@@ -14,34 +14,40 @@ from skyloom.sources import files
 from skyloom.sources.views import DETECTIONS, SKY, detections, sky, table
 
 query = Registry()
-NAMES = [f"e{k}" for k in range(6)]
-VECTORS = "v AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(6)) + " FROM embeddings)"
+#: All components of a vector.
+NAMES = [f"e{k}" for k in range(64)]
+CELLS = "v AS (SELECT vec_id, label, k, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, range(64) t(k))"
 
 
 def vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(6)])
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(NAMES)])
 
 
-@query(f"WITH {VECTORS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 6) + 0.0 AS covariance, round(corr({a}, {b}), 6) + 0.0 AS correlation FROM v" for i, a in enumerate(NAMES) for b in NAMES[i:]))
+@query(f"WITH {CELLS} SELECT 'e' || p.k AS a, 'e' || q.k AS b, round(covar_samp(p.x, q.x), 6) + 0.0 AS covariance, round(corr(p.x, q.x), 6) + 0.0 AS correlation FROM v p JOIN v q ON p.vec_id = q.vec_id AND p.k <= q.k GROUP BY p.k, q.k")
 def correlation_matrix(spark, d):
     m = stats.correlations(vectors(spark, d), NAMES)
     return m.select("a", "b", r("covariance").alias("covariance"), r("correlation").alias("correlation"))
 
 
-def _circular() -> str:
-    var = lambda a: f"(1 - sqrt(power(avg(sin({a})), 2) + power(avg(cos({a})), 2)))"
-    off = lambda a: f"sin({a} - m{a})"
-    own = [f"SELECT '{a}' AS a, '{a}' AS b, round({var(a)}, 6) + 0.0 AS covariance FROM v" for a in NAMES]
-    cross = [f"SELECT '{a}', '{b}', round(sum({off(a)} * {off(b)}) / sqrt(sum({off(a)} * {off(a)}) * sum({off(b)} * {off(b)})) * sqrt({var(a)} * {var(b)}), 6) + 0.0 FROM v, m" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]]
-    return f"WITH {VECTORS}, m AS (SELECT " + ", ".join(f"atan2(avg(sin({a})), avg(cos({a}))) AS m{a}" for a in NAMES) + " FROM v) " + " UNION ALL ".join(own + cross)
-
-
-@query(_circular())
+@query(f"""WITH {CELLS}, m AS (SELECT k, atan2(avg(sin(x)), avg(cos(x))) AS m, 1 - sqrt(power(avg(sin(x)), 2) + power(avg(cos(x)), 2)) AS var FROM v GROUP BY 1),
+o AS (SELECT vec_id, k, var, sin(x - m) AS s FROM v JOIN m USING (k))
+SELECT 'e' || p.k AS a, 'e' || q.k AS b, round(CASE WHEN p.k = q.k THEN any_value(p.var) ELSE sum(p.s * q.s) / sqrt(sum(p.s * p.s) * sum(q.s * q.s)) * sqrt(any_value(p.var) * any_value(q.var)) END, 6) + 0.0 AS covariance
+FROM o p JOIN o q ON p.vec_id = q.vec_id AND p.k <= q.k GROUP BY p.k, q.k""")
 def circular_matrix(spark, d):
     """Circular variances and covariances of angles."""
     return stats.circular_covariance(vectors(spark, d), NAMES).select("a", "b", r("covariance").alias("covariance"))
 
 
+@query(f"""WITH {CELLS}, z AS (SELECT label, k, x, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM v WINDOW w AS (PARTITION BY k)),
+c AS (SELECT label, k, count(*) AS n, avg((x - m) / s) AS score, avg(x) AS own, any_value(m) AS m, any_value(s) AS s FROM z GROUP BY 1, 2),
+i AS (SELECT k, sum(n * power(own - m, 2)) / sum(n) / power(any_value(s), 2) AS importance FROM c GROUP BY 1)
+SELECT label, 'e' || k AS feature, round(score, 6) + 0.0 AS score, round(importance, 6) + 0.0 AS importance, round(score * importance, 8) + 0.0 AS weighted FROM c JOIN i USING (k)""")
+def class_profiles(spark, d):
+    """Mean standard score of all features by class, alone and times the feature's importance."""
+    p = stats.class_profiles(vectors(spark, d), "label", NAMES)
+    return p.select("label", "feature", r("score").alias("score"), r("importance").alias("importance"), r("weighted", 8).alias("weighted"))
+
+
 @query("SELECT truth, predicted, n, round(n / sum(n) OVER (PARTITION BY truth), 6) + 0.0 AS share FROM (SELECT o_orderstatus AS truth, o_orderpriority AS predicted, count(*) AS n FROM orders GROUP BY ALL)")
 def confusion_shares(spark, d):
     m = stats.confusion_shares(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")

@@ -13,10 +13,10 @@ from skyloom.sources.views import table
 from skyloom.streaming import events as stream
 
 query = Registry()
-FEATURES = [f"e{k}" for k in range(8)]
+FEATURES = [f"e{k}" for k in range(64)]
 
 
-def vectors(spark, d, n: int = 8):
+def vectors(spark, d, n: int = 64):
     return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(n)])
 
 
@@ -25,7 +25,7 @@ def periodic_features(spark, d):
     return fourier.periodic_features(clean(spark, d))
 
 
-@query("WITH x AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(8)) + " FROM embeddings), p AS (SELECT " + ", ".join(f"quantile_cont(e{k}, 0.25) AS a{k}, quantile_cont(e{k}, 0.5) AS b{k}, quantile_cont(e{k}, 0.75) AS c{k}" for k in range(8)) + " FROM x) SELECT vec_id, " + ", ".join(f"round((e{k} - b{k}) / (c{k} - a{k}), 6) + 0.0 AS e{k}" for k in range(8)) + " FROM x, p")
+@query("WITH x AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(64)) + " FROM embeddings), p AS (SELECT " + ", ".join(f"quantile_cont(e{k}, 0.25) AS a{k}, quantile_cont(e{k}, 0.5) AS b{k}, quantile_cont(e{k}, 0.75) AS c{k}" for k in range(64)) + " FROM x) SELECT vec_id, " + ", ".join(f"round((e{k} - b{k}) / (c{k} - a{k}), 6) + 0.0 AS e{k}" for k in range(64)) + " FROM x, p")
 def robust_scale(spark, d):
     return learning.robust_scale(vectors(spark, d), FEATURES).select("vec_id", *[r(c).alias(c) for c in FEATURES])
 
@@ -41,28 +41,25 @@ def power_transform(spark, d):
     return learning.power_transform(lines, learning.fit_power(lines, ["price", "quantity"]))
 
 
-ALL = [f"e{k}" for k in range(64)]
-
-
 @query()
 def knn_impute(spark, d):
     """All 64 components; two of each vector's are taken away first."""
-    v = vectors(spark, d, 64)
+    v = vectors(spark, d)
     gone = lambda k: (F.pmod(F.xxhash64("vec_id"), F.lit(64)) == k) | (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(64)) == k)
-    return imputing.knn_impute(v.select("vec_id", *[F.when(~gone(k), F.col(c)).alias(c) for k, c in enumerate(ALL)]), ALL, "vec_id")
+    return imputing.knn_impute(v.select("vec_id", *[F.when(~gone(k), F.col(c)).alias(c) for k, c in enumerate(FEATURES)]), FEATURES, "vec_id")
 
 
 @query()
 def cv_predictions(spark, d):
-    v = vectors(spark, d, 64)
-    return learning.cross_validated(v, lambda: learning.Forest(ALL, "label"), "vec_id", 10).select("vec_id", "label", "class", "prob", "fold")
+    v = vectors(spark, d)
+    return learning.cross_validated(v, lambda: learning.Forest(FEATURES, "label"), "vec_id", 10).select("vec_id", "label", "class", "prob", "fold")
 
 
 @query()
 def boosted_predictions(spark, d):
     """Each vector's class by boosted models that have not seen it: two halves by hash of the id."""
-    v = vectors(spark, d, 64)
-    return learning.cross_validated(v, lambda: learning.Boosted(ALL, "label", id_col="vec_id", trees=4, depth=3), "vec_id", 2).select("vec_id", "label", "class", "prob", "fold")
+    v = vectors(spark, d)
+    return learning.cross_validated(v, lambda: learning.Boosted(FEATURES, "label", id_col="vec_id", trees=4, depth=3), "vec_id", 2).select("vec_id", "label", "class", "prob", "fold")
 
 
 def labelled(spark, d):
@@ -77,7 +74,7 @@ def classify_cascade(spark, d):
     v = labelled(spark, d)
     half = learning.fold("vec_id", 2)
     train, rest = v.where(half == 0), v.where(half == 1)
-    made = lambda label: learning.Prepared(learning.Forest([*ALL[:16], "log10_fap"], label, "CONST", trees=20), id_col="vec_id", powered=["log10_fap"])
+    made = lambda label: learning.Prepared(learning.Forest([*FEATURES[:16], "log10_fap"], label, "CONST", trees=20), id_col="vec_id", powered=["log10_fap"])
     first = made("kind").fit(train)
     cut, every = (made("type").fit(learning.with_significance(train, "type", c)) for c in (-10.0, float("inf")))
     out = learning.cascade(rest, first, cut, 0.5, second_nofap=every, constant="CONST")
@@ -93,7 +90,7 @@ def models_by_cell(spark, d):
     return learning.by_cell(v, "cell", models).select("vec_id", "cell", "label", "class", "prob")
 
 
-@query("SELECT user_id AS sourceid, CASE WHEN event_type IN ('error', 'signup') THEN 'LPV' WHEN event_type = 'click' THEN 'RRcd' ELSE event_type END AS var_class, count(*)::INTEGER AS n_epochs, CAST(round(avg(value), 3) AS FLOAT) AS mean_mag FROM events GROUP BY ALL")
+@query("SELECT user_id AS sourceid, CASE WHEN event_type IN ('error', 'signup') THEN 'LPV' WHEN event_type = 'click' THEN 'RRcd' ELSE event_type END AS var_class, count(*)::INTEGER AS n_epochs, CAST(round(avg(value), 3) AS FLOAT) AS mean_mag FROM events GROUP BY FEATURES")
 def publish_catalog(spark, d):
     """Relabelled classes, public names, narrow types and column descriptions."""
     named = F.when(F.col("event_type").isin("error", "signup"), "LPV").when(F.col("event_type") == "click", "RRcd").otherwise(F.col("event_type"))
@@ -150,7 +147,7 @@ def stream_moments(spark, d):
     return out.select("user_id", "n", r("mean").alias("mean"))
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY FEATURES")
 def stream_window_counts(spark, d):
     out = stream.run_once(stream.window_counts(stream.event_stream(spark, d)), new_folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r("mean").alias("mean"))

@@ -77,15 +77,14 @@ def matched_unmatched(spark, d):
     return a.join(joins.cross_match(a, b, 3.0), F.col("id") == F.col("left_id"), "left").select(F.col("id").alias("sourceid"), "right_id", F.col("left_id").isNotNull().alias("matched"))
 
 
-@query(f"""WITH {SKY}, p AS (SELECT sourceid, lon + (sourceid % 100 - 50) * 36000 * 2 / 3.6e6 / cos(radians(lat)) AS lon, lat + (sourceid % 70 - 35) * 36000 * 2 / 3.6e6 AS lat FROM sky WHERE abs(lat) < 80),
-q AS (SELECT sourceid, fmod(lon + 720, 360) AS lon, lat FROM p),
-m AS (SELECT a.sourceid AS left_id, b.sourceid AS right_id, {sep('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS sep FROM q a, q b WHERE a.sourceid % 2 = 0 AND b.sourceid % 2 = 1)
+@query(f"""WITH {SKY}, p AS (SELECT sourceid, lon + (sourceid % 100 - 50) * 36000 * 2 / 3.6e6 / cos(radians(lat)) AS lon, lat + (sourceid % 70 - 35) * 36000 * 2 / 3.6e6 AS lat FROM sky),
+m AS (SELECT a.sourceid AS left_id, b.sourceid AS right_id, {sep('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS sep FROM p a, p b WHERE a.sourceid % 2 = 0 AND b.sourceid % 2 = 1)
 SELECT left_id, right_id, round(sep, 6) + 0.0 AS sep FROM m WHERE sep < 2 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY sep, right_id) = 1""")
 def xmatch_pm(spark, d):
-    """Cross-match of positions moved by their proper motion to one epoch."""
-    s = sky(spark, d).where("abs(lat) < 80").withColumns({"pl": ((F.col("sourceid") % 100 - 50) * 36000).cast("double"), "pb": ((F.col("sourceid") % 70 - 35) * 36000).cast("double")})
-    lon, lat = S.moved("lon", "lat", "pl", "pb", 2.0)
-    s = s.select(F.col("sourceid").alias("id"), F.pmod(lon, F.lit(360.0)).alias("lon"), lat.alias("lat"))
+    """Cross-match of positions moved by their proper motion to one epoch, over the poles too."""
+    s = sky(spark, d).withColumns({"pl": ((F.col("sourceid") % 100 - 50) * 36000).cast("double"), "pb": ((F.col("sourceid") % 70 - 35) * 36000).cast("double")})
+    lon, lat = S.wrapped(*S.moved("lon", "lat", "pl", "pb", 2.0))
+    s = s.select(F.col("sourceid").alias("id"), lon.alias("lon"), lat.alias("lat"))
     return joins.cross_match(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 2.0).select("left_id", "right_id", r("sep").alias("sep"))
 
 

@@ -15,11 +15,11 @@ query = Registry()
 
 CUT = DETECTIONS + """, cut AS (SELECT * FROM lc WHERE NOT coalesce(chi > 5 AND mag < 13.2, false) AND NOT coalesce(ast_res_chisq > 11.829, false) AND NOT coalesce(emag <= 0, false) AND NOT ambiguous_match),
 p AS (SELECT sourceid, 0.5 * (quantile_cont(mag, 0.84) - quantile_cont(mag, 0.16)) AS s, median(mag) AS m FROM cut GROUP BY 1),
-clip AS (SELECT cut.* FROM cut JOIN p USING (sourceid) WHERE CASE WHEN s > 0 THEN abs(mag - m) / s < 4 ELSE true END)"""
+clip AS (SELECT cut.* FROM cut JOIN p USING (sourceid) WHERE CASE WHEN s > 0 THEN abs(mag - m) / s < 5 ELSE true END)"""
 
 
 def clean(spark, d):
-    return quality.sigma_clip(quality.quality_cut(detections(spark, d)))
+    return quality.sigma_clip(quality.quality_cut(detections(spark, d)), threshold=5.0)
 
 
 @query(f"""WITH {CUT}, a AS (SELECT sourceid, count(mag) AS n, min(mag) AS lo, max(mag) AS hi, avg(mag) AS mean, var_samp(mag) AS var, stddev_pop(mag) AS sd,
@@ -122,7 +122,6 @@ def hist2d_norm(spark, d):
     return h.select("x_bin", "y_bin", "n", r("col_norm").alias("col_norm"), r("row_norm").alias("row_norm"))
 
 
-EDGES = "e AS (SELECT range AS bin, quantile_cont(o_totalprice, 0.005 + 0.99 * range / 12) AS lo, quantile_cont(o_totalprice, 0.005 + 0.99 * (range + 1) / 12) AS hi FROM orders, range(12) GROUP BY range)"
 EDGES = "q AS (SELECT quantile_cont(o_totalprice, [" + ", ".join(repr(0.005 + (0.995 - 0.005) * k / 12) for k in range(13)) + "]) AS v FROM orders), e AS (SELECT k - 1 AS bin, v[k] AS lo, v[k + 1] AS hi FROM q, range(1, 13) t(k))"
 
 
@@ -176,17 +175,6 @@ def feature_correlations(spark, d):
     return table(spark, d, "lineitem").agg(r(F.corr("l_quantity", "l_extendedprice")).alias("corr_qp"), r(F.covar_samp("l_quantity", "l_discount"), 8).alias("cov_qd"), r(F.corr("l_discount", "l_tax")).alias("corr_dt"))
 
 
-EMB = ("e1", "e2", "e3")
-
-
-@query("WITH z AS (SELECT label, " + ", ".join(f"(e{k} - avg(e{k}) OVER ()) / stddev_pop(e{k}) OVER () AS e{k}" for k in (1, 2, 3)) + " FROM (SELECT label, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS e{k}" for k in (1, 2, 3)) + " FROM embeddings)) SELECT label, " + ", ".join(f"round(avg(e{k}), 6) + 0.0 AS e{k}" for k in (1, 2, 3)) + " FROM z GROUP BY 1")
-def class_profiles(spark, d):
-    """Mean standard score of each feature by class; the moments come from one aggregate."""
-    e = table(spark, d, "embeddings").select("label", *[F.col("embedding")[k].cast("double").alias(f"e{k + 1}") for k in range(3)])
-    m = e.agg(*[f(c).alias(f"{n}_{c}") for c in EMB for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    return e.join(F.broadcast(m), F.lit(True)).groupBy("label").agg(*[r(F.avg((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))).alias(c) for c in EMB])
-
-
 @query("""SELECT round((median(l_extendedprice) FILTER (l_returnflag = 'R') - median(l_extendedprice) FILTER (l_returnflag = 'N')) / stddev_pop(l_extendedprice), 6) + 0.0 AS price,
 round((median(l_quantity) FILTER (l_returnflag = 'R') - median(l_quantity) FILTER (l_returnflag = 'N')) / stddev_pop(l_quantity), 6) + 0.0 AS quantity FROM lineitem""")
 def median_shift(spark, d):
