@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions import expr
 from skyloom.functions.expr import TWO_PI, finite
-from skyloom.operators import series
+from skyloom.operators import curves, series
 from skyloom.operators.storage import Scratch, durable
 
 HARMONICS = 4
@@ -114,8 +115,14 @@ def second_minimum(x: np.ndarray, cov: np.ndarray, terms: int, poly: int) -> tup
     return (float(best[1]), float(best[2]), amplitude) if best else (None, 1.0, amplitude)
 
 
+def faintest(x: np.ndarray, terms: int, poly: int) -> float:
+    """Phase, from time zero, at which the curve has its greatest magnitude."""
+    angle = TWO_PI * np.outer(np.arange(GRID) / GRID, np.arange(1, terms + 1))
+    return float((np.hstack([np.sin(angle), np.cos(angle)]) @ x[poly:]).argmax() / GRID)
+
+
 def fits(rows: DataFrame, freqs: DataFrame, about: DataFrame, poly: int, shape: bool = False) -> DataFrame:
-    """Series at ``freqs`` (sourceid, f, low, high) with ``low`` to ``high`` harmonics each: sourceid, f, terms, chi2, flat (chi-square of the mean), sines, cosines and, with ``shape``, the second minimum."""
+    """Series at ``freqs`` (sourceid, f, low, high) with ``low`` to ``high`` harmonics each: sourceid, f, terms, chi2, flat (chi-square of the mean), sines, cosines and, with ``shape``, the second minimum, the phase of the first, and the curve itself (``coef``: level, sines, cosines; ``cov``)."""
     freqs = freqs.dropDuplicates(["sourceid", "f"])
     found = moments(rows, freqs, poly).join(freqs, ["sourceid", "f"]).join(about.select("sourceid", "ridge"), "sourceid")
 
@@ -127,15 +134,50 @@ def fits(rows: DataFrame, freqs: DataFrame, about: DataFrame, poly: int, shape:
                 high = (len(a) - poly) // 2
                 for terms in range(one.low, one.high + 1):
                     x, cov, chi2 = solve(a, b, flat, terms, high, poly, one.ridge)
-                    dip = second_minimum(x, cov, terms, poly) if shape else (None, None, None)
-                    out.append((one.sourceid, one.f, terms, chi2, flat, x[poly : poly + terms], x[poly + terms :], *dip))
-            yield pd.DataFrame(out, columns="sourceid f terms chi2 flat sines cosines dip_phase depth_ratio amplitude".split())
+                    own = np.r_[0, poly : poly + 2 * terms]
+                    read = (*second_minimum(x, cov, terms, poly), faintest(x, terms, poly), x[own], list(cov[np.ix_(own, own)])) if shape else (None,) * 6
+                    out.append((one.sourceid, one.f, terms, chi2, flat, x[poly : poly + terms], x[poly + terms :], *read))
+            yield pd.DataFrame(out, columns="sourceid f terms chi2 flat sines cosines dip_phase depth_ratio amplitude min_phase coef cov".split())
 
     kind = dict(freqs.dtypes)["sourceid"]
-    made = "f double, terms int, chi2 double, flat double, sines array<double>, cosines array<double>, dip_phase double, depth_ratio double, amplitude double"
+    made = "f double, terms int, chi2 double, flat double, sines array<double>, cosines array<double>, dip_phase double, depth_ratio double, amplitude double, min_phase double, coef array<double>, cov array<array<double>>"
     return found.select("sourceid", "f", "low", "high", "ridge", "sums").mapInPandas(run, f"sourceid {kind}, {made}")
 
 
+def ridges(rows: DataFrame, freqs: DataFrame, poly: int, grid: tuple[float, ...] = tuple(np.logspace(-5, 0, 50))) -> DataFrame:
+    """The smoothing that generalised cross-validation prefers for a series at each of ``freqs`` (sourceid, f, high harmonics): sourceid, f, ridge, gcv, dof, and the whole curve of both over ``grid``.
+
+    The score is (chi-square / n) over (1 - trace / n) squared, with the trace of the hat matrix. Both follow from ``moments``, so a grid
+    of ridges reads detections once. Ties go to the greater ridge; a source with no more detections than coefficients gets nulls.
+    """
+    freqs = freqs.dropDuplicates(["sourceid", "f"])
+    n = rows.groupBy("sourceid").agg(F.count("*").alias("n"))
+    found = moments(rows, freqs, poly).join(n, "sourceid").select("sourceid", "f", "sums", "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for one in batch.itertuples(index=False):
+                a, b, flat = system(np.asarray(one.sums, float), poly)
+                k = np.tile(np.arange(1, (len(a) - poly) // 2 + 1), 2)
+                if one.n <= len(a):
+                    out.append((one.sourceid, one.f, None, None, None, [], []))
+                    continue
+                scores, traces = [], []
+                for ridge in grid:
+                    inverse = np.linalg.pinv(a + np.diag(np.concatenate([np.zeros(poly), ridge * a[0, 0] * k**2]) + np.abs(a).min() * 1e-4), hermitian=True)
+                    x, trace = inverse @ b, float(np.sum(inverse * a))
+                    chi2 = max(0.0, float(flat - 2 * b @ x + x @ a @ x))
+                    traces.append(trace)
+                    scores.append(chi2 / one.n / (1 - trace / one.n) ** 2)
+                best = len(grid) - 1 - int(np.argmin(scores[::-1]))
+                out.append((one.sourceid, one.f, grid[best], scores[best], traces[best], scores, traces))
+            yield pd.DataFrame(out, columns="sourceid f ridge gcv dof scores traces".split())
+
+    kind = dict(freqs.dtypes)["sourceid"]
+    return found.mapInPandas(run, f"sourceid {kind}, f double, ridge double, gcv double, dof double, scores array<double>, traces array<double>")
+
+
 def amplitudes() -> Column:
     return F.zip_with("sines", "cosines", lambda a, b: F.sqrt(a * a + b * b))
 
@@ -196,7 +238,10 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     roles = best.select("sourceid", F.col("terms").alias("low"), F.col("terms").alias("high"), F.explode(F.create_map(F.lit("fit"), at, F.lit("below"), at - step, F.lit("above"), at + step, F.lit("double"), at / 2)).alias("role", "f"))
     roles = hold(roles)
     last = fits(rows, roles.drop("role"), about, s.poly, shape=True).join(roles.select("sourceid", "role", "f"), ["sourceid", "f"])
-    last = last.groupBy("sourceid").pivot("role", ["fit", "below", "above", "double"]).agg(F.first(F.struct("f", "terms", "chi2", "flat", "sines", "cosines", "dip_phase", "depth_ratio", "amplitude")))
+    last = last.groupBy("sourceid").pivot("role", ["fit", "below", "above", "double"]).agg(F.first(F.struct("f", "terms", "chi2", "flat", "sines", "cosines", "dip_phase", "depth_ratio", "amplitude", "min_phase", "coef", "cov")))
+    last = hold(last)
+    dips = last.select("sourceid", (1 / F.col("fit.f")).alias("period"), F.col("fit.min_phase").alias("min_phase"), F.col("fit.dip_phase").alias("second_phase"))
+    dips = curves.depth_ratio(known, dips).select("sourceid", "peak_ratio_data")
 
     n, dev, chi2, flat, fit = F.col("n"), F.col("dev"), F.col("fit.chi2"), F.col("fit.flat"), F.col("fit.f")
     bend = (F.col("below.chi2") + F.col("above.chi2") - 2 * chi2) / F.pow(F.when(F.col("span") > 0, 0.05 / F.col("span")), 2)
@@ -204,7 +249,7 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     bound = lambda p: F.coalesce(series.log10_false_alarm(p, n, dev, s.f_max), F.lit(-323.0))
     fitted = F.col("fit").isNotNull()
     dip = F.col("fit.dip_phase").isNotNull()
-    every = lc.select("sourceid").where("sourceid IS NOT NULL").distinct().join(about, "sourceid", "left").join(found.drop("n", "log10_fap", "place"), "sourceid", "left").join(last, "sourceid", "left")
+    every = lc.select("sourceid").where("sourceid IS NOT NULL").distinct().join(about, "sourceid", "left").join(found.drop("n", "log10_fap", "place"), "sourceid", "left").join(last, "sourceid", "left").join(dips, "sourceid", "left")
     every = every.withColumns({"z": z, "double": F.when(dip, F.col("fit")).otherwise(F.col("double"))})
     out = every.select(
         "sourceid",
@@ -220,10 +265,13 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
         (0.5 * (flat - chi2)).alias("delta_loglik"),
         F.col("fit.amplitude").alias("model_amplitude"),
         F.col("fit.depth_ratio").alias("peak_ratio_model"),
+        "peak_ratio_data",
         F.col("fit.dip_phase").alias("second_minimum_phase"),
+        F.col("fit.min_phase").alias("minimum_phase"),
+        F.transform("fit.coef", lambda v, k: v + F.when(k == 0, F.col("mean")).otherwise(0.0)).alias("fourier_coeffs"),
+        F.col("fit.cov").alias("fourier_coeffs_cov"),
         *[_amplitude("fit", k).alias(f"amp_{k}") for k in range(HARMONICS)],
-        _phase("fit", 0).alias("phi_0"),
-        *[F.pmod(_phase("fit", k) - (k + 1) * _phase("fit", 0), F.lit(TWO_PI)).alias(f"phi_{k}") for k in range(1, HARMONICS)],
+        *[_phase("fit", k).alias(f"phi_{k}") for k in range(HARMONICS)],
         *[_amplitude("double", k).alias(f"amp_double_{k}") for k in range(HARMONICS)],
         *[_phase("double", k).alias(f"phi_double_{k}") for k in range(HARMONICS)],
         F.when(fitted, dip).alias("significant_second_minimum"),
@@ -232,3 +280,23 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     out = durable(out)
     hold.free()
     return out
+
+
+def finalised(features: DataFrame, catalogue: DataFrame, colours: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """``features`` of the sources that ``catalogue`` has too, with its columns, colours and the features made of harmonics.
+
+    ``colours`` names each colour's two magnitudes and its excess (columns of either table). Phase differences and ratios of amplitudes are made of phi_0 to phi_3 and
+    amp_0 to amp_3, and of those of twice the period with ``_double``. A column of both tables keeps the features' value; the catalogue's is named with
+    ``_catalogue``. Sources without a fit keep nulls; repeated catalogue rows repeat their source; a null id meets nothing.
+    """
+    taken = {c.lower() for c in features.columns} - {"sourceid"}
+    other = catalogue.select(*[F.col(f"`{c}`").alias(f"{c}_catalogue" if c.lower() in taken else c) for c in catalogue.columns])
+    both = features.join(other, "sourceid")
+    made = {name: expr.dereddened(a, b, excess) for name, (a, b, excess) in (colours or {}).items()}
+    for tail, mark in (("", ""), ("_double", "_double")):
+        phases, sizes = ([f"{n}{tail}_{k}" for k in range(HARMONICS)] for n in ("phi", "amp"))
+        for j in range(HARMONICS):
+            for i in range(j + 1, HARMONICS):
+                made[f"phi{i}_phi{j}{mark}"] = expr.principal_angle((j + 1) * F.col(phases[i]) - (i + 1) * F.col(phases[j]))
+                made[f"a{j}_a{i}{mark}"] = expr.ratio(sizes[j], sizes[i])
+    return both.withColumns(made)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import expr
-from skyloom.operators import joins, series, stats
+from skyloom.operators import curves, fourier, joins, series, stats
 from skyloom.plans.registry import Registry, count, r
 from skyloom.sources.views import DETECTIONS, detections
 
@@ -188,6 +188,70 @@ def turning_points(spark, d):
     return p.groupBy("vec_id").agg(F.count_if(F.col("kind") == "max").alias("maxima"), F.count_if(F.col("kind") == "min").alias("minima"))
 
 
+def _vector_curve(order: int) -> str:
+    """A four-harmonic curve of each vector, or a derivative, in SQL."""
+    rate = lambda k: f"power(2 * pi() * {k}, {order}) * "
+    s, c = (("sin({})", "cos({})"), ("cos({})", "(-sin({}))"), ("(-sin({}))", "(-cos({}))"))[order]
+    own = [f"CAST(embedding[{k + 1}] AS DOUBLE) * {rate(k)}{s.format(f'2 * pi() * {k} * p')} + CAST(embedding[{k + 5}] AS DOUBLE) * {rate(k)}{c.format(f'2 * pi() * {k} * p')}" for k in range(1, 5)]
+    return " + ".join([*own, *(["CAST(embedding[1] AS DOUBLE)"] if order == 0 else [])])
+
+
+#: Variance of a curve whose coefficients have the covariance v v' + 0.01 on the diagonal; v is the components that follow.
+_SPREAD = "power(CAST(embedding[10] AS DOUBLE) + " + " + ".join(f"CAST(embedding[{k + 10}] AS DOUBLE) * sin(2 * pi() * {k} * p) + CAST(embedding[{k + 14}] AS DOUBLE) * cos(2 * pi() * {k} * p)" for k in range(1, 5)) + ", 2) + 0.05"
+
+
+def vector_curves(spark, d):
+    """Vectors as fitted curves: level, four sines, four cosines and their covariance."""
+    from skyloom.sources.views import table
+
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    v = F.slice("e", 10, 9)
+    return e.select("vec_id", F.slice("e", 1, 9).alias("coef"), F.transform(v, lambda x, i: F.transform(v, lambda y, j: x * y + F.when(i == j, 0.01).otherwise(0.0))).alias("cov"))
+
+
+@query(f"""WITH g AS (SELECT vec_id, k, {_vector_curve(0)} AS value, sqrt({_SPREAD}) AS error, {_vector_curve(1)} AS slope, {_vector_curve(2)} AS bend FROM (SELECT vec_id, embedding, k, k / 100::DOUBLE AS p FROM embeddings, range(100) t(k)))
+SELECT vec_id, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS peak, round(min(error), 6) + 0.0 AS least_error, round(max(error), 6) + 0.0 AS most_error, round(max(slope), 4) + 0.0 AS steepest, round(min(bend), 3) + 0.0 AS sharpest FROM g GROUP BY 1""")
+def curve_shapes(spark, d):
+    """Fitted curves on a phase grid: values, propagated errors, first and second derivatives."""
+    g = curves.on_grid(vector_curves(spark, d), 100)
+    return g.groupBy("vec_id").agg(r(F.avg("value")).alias("mean"), r(F.max("value")).alias("peak"), r(F.min("error")).alias("least_error"), r(F.max("error")).alias("most_error"), r(F.max("slope"), 4).alias("steepest"), r(F.min("bend"), 3).alias("sharpest"))
+
+
+@query()
+def curve_covariances(spark, d):
+    """Covariances of amplitudes, phases and phase differences of each vector's curve over 300 draws."""
+    return curves.covariances(vector_curves(spark, d), "vec_id")
+
+
+@query(f"""WITH {DETECTIONS}, c AS (SELECT sourceid, 0.003 + (sourceid % 10) / 10::DOUBLE AS zero, CASE WHEN sourceid % 2 = 0 THEN 0.43 END AS second FROM lc GROUP BY 1),
+a AS (SELECT *, CASE WHEN second IS NULL THEN 2 * {PERIOD}::DOUBLE ELSE {PERIOD}::DOUBLE END AS period, coalesce(second, 0.5) AS apart FROM c),
+b AS (SELECT sourceid, quantile_cont(mag, 0.01) AS low FROM lc GROUP BY 1),
+w AS (SELECT a.*, k, 0.05 + 0.01 * k::DOUBLE AS width FROM a, range(47) t(k) WHERE k <= floor((apart - 0.05) / 0.01) + 1),
+p AS (SELECT w.sourceid, k, width, apart, mag, emag, fmod((t - zero * {PERIOD}::DOUBLE) / period + width + 1000, 1) AS p FROM w JOIN lc ON w.sourceid = lc.sourceid),
+n AS (SELECT sourceid, k, any_value(width) AS width, count(*) FILTER (p < width) AS n1, count(*) FILTER (p > apart AND p < apart + width) AS n2,
+  sum(mag / (emag * emag)) FILTER (p < width) / sum(1 / (emag * emag)) FILTER (p < width) AS m1, sum(mag / (emag * emag)) FILTER (p > apart AND p < apart + width) / sum(1 / (emag * emag)) FILTER (p > apart AND p < apart + width) AS m2 FROM p GROUP BY 1, 2),
+f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY sourceid ORDER BY n1 < 3 OR n2 < 3, CASE WHEN n1 < 3 OR n2 < 3 THEN -k ELSE k END) = 1)
+SELECT sourceid, round(width, 2) + 0.0 AS half_width, n1, n2, CASE WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN round(least(m1 - low, m2 - low) / nullif(greatest(m1 - low, m2 - low), 0), 5) + 0.0 END AS peak_ratio FROM f JOIN b USING (sourceid)""")
+def peak_depths(spark, d):
+    """Ratio of both dips' depths in the detections, in the narrowest windows that hold three detections each."""
+    lc = detections(spark, d)
+    zero = 0.003 + (F.col("sourceid") % 10) / 10
+    about = lc.select("sourceid").distinct().select("sourceid", F.lit(PERIOD).alias("period"), zero.alias("min_phase"), F.when(F.col("sourceid") % 2 == 0, F.lit(0.43)).alias("second_phase"))
+    out = curves.depth_ratio(lc, about)
+    return out.select("sourceid", r("half_width", 2).alias("half_width"), "n1", "n2", r("peak_ratio_data", 5).alias("peak_ratio"))
+
+
+@query()
+def smoothing_search(spark, d):
+    """The ridge that cross-validation prefers for six harmonics of a source's proposed frequency."""
+    lc = detections(spark, d)
+    found = series.candidate_frequency(lc, F_MIN, F_MAX).select("sourceid", "f", F.lit(6).alias("high"))
+    w = 1 / (F.col("emag") * F.col("emag"))
+    about = lc.groupBy("sourceid").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), stats.weighted_mean("mag", "emag").alias("mean"))
+    rows = lc.join(about, "sourceid").where("t1 > t0").select("sourceid", "t", ((2 * F.col("t") - F.col("t0") - F.col("t1")) / (F.col("t1") - F.col("t0"))).alias("u"), (F.col("mag") - F.col("mean")).alias("y"), w.alias("w"))
+    return fourier.ridges(rows, found, 3).select("sourceid", "f", "ridge", "gcv", "dof")
+
+
 @query("WITH p AS (SELECT vec_id, " + ", ".join(f"2 * pi() * CAST(embedding[{k + 1}] AS DOUBLE) AS phi{k}, abs(CAST(embedding[{k + 5}] AS DOUBLE)) AS a{k}" for k in range(4)) + " FROM embeddings) SELECT vec_id, "
        + ", ".join(f"round(fmod(fmod({j + 1} * phi{i} - {i + 1} * phi{j}, 2 * pi()) + 2 * pi(), 2 * pi()), 5) + 0.0 AS phi{i}_phi{j}" for j in range(4) for i in range(j + 1, 4)) + ", "
        + ", ".join(f"round(a{i} / nullif(a{j}, 0), 4) + 0.0 AS a{i}_a{j}" for j in range(4) for i in range(j + 1, 4)) + ", round(cos(phi0), 6) + 0.0 AS cos_phi0, round(sin(phi0), 6) + 0.0 AS sin_phi0 FROM p")
