@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import TWO_PI, col, finite, phase, ratio
+from skyloom.operators.series import dealt
 
 #: Half-width in phase of the window in which a depth is read, its growth, and the detections that both windows must hold.
 WIDTH, STEP, ENOUGH = 0.05, 0.01, 3
@@ -85,7 +86,7 @@ def draws(curves: DataFrame, key: str, n: int = 300, coef: str = "coef", cov: st
 
     Numbers follow from key and draw, so reruns agree, however rows are dealt.
     """
-    whole = curves.where((F.size(coef) > 2) & (F.size(cov) == F.size(coef))).select(key, F.col(coef).alias("c"), cholesky(cov).alias("l"))
+    whole = dealt(curves.where((F.size(coef) > 2) & (F.size(cov) == F.size(coef))), key).select(key, F.col(coef).alias("c"), cholesky(cov).alias("l"))
     each = whole.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     each = each.withColumn("z", F.transform(F.sequence(F.lit(0), F.size("c") - 1), lambda k: normal(F.col(key), F.col("draw"), k)))
     each = each.select(key, "draw", F.zip_with("c", F.transform("l", lambda row: _dot(row, F.col("z"))), lambda a, b: a + b).alias("c"))
@@ -157,3 +158,28 @@ def depth_ratio(lc: DataFrame, curves: DataFrame, key: str = "sourceid") -> Data
         key, (WIDTH + STEP * F.col("k")).alias("half_width"), number(1).alias("n1"), number(2).alias("n2"),
         F.when(F.col("d1").isNotNull() & F.col("d2").isNotNull(), ratio(small, great)).alias("peak_ratio_data"),
     )
+
+
+def against_bands(lc: DataFrame, curves: DataFrame, key: str = "sourceid", band: str = "filterid") -> DataFrame:
+    """key, band, nobs, model and scale: how each band's detections follow the source's fitted curve.
+
+    ``curves`` has key, period, amplitudes and phases (of cosines, from time zero). ``model`` is the root of the band's weighted variance, less the squared median error where
+    it is greater, over the curve's at the same times; ``scale`` is the factor, not negative, by which the curve fits the band best beside a free level. Both are grouped sums.
+    One detection gives neither, two no scale, nor does a factor below 0.0001; a curve without a period or with a null in it gives neither.
+    """
+    known = lc.select(key, band, finite("t").alias("t"), finite("mag").alias("mag"), finite("emag").alias("emag")).where("t IS NOT NULL AND mag IS NOT NULL AND emag > 0")
+    rows = known.join(curves.select(key, "period", "amplitudes", "phases"), key)
+    each = F.zip_with("amplitudes", F.transform("phases", lambda p, k: F.struct(p.alias("p"), (k + 1).alias("k"))), lambda a, x: a * F.cos(TWO_PI * x["k"] * phase("t", "period") + x["p"]))
+    rows = rows.select(key, band, "mag", "emag", (1 / (F.col("emag") * F.col("emag"))).alias("w"), F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("x"))
+    w, x, y = F.col("w"), F.col("x"), F.col("mag")
+    parts = {"s": w, "sx": w * x, "sy": w * y, "sxx": w * x * x, "sxy": w * x * y, "syy": w * y * y}
+    g = rows.groupBy(key, band).agg(F.count("*").alias("nobs"), F.median("emag").alias("noise"), (F.count("x") == F.count("*")).alias("whole"), *[F.sum(c).alias(n) for n, c in parts.items()])
+    of = lambda a, b, ab: F.col(ab) / F.col("s") - F.col(a) * F.col(b) / (F.col("s") * F.col("s"))
+    own, other, both = of("sy", "sy", "syy"), of("sx", "sx", "sxx"), of("sx", "sy", "sxy")
+    noise = F.col("noise") * F.col("noise")
+    scale = ratio(both, other)
+    return g.select(
+        key, band, "nobs",
+        F.when((F.col("nobs") > 1) & F.col("whole"), F.sqrt(ratio(F.greatest(F.lit(0.0), F.when(own > noise, own - noise).otherwise(own)), other))).alias("model"),
+        F.when((F.col("nobs") > 2) & F.col("whole") & (scale >= 1e-4), scale).alias("scale"),
+    )

@@ -34,6 +34,16 @@ def string_length(lc: DataFrame, period: str | Column, key: str = "sourceid", ti
     return scaled.withColumn("_l", F.sqrt(dp * dp + dv * dv)).groupBy(key).agg(F.sum("_l").alias("string_length"))
 
 
+def string_length_search(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: str = "t", value: str = "mag") -> DataFrame:
+    """key, f, string_length: of ``frequencies`` (an array expression) the one with the shortest line, the least of equal ones.
+
+    Each source and frequency is a group of its own, so a source with many detections is dealt to all tasks. Sources whose values don't vary have no length and no row.
+    """
+    each = dealt(lc.select(key, time, value).where(F.col(time).isNotNull() & F.col(value).isNotNull()), key, time).withColumn("_f", F.explode(frequencies)).withColumn("_k", F.struct(key, "_f"))
+    lengths = string_length(each, 1 / F.col("_f"), "_k", time, value).where("string_length IS NOT NULL")
+    return lengths.groupBy(F.col("_k")[key].alias(key)).agg(F.min(F.struct("string_length", F.col("_k")["_f"].alias("f"))).alias("a")).select(key, "a.f", "a.string_length")
+
+
 def nearest_in_phase(lc: DataFrame, period: str | Column, k: int, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", id_col: str = "event_id") -> DataFrame:
     """Each detection with the weighted mean of the k others of its source that are nearest in circular phase.
 

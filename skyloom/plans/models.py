@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyloom.operators import fourier, imputing, learning, stats
+from skyloom.operators import curves, fourier, imputing, learning, stats
 from skyloom.operators.storage import new_folder
 from skyloom.plans.registry import Registry, count, r
 from skyloom.plans.statistics import clean
@@ -29,13 +29,18 @@ def periodic_features(spark, d):
 
 @query()
 def final_features(spark, d):
-    """Periodic features with each source's band means, colours free of reddening, phase differences and ratios of amplitudes."""
+    """Periodic features with each source's band means, colours free of reddening, how each band follows the fitted curve, phase differences and ratios of amplitudes."""
     lc = clean(spark, d)
     bands = lc.groupBy("sourceid").pivot("filterid", list(BAND_NAMES)).agg(stats.weighted_mean("mag", "emag"))
     bands = bands.withColumnsRenamed({str(k): f"{n}_mean_mag" for k, n in BAND_NAMES.items()})
     bands = bands.withColumns({"jk_excess": 0.01 * (F.col("sourceid") % 7), "hk_excess": 0.005 * (F.col("sourceid") % 7)})
     colours = {"JK_col": ("j_mean_mag", "ks_mean_mag", "jk_excess"), "HK_col": ("h_mean_mag", "ks_mean_mag", "hk_excess")}
-    return fourier.finalised(fourier.periodic_features(lc), bands, colours)
+    found = fourier.periodic_features(lc)
+    orders = range(fourier.HARMONICS)
+    fitted = found.select("sourceid", F.col("lsq_period").alias("period"), F.array(*[f"amp_{k}" for k in orders]).alias("amplitudes"), F.array(*[f"phi_{k}" for k in orders]).alias("phases"))
+    scales = curves.against_bands(lc.where("filterid < 5"), fitted).groupBy("sourceid").pivot("filterid", [1, 2, 3, 4]).agg(F.first("nobs").alias("nobs"), F.first("model").alias("model"), F.first("scale").alias("scale"))
+    scales = scales.withColumnsRenamed({f"{k}_{c}": f"{n}_{c}" for k, n in enumerate("ZYJH", 1) for c in ("nobs", "model", "scale")})
+    return fourier.finalised(found, bands.join(scales, "sourceid", "left"), colours)
 
 
 @query("WITH x AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(64)) + " FROM embeddings), p AS (SELECT " + ", ".join(f"quantile_cont(e{k}, 0.25) AS a{k}, quantile_cont(e{k}, 0.5) AS b{k}, quantile_cont(e{k}, 0.75) AS c{k}" for k in range(64)) + " FROM x) SELECT vec_id, " + ", ".join(f"round((e{k} - b{k}) / (c{k} - a{k}), 6) + 0.0 AS e{k}" for k in range(64)) + " FROM x, p")

@@ -241,6 +241,33 @@ def peak_depths(spark, d):
     return out.select("sourceid", r("half_width", 2).alias("half_width"), "n1", "n2", r("peak_ratio_data", 5).alias("peak_ratio"))
 
 
+_MODEL = " + ".join(f"{a} * cos(2 * pi() * {k} * fmod(t, {PERIOD}::DOUBLE) / {PERIOD}::DOUBLE + {k} * (sourceid % 5))" for k, a in ((1, 8.0), (2, 4.0), (3, 2.0), (4, 1.0)))
+
+
+@query(f"""WITH {DETECTIONS}, m AS (SELECT *, 1 / (emag * emag) AS w, {_MODEL} AS x FROM lc),
+a AS (SELECT *, sum(w * mag) OVER p / sum(w) OVER p AS my, sum(w * x) OVER p / sum(w) OVER p AS mx FROM m WINDOW p AS (PARTITION BY sourceid, filterid)),
+g AS (SELECT sourceid, filterid, count(*) AS nobs, power(median(emag), 2) AS noise, sum(w * power(mag - my, 2)) / sum(w) AS own, sum(w * power(x - mx, 2)) / sum(w) AS other, sum(w * (x - mx) * (mag - my)) / sum(w) AS shared FROM a GROUP BY 1, 2)
+SELECT sourceid, filterid, nobs, CASE WHEN nobs > 1 THEN round(sqrt(CASE WHEN own > noise THEN own - noise ELSE own END / other), 5) + 0.0 END AS model, CASE WHEN nobs > 2 AND shared / other >= 1e-4 THEN round(shared / other, 5) + 0.0 END AS scale FROM g""")
+def band_scales(spark, d):
+    """Each band's scatter and best factor against the source's curve of four harmonics."""
+    lc = detections(spark, d)
+    turn = F.col("sourceid") % 5
+    curve = lc.select("sourceid").distinct().select("sourceid", F.lit(PERIOD).alias("period"), F.array(*[F.lit(a) for a in (8.0, 4.0, 2.0, 1.0)]).alias("amplitudes"), F.array(*[(k * turn).cast("double") for k in (1, 2, 3, 4)]).alias("phases"))
+    out = curves.against_bands(lc, curve)
+    return out.select("sourceid", "filterid", "nobs", r("model", 5).alias("model"), r("scale", 5).alias("scale"))
+
+
+@query(f"""WITH {DETECTIONS}, f AS (SELECT sourceid, k, mag, 0.1 + 0.05 * k::DOUBLE AS f, fmod(t, 1 / (0.1 + 0.05 * k::DOUBLE)) / (1 / (0.1 + 0.05 * k::DOUBLE)) AS p FROM lc, range(100) t(k)),
+v AS (SELECT sourceid, f, p, (mag - min(mag) OVER w) / nullif(max(mag) OVER w - min(mag) OVER w, 0) AS v FROM f WINDOW w AS (PARTITION BY sourceid)),
+l AS (SELECT sourceid, f, coalesce(lead(p) OVER o, first_value(p) OVER o + 1) - p AS dp, coalesce(lead(v) OVER o, first_value(v) OVER o) - v AS dv FROM v WINDOW o AS (PARTITION BY sourceid, f ORDER BY p, v)),
+s AS (SELECT sourceid, f, sum(sqrt(dp * dp + dv * dv)) AS s FROM l GROUP BY 1, 2)
+SELECT sourceid, round(f, 4) + 0.0 AS f, round(s, 5) + 0.0 AS string_length FROM s QUALIFY row_number() OVER (PARTITION BY sourceid ORDER BY s, f) = 1""")
+def string_length_search(spark, d):
+    """The period of a grid whose folded line is shortest."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: 0.1 + 0.05 * k)
+    return series.string_length_search(detections(spark, d), grid).select("sourceid", r("f", 4).alias("f"), r("string_length", 5).alias("string_length"))
+
+
 @query()
 def smoothing_search(spark, d):
     """The ridge that cross-validation prefers for six harmonics of a source's proposed frequency."""

@@ -169,3 +169,22 @@ def test_features_meet_the_catalogue(spark):
     from skyloom.operators.preparation import ANGLES, RATIOS
 
     assert {*ANGLES, *RATIOS} <= r.keys()
+
+
+def test_bands_follow_the_fitted_curve(spark):
+    rng = np.random.default_rng(12)
+    t, e = rng.uniform(0, 40, 80), rng.uniform(0.01, 0.03, 80)
+    x = 0.4 * np.cos(2 * np.pi * t / 1.7 + 0.3) + 0.1 * np.cos(4 * np.pi * t / 1.7 + 1.0)
+    y = 14 + 0.6 * x + rng.normal(0, 0.02, 80)
+    rows = [(1, 3, *map(float, r)) for r in zip(t, y, e, strict=True)] + [(1, 4, *map(float, r)) for r in zip(t[:40], 28 - y[:40], e[:40], strict=True)] + [(1, 2, 1.0, 14.0, 0.1), (1, 2, 2.0, 14.2, 0.1), (1, 1, 1.0, 14.0, 0.1), (2, 3, 1.0, 14.0, 0.1), (2, 3, 2.0, 14.5, 0.1), (2, 3, 2.5, 14.1, 0.1), (3, 3, 1.0, 1.0, 0.1)]
+    lc = spark.createDataFrame(rows + [(1, 3, math.nan, 1.0, 0.1), (1, 3, 1.0, 1.0, None)], "sourceid long, filterid int, t double, mag double, emag double")
+    curve = spark.createDataFrame([(1, 1.7, [0.4, 0.1], [0.3, 1.0]), (2, None, [0.4], [0.3]), (4, 1.0, [0.4], [0.3])], "sourceid long, period double, amplitudes array<double>, phases array<double>")
+    got = {(r["sourceid"], r["filterid"]): r for r in curves.against_bands(lc, curve).collect()}
+    assert set(got) == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 3)}
+    w = e**-2.0
+    a = np.vstack([np.ones(80), x]).T
+    slope = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][1]
+    own, other = np.average((y - np.average(y, weights=w)) ** 2, weights=w), np.average((x - np.average(x, weights=w)) ** 2, weights=w)
+    assert got[1, 3]["nobs"] == 80 and got[1, 3]["scale"] == pytest.approx(slope, rel=1e-8) and got[1, 3]["model"] == pytest.approx(math.sqrt((own - np.median(e) ** 2) / other), rel=1e-8)
+    assert got[1, 4]["scale"] is None and got[1, 4]["model"] > 0 and got[1, 2]["scale"] is None and got[1, 2]["model"] is not None
+    assert got[1, 1]["model"] is None and got[2, 3]["model"] is None and got[2, 3]["scale"] is None
