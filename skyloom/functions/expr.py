@@ -93,6 +93,33 @@ def relation_distance(mag: str, colour: str, period: str, colour_term: float, sl
     return F.pow(F.lit(10.0), 0.2 * (F.col(mag) - colour_term * F.col(colour) + slope * log10_positive(period) + zero) - 2)
 
 
+#: Slope, zero point and metallicity term in J and in Ks, and the modulus at which the zero points hold.
+RELATIONS = {
+    "RRab": ((-2.50, 17.699, 0.0), (-2.84, 17.36, 0.0), 18.477),
+    "RRcd": ((-2.53, 17.241, 0.0), (-2.98, 16.86, 0.0), 18.477),
+    "EW": ((-6.84, -0.039, 0.0), (-5.94, 0.0, 0.0), 0.0),
+}
+METAL_RELATIONS = {
+    "RRab": ((-2.45, 17.888, 0.121), (-2.80, 17.547, 0.114), 18.477),
+    "RRcd": ((-2.53, 17.225, -0.01), (-2.99, 16.85, 0.011), 18.477),
+}
+
+
+def class_distance(kind: str, j: str, k: str, period: str, relations: dict = RELATIONS, colour_term: float = 0.428, metal: str | None = None) -> Column:
+    """Distance in kpc by the relation of each row's class, free of reddening; null for classes without one and periods that aren't positive.
+
+    With ``metal`` (a column) the metallicity term counts; a null there gives null.
+    """
+    free = lambda a, b: b - colour_term * (a - b)
+    seen = free(F.col(j), F.col(k))
+    out = F.lit(None).cast("double")
+    for name, (own, other, modulus) in relations.items():
+        slope, zero, rich = (free(a, b) for a, b in zip(own, other, strict=True))
+        expected = slope * log10_positive(period) + zero + (rich * F.col(metal) if metal else 0.0)
+        out = F.when(F.col(kind) == name, F.pow(F.lit(10.0), 0.2 * (seen - expected + modulus) - 2)).otherwise(out)
+    return out
+
+
 def on_plane(distance: str, lon: str, lat: str) -> list[Column]:
     lon, lat = F.radians(lon), F.radians(lat)
     return [(F.col(distance) * F.cos(lon) * F.cos(lat)).alias("x"), (F.col(distance) * F.sin(lon) * F.cos(lat)).alias("y")]

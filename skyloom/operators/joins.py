@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyloom.functions.sky import moved, separation
+from skyloom.functions.sky import moved, separation, wrapped
 from skyloom.operators.storage import durable
 
 
@@ -133,8 +136,8 @@ def both_ways(left: DataFrame, right: DataFrame) -> DataFrame:
 def match_catalogues(left: DataFrame, right: DataFrame, radius: float, years: float = 0.0, use_pm: bool = False) -> DataFrame:
     """``cross_match`` of two catalogues; with ``use_pm`` the right one's positions are moved by its proper motions (pm_lon, pm_lat, mas a year) over ``years`` first."""
     if use_pm:
-        lon, lat = moved("lon", "lat", "pm_lon", "pm_lat", years)
-        right = right.withColumns({"_lon": F.pmod(lon, F.lit(360.0)), "_lat": lat}).select("id", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
+        lon, lat = wrapped(*moved("lon", "lat", "pm_lon", "pm_lat", years))
+        right = right.withColumns({"_lon": lon, "_lat": lat}).select("id", F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
     return cross_match(left, right, radius)
 
 
@@ -143,3 +146,28 @@ def grid_cell(points: DataFrame, lon: str, lat: str, lon0: float, lat0: float, s
     i, j = F.floor((F.col(lon) - lon0) / size_lon), F.floor((F.col(lat) - lat0) / size_lat)
     inside = (i >= 0) & (i < n_lon) & (j >= 0) & (j < n_lat)
     return points.withColumn("cell", F.when(inside, i * n_lat + j).cast("long"))
+
+
+def footprint_grid(spark: SparkSession, footprints: list[tuple[float, float, float, float, float, float]]) -> DataFrame:
+    """cell, footprint, l, b, size_l, size_b: the boxes of all footprints (lon and lat from, to, and both sizes) numbered on, each by latitude, then longitude.
+
+    Edges start at the first bound and stay below the second, and boxes lie between edges, so a last part that is not a whole box is left out. Longitudes may be negative.
+    """
+    parts, first = [], 0
+    for k, (l0, l1, b0, b1, dl, db) in enumerate(footprints):
+        wide, high = max(0, math.ceil((l1 - l0) / dl) - 1), max(0, math.ceil((b1 - b0) / db) - 1)
+        i, j = F.col("id") % max(1, wide), F.floor(F.col("id") / max(1, wide))
+        parts.append(spark.range(wide * high).select((F.col("id") + first).alias("cell"), F.lit(k).alias("footprint"), (l0 + (i + 0.5) * dl).alias("l"), (b0 + (j + 0.5) * db).alias("b"), F.lit(float(dl)).alias("size_l"), F.lit(float(db)).alias("size_b")))
+        first += wide * high
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def in_footprints(df: DataFrame, lon: str, lat: str, footprints: list[tuple[float, float, float, float, float, float]]) -> DataFrame:
+    """``df`` with ``cell`` of ``footprint_grid``, a row for each footprint that a position lies in; others go. A box has its lower edges, longitudes count by the turn."""
+    cells, first = [], 0
+    for l0, l1, b0, b1, dl, db in footprints:
+        wide, high = max(0, math.ceil((l1 - l0) / dl) - 1), max(0, math.ceil((b1 - b0) / db) - 1)
+        i, j = F.floor(F.pmod(F.col(lon) - l0, F.lit(360.0)) / dl), F.floor((F.col(lat) - b0) / db)
+        cells.append(F.when((i < wide) & (j >= 0) & (j < high), first + j * wide + i))
+        first += wide * high
+    return df.withColumn("cell", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())))

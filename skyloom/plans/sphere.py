@@ -38,6 +38,19 @@ def make_grid(spark, d):
     return g.join(n, "cell", "left").select("cell", "l", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Two footprints that overlap: lon from, to, lat from, to, sizes.
+FOOTPRINTS = [(-60.0, 62.0, -60.0, 31.0, 10.0, 10.0), (-130.0, 11.0, -12.0, 13.0, 20.0, 5.0)]
+
+
+@query(f"""WITH {SKY}, g AS (SELECT j * 12 + i AS cell, 0 AS footprint, -55 + 10 * i AS l, -55 + 10 * j AS b, 10 AS dl, 10 AS db FROM range(12) x(i), range(9) y(j)
+UNION ALL SELECT 108 + j * 7 + i, 1, -120 + 20 * i, -9.5 + 5 * j, 20, 5 FROM range(7) x(i), range(4) y(j))
+SELECT cell::BIGINT AS cell, footprint::INTEGER AS footprint, l::DOUBLE AS l, b::DOUBLE AS b, count(sourceid) AS n FROM g LEFT JOIN sky ON fmod(lon - (l - dl / 2::DOUBLE) + 720, 360) < dl AND lat >= b - db / 2::DOUBLE AND lat < b + db / 2::DOUBLE GROUP BY ALL""")
+def footprint_counts(spark, d):
+    """Boxes of two footprints, numbered on, with the number of sources in each; sources in both count twice."""
+    n = joins.in_footprints(sky(spark, d), "lon", "lat", FOOTPRINTS).groupBy("cell").agg(count().alias("n"))
+    return joins.footprint_grid(spark, FOOTPRINTS).join(n, "cell", "left").select("cell", "footprint", r("l").alias("l"), r("b").alias("b"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(f"WITH {SKY} SELECT floor(lon / 10)::BIGINT * 18 + floor((least(greatest(lat, -89.999999), 89.999999) + 90) / 10)::BIGINT AS cell, count(*) AS n, round(avg(mag), 6) + 0.0 AS mag FROM sky GROUP BY 1")
 def assign_cell(spark, d):
     s = sky(spark, d).withColumn("lat", expr.clamp("lat", -90, 90, 1e-6))
@@ -184,6 +197,22 @@ def pl_distance(spark, d):
     return s.select("sourceid", r("distance").alias("distance"), *[r(c).alias(n) for c, n in zip(expr.on_plane("distance", "lon", "lat"), ("x", "y"), strict=True)])
 
 
+_RELATED = "p AS (SELECT sourceid, 12 + 3 * abs(mag) AS k, 12.3 + 4 * abs(mag) AS j, log10(0.2 + 0.01 * (sourceid % 90)) AS lp, -1.5 + mag AS feh, CASE label % 4 WHEN 0 THEN 'RRab' WHEN 1 THEN 'RRcd' WHEN 2 THEN 'EW' ELSE 'Ell' END AS kind FROM sky)"
+_FREE = "power(10.0::DOUBLE, 0.2 * (k - 0.428 * (j - k) + {slope} * lp + {zero}) - 2)"
+
+
+@query(f"""WITH {SKY}, {_RELATED} SELECT sourceid, kind, round(CASE kind WHEN 'RRab' THEN {_FREE.format(slope='(2.84 - 0.428 * (2.5 - 2.84))', zero='18.477 - (17.36 - 0.428 * (17.699 - 17.36))')} WHEN 'RRcd' THEN {_FREE.format(slope='(2.98 - 0.428 * (2.53 - 2.98))', zero='18.477 - (16.86 - 0.428 * (17.241 - 16.86))')}
+WHEN 'EW' THEN {_FREE.format(slope='(5.94 - 0.428 * (6.84 - 5.94))', zero='(0 - 0.428 * 0.039)')} END, 5) + 0.0 AS distance,
+round(CASE kind WHEN 'RRab' THEN {_FREE.format(slope='(2.80 - 0.428 * (2.45 - 2.80))', zero='18.477 - (17.547 - 0.428 * (17.888 - 17.547)) - (0.114 - 0.428 * (0.121 - 0.114)) * feh')}
+WHEN 'RRcd' THEN {_FREE.format(slope='(2.99 - 0.428 * (2.53 - 2.99))', zero='18.477 - (16.85 - 0.428 * (17.225 - 16.85)) - (0.011 - 0.428 * (-0.01 - 0.011)) * feh')} END, 5) + 0.0 AS metal_distance FROM p""")
+def class_distances(spark, d):
+    """Distances by the period-luminosity relation of each source's class, without and with a metallicity term."""
+    kind = F.when(F.col("label") % 4 == 0, "RRab").when(F.col("label") % 4 == 1, "RRcd").when(F.col("label") % 4 == 2, "EW").otherwise("Ell")
+    s = sky(spark, d).withColumns({"k": 12 + 3 * F.abs("mag"), "j": 12.3 + 4 * F.abs("mag"), "period": 0.2 + 0.01 * (F.col("sourceid") % 90), "feh": -1.5 + F.col("mag"), "kind": kind})
+    rich = expr.class_distance("kind", "j", "k", "period", expr.METAL_RELATIONS, metal="feh")
+    return s.select("sourceid", "kind", r(expr.class_distance("kind", "j", "k", "period"), 5).alias("distance"), r(rich, 5).alias("metal_distance"))
+
+
 @query(f"""WITH {SKY}, p AS (SELECT sourceid, 0.1 + 5 * abs(mag) AS period, CASE label % 4 WHEN 0 THEN 'EA/EB' WHEN 1 THEN 'EW' WHEN 2 THEN 'Ell' ELSE 'RRab' END AS kind,
 abs(sin(sourceid)) AS a1, abs(cos(sourceid)) AS a2, abs(sin(3.0::DOUBLE * sourceid)) AS a3, abs(cos(5.0::DOUBLE * sourceid)) AS a4 FROM sky),
 q AS (SELECT *, CASE WHEN a1 >= greatest(a2, a3, a4) THEN 1 WHEN a2 >= greatest(a3, a4) THEN 2 WHEN a3 >= a4 THEN 3 ELSE 4 END AS best FROM p)

@@ -53,3 +53,25 @@ def test_predecessors_of_clustered_starts(spark):
     want = {i: starts[bisect.bisect_right(starts, v) - 1] for i, v in enumerate(values) if v is not None and v >= starts[0]}
     assert got == want
     assert joins.predecessor(points, index.limit(0), "v", "start").isEmpty()
+
+
+def test_footprints_are_numbered_on(spark):
+    from skyloom.operators import joins
+
+    two = [(0.0, 3.0, -1.0, 1.5, 1.0, 1.0), (359.0, 361.5, 0.0, 2.1, 1.0, 0.5), (0.0, 0.5, 0.0, 1.0, 1.0, 1.0)]
+    got = [tuple(r)[:4] for r in joins.footprint_grid(spark, two).orderBy("cell").collect()]
+    # edges 0 1 2 by -1 0 1, then 359 360 361 by 0 to 2 in halves; the third has no whole box
+    assert got == [(j * 2 + i, 0, i + 0.5, j - 0.5) for j in range(2) for i in range(2)] + [(4 + j * 2 + i, 1, 359.5 + i, 0.25 + 0.5 * j) for j in range(4) for i in range(2)]
+    s = spark.createDataFrame([(1, 0.5, 0.25), (2, 359.5, 0.25), (3, 2.5, 0.0), (4, None, 0.0), (5, 1.0, -1.0)], "id long, lon double, lat double")
+    assert sorted((r["id"], r["cell"]) for r in joins.in_footprints(s, "lon", "lat", two).collect()) == [(1, 2), (1, 5), (2, 4), (5, 1)]
+
+
+def test_motions_over_a_pole(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.functions import sky
+
+    s = spark.createDataFrame([(10.0, 91.0), (350.0, -92.0), (370.0, 45.0), (-10.0, 90.0), (20.0, 271.0), (None, 1.0)], "lon double, lat double")
+    lon, lat = sky.wrapped(F.col("lon"), F.col("lat"))
+    got = [(r[0], r[1]) for r in s.select(lon, lat).collect()]
+    assert got == [(190.0, 89.0), (170.0, -88.0), (10.0, 45.0), (350.0, 90.0), (20.0, -89.0), (None, 1.0)]

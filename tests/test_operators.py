@@ -109,6 +109,18 @@ def test_pixels_are_equal_in_area_and_nested(spark):
         assert [r["p"] for r in S.with_pixel(poles, "p", "lon", "lat", 0, nested).collect()] == [0, 1, 2, 3, 8, 9, 10, 11]
 
 
+def test_csv_of_several_files_without_names(spark, tmp_path):
+    """A pattern over plain and gzip files, separated by white space, without a header, with a broken line; each row tells its file."""
+    import gzip
+
+    (tmp_path / "a.csv").write_text("1 2.5 x\n2 nothing y\n3 4.5 z\n")
+    with gzip.open(tmp_path / "b.csv.gz", "wt") as out:
+        out.write("4 1.5 w\n")
+    got = files.read_csv(spark, f"{tmp_path}/*.csv*", "id long, v double, kind string", header=False, sep=" ")
+    rows = sorted((r["id"], r["v"], r["kind"], r["file"].rsplit("/", 1)[1]) for r in got.collect())
+    assert rows == [(1, 2.5, "x", "a.csv"), (3, 4.5, "z", "a.csv"), (4, 1.5, "w", "b.csv.gz")]
+
+
 def test_routed_files_read_what_is_there(spark, tmp_path):
     rows = spark.createDataFrame([(k, float(k)) for k in range(20)], "k long, v double")
     wanted = spark.createDataFrame([(3,), (3,), (7,), (99,)], "k long")
