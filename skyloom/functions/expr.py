@@ -219,3 +219,20 @@ def tidied(df: DataFrame, without: str = "", pattern: str = "", to: str = "", su
             new = re.sub(pattern, to, c.lower()) if pattern else c.lower()
             names[c] = new if new in keep else new + suffix
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+
+
+def between(a: Column, b: Column, share: Column) -> Column:
+    """a (1 - share) + b share with the first product unrounded (what a fused multiply-add gives): its rounding error and the sum's are added back."""
+    def one(v: Column) -> Column:
+        a, b, share = v["a"], v["b"], v["d"]
+        halves = lambda x: (lambda big: (big - (big - x), x - (big - (big - x))))(x * F.lit(134217729.0))
+        rest = 1 - share
+        p, q, (ah, al), (rh, rl) = a * rest, b * share, halves(a), halves(rest)
+        lost = al * rl - (((p - ah * rh) - al * rh) - ah * rl)
+        total = p + q
+        back = total - p
+        exact = total + (((p - (total - back)) + (q - back)) + lost)
+        return F.when(share == 0, a).when(F.isnan(exact), total).otherwise(exact)
+
+    # the parts are bound once, as written out they would be too long to compile
+    return F.get(F.transform(F.array(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), share.alias("d"))), one), F.lit(0))

@@ -286,3 +286,24 @@ def test_forest_learns(spark):
     out = learning.cross_validated(df, lambda: learning.Forest(["a", "b"], "kind", "CONST", trees=10), "id", 3)
     assert out.count() == 300 and out.where("class = kind").count() > 230
     assert out.where("prob_var < 0 OR prob_var > 1 OR prob < 0.5").count() == 0
+
+
+def test_sigma_clip_decides_as_sql_on_its_bound(spark):
+    """Largest values that lie exactly five deviations off: the last bit of the percentiles decides."""
+    import math
+
+    import duckdb
+
+    rng, rows, source = np.random.default_rng(3), [], 0
+    while source < 300:
+        n = int(rng.integers(8, 80))
+        v = [*sorted(round(float(x), 2) for x in rng.uniform(10, 200, n - 1)), 1e4]
+        at = lambda p: v[math.floor((n - 1) * p)] * (1 - (n - 1) * p % 1) + v[math.ceil((n - 1) * p)] * ((n - 1) * p % 1)  # noqa: E731, B023
+        bound = at(0.5) + 2.5 * (at(0.84) - at(0.16))
+        if bound > v[-2] and abs(bound - round(bound, 3)) < 1e-9:
+            v[-1], source = round(bound, 3), source + 1
+            rows += [(source, i, x) for i, x in enumerate(v)]
+    made = pd.DataFrame(rows, columns=["sourceid", "i", "mag"])  # noqa: F841
+    want = duckdb.sql("WITH p AS (SELECT sourceid, 0.5 * (quantile_cont(mag, 0.84) - quantile_cont(mag, 0.16)) AS s, median(mag) AS m FROM made GROUP BY 1) SELECT sourceid, i FROM made JOIN p USING (sourceid) WHERE CASE WHEN s > 0 THEN abs(mag - m) / s < 5 ELSE true END").fetchall()
+    got = quality.sigma_clip(spark.createDataFrame(rows, "sourceid long, i int, mag double"), threshold=5.0).select("sourceid", "i").collect()
+    assert 0 < len(rows) - len(want) < 300 and set(map(tuple, got)) == set(want)
