@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,21 +135,82 @@ def _bin_sums(at: np.ndarray, sums: np.ndarray, width: float, f0: float, step: f
     return out
 
 
-def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag") -> DataFrame:
-    """As ``spectrum`` on each source's ``own_grid``, from sums over time bins: detections meet no frequency.
+#: Detections up to which a source's are summed as they are.
+LIGHT = 512
 
-    Bins are so narrow that no angle turns by more than one about a bin's centre, at twice the highest frequency; a bin keeps TERMS Taylor
+
+def _direct_sums(t: np.ndarray, weights: tuple[np.ndarray, ...], f0: float, step: float, n: int) -> list[np.ndarray]:
+    """As ``_bin_sums`` from detections themselves: k = a block + b, so that a sum is a product of two matrices with a turn for each a and each b."""
+    block = math.isqrt(n - 1) + 1
+    coarse = np.exp(2j * math.pi * np.outer(t, f0 + step * block * np.arange(-(-n // block))))
+    fine = np.exp(2j * math.pi * step * np.outer(t, np.arange(block)))
+    return [((coarse * w[:, None]).T @ fine).ravel()[:n] for w in weights]
+
+
+def _powers(one: np.ndarray, values: np.ndarray, twice: np.ndarray, yy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_power``, in one source: both powers (nan where there is none) and each local maximum's place by power (0 elsewhere)."""
+    c, s, yc, ys, c2, cs = one.real, one.imag, values.real, values.imag, (1 + twice.real) / 2, twice.imag / 2
+    cc, ss, both = c2 - c * c, 1 - c2 - s * s, cs - c * s
+    top, under = ss * yc * yc + cc * ys * ys - 2 * both * yc * ys, yy * (cc * ss - both * both)
+    seen, below = (1 - c2) * c * c + c2 * s * s - 2 * cs * c * s, c2 * (1 - c2) - cs * cs
+    with np.errstate(divide="ignore", invalid="ignore"):
+        power, seen = np.where(under != 0, top / under, np.nan), np.where(below != 0, seen / below, np.nan)
+    place = np.zeros(len(power), np.int32)
+    at = 1 + np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] > power[2:]))
+    place[at[np.argsort(-power[at], kind="stable")]] = np.arange(1, len(at) + 1)
+    return power, seen, place
+
+
+def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", maxima: bool = False) -> DataFrame:
+    """As ``spectrum`` on each source's ``own_grid``: key, f, power, window_power and place (of a local maximum among all, from 1, equal ones by f; else null), of maxima alone with ``maxima``.
+
+    A source of up to LIGHT detections is one row of these. Others are summed over time bins, so detections meet no frequency:
+    bins are so narrow that no angle turns by more than one about a bin's centre, at twice the highest frequency; a bin keeps TERMS Taylor
     moments of weight and of weighted value. A source's bins, a fixed number for its baseline and frequencies however many its
     detections are, are turned into all of its sums in one call. Sources without a baseline have no rows.
     """
     rows = lc.select(key, F.col(time).alias("t"), F.col(value).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w")).where("t IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL")
-    w, u = F.col("w"), F.col("u")
-    about = rows.groupBy(key).agg(F.sum("w").alias("_w"), (F.sum(w * F.col("y")) / F.sum("w")).alias("_mean"), F.min("t").alias("_from"), (F.max("t") - F.min("t")).alias("span")).where("span > 0")
-    about = about.withColumn("n", F.round((f_max - f_min) * oversampling * F.col("span")).cast("long") + 1)
+    w = F.col("w")
+    about = rows.groupBy(key).agg(F.sum("w").alias("_w"), (F.sum(w * F.col("y")) / F.sum("w")).alias("_mean"), F.min("t").alias("_from"), (F.max("t") - F.min("t")).alias("span"), F.count("*").alias("_count")).where("span > 0")
+    about = durable(about.withColumn("n", F.round((f_max - f_min) * oversampling * F.col("span")).cast("long") + 1))
+    scaled = lambda own: rows.join(own, key).withColumns({"w": w / F.col("_w"), "y": F.col("y") - F.col("_mean")})
+    kind = lc.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, f double, power double, window_power double, place int"
+    # few rows become whole spectra; a number of parts of its own, else the exchange counts as done by the sums below, which adaptive execution joins
+    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+
+    def told(name: pa.Scalar, span: float, one: np.ndarray, values: np.ndarray, twice: np.ndarray, yy: float) -> list:
+        power, seen, place = _powers(one, values, twice, yy)
+        at = np.flatnonzero(place) if maxima else np.arange(len(power))
+        f = f_min + at / (oversampling * span)
+        return [pa.repeat(name, len(at)), pa.array(f), pa.array(power[at], from_pandas=True), pa.array(seen[at], from_pandas=True), pa.array(place[at], mask=place[at] == 0)]
+
+    names = [key, "f", "power", "window_power", "place"]
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, ns, ends = (batch.column(c).to_numpy() for c in ("span", "n", "ends"))
+            seen = batch.column("seen").flatten()
+            t, w, y = (seen.field(c).to_numpy() for c in "twy")
+            for r, (span, n, hi) in enumerate(zip(spans.tolist(), ns.tolist(), np.cumsum(ends).tolist(), strict=True)):
+                own = slice(hi - int(ends[r]), hi)
+                step, wy = 1 / (oversampling * span), w[own] * y[own]
+                one, values = _direct_sums(t[own], (w[own], wy), f_min, step, n)
+                (twice,) = _direct_sums(t[own], (w[own],), 2 * f_min, 2 * step, n)
+                yield pa.record_batch(told(batch.column(key)[r], span, one, values, twice, float(wy @ y[own])), names=names)
+
+    one = F.struct((F.col("t") - F.col("_from")).alias("t"), "w", "y")
+    gathered = scaled(about.where(F.col("_count") <= LIGHT)).groupBy(key, "span", "n").agg(F.collect_list(one).alias("seen")).withColumn("ends", F.size("seen"))
+    out = gathered.repartition(parts, key).mapInArrow(light, schema)
+    heavy = about.where(F.col("_count") > LIGHT)
+    if heavy.isEmpty():
+        return out
+
+    u = F.col("u")
     cells = F.pow(F.lit(2.0), F.ceil(F.log2(2 * math.pi * (f_min * oversampling * F.col("span") + F.col("n"))))).cast("long")
-    about = about.withColumn("cells", cells).withColumn("width", oversampling * F.col("span") / F.col("cells"))
+    rows = scaled(heavy.withColumn("cells", cells).withColumn("width", oversampling * F.col("span") / F.col("cells")))
     place = (F.col("t") - F.col("_from")) / F.col("width")
-    rows = rows.join(about, key).withColumns({"bin": F.floor(place).cast("long"), "w": w / F.col("_w"), "y": F.col("y") - F.col("_mean")})
+    rows = rows.withColumn("bin", F.floor(place).cast("long"))
     rows = rows.withColumn("u", 2 * (place - F.col("bin")) - 1)
     # powers of u by halving, so that no expression is deep
     rows = rows.withColumns({"u2": u * u, "u3": u * u * u}).withColumn("u4", F.col("u2") * F.col("u2")).withColumn("u8", F.col("u4") * F.col("u4")).withColumn("u12", F.col("u8") * F.col("u4")).withColumn("u16", F.col("u8") * F.col("u8"))
@@ -165,15 +227,18 @@ def fast_spectrum(lc: DataFrame, f_min: float, f_max: float, oversampling: int =
         at, ws, ys, step = t.column("bin").to_numpy(), matrix("ws"), matrix("ys"), 1 / (oversampling * span)
         one, values = _bin_sums(at, np.hstack([ws, ys]), width, f_min, step, n, cells)
         (twice,) = _bin_sums(at, ws, width, 2 * f_min, 2 * step, n, cells)
-        yy = np.full(n, t.column("yy").to_numpy().sum())
-        cols = [f_min + step * np.arange(n), one.real, one.imag, yy, values.real, values.imag, (1 + twice.real) / 2, twice.imag / 2]
-        return pa.table([pa.repeat(t.column(key)[0], n), *cols], names=[key, "f", "C", "S", "YY", "YC", "YS", "CC", "CS"])
+        return pa.table(told(t.column(key)[0], span, one, values, twice, t.column("yy").to_numpy().sum()), names=names)
+
+    return out.unionAll(flat.repartition(parts, key).groupBy(key).applyInArrow(run, schema))
 
-    kind = lc.schema[key].dataType.simpleString()
-    # a few bins become a whole spectrum; a number of parts of its own, else the exchange counts as done by the sums below, which adaptive execution joins
-    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
-    sums = flat.repartition(parts, key).groupBy(key).applyInArrow(run, f"{key} {kind}, f double, C double, S double, YY double, YC double, YS double, CC double, CS double")
-    return _power(sums, key)
+
+def _maxima(spec: DataFrame, key: str) -> DataFrame:
+    """Local maxima (above both neighbours) of each spectrum with their place by power, equal ones by f; ``fast_spectrum`` has told them."""
+    if "place" in spec.columns:
+        return spec.where("place IS NOT NULL")
+    order = Window.partitionBy(key).orderBy("f")
+    local = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b").drop("_a", "_b")
+    return local.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f")))
 
 
 def own_grid(lc: DataFrame, f_min: float, f_max: float, oversampling: int = 5, key: str = "sourceid", time: str = "t") -> tuple[DataFrame, Column]:
@@ -206,10 +271,8 @@ def pruned_peaks(lc: DataFrame, spec: DataFrame, top: int = 30, short: float = 0
     ``aliases``. Whether one goes depends on the short ones that the first test leaves, which the second never takes, so the order of tests
     doesn't matter.
     """
-    order = Window.partitionBy(key).orderBy("f")
-    local = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
     strongest = Window.partitionBy(key).orderBy(F.desc("power"), "f")
-    own = local.withColumn("place", F.row_number().over(strongest)).where(F.col("place") <= top).where(~(F.coalesce("window_power", F.lit(0.0)) > F.col("power"))).drop("_a", "_b")
+    own = _maxima(spec, key).where(F.col("place") <= top).where(~(F.coalesce("window_power", F.lit(0.0)) > F.col("power")))
     own = durable(own)
     slow = own.where(F.col("f") < short).select(key, F.col("f").alias("_g"))
     # few sources have slow ones, and only their detections meet the shifted frequencies
@@ -227,14 +290,12 @@ def candidate_frequency(lc: DataFrame, f_min: float, f_max: float, least_points:
     """Per source: the strongest local maximum that the sampling's own power does not reach, its power, its place among all maxima and the false-alarm bound."""
     rows = lc.where(F.col(value).isNotNull() & F.col(error).isNotNull())
     about = rows.groupBy(key).agg(F.count("*").alias("n"), F.stddev_pop(time).alias("_dev")).where(F.col("n") >= least_points)
-    spec = fast_spectrum(rows.join(about.select(key), key, "left_semi"), f_min, f_max, key=key, time=time, value=value, error=error)
+    spec = fast_spectrum(rows.join(about.select(key), key, "left_semi"), f_min, f_max, key=key, time=time, value=value, error=error, maxima=True)
     # with ``top`` the survey's candidates, pruned by the slow ones as well; else the first maximum of any place
     if top:
-        tops = pruned_peaks(rows, durable(spec), top, key=key, time=time, value=value, error=error)
+        tops = pruned_peaks(rows, spec, top, key=key, time=time, value=value, error=error)
     else:
-        order = Window.partitionBy(key).orderBy("f")
-        tops = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b")
-        tops = tops.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f"))).where("window_power <= power")
+        tops = _maxima(spec, key).where("window_power <= power")
     best = tops.groupBy(key).agg(F.min_by(F.struct("f", "power", "place"), "place").alias("s")).select(key, "s.*")
     return best.join(about, key).select(key, "n", "f", "power", "place", log10_false_alarm(F.col("power"), F.col("n"), F.col("_dev"), f_max).alias("log10_fap"))
 
@@ -261,9 +322,7 @@ def without_cubic(lc: DataFrame, key: str = "sourceid", time: str = "t", value:
 
 def peaks(spec: DataFrame, top: int, key: str = "sourceid") -> DataFrame:
     """The ``top`` strongest local maxima (above both neighbours) of each spectrum: key, f, power, peak (from 1)."""
-    order = Window.partitionBy(key).orderBy("f")
-    local = spec.withColumns({"_a": F.lag("power").over(order), "_b": F.lead("power").over(order)}).where("power > _a AND power > _b").drop("_a", "_b")
-    return local.withColumn("peak", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("power"), "f"))).where(F.col("peak") <= top)
+    return _maxima(spec, key).where(F.col("place") <= top).select(key, "f", "power", F.col("place").alias("peak"))
 
 
 def turning_points(curve: DataFrame, key: str, x: str, y: str) -> DataFrame:

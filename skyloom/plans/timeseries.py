@@ -134,8 +134,8 @@ z AS (SELECT sourceid, f, yy, yc, ys, cc - {k} * c * c AS cc, 1 - cc - {k} * s *
 spec AS (SELECT sourceid, f, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / nullif(yy * (cc * ss - cs * cs), 0) AS power FROM z)"""
 
 
-def own_spectrum(spark, d, high: float = TOP):
-    return series.fast_spectrum(detections(spark, d), LOW, high)
+def own_spectrum(spark, d, high: float = TOP, maxima: bool = False):
+    return series.fast_spectrum(detections(spark, d), LOW, high, maxima=maxima)
 
 
 @query(f"WITH {_ls(False, HIGH)} SELECT sourceid, round(f, 6) + 0.0 AS f, round(power, 6) + 0.0 AS power FROM spec")
@@ -158,7 +158,7 @@ def power_stats(spark, d):
 @query(f"""WITH {_ls(False, TOP)}, l AS (SELECT *, lag(power) OVER o AS a, lead(power) OVER o AS b FROM spec WINDOW o AS (PARTITION BY sourceid ORDER BY f))
 SELECT sourceid, round(f, 4) + 0.0 AS f, peak FROM (SELECT sourceid, f, row_number() OVER (PARTITION BY sourceid ORDER BY power DESC, f) AS peak FROM l WHERE power > a AND power > b) WHERE peak <= 5""")
 def ls_peaks_topn(spark, d):
-    p = series.peaks(own_spectrum(spark, d), 5)
+    p = series.peaks(own_spectrum(spark, d, maxima=True), 5)
     return p.select("sourceid", r("f", 4).alias("f"), F.col("peak").cast("long").alias("peak"))
 
 

@@ -99,3 +99,27 @@ def test_candidates_are_pruned_by_slow_ones(spark):
     assert cut > 0
     aliases = series.pruned_peaks(lc, spec, alias=0.05, aliases=(0.73,)).where("abs(1 / f - 0.73) < 0.05")
     assert aliases.isEmpty()
+
+
+def test_spectra_of_few_and_of_many_detections_agree(spark, monkeypatch):
+    """Sums over detections and over time bins give the same powers and places; maxima alone are those of the whole spectrum."""
+    rng = np.random.default_rng(4)
+    rows = [(k, float(t), float(np.cos(2 * np.pi * t / 1.3) + rng.normal(0, 0.2)), 0.2) for k in (1, 2) for t in rng.uniform(0, 30, 80)] + [(3, 1.0, 1.0, 0.1)]
+    lc = spark.createDataFrame(rows, "sourceid long, t double, mag double, emag double")
+    read = lambda **more: series.fast_spectrum(lc, 0.01, 10.0, **more).orderBy("sourceid", "f").toPandas()
+    few, tops = read(), read(maxima=True)
+    monkeypatch.setattr(series, "LIGHT", 0)
+    many = read()
+    for c in ("sourceid", "f", "power", "window_power"):
+        assert np.allclose(few[c], many[c], atol=1e-9)
+    assert few["place"].equals(many["place"]) and set(few["sourceid"]) == {1, 2}
+    assert np.allclose(tops, few[few["place"].notna()])
+    first = few[few["place"] == 1].set_index("sourceid")["power"]
+    assert (first == few.groupby("sourceid")["power"].max()).all()
+
+
+def test_peaks_are_found_where_spectra_are_made(spark):
+    """Whole spectra aren't sorted or moved to find their maxima."""
+    lc = spark.createDataFrame([(1, k * 0.37, float(k % 5), 0.1) for k in range(40)], "sourceid long, t double, mag double, emag double")
+    for df in (series.peaks(series.fast_spectrum(lc, 0.01, 5.0, maxima=True), 5), series.candidate_frequency(lc, 0.01, 5.0)):
+        assert df.count() and "Window" not in df._jdf.queryExecution().executedPlan().toString()
