@@ -307,3 +307,21 @@ def test_sigma_clip_decides_as_sql_on_its_bound(spark):
     want = duckdb.sql("WITH p AS (SELECT sourceid, 0.5 * (quantile_cont(mag, 0.84) - quantile_cont(mag, 0.16)) AS s, median(mag) AS m FROM made GROUP BY 1) SELECT sourceid, i FROM made JOIN p USING (sourceid) WHERE CASE WHEN s > 0 THEN abs(mag - m) / s < 5 ELSE true END").fetchall()
     got = quality.sigma_clip(spark.createDataFrame(rows, "sourceid long, i int, mag double"), threshold=5.0).select("sourceid", "i").collect()
     assert 0 < len(rows) - len(want) < 300 and set(map(tuple, got)) == set(want)
+
+
+def test_nearest_donors_by_products_are_the_exact_ones(monkeypatch):
+    """Most rows are settled without a distance to every donor, with the same donors, ties and distances as by all distances."""
+    rng, whole = np.random.default_rng(1), imputing._distances
+    x, d = rng.normal(size=(60, 64)), rng.normal(size=(900, 64))
+    d[:60] = x
+    d[100:200] = d[200:300]
+    x[rng.random(x.shape) < 0.03], d[rng.random(d.shape) < 0.03] = np.nan, np.nan
+    tie, asked = rng.integers(0, 1 << 60, len(d)), []
+    monkeypatch.setattr(imputing, "_distances", lambda a, b: asked.append(len(a)) or whole(a, b))
+    got = sorted(zip(*[c.tolist() for c in imputing.nearest_donors(x, d, tie, 5)], strict=True))
+    assert sum(asked) < 20
+    dist, want = whole(x, d), []
+    for i, j in np.argwhere(np.isnan(x)).tolist():
+        able = [p for p in range(len(d)) if not np.isnan(d[p, j])]
+        want += [(i, j, dist[i, p], tie[p], d[p, j]) for p in sorted(able, key=lambda p: (dist[i, p], tie[p], d[p, j]))[:5]]
+    assert got == sorted(want)
