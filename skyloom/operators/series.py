@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from skyloom.functions.expr import phase, ratio
 from skyloom.operators.storage import durable
 
+#: Detections up to which a source's are summed or folded as they are, in one row.
+LIGHT = 512
+
 
 def phase_gaps(lc: DataFrame, period: str | Column, key: str = "sourceid", time: str = "t") -> DataFrame:
     """Largest gap of the folded times, the wrap-around gap included, over the period; its distance from the mean gap in deviations."""
@@ -35,14 +38,52 @@ def string_length(lc: DataFrame, period: str | Column, key: str = "sourceid", ti
     return scaled.withColumn("_l", F.sqrt(dp * dp + dv * dv)).groupBy(key).agg(F.sum("_l").alias("string_length"))
 
 
+def _shortest(t: np.ndarray, v: np.ndarray, fs: np.ndarray) -> tuple[float, float] | None:
+    """Frequency and length of the shortest line of one source, the least frequency of equal ones; none where values don't vary."""
+    low, high = v.min(), v.max()
+    if not high > low:
+        return None
+    v, best = (v - low) / (high - low), None
+    for f in fs.tolist():
+        p = np.mod(t, 1 / f) / (1 / f)
+        order = np.lexsort((v, p))
+        p, own = p[order], v[order]
+        dp, dv = np.diff(p, append=p[0] + 1), np.diff(own, append=own[0])
+        length = float(np.sqrt(dp * dp + dv * dv).sum())
+        if best is None or (length, f) < best:
+            best = (length, f)
+    return best and (best[1], best[0])
+
+
 def string_length_search(lc: DataFrame, frequencies: Column, key: str = "sourceid", time: str = "t", value: str = "mag") -> DataFrame:
-    """key, f, string_length: of ``frequencies`` (an array expression) the one with the shortest line, the least of equal ones.
+    """key, f, string_length: of ``frequencies`` (an array expression without columns) the one with the shortest line, the least of equal ones.
 
-    Each source and frequency is a group of its own, so a source with many detections is dealt to all tasks. Sources whose values don't vary have no length and no row.
+    A source of up to LIGHT detections is one row, folded at all frequencies in one place. Of others each frequency is a group of its own, so they are
+    dealt to all tasks. Sources whose values don't vary have no length and no row.
     """
-    each = dealt(lc.select(key, time, value).where(F.col(time).isNotNull() & F.col(value).isNotNull()), key, time).withColumn("_f", F.explode(frequencies)).withColumn("_k", F.struct(key, "_f"))
-    lengths = string_length(each, 1 / F.col("_f"), "_k", time, value).where("string_length IS NOT NULL")
-    return lengths.groupBy(F.col("_k")[key].alias(key)).agg(F.min(F.struct("string_length", F.col("_k")["_f"].alias("f"))).alias("a")).select(key, "a.f", "a.string_length")
+    rows = lc.select(key, F.col(time).alias("t"), F.col(value).alias("v")).where("t IS NOT NULL AND v IS NOT NULL")
+    number = durable(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    schema = f"{key} {lc.schema[key].dataType.simpleString()}, f double, string_length double"
+    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, seen, fs = np.cumsum(batch.column("n").to_numpy()), batch.column("seen").flatten(), batch.column("fs")
+            t, v = seen.field("t").to_numpy(), seen.field("v").to_numpy()
+            found = [_shortest(t[lo:hi], v[lo:hi], fs[r].values.to_numpy()) for r, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
+            able = [r for r, x in enumerate(found) if x]
+            f, length = zip(*[found[r] for r in able], strict=True) if able else ((), ())
+            yield pa.record_batch([batch.column(key).take(pa.array(able, pa.int32())), pa.array(f, pa.float64()), pa.array(length, pa.float64())], names=[key, "f", "string_length"])
+
+    light = rows.join(number.where(F.col("_n") <= LIGHT), key).groupBy(key).agg(F.collect_list(F.struct("t", "v")).alias("seen"))
+    out = light.repartition(parts, key).select(key, "seen", F.size("seen").alias("n"), frequencies.alias("fs")).mapInArrow(run, schema)
+    heavy = number.where(F.col("_n") > LIGHT)
+    if heavy.isEmpty():
+        return out
+    each = dealt(rows.join(heavy, key), key, "t").withColumn("_f", F.explode(frequencies)).withColumn("_k", F.struct(key, "_f"))
+    lengths = string_length(each, 1 / F.col("_f"), "_k", "t", "v").where("string_length IS NOT NULL")
+    some = lengths.groupBy(F.col("_k")[key].alias(key)).agg(F.min(F.struct("string_length", F.col("_k")["_f"].alias("f"))).alias("a")).select(key, "a.f", "a.string_length")
+    return out.unionAll(some)
 
 
 def nearest_in_phase(lc: DataFrame, period: str | Column, k: int, key: str = "sourceid", time: str = "t", value: str = "mag", error: str = "emag", id_col: str = "event_id") -> DataFrame:
@@ -135,10 +176,6 @@ def _bin_sums(at: np.ndarray, sums: np.ndarray, width: float, f0: float, step: f
     return out
 
 
-#: Detections up to which a source's are summed as they are.
-LIGHT = 512
-
-
 def _direct_sums(t: np.ndarray, weights: tuple[np.ndarray, ...], f0: float, step: float, n: int) -> list[np.ndarray]:
     """As ``_bin_sums`` from detections themselves: k = a block + b, so that a sum is a product of two matrices with a turn for each a and each b."""
     block = math.isqrt(n - 1) + 1
