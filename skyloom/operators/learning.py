@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -28,23 +30,53 @@ def yeo_johnson(x: Column, lam: float | Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _transformed(x: np.ndarray, lam: float) -> np.ndarray:
+    """``yeo_johnson`` by numpy."""
+    out, up = np.empty_like(x), x >= 0
+    for own, power, sign in ((up, lam, 1.0), (~up, 2 - lam, -1.0)):
+        log = np.log1p(sign * x[own])
+        out[own] = sign * (np.expm1(power * log) / power if abs(power) > 1e-9 else log)
+    return out
+
+
 def fit_power(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float, float]]:
-    """Per feature: the lambda of the largest likelihood with mean and deviation of the transformed values. Two grids, one aggregate each."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).alias("x")) for c in features]))).where("x IS NOT NULL")
-
-    def best(grid: DataFrame) -> dict[str, tuple[float, float, float]]:
-        rows = long.join(F.broadcast(grid), "feature").withColumn("y", yeo_johnson(F.col("x"), F.col("lam")))
-        g = rows.groupBy("feature", "lam").agg(F.count("*").alias("n"), F.var_pop("y").alias("v"), F.avg("y").alias("m"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s"))
-        like = g.withColumn("ll", -F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("s")).where("v > 0")
-        top = like.groupBy("feature").agg(F.max_by(F.struct("lam", "m", "v"), F.struct("ll", "lam")).alias("b"))
-        return {r["feature"]: (r["b"]["lam"], r["b"]["m"], r["b"]["v"] ** 0.5) for r in top.collect()}
-
-    def grid(around: dict[str, float], reach: int, step: float) -> DataFrame:
-        cells = [F.struct(F.lit(c).alias("feature"), F.lit(round(mid + k * step, 6)).alias("lam")) for c, mid in around.items() for k in range(-reach, reach + 1)]
-        return df.sparkSession.range(1).select(F.inline(F.array(*cells)))
-
-    coarse = best(grid(dict.fromkeys(features, 0.0), 20, 0.2))
-    return best(grid({c: v[0] for c, v in coarse.items()}, 10, 0.02))
+    """Per feature: the lambda of the largest likelihood with mean and deviation of the transformed values. Two grids, one pass over the rows each.
+
+    A task passes on one row a feature and lambda: number, mean, squared sum about it and the logarithms' sum of its own rows.
+    """
+    wide = df.select(*[finite(c).alias(f"x{k}") for k, c in enumerate(features)])
+
+    def best(grids: dict[str, list[float]]) -> dict[str, tuple[float, float, float]]:
+        cells = [(k, lam) for k, c in enumerate(features) for lam in grids.get(c, [])]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(cells), 4))
+            for batch in batches:
+                columns = [batch.column(k).drop_null().to_numpy() for k in range(len(features))]
+                logs = [float((np.sign(x) * np.log1p(np.abs(x))).sum()) for x in columns]
+                for at, (k, lam) in enumerate(cells):
+                    if not len(columns[k]):
+                        continue
+                    y = _transformed(columns[k], lam)
+                    n, m, sq, s = total[at]
+                    gap, every = y.mean() - m, n + len(y)
+                    total[at] = every, m + gap * len(y) / every, sq + ((y - y.mean()) ** 2).sum() + gap * gap * n * len(y) / every, s + logs[k]
+            if total[:, 0].any():
+                k, lam = zip(*cells, strict=True)
+                yield pa.record_batch([pa.array(k, pa.int32()), pa.array(lam), *map(pa.array, total.T)], names=["k", "lam", "n", "m", "sq", "s"])
+
+        rows = wide.mapInArrow(run, "k int, lam double, n double, m double, sq double, s double").where("n > 0")
+        n, m = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+        about = rows.groupBy("k", "lam").agg(F.collect_list(F.struct("n", "m", "sq")).alias("all"), n.alias("n"), m.alias("m"), F.sum("s").alias("s"))
+        # one entry a task
+        v = F.aggregate("all", F.lit(0.0), lambda a, x: a + x["sq"] + x["n"] * (x["m"] - F.col("m")) * (x["m"] - F.col("m"))) / F.col("n")
+        like = about.withColumn("v", v).where("v > 0").withColumn("ll", -F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("s"))
+        top = like.groupBy("k").agg(F.max_by(F.struct("lam", "m", "v"), F.struct("ll", "lam")).alias("b"))
+        return {features[r["k"]]: (r["b"]["lam"], r["b"]["m"], r["b"]["v"] ** 0.5) for r in top.collect()}
+
+    around = lambda mid, reach, step: [round(mid + k * step, 6) for k in range(-reach, reach + 1)]
+    coarse = best({c: around(0.0, 20, 0.2) for c in features})
+    return best({c: around(v[0], 10, 0.02) for c, v in coarse.items()}) if coarse else {}
 
 
 def power_transform(df: DataFrame, fitted: dict[str, tuple[float, float, float]]) -> DataFrame:

@@ -325,3 +325,34 @@ def test_nearest_donors_by_products_are_the_exact_ones(monkeypatch):
         able = [p for p in range(len(d)) if not np.isnan(d[p, j])]
         want += [(i, j, dist[i, p], tie[p], d[p, j]) for p in sorted(able, key=lambda p: (dist[i, p], tie[p], d[p, j]))[:5]]
     assert got == sorted(want)
+
+
+def test_power_fit_merges_tasks(spark):
+    """One row a task, feature and lambda reaches the sums: no row is multiplied by the grid; nulls, negative values and lambdas of 0 and 2 included."""
+    from skyloom.operators.learning import _transformed, yeo_johnson
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.lognormal(3, 0.7, 400), -rng.random(30)])
+    df = spark.createDataFrame([(float(v), None if k % 3 else float(v) + 2, k) for k, v in enumerate(x)], "a double, b double, k int").repartition(5, "k")
+    for lam in (0.0, 0.5, 2.0, -1.2):
+        got = df.select(yeo_johnson(F.col("a"), lam).alias("y"), "a").toPandas()
+        assert np.allclose(got["y"], _transformed(got["a"].to_numpy(), lam))
+    fitted = learning.fit_power(df, ["a", "b"])
+    for c, own in (("a", x), ("b", x[::3] + 2)):
+        lam, m, s = fitted[c]
+        y = _transformed(own, lam)
+        assert m == pytest.approx(y.mean()) and s == pytest.approx(y.std())
+        score = lambda v: -len(own) / 2 * math.log(_transformed(own, v).var()) + (v - 1) * (np.sign(own) * np.log1p(np.abs(own))).sum()  # noqa: E731, B023
+        assert score(lam) >= max(score(round(lam + k * 0.02, 6)) for k in (-1, 1))
+
+
+def test_string_lengths_of_few_and_of_many_detections_agree(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(t), float(v)) for k in (1, 2) for t, v in zip(rng.uniform(0, 30, 50), rng.normal(size=50).round(1), strict=True)] + [(3, 1.0, 2.0), (3, 2.0, 2.0), (4, None, 1.0)]
+    lc, grid = spark.createDataFrame(rows, "sourceid long, t double, mag double"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: k / 10)
+    few = series.string_length_search(lc, grid)
+    assert "Window" not in few._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(series, "LIGHT", 0)
+    many = sorted(map(tuple, series.string_length_search(lc, grid).collect()))
+    assert [r[:2] for r in few] == [r[:2] for r in many] and [r[0] for r in few] == [1, 2] and np.allclose([r[2] for r in few], [r[2] for r in many])
