@@ -27,6 +27,8 @@ from skyloom.operators import curves, series
 from skyloom.operators.storage import Scratch, durable
 
 HARMONICS = 4
+#: Detections of a source that are summed in one place.
+RUN = 4096
 #: Points of the phase grid on which a curve's shape is read.
 GRID = 500
 
@@ -163,15 +165,14 @@ def ridges(rows: DataFrame, freqs: DataFrame, poly: int, grid: tuple[float, ...]
                 if one.n <= len(a):
                     out.append((one.sourceid, one.f, None, None, None, [], []))
                     continue
-                scores, traces = [], []
-                for ridge in grid:
-                    inverse = np.linalg.pinv(a + np.diag(np.concatenate([np.zeros(poly), ridge * a[0, 0] * k**2]) + np.abs(a).min() * 1e-4), hermitian=True)
-                    x, trace = inverse @ b, float(np.sum(inverse * a))
-                    chi2 = max(0.0, float(flat - 2 * b @ x + x @ a @ x))
-                    traces.append(trace)
-                    scores.append(chi2 / one.n / (1 - trace / one.n) ** 2)
+                # all ridges at once: one call for a stack of matrices
+                damp = np.hstack([np.zeros((len(grid), poly)), np.outer(grid, a[0, 0] * k**2)]) + np.abs(a).min() * 1e-4
+                inverse = np.linalg.pinv(a + damp[:, :, None] * np.eye(len(a)), hermitian=True)
+                x, traces = inverse @ b, (inverse * a).sum(axis=(1, 2))
+                chi2 = np.maximum(0.0, flat - 2 * x @ b + ((x @ a) * x).sum(axis=1))
+                scores = chi2 / one.n / (1 - traces / one.n) ** 2
                 best = len(grid) - 1 - int(np.argmin(scores[::-1]))
-                out.append((one.sourceid, one.f, grid[best], scores[best], traces[best], scores, traces))
+                out.append((one.sourceid, one.f, float(grid[best]), float(scores[best]), float(traces[best]), scores, traces))
             yield pd.DataFrame(out, columns="sourceid f ridge gcv dof scores traces".split())
 
     kind = dict(freqs.dtypes)["sourceid"]
@@ -222,8 +223,9 @@ def periodic_features(lc: DataFrame, settings: Settings = SURVEY) -> DataFrame:
     about = hold(about.select("*", spread.alias("spread"), ridge.alias("ridge")))
     whole = known.join(about.where((F.col("n") >= s.min_points) & (F.col("span") > 0)).select("sourceid"), "sourceid", "left_semi")
     found = hold(series.candidate_frequency(whole, s.f_min, s.f_max, s.min_points, top=s.candidates).withColumnRenamed("f", "ls_f"))
-    rows = known.join(about.join(found, "sourceid", "left_semi").select("sourceid", "mid", "span", "mean"), "sourceid")
-    rows = series.dealt(rows, "sourceid", "t")
+    rows = known.join(about.join(found, "sourceid", "left_semi").select("sourceid", "mid", "span", "mean", "n"), "sourceid")
+    # a source's detections stay together up to RUN of them, so that sums are made before they move
+    rows = series.dealt(rows.withColumn("_run", F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / RUN))), "sourceid", "_run")
     rows = hold(rows.select("sourceid", "t", (2 * (F.col("t") - F.col("mid")) / F.col("span")).alias("u"), (F.col("mag") - F.col("mean")).alias("y"), w.alias("w")))
 
     f = F.col("ls_f")
