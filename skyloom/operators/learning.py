@@ -21,6 +21,9 @@ from skyloom.functions.expr import finite
 from skyloom.operators.quantiles import exact_percentiles
 from skyloom.operators.storage import new_folder
 
+#: Training rows of a partition, and the least number of partitions. Each step of a fit sends a result and a table of nodes from every partition.
+PART_ROWS, PARTS = 40_000, 4
+
 
 def yeo_johnson(x: Column, lam: float | Column) -> Column:
     """Yeo-Johnson transform; null stays null."""
@@ -97,6 +100,10 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, label)
 
 
+def _parts(rows: int) -> int:
+    return max(PARTS, -(-rows // PART_ROWS))
+
+
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(df)
 
@@ -113,7 +120,12 @@ class _Classifier:
         df = df.withColumn("_text", F.col(self.label).cast("string"))
         indexer = StringIndexer(inputCol="_text", outputCol="_label", stringOrderType="alphabetAsc").fit(df)
         self.classes = list(indexer.labels)
-        return _assembled(balanced_weights(indexer.transform(df), "_label"), self.features)
+        df = indexer.transform(df)
+        # the balanced weights, as literals: a join would deal rows by class to as many partitions as a shuffle has
+        n = {int(r["_label"]): r["count"] for r in df.groupBy("_label").count().collect()}
+        self.rows = sum(n.values())
+        weights = F.array(*[F.lit(self.rows / (len(n) * n[k]) if k in n else None).cast("double") for k in range(len(self.classes))])
+        return _assembled(df.withColumn("weight", F.element_at(weights, F.col("_label").cast("int") + 1)), self.features).coalesce(_parts(self.rows))
 
     def _told(self, out: DataFrame) -> DataFrame:
         """``out`` has ``_p``, an array of probabilities by class; of equal ones the first class counts."""
@@ -195,7 +207,7 @@ class Boosted(_Classifier):
     def _calibrated(self, out: DataFrame) -> list[list[float]]:
         """slope and offset of each class's logistic curve, drawn slightly to the uncalibrated one so that separated classes stay finite."""
         long = out.select("weight", "_label", F.posexplode(vector_to_array(self.MARGINS)).alias("k", "m")).select("k", "m", "weight", (F.col("_label") == F.col("k")).cast("double").alias("y"))
-        long = long.groupBy("k", "m", "y").agg(F.sum("weight").alias("w")).persist()
+        long = long.groupBy("k", "m", "y").agg(F.sum("weight").alias("w")).coalesce(_parts(self.rows)).persist()
         a, b = [2.0] * len(self.classes), [0.0] * len(self.classes)
         pull = 1e-3
         for _ in range(25):

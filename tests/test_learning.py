@@ -108,3 +108,16 @@ def test_registered_models(spark, sf_dir, name):
         assert all(r["class_nofap"] != "CONST" and r["prob_1st_stage"] > 0.5 for r in rows)
     else:
         assert len(rows) == n and {r["class"] for r in rows} <= {str(r["label"]) for r in rows}
+
+
+@pytest.mark.parametrize("kind", [learning.Forest, learning.Boosted])
+def test_partitions_of_a_fit_follow_its_rows(spark, monkeypatch, kind):
+    """However a table is dealt, and with every class's weight as ``balanced_weights`` has it; no join, which would deal rows by class."""
+    df = sources(spark).where("sourceid % 3 < 2 OR sourceid % 2 = 0").repartition(40)
+    one = kind(["colour", "noise", "phi"], "var_class", "CONST")
+    rows = one._indexed(df)
+    assert "Join" not in rows._jdf.queryExecution().toString() and rows.rdd.getNumPartitions() == 4
+    own = {r["sourceid"]: r["weight"] for r in rows.select("sourceid", "weight").collect()}
+    assert own == {r["sourceid"]: r["weight"] for r in learning.balanced_weights(df, "var_class").collect()} and len(set(own.values())) > 1
+    monkeypatch.setattr(learning, "PART_ROWS", 30)
+    assert one._indexed(df).rdd.getNumPartitions() == -(-len(own) // 30) > 4
