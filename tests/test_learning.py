@@ -1,5 +1,7 @@
 """Saved preparation, boosting, cells and the cascade; the registered model queries with held-out figures."""
 
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
@@ -121,3 +123,27 @@ def test_partitions_of_a_fit_follow_its_rows(spark, monkeypatch, kind):
     assert own == {r["sourceid"]: r["weight"] for r in learning.balanced_weights(df, "var_class").collect()} and len(set(own.values())) > 1
     monkeypatch.setattr(learning, "PART_ROWS", 30)
     assert one._indexed(df).rdd.getNumPartitions() == -(-len(own) // 30) > 4
+
+
+def test_folds_are_fitted_side_by_side(spark):
+    """Fits meet in a barrier, two by two; every row comes once, from a model of all other folds."""
+    df, both = sources(spark, 90), Barrier(2, timeout=30)
+
+    class Told:
+        def fit(self, rows):
+            both.wait()
+            self.seen = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+            return self
+
+        def predict(self, rows):
+            return rows.withColumns({"seen": F.array(*map(F.lit, self.seen)), "n": F.lit(sum(self.seen.values()))})
+
+    out = learning.cross_validated(df, Told, "sourceid", 4).collect()
+    assert sorted(r["sourceid"] for r in out) == list(range(90))
+    assert all(sorted([*r["seen"], r["fold"]]) == [0, 1, 2, 3] and r["n"] == 90 - sum(o["fold"] == r["fold"] for o in out) for r in out)
+
+
+def test_validation_does_not_depend_on_how_rows_are_dealt(spark):
+    df = sources(spark, 200)
+    one, two = (learning.cross_validated(rows, lambda: learning.Forest(["noise", "phi"], "var_class", trees=3, depth=3), "sourceid", 2) for rows in (df.repartition(7), df.repartition(3, "noise")))
+    assert sorted(map(tuple, one.select("sourceid", "class", F.round("prob", 9)).collect())) == sorted(map(tuple, two.select("sourceid", "class", F.round("prob", 9)).collect()))
