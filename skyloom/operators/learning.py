@@ -7,17 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.expr import finite
+from skyloom.operators import boosting
 from skyloom.operators.quantiles import exact_percentiles
 from skyloom.operators.storage import durable, new_folder
 
@@ -134,13 +136,10 @@ class _Classifier:
             out = out.withColumn("prob_var", 1 - F.col("_p")[self.classes.index(self.constant)])
         return out.drop("_features", "_r", "_p", "_c")
 
-    def _more(self) -> dict:
-        return {}
-
     def save(self, path: str) -> None:
         """Writes the fitted model and what predictions need besides it; ``load`` reads both."""
         self.model.write().overwrite().save(f"{path}/model")
-        about = {"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes} | self._more()
+        about = {"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes}
         _session().createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
@@ -180,66 +179,49 @@ class Forest(_Classifier):
 
 
 class Boosted(_Classifier):
-    """Gradient boosting of several classes: one boosted model for each class against the others, with balanced weights.
+    """Gradient boosting of several classes with balanced weights: a tree for each class and round on the gradients of their common softmax.
 
-    A fold of the rows by hash of ``id_col``, which the trees don't see, calibrates the margins: a weighted logistic curve for each class, all
-    of them fitted together by Newton's steps from grouped sums. Probabilities are these curves' values over their sum. A class that
-    the held-out fold lacks keeps the curve that boosting itself takes (twice the margin).
+    Its values are the probabilities. Features' values go to bins; ``id_col``, which the trees don't see, draws each tree's rows. The defaults are the survey's.
     """
 
-    reader = OneVsRestModel
-    #: Spark's own name of the margins' column, which saved models go back to.
-    MARGINS = "rawPrediction"
+    COLUMNS = ["feature", "cut", "missing", "left", "value", "depth"]
+    SCHEMA = "round int, class int, feature array<int>, cut array<double>, missing array<boolean>, left array<int>, value array<double>, depth int"
 
-    def __init__(self, features: list[str], label: str, constant: str | None = None, id_col: str = "sourceid", trees: int = 100, depth: int = 8, rate: float = 0.15, held: int = 5, parallel: int = 4, seed: int = 42):
+    def __init__(self, features: list[str], label: str, constant: str | None = None, id_col: str = "sourceid", trees: int = 100, depth: int = 8, rate: float = 0.15, seed: int = 42):
         super().__init__(features, label, constant)
-        self.id_col, self.held = id_col, held
-        gbt = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=3, subsamplingRate=0.8, featureSubsetStrategy="0.9", seed=seed)
-        self.boosting = OneVsRest(classifier=gbt, featuresCol="_features", labelCol="_label", weightCol="weight", parallelism=parallel)
+        self.id_col, self.settings = id_col, boosting.Settings(trees, depth, rate, seed=seed)
 
     def fit(self, df: DataFrame) -> Boosted:
         rows = self._indexed(df)
-        mine = fold(self.id_col, self.held) == 0
-        self.model = self.boosting.fit(rows.where(~mine))
-        self.curves = self._calibrated(self.model.transform(rows.where(mine)))
+        self.rounds = boosting.fit(rows, self.features, "_label", "weight", self.id_col, len(self.classes), self.rows, self.settings)
         return self
 
-    def _calibrated(self, out: DataFrame) -> list[list[float]]:
-        """slope and offset of each class's logistic curve, drawn slightly to the uncalibrated one so that separated classes stay finite."""
-        long = out.select("weight", "_label", F.posexplode(vector_to_array(self.MARGINS)).alias("k", "m")).select("k", "m", "weight", (F.col("_label") == F.col("k")).cast("double").alias("y"))
-        long = long.groupBy("k", "m", "y").agg(F.sum("weight").alias("w")).coalesce(_parts(self.rows)).persist()
-        a, b = [2.0] * len(self.classes), [0.0] * len(self.classes)
-        pull = 1e-3
-        for _ in range(25):
-            at = lambda v: F.element_at(F.array(*map(F.lit, v)), F.col("k") + 1)  # noqa: E731, B023
-            p = 1 / (1 + F.exp(-(at(a) * F.col("m") + at(b))))
-            g, h = F.col("w") * (F.col("y") - p), F.col("w") * p * (1 - p)
-            sums = long.groupBy("k").agg(*[F.sum(x).alias(n) for n, x in (("ga", g * F.col("m")), ("gb", g), ("haa", h * F.col("m") * F.col("m")), ("hab", h * F.col("m")), ("hbb", h), ("n", F.col("w")), ("some", F.col("w") * F.col("y")))]).collect()
-            moved = 0.0
-            for r in sums:
-                if not r["some"] or r["some"] == r["n"]:
-                    continue
-                k, ridge = r["k"], pull * r["n"]
-                ga, gb = r["ga"] - ridge * (a[k] - 2.0), r["gb"] - ridge * b[k]
-                haa, hbb = r["haa"] + ridge, r["hbb"] + ridge
-                det = haa * hbb - r["hab"] ** 2
-                da, db = (hbb * ga - r["hab"] * gb) / det, (haa * gb - r["hab"] * ga) / det
-                step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
-                a[k], b[k], moved = a[k] + step * da, b[k] + step * db, max(moved, abs(da), abs(db))
-            if moved < 1e-6:
-                break
-        long.unpersist()
-        return [[x, y] for x, y in zip(a, b, strict=True)]
-
     def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(_assembled(df, self.features)).withColumn("_m", vector_to_array(self.MARGINS)).drop(self.MARGINS, "prediction")
-        one = F.array(*[1 / (1 + F.exp(-(a * F.col("_m")[k] + b))) for k, (a, b) in enumerate(self.curves)])
-        out = out.withColumn("_q", one)
-        total = F.aggregate("_q", F.lit(0.0), lambda x, y: x + y)
-        return self._told(out.withColumn("_p", F.transform("_q", lambda q: q / total)).drop("_m", "_q"))
-
-    def _more(self) -> dict:
-        return {"curves": self.curves}
+        shared, classes = df.sparkSession.sparkContext.broadcast(self.rounds), len(self.classes)
+
+        @F.pandas_udf("array<double>")
+        def told(*columns: pd.Series) -> pd.Series:
+            x = np.stack([c.to_numpy(float) for c in columns])
+            return pd.Series(list(boosting.probabilities(shared.value, classes, x)))
+
+        return self._told(df.withColumn("_p", told(*[F.col(c).cast("double") for c in self.features])))
+
+    def save(self, path: str) -> None:
+        about = {"features": self.features, "label": self.label, "constant": self.constant, "classes": self.classes, "id_col": self.id_col}
+        _session().createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").json(f"{path}/about")
+        trees = [(n, k, *(np.asarray(getattr(t, c)).tolist() for c in self.COLUMNS)) for n, trees in enumerate(self.rounds) for k, t in enumerate(trees)]
+        _session().createDataFrame(trees, self.SCHEMA).write.mode("overwrite").parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, path: str) -> Boosted:
+        about = json.loads(_session().read.schema("about string").json(f"{path}/about").first()["about"])
+        out = cls(about.pop("features"), about.pop("label"), about.pop("constant"), about.pop("id_col"))
+        out.classes = about["classes"]
+        found = _session().read.schema(cls.SCHEMA).parquet(f"{path}/model").orderBy("round", "class").collect()
+        trees = [boosting.Tree(*(np.array(r[c]) for c in cls.COLUMNS[:-1]), r["depth"]) for r in found]
+        n = len(out.classes)
+        out.rounds = [trees[at : at + n] for at in range(0, len(trees), n)]
+        return out
 
 
 class Prepared:

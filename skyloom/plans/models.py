@@ -77,7 +77,7 @@ def cv_predictions(spark, d):
 def boosted_predictions(spark, d):
     """Each vector's class by boosted models that have not seen it: two halves by hash of the id."""
     v = vectors(spark, d)
-    return learning.cross_validated(v, lambda: learning.Boosted(FEATURES, "label", id_col="vec_id", trees=4, depth=3), "vec_id", 2).select("vec_id", "label", "class", "prob", "fold")
+    return learning.cross_validated(v, lambda: learning.Boosted(FEATURES, "label", id_col="vec_id"), "vec_id", 2).select("vec_id", "label", "class", "prob", "fold")
 
 
 def labelled(spark, d):

@@ -1,14 +1,15 @@
 """Saved preparation, boosting, cells and the cascade; the registered model queries with held-out figures."""
 
 from threading import Barrier
+from unittest.mock import Mock
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from skyloom.operators import learning, preparation
-from skyloom.plans import catalog
+from skyloom.operators import boosting, learning, preparation
+from skyloom.plans import catalog, models
 
 
 def sources(spark, n=400, seed=4):
@@ -147,3 +148,86 @@ def test_validation_does_not_depend_on_how_rows_are_dealt(spark):
     df = sources(spark, 200)
     one, two = (learning.cross_validated(rows, lambda: learning.Forest(["noise", "phi"], "var_class", trees=3, depth=3), "sourceid", 2) for rows in (df.repartition(7), df.repartition(3, "noise")))
     assert sorted(map(tuple, one.select("sourceid", "class", F.round("prob", 9)).collect())) == sorted(map(tuple, two.select("sourceid", "class", F.round("prob", 9)).collect()))
+
+
+def test_boosted_predictions_has_every_tree(monkeypatch):
+    """The survey's 100 rounds of trees of depth 8 and its other settings, on whole halves."""
+    made = []
+    monkeypatch.setattr(models, "vectors", lambda spark, d: None)
+    monkeypatch.setattr(learning, "cross_validated", lambda v, make, *rest: made.append((make(), rest)) or Mock())
+    catalog.QUERIES["boosted_predictions"](None, None)
+    ((one, rest),) = made
+    assert one.features == models.FEATURES and rest == ("vec_id", 2)
+    s = one.settings
+    assert (s.trees, s.depth, s.rate, s.child, s.gain, s.ridge, s.rows, s.features) == (100, 8, 0.15, 3, 2, 1, 0.8, 0.9)
+
+
+def grown_plainly(x, y, w, classes, s):
+    """Margins of boosting by loops over nodes, features, sides of missing values and cuts."""
+    margins = np.zeros((classes, len(y)))
+    for _ in range(s.trees):
+        p = np.exp(margins) / np.exp(margins).sum(axis=0)
+        for k in range(classes):
+            g, h = (np.rint(v * boosting.SCALE) / boosting.SCALE for v in ((p[k] - (y == k)) * w, 2 * p[k] * (1 - p[k]) * w))
+
+            def grow(rows, depth):
+                score = lambda r: g[r].sum() ** 2 / (h[r].sum() + s.ridge)  # noqa: E731, B023
+                best = (s.gain, None)
+                for f in range(x.shape[1]) if depth < s.depth else ():
+                    gone = np.isnan(x[rows, f])
+                    for on_left in (True, False):
+                        for cut in np.unique(x[rows, f][~gone]):
+                            left = np.where(gone, on_left, x[rows, f] <= cut)
+                            a, b = rows[left], rows[~left]
+                            if h[a].sum() >= s.child and h[b].sum() >= s.child:  # noqa: B023
+                                gain = score(a) + score(b) - score(rows)
+                                best = max(best, (gain, (a, b)), key=lambda v: v[0] + 1e-9 * (v is best))
+                if best[1] is None:
+                    margins[k, rows] += -s.rate * g[rows].sum() / (h[rows].sum() + s.ridge)  # noqa: B023
+                else:
+                    for part in best[1]:
+                        grow(part, depth + 1)
+
+            grow(np.arange(len(y)), 0)
+    return margins
+
+
+def test_boosting_equals_plain_loops(spark, monkeypatch):
+    """Features of few values, missing ones among them; blocks, partitions and the rows' order change nothing."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 9, 150), rng.normal(size=150).round(1), rng.integers(-3, 3, 150) / 7]).T.astype(float)
+    y = ((x[:, 0] > 4) + (x[:, 2] > 0) * (x[:, 1] > 0.3) + (rng.random(150) < 0.3)).astype(int) % 3
+    x[rng.random(150) < 0.15, 0] = np.nan
+    x[rng.random(150) < 0.1, 2] = np.nan
+    x[:, 1] = np.clip(x[:, 1], -1.4, 1.4)
+    w = rng.integers(1, 4, 150) / 2
+    s = boosting.Settings(trees=3, depth=3, rate=0.3, child=0.4, gain=0.01, rows=1.0, features=1.0)
+    df = spark.createDataFrame([(k, *(None if np.isnan(v) else float(v) for v in x[k]), int(y[k]), float(w[k])) for k in range(150)], "id long, a double, b double, c double, y int, w double")
+    df = df.withColumn("c", F.when(F.col("id") % 2 == 0, F.coalesce("c", F.lit(float("inf")))).otherwise(F.col("c")))
+    plain = grown_plainly(x, y, w, 3, s)
+    want = (np.exp(plain) / np.exp(plain).sum(axis=0)).T
+    assert want.max() > 0.5 and len({tuple(r) for r in want.round(9)}) > 12
+    fitted = []
+    for rows, block in ((df, 40_000), (df.repartition(9), 20), (df.orderBy("b").coalesce(2), 7)):
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", block)
+        rounds = boosting.fit(rows, ["a", "b", "c"], "y", "w", "id", 3, 150, s)
+        assert np.allclose(boosting.probabilities(rounds, 3, x.T), want, atol=1e-9)
+        fitted.append([[v.tolist() for v in (t.feature, t.cut, t.missing, t.left, t.value)] for trees in rounds for t in trees])
+    assert fitted[0] == fitted[1] == fitted[2]
+
+
+def test_bins_hold_equal_shares(spark):
+    """Ends of bins are near quantiles, whatever the values' scale; two values have one end, however rare one is."""
+    rng = np.random.default_rng(3)
+    columns = [rng.normal(size=4000), np.exp(8 * rng.normal(size=4000)), np.where(rng.random(4000) < 0.9, 0.0, 1e-300)]
+    blocks = spark.sparkContext.parallelize([(np.stack([c[k::5] for c in columns]),) for k in range(5)], 3)
+    cuts = boosting._cuts(blocks, 3)
+    for values, cut in zip(columns[:2], cuts, strict=False):
+        assert len(cut) == boosting.BINS - 1 and np.allclose([(values <= c).mean() for c in cut], np.arange(1, boosting.BINS) / boosting.BINS, atol=0.002)
+    assert len(cuts[2]) == 1 and 0 <= cuts[2][0] < 1e-300
+
+
+def test_rows_drawn_follow_their_key():
+    key = np.arange(50_000).astype(np.uint64)
+    one, two = boosting._drawn(key, 42, 0, 1) < 0.8, boosting._drawn(key, 42, 1, 1) < 0.8
+    assert abs(one.mean() - 0.8) < 0.01 and abs((one & two).mean() - 0.64) < 0.01 and (boosting._drawn(key[::-1], 42, 0, 1)[::-1] < 0.8).tolist() == one.tolist()
